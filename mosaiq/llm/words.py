@@ -175,3 +175,11 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, reach = begin[order], np.maximum.accumulate(end[order])
     new = np.r_[True, begin[1:] > reach[:-1]]
     return begin[new], np.r_[reach[:-1][new[1:]], reach[-1]]
+
+
+def merged_by_document(words: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of ranges of words, each inside one document: begins, ends, documents."""
+    doc = words.doc[begin] if len(begin) else begin
+    begin, end = merged(begin + doc, end + doc)  # a gap between documents
+    doc = np.searchsorted(words.bounds[:-1] + np.arange(len(words.bounds) - 1), begin, side="right") - 1
+    return begin - doc, end - doc, doc
