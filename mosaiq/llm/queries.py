@@ -49,5 +49,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), shingle=3, percent=90)
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join}
 ORACLES: dict[str, str] = {}
