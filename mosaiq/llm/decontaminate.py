@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, alnum_words, grams, inside_document, lower_ascii, merged_by_document, slices, spread, text_buffers, words_of
+from .words import Words, alnum_words, grams, inside_document, lower_ascii, merged_by_document, slices, sliding_last_argmin, spread, text_buffers, words_of
 
 #: Bytes of benchmark text whose index is broadcast at once (the index takes about four times as much).
 MAX_BLOCK_BYTES = 16 << 20
@@ -37,16 +37,8 @@ RESULT = "n_words long, n_hit long, hits array<struct<begin:int,end:int>>, items
 
 def winnow(hashes: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     """Positions of the last smallest hash of each window that starts at a valid place."""
-    m = len(valid)
-    if not m:
-        return np.zeros(0, np.int64)
-    best, at = hashes[:m].copy(), np.zeros(m, np.int64)
-    for j in range(1, window):
-        here = hashes[j : j + m]
-        take = here <= best
-        best[take], at[take] = here[take], j
     chosen = np.zeros(len(hashes), bool)
-    chosen[(np.arange(m) + at)[valid]] = True
+    chosen[sliding_last_argmin(hashes, window)[valid]] = True
     return np.flatnonzero(chosen)
 
 

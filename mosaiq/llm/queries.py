@@ -55,5 +55,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), shingle=3, percent=90)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir), window=50)
+    return found.select("doc_id", "n_words", "n_removed", sha_of_text(F.col("kept")).alias("kept_sha256"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}

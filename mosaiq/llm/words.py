@@ -183,3 +183,27 @@ def merged_by_document(words: Words, begin: np.ndarray, end: np.ndarray) -> tupl
     begin, end = merged(begin + doc, end + doc)  # a gap between documents
     doc = np.searchsorted(words.bounds[:-1] + np.arange(len(words.bounds) - 1), begin, side="right") - 1
     return begin - doc, end - doc, doc
+
+
+def sliding_last_argmin(values: np.ndarray, window: int) -> np.ndarray:
+    """For each full window, the place of its last smallest value; by doubling the width."""
+    m = len(values) - window + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    best, at, width = values, np.arange(len(values)), 1
+    while width < window:
+        step = min(width, window - width)
+        n = len(best) - step
+        right = best[step:] <= best[:n]
+        best, at = np.where(right, best[step:], best[:n]), np.where(right, at[step:], at[:n])
+        width += step
+    return at
+
+
+def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words [begin, end), of any lengths."""
+    n = len(hashes)
+    pw, inv = _cached_powers(n, _BASE), _cached_powers(n, _BASE_INV)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(hashes ^ SEQ_B) * pw[:n], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inv[begin] + (end - begin).astype(np.uint64) * _MUL)
