@@ -62,5 +62,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", sha_of_text(F.col("kept")).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digest
+
+    return line_digest(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup}
 ORACLES: dict[str, str] = {}
