@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import documents, sha_of_text
+from .oracles import quality_rules_sql
 
 #: Where the public tokenizers' files are; a parameter of the operators that need one.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -68,5 +69,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup}
-ORACLES: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import RESULT, judge
+
+    return judge(documents(spark, sf_dir)).select(*RESULT)
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules_sql()}
