@@ -75,5 +75,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select(*RESULT)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import THRESHOLD, held_out, score_documents, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_html_extraction": op8_html_extraction}
 ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules_sql()}
