@@ -41,3 +41,24 @@ v AS (SELECT b.*, size.n AS reference_words, x.far AS char_far, y.far AS word_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT (n_words >= {guard_words} AND reference_words >= {reference_words} AND (coalesce(char_far, 0) > 0.2 + 0.8 * noise OR coalesce(word_far, 0) > 0.17 + 1.3 * noise)) AS kept
 FROM v"""
+
+
+URL_FILTERS_SQL = """
+WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_hours((page_id % 720)::INT) AS t,
+        nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT DISTINCT host AS k, ('0x' || substr(md5(host), 1, 1))::INT AS a, ('0x' || substr(md5(host), 2, 1))::INT AS b, ('0x' || substr(md5(host), 3, 1))::INT AS c FROM p WHERE host IS NOT NULL),
+e0 AS (SELECT k, 'block' AS action, b AS d FROM h WHERE a < 7 UNION ALL SELECT k, 'remove', b + 1 + c FROM h WHERE a < 5
+    UNION ALL SELECT k, 'block', 0 FROM h WHERE a = 7 UNION ALL SELECT k, 'allow', b FROM h WHERE a = 7
+    UNION ALL SELECT k || '/en', 'block', b FROM h WHERE a IN (8, 9)
+    UNION ALL SELECT array_to_string(list_slice(string_split(k, '.'), -3, -1), '.'), 'block', 20 FROM h WHERE c < 2),
+e1 AS (SELECT k, d, max_by(action, list_position(['remove', 'block', 'allow'], action)) AS action FROM e0 GROUP BY k, d),
+e2 AS (SELECT k, action, TIMESTAMP '2024-01-01' + to_days(d::INT) AS f, TIMESTAMP '2024-01-01' + to_days((lead(d) OVER (PARTITION BY k ORDER BY d))::INT) AS u FROM e1),
+s AS (SELECT page_id, t, host, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '')[1:4] AS s FROM p WHERE host IS NOT NULL),
+c AS (SELECT DISTINCT page_id, t, k FROM (
+    SELECT page_id, t, array_to_string(l[i:], '.') AS k FROM s, range(1, 20) r(i) WHERE i <= greatest(len(l) - 1, 1)
+    UNION ALL SELECT page_id, t, host || '/' || array_to_string(s[1:i], '/') FROM s, range(1, 5) r(i) WHERE i <= len(s))),
+m AS (SELECT page_id, c.k, action FROM c JOIN e2 USING (k) WHERE action <> 'remove' AND t >= f AND (u IS NULL OR t < u)),
+v AS (SELECT page_id, count(*) AS n, max_by(k, {'a': length(k), 'b': list_position(['remove', 'block', 'allow'], action), 'c': k}) AS entry,
+        max_by(action, {'a': length(k), 'b': list_position(['remove', 'block', 'allow'], action), 'c': k}) AS top FROM m GROUP BY page_id)
+SELECT p.page_id, url, coalesce(n, 0)::BIGINT AS n_active, entry, coalesce(top = 'block', false) AS blocked FROM p LEFT JOIN v USING (page_id)"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import documents, sha_of_text
-from .oracles import quality_rules_sql
+from .oracles import URL_FILTERS_SQL, quality_rules_sql
 
 #: Where the public tokenizers' files are; a parameter of the operators that need one.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -90,5 +90,31 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_html_extraction": op8_html_extraction}
-ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules_sql()}
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge_captures, sample_history, with_fetch_time
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge_captures(with_fetch_time(pages), sample_history(pages)).select("page_id", "url", "n_active", "entry", "blocked")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; then some are deleted and some revised; both batches are committed twice."""
+    import uuid
+
+    from .frames import shared_dir, stored
+    from .token_rollup import Rollup, count_tokens, deleted, inserted, revised
+
+    versions = {"piece_bpe_32k@1": ("pieces", tokenizer("piece_bpe_32k.model")), "byte_bpe_50k@1": ("ranks", tokenizer("byte_bpe_50k.tiktoken"))}
+    docs = documents(spark, sf_dir)
+    counts = stored(count_tokens(docs, versions), "counts")
+    gone, changed = F.col("doc_id") % 7 == 0, F.col("doc_id") % 10 == 3
+    again = count_tokens(docs.filter(changed & ~gone).withColumn("text", F.substring_index("text", "\n", 1)), versions)
+    changes = stored(deleted(counts.filter(gone)).unionByName(revised(counts.filter(changed & ~gone), again)), "changes")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for batch, rows in (("0001", inserted(counts)), ("0002", changes), ("0002", changes), ("0001", inserted(counts))):
+        rollup.commit(batch, rows)
+    return rollup.totals()
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_url_filters": op2_url_filters, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_html_extraction": op8_html_extraction}
+ORACLES: dict[str, str] = {"op2_url_filters": URL_FILTERS_SQL, "op10_quality_rules": quality_rules_sql()}

@@ -90,7 +90,8 @@ def _emitted(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 for d in range(hi - lo):
                     a, z = np.searchsorted(doc, [d, d + 1])
                     cut_up = batch.column(3)[lo + d].as_py()
-                    for j in np.flatnonzero(np.isin(content[a:z], batch.column(2)[lo + d].values.to_numpy())) + a:
+                    here, place = np.unique(content[a:z], return_index=True)  # a passage repeated in a document goes once
+                    for j in place[np.isin(here, batch.column(2)[lo + d].values.to_numpy())] + a:
                         pieces = [(anchor[j], 0, first[j], first[j] + count[j] + window - 1)]
                         if content[j] in cut_up:
                             starts = first[j] + np.arange(count[j])
