@@ -1,10 +1,32 @@
-"""Registered queries of the linear-algebra engine and their SQL for DuckDB."""
+"""Registered queries of the linear-algebra engine and their SQL for DuckDB.
+
+Inputs are the quantised embeddings Q (integers), G = Qᵀ Q, and closed forms whose results are known. Sums
+of integers and dyadic numbers are exact in any order; other results are rounded far above their error.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import kernels as K
+from .matrix import TiledMatrix
+from .operators import eigen, factor, multiply, shape, solve
+from .plans.strategy import shared_dir
+from .sources import generators, storage
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Order and tile of the closed forms, and tile of G.
+N, NB, GB = 20, 6, 24
+
 
 def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as an integer matrix in coordinates: (i, j, v)."""
@@ -12,15 +34,321 @@ def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("i", F.col("j").cast("long").alias("j"), F.floor(F.col("x").cast("double") * 64 + 0.5).cast("double").alias("v"))
 
 
+def q_matrix(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    coo = quantised(spark, sf_dir).withColumnRenamed("v", "re")
+    m = (spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0] or 0) + 1
+    return TiledMatrix.from_coo(coo, m, 64, 512, GB)
+
+
+def g_matrix(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """G in tiles, from its coordinate form (64 x 64)."""
+    return TiledMatrix.from_coo(gram_gemm(spark, sf_dir), 64, 64, GB, GB)
+
+
 def gram_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quantised(spark, sf_dir)
     left, right = q.select("i", F.col("j").alias("r"), F.col("v").alias("x")), q.select("i", F.col("j").alias("c"), F.col("v").alias("y"))
     return left.join(right, "i").groupBy(F.col("r").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("re"))
 
 
-QUERIES = {"gram_gemm": gram_gemm}
-
 _Q = """q AS (SELECT vec_id AS i, (k - 1)::BIGINT AS j, floor(embedding[k]::DOUBLE * 64 + 0.5) AS v
-FROM embeddings, range(1, 65) t(k) WHERE k <= len(embedding))"""
+FROM embeddings, range(1, 65) t(k) WHERE k <= len(embedding)),
+g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS re FROM q a JOIN q b USING (i) GROUP BY a.j, b.j)"""
+
+
+def _square(n: int) -> str:
+    return f"SELECT i, j FROM range({n}) a(i), range({n}) b(j)"
+
+
+def _coo(a: TiledMatrix, digits: int | None = None, zeros: bool = True) -> DataFrame:
+    value = F.col("re") if digits is None else F.round("re", digits)
+    return a.to_coo(zeros).select("i", "j", (value + F.lit(0.0)).alias("re"))
+
+
+def _register(name: str, query: Query, oracle: str | None) -> None:
+    QUERIES[name] = query
+    if oracle is not None:
+        ORACLES[name] = oracle
+
+
+def _poisoned(a: TiledMatrix, uplo: str) -> TiledMatrix:
+    """Only a triangle holds numbers; the other holds NaN, which would show in any result that reads it."""
+
+    def spoil(ti: int, tj: int, x: np.ndarray) -> np.ndarray:
+        bad = (ti < tj if uplo == "L" else ti > tj) if ti != tj else None
+        return np.where(K._mask(x, uplo), x, np.nan) if bad is None else np.full_like(x, np.nan) if bad else x
+
+    return a.map_tiles(spoil)
+
+
+_register("gram_gemm", gram_gemm, f"WITH {_Q} SELECT i, j, re FROM g")
+_register("gemm_tiles", lambda s, d: _coo(multiply.gemm(q := q_matrix(s, d), q, opa="T")), f"WITH {_Q} SELECT i, j, re FROM g")
+_register(
+    "gemm_alpha_beta",
+    lambda s, d: _coo(multiply.gemm(g := g_matrix(s, d), g, 2, -3, g)),
+    f"WITH {_Q} SELECT a.i, b.j, 2 * sum(a.re * b.re) - 3 * any_value(c.re) AS re FROM g a JOIN g b ON a.j = b.i JOIN g c ON c.i = a.i AND c.j = b.j GROUP BY a.i, b.j",
+)
+_register(
+    "gemm_chain",
+    lambda s, d: _coo(multiply.chain(q_matrix(s, d).transpose(), q_matrix(s, d), generators.from_function(s, 64, 8, GB, GB, lambda i, j: (i + 2 * j) % 3.0))),
+    f"WITH {_Q} SELECT g.i, b.j, sum(g.re * ((g.j + 2 * b.j) % 3)) AS re FROM g, range(8) b(j) GROUP BY g.i, b.j",
+)
+
+_B = "((7 * {0} + 3 * {1}) % 11 - 5)"
+
+
+def _b(spark: SparkSession, m: int, n: int, mb: int, nb: int) -> TiledMatrix:
+    return generators.from_function(spark, m, n, mb, nb, lambda i, j: (7 * i + 3 * j) % 11 - 5.0)
+
+
+for _side in "LR":
+    for _uplo in "LU":
+        _inside = "a.i >= a.j" if _uplo == "L" else "a.i <= a.j"
+        _h = f"h AS (SELECT i, j, re FROM g a WHERE {_inside} UNION ALL SELECT j, i, re FROM g a WHERE {_inside} AND a.i <> a.j)"
+        _register(
+            f"hemm_{'left' if _side == 'L' else 'right'}_{'lower' if _uplo == 'L' else 'upper'}",
+            lambda s, d, side=_side, uplo=_uplo: _coo(multiply.hemm(side, uplo, _poisoned(g_matrix(s, d), uplo), _b(s, 64, 10, GB, 4) if side == "L" else _b(s, 10, 64, 4, GB), 2)),
+            f"WITH {_Q}, {_h} SELECT h.i, b.j, 2 * sum(h.re * {_B.format('h.j', 'b.j')}) AS re FROM h, range(10) b(j) GROUP BY h.i, b.j"
+            if _side == "L"
+            else f"WITH {_Q}, {_h} SELECT b.i, h.j, 2 * sum({_B.format('b.i', 'h.i')} * h.re) AS re FROM h, range(10) b(i) GROUP BY b.i, h.j",
+        )
+
+_T = "pow(2, -abs({0} - {1}))"
+
+
+def _t(spark: SparkSession, scale: float = 1.0) -> TiledMatrix:
+    return generators.from_function(spark, N, N, NB, NB, lambda i, j: scale * 2.0 ** -abs(i - j))
+
+
+def _x(spark: SparkSession, side: str) -> TiledMatrix:
+    f = lambda i, j: (i + 2 * j) % 5.0 - 1
+    return generators.from_function(spark, N, 9, NB, 4, f) if side == "L" else generators.from_function(spark, 9, N, 4, NB, f)
+
+
+def _trmm(side: str, uplo: str, op: str, diag: str, spark: SparkSession) -> TiledMatrix:
+    return multiply.trmm(side, uplo, op, diag, _poisoned(_t(spark, 3.0), uplo), _x(spark, side), 2)
+
+
+for _side in "LR":
+    for _uplo in "LU":
+        for _op in "NT":
+            for _diag in "NU":
+                _name = f"{_side}{_uplo}{_op}".lower() + ("_nonunit" if _diag == "N" else "_unit")
+                _element = f"(CASE WHEN r = c THEN {'3' if _diag == 'N' else '1'} WHEN r {'>' if _uplo == 'L' else '<'} c THEN 3 * {_T.format('r', 'c')} ELSE 0 END)"
+                _a = f"a AS (SELECT {'r AS i, c AS j' if _op == 'N' else 'c AS i, r AS j'}, {_element} AS v FROM range({N}) x(r), range({N}) y(c))"
+                _register(
+                    f"trmm_{_name}",
+                    lambda s, d, v=(_side, _uplo, _op, _diag): _coo(_trmm(*v, s)),
+                    f"WITH {_a} SELECT a.i, b.j, 2 * sum(a.v * ((a.j + 2 * b.j) % 5 - 1)) AS re FROM a, range(9) b(j) GROUP BY a.i, b.j"
+                    if _side == "L"
+                    else f"WITH {_a} SELECT b.i, a.j, 2 * sum(((b.i + 2 * a.i) % 5 - 1) * a.v) AS re FROM a, range(9) b(i) GROUP BY b.i, a.j",
+                )
+                _register(
+                    f"trsm_{_name}",
+                    lambda s, d, v=(_side, _uplo, _op, _diag): _coo(solve.trsm(*v, _poisoned(_t(s, 3.0), v[1]), _trmm(*v, s), 0.5, "tiles"), 7),
+                    f"SELECT i, j, ((i + 2 * j) % 5 - 1)::DOUBLE AS re FROM range({N if _side == 'L' else 9}) a(i), range({9 if _side == 'L' else N}) b(j)",
+                )
+
+_LOWER, _UPPER = f"{_square(N)} WHERE i >= j", f"{_square(N)} WHERE i <= j"
+
+
+def _spd(spark: SparkSession) -> TiledMatrix:
+    return generators.from_function(spark, N, N, NB, NB, lambda i, j: (4.0 ** (np.minimum(i, j) + 1) - 1) / (3 * 2.0 ** (i + j)))
+
+
+for _uplo, _half in (("L", _LOWER), ("U", _UPPER)):
+    _word = "lower" if _uplo == "L" else "upper"
+    for _way in ("task", "tiles"):
+        _register(f"potrf_{_word}_{_way}", lambda s, d, u=_uplo, w=_way: _coo(factor.potrf(u, _poisoned(_spd(s), u), w), 9, False), f"SELECT i, j, round({_T.format('i', 'j')}, 9) AS re FROM ({_half}) WHERE round({_T.format('i', 'j')}, 9) <> 0")
+    for _diag in "NU":
+        _scale = 4.0 if _diag == "N" else 1.0
+        _register(
+            f"trtri_{_word}_{'nonunit' if _diag == 'N' else 'unit'}",
+            lambda s, d, u=_uplo, g=_diag, k=_scale: _coo(solve.trtri(u, g, _poisoned(_t(s, k), u), "tiles"), 9, False).filter("i != j or re != 1").filter("re != 0"),
+            f"SELECT i, j, CASE WHEN i = j THEN 0.25 ELSE {-0.125 if _diag == 'N' else -0.5} END::DOUBLE AS re FROM ({_half}) WHERE abs(i - j) <= {1 if _diag == 'N' else 1} AND (i <> j OR {'true' if _diag == 'N' else 'false'})",
+        )
+    _mirror = f"(pow(4, least(p, q) + 1) - 1) / (3 * pow(2, p + q))"
+    _inverse = f"SELECT i, j, round({_mirror}, 8) AS re FROM (SELECT i, j, {N - 1} - i AS p, {N - 1} - j AS q FROM ({_half})) WHERE round({_mirror}, 8) <> 0"
+    _register(f"lauum_{_word}", lambda s, d, u=_uplo: _coo(multiply.lauum(u, _poisoned(_t(s), u)), 8, False).filter("re != 0"), _inverse)
+    _register(f"potri_{_word}", lambda s, d, u=_uplo: _coo(solve.potri(u, _poisoned(generators.from_function(s, N, N, NB, NB, lambda i, j: np.where(i == j, 1.0, np.where(abs(i - j) == 1, -0.5, 0.0))), u)), 8, False).filter("re != 0"), _inverse)
+    _register(
+        f"gen_to_std_{_word}",
+        lambda s, d, u=_uplo: _coo(solve.hegst(u, _poisoned(generators.from_function(s, N, N, NB, NB, lambda i, j: 64.0 * (i + 1) * (j + 1) / 2.0 ** (i + j)), u), _poisoned(_t(s, 2.0), u)), 6, False).filter("re != 0"),
+        f"SELECT i, j, round(16 * pow(2, -(i + j)), 6) AS re FROM ({_half}) WHERE round(16 * pow(2, -(i + j)), 6) <> 0",
+    )
+_register("potrf_gram", lambda s, d: _coo(multiply.gemm(f := factor.potrf("L", g_matrix(s, d), "tiles").stored("factor"), f, opb="C"), 0), f"WITH {_Q} SELECT i, j, re FROM g")
+_register("herk_lower", lambda s, d: _coo(multiply.herk("L", q_matrix(s, d), op="C"), None, False).filter("i >= j"), f"WITH {_Q} SELECT i, j, re FROM g WHERE i >= j AND re <> 0")
+_register("her2k_lower", lambda s, d: _coo(multiply.her2k("L", g_matrix(s, d), g_matrix(s, d)), None, False).filter("i >= j"), f"WITH {_Q} SELECT a.i, b.j, 2 * sum(a.re * b.re) AS re FROM g a JOIN g b ON a.j = b.i WHERE a.i >= b.j GROUP BY a.i, b.j HAVING sum(a.re * b.re) <> 0")
+
+
+def _scalar(spark: SparkSession, name: str, value: float) -> DataFrame:
+    return spark.createDataFrame([(name, float(value))], "name string, value double")
+
+
+for _uplo, _where in (("G", "true"), ("L", "i >= j"), ("U", "i <= j")):
+    _register(f"max_norm_{ {'G': 'general', 'L': 'lower', 'U': 'upper'}[_uplo] }", lambda s, d, u=_uplo: _scalar(s, "max", shape.max_norm(_poisoned(g_matrix(s, d), u) if u != "G" else g_matrix(s, d), u)), f"WITH {_Q} SELECT 'max' AS name, max(abs(re)) AS value FROM g WHERE {_where}")
+
+_REVERSED = "CASE WHEN {0} BETWEEN 24 AND 47 THEN 71 - {0} ELSE {0} END"
+
+
+def _reverse(spark: SparkSession) -> DataFrame:
+    return spark.range(GB).selectExpr("id pos", f"{GB - 1} - id src")
+
+
+_both = "(i BETWEEN 24 AND 47 AND j BETWEEN 24 AND 47)"
+_register("permute_rows", lambda s, d: _coo(shape.permute(g_matrix(s, d), _reverse(s), "rows", 1, 2)), f"WITH {_Q} SELECT CASE WHEN {_both} THEN 71 - i ELSE i END AS i, j, re FROM g")
+_register("permute_columns", lambda s, d: _coo(shape.permute(g_matrix(s, d), _reverse(s), "columns", 1, 2)), f"WITH {_Q} SELECT i, CASE WHEN {_both} THEN 71 - j ELSE j END AS j, re FROM g")
+_register("slice", lambda s, d: _coo(g_matrix(s, d).submatrix(5, 10, 40, 33)), f"WITH {_Q} SELECT i - 5 AS i, j - 10 AS j, re FROM g WHERE i BETWEEN 5 AND 44 AND j BETWEEN 10 AND 42")
+_register("column_slice", lambda s, d: _coo(g_matrix(s, d).submatrix(0, 7, 64, 9)), f"WITH {_Q} SELECT i, j - 7 AS j, re FROM g WHERE j BETWEEN 7 AND 15")
+_register("retile", lambda s, d: _coo(q_matrix(s, d).retile(100, 7)), f"WITH {_Q} SELECT i, j, v AS re FROM q")
+_register("transpose", lambda s, d: _coo(q_matrix(s, d).transpose()), f"WITH {_Q} SELECT j AS i, i AS j, v AS re FROM q")
+_register("paste", lambda s, d: _coo(shape.paste(_b(s, 10, 12, 4, 4), g_matrix(s, d), (20, 30))), f"WITH {_Q} SELECT i, j, CASE WHEN i BETWEEN 20 AND 29 AND j BETWEEN 30 AND 41 THEN {_B.format('(i - 20)', '(j - 30)')} ELSE re END AS re FROM g")
+_register("triangle_mask", lambda s, d: _coo(g_matrix(s, d).triangle("L", "U"), None, False), f"WITH {_Q} SELECT i, j, CASE WHEN i = j THEN 1 ELSE re END AS re FROM g WHERE i >= j AND (i = j OR re <> 0)")
+_register("add", lambda s, d: _coo(multiply.add(g_matrix(s, d), g_matrix(s, d).transpose(), -3)), f"WITH {_Q} SELECT i, j, -2 * re AS re FROM g")
+_register("scale", lambda s, d: _coo(g_matrix(s, d).scale(0.5)), f"WITH {_Q} SELECT i, j, re / 2 AS re FROM g")
+_register("scale_columns", lambda s, d: _coo(multiply.scale_columns(g_matrix(s, d), s.range(64).selectExpr("id idx", "id + 0.5D value"))), f"WITH {_Q} SELECT i, j, re * (j + 0.5) AS re FROM g")
+_register("cast_to_complex", lambda s, d: g_matrix(s, d).cast_to_complex().to_coo(), f"WITH {_Q} SELECT i, j, re, 0::DOUBLE AS im FROM g")
+_register("set_identity", lambda s, d: _coo(generators.identity(s, 37, 8), None, False), "SELECT i, i AS j, 1::DOUBLE AS re FROM range(37) t(i)")
+_register("set_function", lambda s, d: _coo(_b(s, 30, 22, 7, 5)), f"SELECT i, j, {_B.format('i', 'j')}::DOUBLE AS re FROM range(30) a(i), range(22) b(j)")
+_register("set_function_transposed", lambda s, d: _coo(generators.from_function(s, 30, 22, 7, 5, lambda i, j: i - 2.0 * j, "T")), "SELECT i, j, (j - 2 * i)::DOUBLE AS re FROM range(30) a(i), range(22) b(j)")
+_register("set_zero", lambda s, d: _coo(generators.zeros(s, 9, 9, 4, 4)), "SELECT i, i AS j, 0::DOUBLE AS re FROM range(0) t(i)")
+_register("column_major", lambda s, d: _coo(TiledMatrix.from_numpy(s, np.arange(42.0).reshape(6, 7, order="F"), 4, 3)), "SELECT i, j, (i + 6 * j)::DOUBLE AS re FROM range(6) a(i), range(7) b(j)")
+
+
+def _checked(a: TiledMatrix, low: float, high: float) -> DataFrame:
+    return a.to_coo().agg(F.count(F.lit(1)).alias("n"), F.min((F.col("re") * F.col("re") + F.col("im") * F.col("im")).between(low * low, high * high)).alias("inside"), F.max((F.col("i") == F.col("j")) & (F.abs("im") > 0)).alias("odd_diagonal"))
+
+
+_register("set_random", lambda s, d: _checked(generators.random(s, 40, 30, 7, 9), 0, 1), "SELECT 1200::BIGINT AS n, true AS inside, false AS odd_diagonal")
+_register("set_random_hermitian", lambda s, d: _checked(generators.random_hermitian(s, 40, 7, 0, "z"), 0, 1.0), "SELECT 1600::BIGINT AS n, true AS inside, false AS odd_diagonal")
+_register("set_random_positive_definite", lambda s, d: _checked(generators.random_positive_definite(s, 40, 7), 0, 81), "SELECT 1600::BIGINT AS n, true AS inside, false AS odd_diagonal")
+_register("set_random_banded", lambda s, d: _coo(generators.random_hermitian(s, 40, 7, band=3), None, False).selectExpr("max(abs(i - j)) width", "count(*) n"), "SELECT 3::BIGINT AS width, count(*) AS n FROM range(40) a(i), range(40) b(j) WHERE abs(i - j) <= 3")
+_register("set_random_non_zero_diagonal", lambda s, d: _coo(generators.random_non_zero_diagonal(s, 40, 7)).filter("i = j").selectExpr("count(*) n", "min(abs(re)) >= 0.1 and max(abs(re)) <= 1 inside"), "SELECT 40::BIGINT AS n, true AS inside")
+
+
+def _stored_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    storage.write(q_matrix(spark, sf_dir), folder, "q")
+    return _coo(storage.read(spark, folder, "q", (64, 20), "d"))
+
+
+_register("write_and_read", _stored_and_read, f"WITH {_Q} SELECT i, j, v AS re FROM q")
+_register("text_forms", lambda s, d: s.createDataFrame([(storage.to_csv(_b(s, 2, 3, 2, 2)), storage.to_numpy_code(_b(s, 2, 2, 2, 2)))], "csv string, code string"), r"SELECT '-5,-2,1,' || chr(10) || '2,5,-3,' || chr(10) AS csv, 'mat = np.array([-5.0, 2.0, -2.0, 5.0], dtype=np.float64).reshape(2, 2).T' || chr(10) AS code")
+
+# -- eigensolvers ----------------------------------------------------------------------
+
+
+def _laplace(spark: SparkSession) -> TiledMatrix:
+    return generators.from_function(spark, N, N, 10, 10, lambda i, j: np.where(i == j, 2.0, np.where(abs(i - j) == 1, -1.0, 0.0)))
+
+
+def _rounded(values: DataFrame) -> DataFrame:
+    return values.select("idx", F.round("value", 8).alias("value"))
+
+
+_LAPLACE = f"SELECT k AS idx, round(2 * (1 - cos(pi() * (k + 1) / {N + 1})), 8) AS value FROM range({N}) t(k)"
+_register("syevd_laplace", lambda s, d: _rounded(eigen.heevd("L", _poisoned(_laplace(s), "L")).values), _LAPLACE)
+_register("syevd_staged", lambda s, d: _rounded(eigen.heevd("U", _poisoned(_laplace(s), "U"), strategy="tiles", band=5).values), _LAPLACE)
+_register("stedc_laplace", lambda s, d: _rounded(eigen.tridiagonal_eigensolver(s, np.full(N, 2.0), np.full(N - 1, -1.0)).values), _LAPLACE)
+_register(
+    "syevd_partial",
+    lambda s, d: _coo(eigen.heevd("L", _laplace(s), end=4).vectors).selectExpr("j", "re * re v").groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 9).alias("norm")),
+    f"SELECT j, {N}::BIGINT AS n, 1::DOUBLE AS norm FROM range(4) t(j)",
+)
+
+
+def _reconstructed(a: TiledMatrix, e: eigen.Eigen) -> TiledMatrix:
+    return multiply.gemm(multiply.scale_columns(e.vectors, e.values), e.vectors, opb="C")
+
+
+_register("syevd_reconstruct", lambda s, d: _coo(_reconstructed(g := g_matrix(s, d), eigen.heevd("L", g)), 0), f"WITH {_Q} SELECT i, j, re FROM g")
+_register("syevd_reconstruct_staged", lambda s, d: _coo(_reconstructed(g := g_matrix(s, d), eigen.heevd("L", g, strategy="tiles", band=12)), 0), f"WITH {_Q} SELECT i, j, re FROM g")
+
+
+def _orthogonal(b: TiledMatrix, z: TiledMatrix) -> DataFrame:
+    return _coo(multiply.gemm(z, multiply.gemm(b, z), opa="C"), 7)
+
+
+_IDENTITY = f"SELECT i, j, (i = j)::INT::DOUBLE AS re FROM range({N}) a(i), range({N}) b(j)"
+_register("sygvd_orthogonality", lambda s, d: _orthogonal(b := _spd(s).retile(10, 10), eigen.hegvd("L", _laplace(s), b).vectors), _IDENTITY)
+_register("sygvd_factorized", lambda s, d: _orthogonal(b := _spd(s).retile(10, 10), eigen.hegvd("U", _laplace(s), factor.potrf("U", b), factorized=True).vectors), _IDENTITY)
+
+
+def _invariants(a: TiledMatrix, band: int) -> DataFrame:
+    return a.to_coo().agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("re"))), 3).alias("trace"), F.round(F.sum(F.col("re") * F.col("re")) / 1000, 0).alias("squares"), F.sum(((F.abs(F.col("i") - F.col("j")) > band) & (F.abs("re") > 1e-6)).cast("long")).alias("outside"))
+
+
+_INVARIANTS = f"WITH {_Q} SELECT sum(CASE WHEN i = j THEN re END) AS trace, round(sum(re * re) / 1000, 0) AS squares, 0::BIGINT AS outside FROM g"
+_register("red2band_invariants", lambda s, d: _invariants(eigen.reduction_to_band(g_matrix(s, d), 12).matrix, 12), _INVARIANTS)
+
+
+def _tridiagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = eigen.band_to_tridiagonal(eigen.reduction_to_band(g_matrix(spark, sf_dir), 12), 12)
+    return _invariants(TiledMatrix.from_numpy(spark, np.diag(t.d) + np.diag(t.e, 1) + np.diag(t.e, -1), GB, GB), 1)
+
+
+_register("b2t_invariants", _tridiagonal, _INVARIANTS)
+
+
+def _back_transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q T Qᴴ, with both back-transformations applied to the identity, is G again."""
+    band = eigen.reduction_to_band(g_matrix(spark, sf_dir), 12)
+    t = eigen.band_to_tridiagonal(band, 12)
+    q = eigen.bt_reduction_to_band(eigen.bt_band_to_tridiagonal(generators.identity(spark, 64, GB), t.reflectors), band.panels)
+    middle = TiledMatrix.from_numpy(spark, np.diag(t.d) + np.diag(t.e, 1) + np.diag(t.e, -1), GB, GB)
+    return _coo(multiply.gemm(multiply.gemm(q, middle), q, opb="C"), 0)
+
+
+_register("back_transforms", _back_transformed, f"WITH {_Q} SELECT i, j, re FROM g")
+
+
+def _index_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = spark.range(25).selectExpr("id idx", "cast((id * 7) % 25 as double) value")
+    perm = shape.sort_index(values)
+    back = shape.apply_index(shape.apply_index(values, perm), shape.invert_index(perm))
+    shifted = shape.add_index(perm, 100).select("pos", "src")
+    return shape.apply_index(values, perm).withColumnRenamed("value", "sorted").join(back.withColumnRenamed("value", "restored"), "idx").join(shifted.withColumnRenamed("pos", "idx"), "idx")
+
+
+_register("index_operations", _index_operations, "SELECT idx, idx::DOUBLE AS sorted, ((idx * 7) % 25)::DOUBLE AS restored, (idx * 18) % 25 + 100 AS src FROM range(25) t(idx)")
+
+
+def _kernel_checks() -> list[tuple[str, bool]]:
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.standard_normal((9, 9)) + 1j * rng.standard_normal((9, 9)) for _ in range(3))
+    h, p = a + a.conj().T, a @ a.conj().T + 9 * np.eye(9)
+    low = np.tril(p)
+    near = lambda x, y: bool(np.allclose(x, y))
+    d, e = rng.standard_normal(9), rng.standard_normal(8)
+    w, z = K.stedc(d, e)
+    v, taus, r = K.householder_panel(a[:, :4])
+    return [
+        ("gemm", near(K.gemm(a, b, c, 2, 3, "C", "T"), 2 * a.conj().T @ b.T + 3 * c)),
+        ("hemm", near(K.hemm("R", "U", np.triu(h), b), b @ h)),
+        ("herk", near(np.tril(K.herk("L", a, c, 1, 1)), np.tril(a @ a.conj().T + c))),
+        ("her2k", near(np.triu(K.her2k("U", a, b, c)), np.triu(a @ b.conj().T + b @ a.conj().T + c))),
+        ("trmm", near(K.trmm("L", "L", "C", "N", p, b), low.conj().T @ b)),
+        ("trsm", near(K.trmm("R", "U", "T", "U", p, K.trsm("R", "U", "T", "U", p, b)), b)),
+        ("add", near(K.add(2, b, a), a + 2 * b)),
+        ("scal", near(K.scal(3, a), 3 * a)),
+        ("lacpy", near(K.lacpy("L", a, b), np.tril(a) + np.triu(b, 1))),
+        ("lange", near([K.lange(k, a) for k in "M1IF"], [abs(a).max(), abs(a).sum(0).max(), abs(a).sum(1).max(), np.linalg.norm(a)])),
+        ("lantr", near(K.lantr("F", "L", "U", a), np.linalg.norm(np.tril(a, -1) + np.eye(9)))),
+        ("laset", near(K.laset("G", 2, 5, a), np.full((9, 9), 2) + 3 * np.eye(9))),
+        ("hegst", near(K.full(K.hegst(2, "L", h, p), "L"), low.conj().T @ h @ low)),
+        ("lauum", near(np.tril(K.lauum("L", p)), np.tril(low.conj().T @ low))),
+        ("potrf", near(np.tril(K.potrf("L", p)), np.linalg.cholesky(p))),
+        ("potrf_info", K.potrf_info("L", np.diag([1.0, 2, -1, 4]))[1] == 3),
+        ("stedc", near((np.diag(d) + np.diag(e, 1) + np.diag(e, -1)) @ z, z * w)),
+        ("scale_columns", near(K.scale_columns(z, w), z * w)),
+        ("trtri", near(np.tril(K.trtri("L", "N", p)) @ low, np.eye(9))),
+        ("trtri_info", K.trtri_info("L", "N", np.diag([1.0, 0, 2]))[1] == 2),
+        ("larft", near((np.eye(9) - v @ K.larft(v, taus) @ v.conj().T) @ r, a[:, :4])),
+    ]
+
 
-ORACLES = {"gram_gemm": f"WITH {_Q} SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS re FROM q a JOIN q b USING (i) GROUP BY a.j, b.j"}
+_register(
+    "tile_kernels",
+    lambda s, d: s.createDataFrame([(n, bool(x)) for n, x in _kernel_checks()], "kernel string, right boolean"),
+    "SELECT unnest(['gemm','hemm','herk','her2k','trmm','trsm','add','scal','lacpy','lange','lantr','laset','hegst','lauum','potrf','potrf_info','stedc','scale_columns','trtri','trtri_info','larft']) AS kernel, true AS right",
+)
