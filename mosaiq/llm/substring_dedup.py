@@ -202,7 +202,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = texts.filter("doc_id is not null")
     seen = stored(_occurrences(named, window, gram), "occurrences")
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("anchor")
+    # Written first, so that the join below has two plain shuffles and a hot anchor's rows can be split.
+    shared = stored(seen.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("anchor"), "anchors")
     seen = stored(seen.join(shared, "anchor"), "shared")
     distinct = seen.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id"))
     crowd = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > segments_of_anchor).select("anchor", F.lit(True).alias("cut_up"))
