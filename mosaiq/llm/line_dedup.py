@@ -1,11 +1,12 @@
 """Operator 5: fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line's set is made of character shingles: at each word, the ``width`` characters from its start on, in lower
-case with white space squeezed. Thirty minima of the hashed shingles (xor with fixed constants) are banded ten by
-three, which misses a pair of similarity 0.8 with a chance of 0.08 %. Lines in a band's bucket are compared with the
-bucket's centre; after a few rounds with other centres, what still lies outside its bucket's largest component
-is compared with all lines of the bucket that are in another component, in blocks of bounded size, so no
-candidate is dropped. Similarities are exact. Components come from distributed union-find.
+case, without white space at the line's ends. Thirty minima of the hashed shingles (xor with fixed constants) are
+banded ten by three, which misses a pair of similarity 0.8 with a chance of 0.08 %. Lines in a band's bucket are
+compared with the bucket's centre; after two rounds with different centres, what still lies outside its bucket's
+largest component is compared with the bucket's lines in other components, which come in chunks of bounded size
+with their sets, so no candidate is dropped and no pairs are written out. Similarities are exact. Components come
+from distributed union-find over the components found so far.
 
 Of each component of lines the first occurrence stays (smallest doc_id, then smallest line number).
 
@@ -24,21 +25,16 @@ from .graph import components
 
 BANDS, ROWS = 10, 3
 #: Rounds with one centre for each bucket before the exact remainder.
-CENTRE_ROUNDS = 3
-#: Pairs of lines of the remainder that are verified at once.
-BLOCK_PAIRS = 5_000_000
+CENTRE_ROUNDS = 2
+#: Lines of a bucket that travel together.
+CHUNK = 64
 #: Slots of the id filter, 64 bits each: a fixed size of at most 2 MB.
 FILTER_SLOTS = 1 << 17
 
 
-def _plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
-
-
-def _shingles(plain: Column, width: int) -> Column:
-    """Hashes of the distinct shingles: ``width`` characters from each word's start."""
-    texts = F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(texts, lambda s: F.xxhash64(s)))
+def _shingle_texts(width: int) -> Column:
+    """The ``width`` characters from each word's start."""
+    return F.regexp_extract_all("plain", F.lit(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))"), F.lit(1))
 
 
 def _constants(n: int) -> list[int]:
@@ -49,7 +45,8 @@ def _constants(n: int) -> list[int]:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, plain, line) of all lines with a word of documents with an id."""
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "whole"))
-    return lines.select("doc_id", "line_no", _plain(F.col("whole")).alias("plain")).filter("plain != ''").withColumn("line", F.xxhash64("plain"))
+    plain = F.lower(F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM whole)"))
+    return lines.select("doc_id", "line_no", plain.alias("plain")).filter("plain != ''").withColumn("line", F.xxhash64("plain"))
 
 
 def _in_filter(ids: DataFrame, column: str) -> DataFrame:
@@ -67,65 +64,60 @@ def _flag(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 def _buckets(lines: DataFrame, width: int) -> DataFrame:
     """(bucket, line): the bands of every distinct line."""
-    shingle = lines.select("line", F.explode(_shingles(F.col("plain"), width)).alias("h"))
+    shingle = lines.select("line", F.explode(_shingle_texts(width)).alias("s")).select("line", F.xxhash64("s").alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(BANDS * ROWS))]
     signed = shingle.groupBy("line").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("line", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v), those with the similarity."""
-    left = sets.select(F.col("line").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("line").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
-    return both.filter(F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * percent).select("u", "v")
+def _similar(a: str, b: str, percent: int) -> str:
+    return f"transform(array(size(array_intersect({a}, {b}))), i -> i * 100 >= (size({a}) + size({b}) - i) * {percent})[0]"
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    root = components(links).withColumnRenamed("node", "line")
-    return buckets.join(root, "line", "left").withColumn("root", F.coalesce("root", "line"))
+def _relabelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Buckets' rows with the roots after links (u, v) between roots."""
+    moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    joined = buckets.join(moved, "root", "left")
+    return stored(joined.select("bucket", "line", F.coalesce("to", "root").alias("root")), "labelled")
 
 
-def line_components(docs: DataFrame, width: int = 12, percent: int = 80, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """(node, root) for the distinct lines that aren't the smallest hash of their component."""
-    spark = docs.sparkSession
+def line_components(docs: DataFrame, places: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
+    """(node, root) for the distinct lines that aren't their component's root; places: lines_of without texts."""
     buckets = _buckets(lines_of(docs), width)
-    # Buckets of one line are done; a bucket's first line is found while its rows stream by in order.
+    # Buckets of one line are done; a line's neighbours in its bucket are seen while rows stream by in order.
     several = F.expr("lead(line) over (partition by bucket order by line) is not null or lag(line) over (partition by bucket order by line) is not null")
     buckets = stored(buckets.withColumn("several", several).filter("several").select("bucket", "line"), "buckets")
     wanted = buckets.select("line").distinct()
-    near = _flag(lines_of(docs).select("line", "plain"), wanted, "line").filter("maybe").select("line", _shingles(F.col("plain"), width).alias("shingles"))
-    sets = stored(near.join(wanted, "line", "left_semi").dropDuplicates(["line"]), "sets")
-    links = stored(spark.createDataFrame([], "u long, v long"), "links")
+    chosen = places.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("line", "at.*")
+    near = _flag(lines_of(docs), wanted, "line").filter("maybe").drop("maybe").join(chosen, ["line", "doc_id", "line_no"])
+    sets = near.dropDuplicates(["line"]).select("line", F.array_distinct(F.transform(_shingle_texts(width), lambda s: F.xxhash64(s))).alias("shingles"))
+    sets = stored(sets, "sets")
     labelled = buckets.withColumn("root", F.col("line"))
     for turn in range(CENTRE_ROUNDS):
         # The order differs by round, so a bucket has another centre each time.
         centre = f"first_value(struct(line, root)) over (partition by bucket order by xxhash64(line, {turn}) rows between unbounded preceding and current row)"
-        pairs = labelled.withColumn("c", F.expr(centre)).filter("root != c.root").select(F.col("line").alias("u"), F.col("c.line").alias("v")).distinct()
-        links = stored(links.unionAll(_verified(pairs, sets, percent)), "links")
-        labelled = stored(_labelled(buckets, links), "labelled")
-    # The exact rest: all lines outside the largest component of their bucket, against all its lines.
+        pairs = labelled.withColumn("c", F.expr(centre)).filter("root != c.root").select("line", "root", F.col("c.line").alias("other"), F.col("c.root").alias("other_root")).distinct()
+        both = pairs.join(sets, "line").join(sets.select(F.col("line").alias("other"), F.col("shingles").alias("theirs")), "other")
+        labelled = _relabelled(labelled, both.filter(_similar("shingles", "theirs", percent)).select(F.col("root").alias("u"), F.col("other_root").alias("v")))
+    # The exact rest: lines outside the largest component of their bucket, against all lines of other components.
     sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    totals = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n")
-    totals = stored(totals, "totals")
-    work = totals.agg(F.sum(F.expr("(n - most) * n"))).first()[0] or 0
-    blocks = max(1, -(-int(work) // block_pairs))
-    for block in range(blocks if work else 0):
-        rest = labelled.join(totals.select("bucket", "main"), "bucket")
-        asking = rest.filter("root != main").filter(F.pmod(F.xxhash64("line", F.lit(11)), F.lit(blocks)) == block)
-        other = rest.select("bucket", F.col("line").alias("v"), F.col("root").alias("other"))
-        pairs = asking.join(other, "bucket").filter("root != other").select(F.least("line", "v").alias("u"), F.greatest("line", "v").alias("v")).distinct()
-        links = stored(links.unionAll(_verified(pairs, sets, percent)), "links")
-        if block + 1 < blocks:
-            labelled = stored(_labelled(buckets, links), "labelled")
-    return components(links)
-
-
-def dedup_lines(docs: DataFrame, width: int = 12, percent: int = 80, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    split = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n").select("bucket", "main")
+    rest = stored(labelled.join(split, "bucket").join(sets, "line"), "rest")
+    number = F.expr(f"(row_number() over (partition by bucket order by line) - 1) div {CHUNK}")
+    chunks = rest.withColumn("chunk", number).groupBy("bucket", "chunk").agg(F.collect_list(F.struct("line", "root", "shingles")).alias("members"))
+    asking = rest.filter("root != main").select("bucket", "root", "shingles")
+    linked = F.expr(f"array_distinct(transform(filter(members, m -> m.root != root and {_similar('shingles', 'm.shingles', percent)}), m -> m.root))")
+    links = asking.join(chunks, "bucket").withColumn("to", linked).filter("size(to) > 0").select(F.col("root").alias("u"), F.explode("to").alias("v"))
+    labelled = _relabelled(labelled, links)
+    return labelled.filter("line != root").select(F.col("line").alias("node"), "root").distinct()
+
+
+def dedup_lines(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
     """The documents with only the first line of each component; columns n_lines and n_dropped are added."""
-    roots = line_components(docs, width, percent, block_pairs)
-    placed = lines_of(docs).select("doc_id", "line_no", "line").join(roots.withColumnRenamed("node", "line"), "line", "left")
+    places = stored(lines_of(docs).select("doc_id", "line_no", "line"), "places")
+    roots = line_components(docs.select("doc_id", "text"), places, width, percent)
+    placed = places.join(roots.withColumnRenamed("node", "line"), "line", "left")
     placed = placed.select("doc_id", "line_no", F.coalesce("root", "line").alias("root"))
     inside = placed.groupBy("root", "doc_id").agg(F.min("line_no").alias("first"), F.count(F.lit(1)).alias("n"))
     inside = stored(inside, "inside")

@@ -9,7 +9,7 @@ W = 12
 
 
 def shingles(line):
-    plain = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+    plain = line.strip(" \t\n\x0b\f\r").lower()
     return plain, frozenset(plain[m.start() : m.start() + W] for m in re.finditer(r"(?<![^ ])[^ ]", plain))
 
 
@@ -58,11 +58,12 @@ def corpus(seed):
     return [*rows, (70, None), (71, ""), (72, "\n"), (None, rows[3][1]), (73, rows[4][1].upper())]
 
 
-@pytest.mark.parametrize("seed,more", [(1, {}), (2, {"block_pairs": 5})])
-def test_kept_lines_equal_brute_force(spark, seed, more):
+@pytest.mark.parametrize("seed,chunk", [(1, 64), (2, 3)])
+def test_kept_lines_equal_brute_force(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr("mosaiq.llm.line_dedup.CHUNK", chunk)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("root", F.lit("r"))
-    got = dedup_lines(docs, **more)
+    got = dedup_lines(docs)
     assert got.columns[:4] == ["doc_id", "text", "line", "root"]
     assert sorted(((-1 if r.doc_id is None else r.doc_id or -1), r.text) for r in got.collect()) == brute(rows)
 
