@@ -34,7 +34,8 @@ FILTER_SLOTS = 1 << 17
 
 def _shingle_texts(width: int) -> Column:
     """The ``width`` characters from each word's start."""
-    return F.regexp_extract_all("plain", F.lit(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))"), F.lit(1))
+    # The look-ahead takes the shingle, the rest goes on to the next word: no place is tried twice.
+    return F.regexp_extract_all("plain", F.lit(rf"(?s)(?=(.{{1,{width}}}))[^ ]+ *"), F.lit(1))
 
 
 def _constants(n: int) -> list[int]:
