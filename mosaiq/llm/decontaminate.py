@@ -197,6 +197,6 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5) -> DataFrame:
-    """Documents without any benchmark window; all columns stay."""
+    """Documents without any benchmark window; all columns stay. A row without an id can't be named, and stays."""
     hit = find_contamination(docs, benchmark, n, k).filter("n_hit > 0").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti")

@@ -12,7 +12,8 @@ Of each component of lines the first occurrence stays (smallest doc_id, then sma
 
 Defined results: a null text is an empty one; lines without a word always stay; rows that share an id are
 one document (a line kept for the id is kept in each of its rows); rows with a null id stay as they are and are no
-source; empty tables give empty results; all other columns pass unchanged.
+source; empty tables give empty results; all other columns pass unchanged
+(``n_lines`` and ``n_dropped`` are replaced, names that begin with two underscores are the operator's own).
 """
 
 from __future__ import annotations
@@ -53,14 +54,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def _in_filter(ids: DataFrame, column: str) -> DataFrame:
     """A fixed-size table of bits for the values of a column."""
     h = F.xxhash64(column)
-    return ids.select(F.pmod(h, F.lit(FILTER_SLOTS)).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({column}), 32), 64) as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    return ids.select(F.pmod(h, F.lit(FILTER_SLOTS)).alias("__slot"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({column}), 32), 64) as int))").alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__bits"))
 
 
 def _flag(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """rows with ``maybe``: false only where the value is surely not among ids."""
+    """rows with ``__maybe``: false only where the value is surely not among ids."""
     bits = F.broadcast(_in_filter(ids, column))
-    joined = rows.withColumn("slot", F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS))).join(bits, "slot", "left")
-    return joined.withColumn("maybe", F.expr(f"bits is not null and (shiftright(bits, cast(pmod(shiftright(xxhash64({column}), 32), 64) as int)) & 1L) = 1L")).drop("slot", "bits")
+    joined = rows.withColumn("__slot", F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS))).join(bits, "__slot", "left")
+    return joined.withColumn("__maybe", F.expr(f"__bits is not null and (shiftright(__bits, cast(pmod(shiftright(xxhash64({column}), 32), 64) as int)) & 1L) = 1L")).drop("__slot", "__bits")
 
 
 def _buckets(lines: DataFrame, width: int) -> DataFrame:
@@ -91,7 +92,7 @@ def line_components(docs: DataFrame, places: DataFrame, width: int = 12, percent
     buckets = stored(buckets.withColumn("several", several).filter("several").select("bucket", "line"), "buckets")
     wanted = buckets.select("line").distinct()
     chosen = places.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("line", "at.*")
-    near = _flag(lines_of(docs), wanted, "line").filter("maybe").drop("maybe").join(chosen, ["line", "doc_id", "line_no"])
+    near = _flag(lines_of(docs), wanted, "line").filter("__maybe").drop("__maybe").join(chosen, ["line", "doc_id", "line_no"])
     sets = near.dropDuplicates(["line"]).select("line", F.array_distinct(F.transform(_shingle_texts(width), lambda s: F.xxhash64(s))).alias("shingles"))
     sets = stored(sets, "sets")
     labelled = buckets.withColumn("root", F.col("line"))
@@ -127,15 +128,15 @@ def dedup_lines(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFram
     repeated = inside.select("root", "doc_id", "first").join(first.select("root", "source"), "root")
     repeated = repeated.select("doc_id", "root", F.when(F.col("doc_id") == F.col("source"), F.col("first")).otherwise(-1).alias("kept_at"))
     lines = placed.join(first.select("root"), "root", "left_semi").join(repeated, ["doc_id", "root"]).filter("line_no != kept_at")
-    gone = stored(lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "gone")
+    gone = stored(lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
     flagged = _flag(docs, gone.select("doc_id"), "doc_id")
     parts = F.split("text", "\n", -1)
-    clean = flagged.filter("not maybe").withColumn("gone", F.expr("cast(null as array<int>)"))
-    dirty = flagged.filter("maybe").join(gone, "doc_id", "left").select(*clean.columns)
+    clean = flagged.filter("not __maybe").withColumn("__gone", F.expr("cast(null as array<int>)"))
+    dirty = flagged.filter("__maybe").join(gone, "doc_id", "left").select(*clean.columns)
     out = clean.unionAll(dirty).withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    rest = F.expr("array_join(filter(split(text, '\\n', -1), (line, k) -> not array_contains(gone, k)), '\\n')")
-    return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)).drop("gone", "maybe")
+    out = out.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    rest = F.expr("array_join(filter(split(text, '\\n', -1), (line, k) -> not array_contains(__gone, k)), '\\n')")
+    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)).drop("__gone", "__maybe")
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS
 
 
 def score_documents(docs: DataFrame, model: GatedAttention | None, text_col: str = "text") -> DataFrame:
-    """All columns of the documents and ``quality_score``."""
+    """All columns of the documents and ``quality_score`` (one that is there is replaced)."""
+    docs = docs.drop("quality_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     name = "quality_score"

@@ -11,7 +11,7 @@ history is never gathered with them.
 
 Defined results: a capture without a host or a fetch time meets no entry and passes; events with a null key or
 date are ignored; of events of one key at one time the last by action's name counts (remove, block, allow); rows
-are judged one by one; other columns pass unchanged.
+are judged one by one; other columns pass unchanged (those named as the results are replaced).
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ def candidate_keys(url: Column) -> Column:
 
 def judge_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """The captures with ``n_active`` entries, the deciding ``entry`` and ``blocked``."""
+    captures = captures.drop("n_active", "entry", "blocked", "top")
     entry = intervals(events)
     asked = captures.select(F.col(url_col).alias("asked_url"), F.col(time_col).alias("asked_at")).distinct()
     keys = asked.select("asked_url", "asked_at", F.explode(candidate_keys(F.col("asked_url"))).alias("key"))

@@ -26,7 +26,7 @@ def test_verdicts_equal_brute_force(spark):
     events += [("b.org", a, DAY[3]) for a in ("allow", "block", "remove")] + [(None, "block", DAY[0]), ("a.com", "block", None)]
     urls = ["http://a.com/", "https://X.a.com/p?q#f", "http://y.x.a.com", "http://z.b.org/p/q", "https://b.org/p/q/r", "http://b.org/pq", "ftp://u@b.org:80/p", "nothing", "", None]
     rows = [(k, rnd.choice(urls), rnd.choice([*DAY, None]), "v") for k in range(300)]
-    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, key string")
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, entry string")
     got = judge_captures(captures, spark.createDataFrame(events, "key string, action string, at timestamp")).collect()
     rank = ["remove", "block", "allow"]
     for r in got:

@@ -62,9 +62,9 @@ def corpus(seed):
 def test_kept_lines_equal_brute_force(spark, monkeypatch, seed, chunk):
     monkeypatch.setattr("mosaiq.llm.line_dedup.CHUNK", chunk)
     rows = corpus(seed)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("root", F.lit("r"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("root", F.lit("r")).withColumn("slot", F.lit(2)).withColumn("n_lines", F.lit(3))
     got = dedup_lines(docs)
-    assert got.columns[:4] == ["doc_id", "text", "line", "root"]
+    assert got.columns == ["doc_id", "text", "line", "root", "slot", "n_lines", "n_dropped"]
     assert sorted(((-1 if r.doc_id is None else r.doc_id or -1), r.text) for r in got.collect()) == brute(rows)
 
 
