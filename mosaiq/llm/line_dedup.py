@@ -1,11 +1,11 @@
 """Operator 5: fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line's set is made of character shingles: at each word, the ``width`` characters from its start on, in lower
-case, without white space at the line's ends. Thirty minima of the hashed shingles (xor with fixed constants) are
+A line's set is made of character shingles: the ``width`` characters from every character on that has as many
+after it, in lower case, without white space at the line's ends; a shorter line is its own only shingle. Thirty minima of the hashed shingles (xor with fixed constants) are
 banded ten by three, which misses a pair of similarity 0.8 with a chance of 0.08 %. Lines in a band's bucket are
 compared with the bucket's centre; after two rounds with different centres, what still lies outside its bucket's
-largest component is compared with the bucket's lines in other components, which come in chunks of bounded size
-with their sets, so no candidate is dropped and no pairs are written out. Similarities are exact. Components come
+largest component is compared with the bucket's lines in other components, which come in chunks of bounded size,
+so no candidate is dropped and no pairs are written out. Lines travel as texts, which are a fraction of their sets. Similarities are exact. Components come
 from distributed union-find over the components found so far.
 
 Of each component of lines the first occurrence stays (smallest doc_id, then smallest line number).
@@ -34,9 +34,17 @@ FILTER_SLOTS = 1 << 17
 
 
 def _shingle_texts(width: int) -> Column:
-    """The ``width`` characters from each word's start."""
-    # The look-ahead takes the shingle, the rest goes on to the next word: no place is tried twice.
-    return F.regexp_extract_all("plain", F.lit(rf"(?s)(?=(.{{1,{width}}}))[^ ]+ *"), F.lit(1))
+    """The ``width`` characters from every character on, or all of a shorter line."""
+    return F.regexp_extract_all("plain", F.lit(_pattern(width)), F.lit(1))
+
+
+def _pattern(width: int) -> str:
+    # The look-ahead takes the shingle, then one character is passed over.
+    return rf"(?s)(?=(.{{{width}}}|\A.{{1,{width}}}\z))."
+
+
+def _set(text: str, width: int) -> str:
+    return f"array_distinct(transform(regexp_extract_all({text}, r'{_pattern(width)}', 1), s -> xxhash64(s)))"
 
 
 def _constants(n: int) -> list[int]:
@@ -93,23 +101,26 @@ def line_components(docs: DataFrame, places: DataFrame, width: int = 12, percent
     wanted = buckets.select("line").distinct()
     chosen = places.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("line", "at.*")
     near = _flag(lines_of(docs), wanted, "line").filter("__maybe").drop("__maybe").join(chosen, ["line", "doc_id", "line_no"])
-    sets = near.dropDuplicates(["line"]).select("line", F.array_distinct(F.transform(_shingle_texts(width), lambda s: F.xxhash64(s))).alias("shingles"))
-    sets = stored(sets, "sets")
+    texts = near.dropDuplicates(["line"]).select("line", "plain")
+    texts = stored(texts, "texts")
     labelled = buckets.withColumn("root", F.col("line"))
     for turn in range(CENTRE_ROUNDS):
         # The order differs by round, so a bucket has another centre each time.
         centre = f"first_value(struct(line, root)) over (partition by bucket order by xxhash64(line, {turn}) rows between unbounded preceding and current row)"
         pairs = labelled.withColumn("c", F.expr(centre)).filter("root != c.root").select("line", "root", F.col("c.line").alias("other"), F.col("c.root").alias("other_root")).distinct()
-        both = pairs.join(sets, "line").join(sets.select(F.col("line").alias("other"), F.col("shingles").alias("theirs")), "other")
-        labelled = _relabelled(labelled, both.filter(_similar("shingles", "theirs", percent)).select(F.col("root").alias("u"), F.col("other_root").alias("v")))
+        both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("plain").alias("theirs")), "other")
+        # Each set is made once for a pair.
+        alike = f"transform(array(struct({_set('plain', width)} as a, {_set('theirs', width)} as b)), p -> {_similar('p.a', 'p.b', percent)})[0]"
+        labelled = _relabelled(labelled, both.filter(alike).select(F.col("root").alias("u"), F.col("other_root").alias("v")))
     # The exact rest: lines outside the largest component of their bucket, against all lines of other components.
     sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n").select("bucket", "main")
-    rest = stored(labelled.join(split, "bucket").join(sets, "line"), "rest")
+    rest = stored(labelled.join(split, "bucket").join(texts, "line"), "rest")
     number = F.expr(f"(row_number() over (partition by bucket order by line) - 1) div {CHUNK}")
-    chunks = rest.withColumn("chunk", number).groupBy("bucket", "chunk").agg(F.collect_list(F.struct("line", "root", "shingles")).alias("members"))
-    asking = rest.filter("root != main").select("bucket", "root", "shingles")
-    linked = F.expr(f"array_distinct(transform(filter(members, m -> m.root != root and {_similar('shingles', 'm.shingles', percent)}), m -> m.root))")
+    chunks = rest.withColumn("chunk", number).groupBy("bucket", "chunk").agg(F.collect_list(F.struct("root", "plain")).alias("members"))
+    chunks = chunks.withColumn("members", F.expr(f"transform(members, m -> struct(m.root as root, {_set('m.plain', width)} as shingles))"))
+    asking = rest.filter("root != main").select("bucket", "root", "plain")
+    linked = F.expr(f"transform(array({_set('plain', width)}), mine -> array_distinct(transform(filter(members, m -> m.root != root and {_similar('mine', 'm.shingles', percent)}), m -> m.root)))[0]")
     links = asking.join(chunks, "bucket").withColumn("to", linked).filter("size(to) > 0").select(F.col("root").alias("u"), F.explode("to").alias("v"))
     labelled = _relabelled(labelled, links)
     return labelled.filter("line != root").select(F.col("line").alias("node"), "root").distinct()

@@ -73,3 +73,37 @@ def test_empty_table_and_native_plan(spark):
     assert line_digest(empty).collect() == []
     plan = dedup_lines(spark.createDataFrame([(1, "a\na")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def every_shingle(line):
+    plain = line.strip(" \t\n\x0b\f\r").lower()
+    return plain, frozenset(plain[k : k + W] for k in range(max(1, len(plain) - W + 1))) if plain else frozenset()
+
+
+def blankless(seed):
+    rnd = random.Random(seed)
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    cjk = [chr(0x4E00 + k) for k in range(400)] + ["\U00020000"]
+    kinds = [
+        lambda: f"https://www.{some('abcde', 9)}.com/{some('abcdef', 30)}/{some('xyz', 40)}",
+        lambda: "天地玄黄宇宙洪荒日月盈昃" + some(cjk, 90),
+        lambda: "col1\tcol2\tcol3\t" + "\t".join(some("0123456789", 6) for _ in range(15)),
+        lambda: "key=0123456789abcdef" + some("0123456789abcdef", 100),
+        lambda: f"see {some('abcdef', 60)} and {some('ghijkl', 60)}",
+        lambda: some(cjk, 5),
+    ]
+    rows = []
+    for k in range(60):
+        line = kinds[k % len(kinds)]()
+        near = line[:-4] + some("qrstu", 4)
+        rows += [(2 * k, line), (2 * k + 1, f"{near}\n{line[: len(line) // 2]}{some('qrstu', len(line) // 2)}")]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_every_character_counts(spark, monkeypatch, seed):
+    monkeypatch.setitem(globals(), "shingles", every_shingle)
+    rows = [*blankless(seed), (500, "https://www.example.com/page/one"), (501, "https://www.other.org/two")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in got) == brute(rows)
+    assert {r.n_dropped for r in got if r.doc_id >= 500} == {0} and sum(r.n_dropped for r in got) > 20
