@@ -1,8 +1,8 @@
 """Operator 5: fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line's set is made of character shingles: the ``width`` characters from every character on that has as many
-after it, in lower case, without white space at the line's ends; a shorter line is its own only shingle. Thirty minima of the hashed shingles (xor with fixed constants) are
-banded ten by three, which misses a pair of similarity 0.8 with a chance of 0.08 %. Lines in a band's bucket are
+after it, in lower case, without white space at the line's ends; a shorter line is its own only shingle. Thirty minima, each under a hash of its own (the halves of fifteen
+seeded 64-bit hashes), are banded ten by three, which misses a pair of similarity 0.8 with a chance of 0.08 %. Lines in a band's bucket are
 compared with the bucket's centre; after two rounds with different centres, what still lies outside its bucket's
 largest component is compared with the bucket's lines in other components, which come in chunks of bounded size,
 so no candidate is dropped and no pairs are written out. Lines travel as texts, which are a fraction of their sets. Similarities are exact. Components come
@@ -47,11 +47,6 @@ def _set(text: str, width: int) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, r'{_pattern(width)}', 1), s -> xxhash64(s)))"
 
 
-def _constants(n: int) -> list[int]:
-    """Fixed odd steps of the golden ratio's bits, as signed 64-bit numbers."""
-    return [((k * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64)) - (1 << 63) for k in range(1, n + 1)]
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, plain, line) of all lines with a word of documents with an id."""
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "whole"))
@@ -75,7 +70,11 @@ def _flag(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def _buckets(lines: DataFrame, width: int) -> DataFrame:
     """(bucket, line): the bands of every distinct line."""
     shingle = lines.select("line", F.explode(_shingle_texts(width)).alias("s")).select("line", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(BANDS * ROWS))]
+    # Seeded by k and mixed again, so each half orders the shingles in its own way.
+    wide = [F.xxhash64(F.lit(k), "h").alias(f"x{k}") for k in range(-(-BANDS * ROWS // 2))]
+    shingle = shingle.select("line", *wide)
+    halves = [half for k in range(len(wide)) for half in (F.col(f"x{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"x{k}", 32))]
+    minima = [F.min(half).alias(f"m{k}") for k, half in enumerate(halves[: BANDS * ROWS])]
     signed = shingle.groupBy("line").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("line", F.explode(F.array(*bands)).alias("bucket"))

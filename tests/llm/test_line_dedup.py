@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from mosaiq.llm.line_dedup import F, dedup_lines, line_digest
+from mosaiq.llm.line_dedup import F, _buckets, dedup_lines, line_digest
 
 W = 12
 
@@ -107,3 +107,15 @@ def test_every_character_counts(spark, monkeypatch, seed):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id or -1), r.text) for r in got) == brute(rows)
     assert {r.n_dropped for r in got if r.doc_id >= 500} == {0} and sum(r.n_dropped for r in got) > 20
+
+
+@pytest.mark.parametrize("union", [5, 10, 20, 40])
+def test_recall_at_the_limit_by_length(spark, union):
+    rnd, n = random.Random(union), 2000
+    pairs = [("".join(rnd.choice("abcdefghij ") for _ in range(union + W - 1)), union // 5) for _ in range(n)]
+    rows = [(k, b[:-cut]) for k, (b, cut) in enumerate(pairs)] + [(n + k, b) for k, (b, _) in enumerate(pairs)]
+    found = [set() for _ in rows]
+    for r in _buckets(spark.createDataFrame(rows, "line long, plain string"), W).collect():
+        found[r.line].add(r.bucket)
+    # 0.08 % of 2,000 are expected.
+    assert sum(not found[k] & found[n + k] for k in range(n)) <= 8
