@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANK = "array_position(array('remove', 'block', 'allow'), action)"
-#: Path segments of the longest prefix that a list may name.
-SEGMENTS = 4
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -38,13 +36,16 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def candidate_keys(url: Column) -> Column:
-    """Keys that could match: host suffixes of two labels or more (or the host), and host + path prefixes."""
+def candidate_keys(url: Column, segments: Column) -> Column:
+    """Keys that could match: host suffixes of two labels or more (or the host), and host + path prefixes.
+
+    segments: path segments of the list's longest prefix; no key has more.
+    """
     host = host_of(url)
     labels = F.split(host, r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
-    parts = F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, SEGMENTS)
+    parts = F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, segments)
     prefix = F.transform(parts, lambda _, k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k + 1), "/")))
     return F.when(host.isNotNull(), F.array_distinct(F.concat(suffix, prefix)))
 
@@ -54,7 +55,8 @@ def judge_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_i
     captures = captures.drop("n_active", "entry", "blocked", "top")
     entry = intervals(events)
     asked = captures.select(F.col(url_col).alias("asked_url"), F.col(time_col).alias("asked_at")).distinct()
-    keys = asked.select("asked_url", "asked_at", F.explode(candidate_keys(F.col("asked_url"))).alias("key"))
+    longest = events.agg(F.coalesce(F.max(F.length("key") - F.length(F.replace("key", F.lit("/"), F.lit("")))), F.lit(0)).alias("segments"))
+    keys = asked.crossJoin(F.broadcast(longest)).select("asked_url", "asked_at", "segments").withColumn("key", F.explode(candidate_keys(F.col("asked_url"), F.col("segments")))).drop("segments")
     active = keys.join(entry, "key").filter("asked_at >= valid_from and (valid_to is null or asked_at < valid_to)")
     order = F.struct(F.length("key"), F.expr(RANK), F.col("key"))
     verdict = active.groupBy("asked_url", "asked_at").agg(F.count(F.lit(1)).alias("n_active"), F.max_by("key", order).alias("entry"), F.max_by("action", order).alias("top"))

@@ -76,3 +76,12 @@ def test_totals_follow_changes_and_replays_change_nothing(spark, tmp_path):
     assert after[None, None, "ranks"] == (0, 0) and after["s", "en", "pieces"] == (2, 1) and after["t", "de", "ranks"] == before["t", "de", "ranks"]
     with pytest.raises(ValueError):
         rollup.commit("../x", changes)
+
+
+def test_prefixes_of_any_depth_are_met(spark):
+    deep = "b.org/" + "/".join("abcdefghij")
+    events = spark.createDataFrame([("b.org/a/b/c/d/e", "block", DAY[0]), (deep, "allow", DAY[0])], "key string, action string, at timestamp")
+    urls = ["http://b.org/a/b/c/d", "http://b.org/a/b/c/d/e/z?q", f"http://{deep}/k", "http://b.org/a/b/c/d/ex"]
+    captures = spark.createDataFrame([(k, u, DAY[1]) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    got = [(r.n_active, r.entry, r.blocked) for r in judge_captures(captures, events).orderBy("page_id").collect()]
+    assert got == [(0, None, False), (1, "b.org/a/b/c/d/e", True), (2, deep, False), (0, None, False)]
