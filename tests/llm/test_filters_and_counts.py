@@ -85,3 +85,13 @@ def test_prefixes_of_any_depth_are_met(spark):
     captures = spark.createDataFrame([(k, u, DAY[1]) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
     got = [(r.n_active, r.entry, r.blocked) for r in judge_captures(captures, events).orderBy("page_id").collect()]
     assert got == [(0, None, False), (1, "b.org/a/b/c/d/e", True), (2, deep, False), (0, None, False)]
+
+
+def test_registered_totals_are_those_of_the_whole_table(spark):
+    from mosaiq.llm.queries import QUERIES
+
+    place = "/root/testdata/sf0.001"
+    versions = {"piece_bpe_32k@1": ("pieces", tokenizer("piece_bpe_32k.model")), "byte_bpe_50k@1": ("ranks", tokenizer("byte_bpe_50k.tiktoken"))}
+    direct = count_tokens(spark.read.parquet(f"{place}/documents.parquet"), versions).groupBy("source", "lang", "tokenizer").agg(F.count("*"), F.sum("n_tokens"))
+    got = QUERIES["op3_token_counts"](spark, place)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, direct.collect())))
