@@ -19,6 +19,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,6 +169,7 @@ def features(root: Node, size: int) -> tuple[list[Node], np.ndarray]:
     width = len(TAG_GROUPS) + 1
     x = np.zeros((len(nodes), width + 22 + HASHED), np.float32)
     known: dict[int, tuple] = {}
+    tags_below: dict[int, Counter] = {}
     for row, node in zip(x, nodes, strict=True):
         up = known.get(id(node.parent)) if node.parent is not None else None
         depth, in_bad, in_good, bad_tags = (up[0] + 1, up[1], up[2], up[3]) if up else (0, 0, 0, 0)
@@ -176,7 +178,9 @@ def features(root: Node, size: int) -> tuple[list[Node], np.ndarray]:
         group = GROUP_OF.get(node.tag, width - 1)
         row[group] = 1
         siblings = node.parent.children if node.parent is not None else [node]
-        same = sum(s.tag == node.tag for s in siblings) if len(siblings) < 200 else len(siblings)
+        if (tags := tags_below.get(id(node.parent))) is None:
+            tags = tags_below[id(node.parent)] = Counter(s.tag for s in siblings)
+        same = tags[node.tag]
         row[width : width + 22] = (
             depth,
             len(siblings),

@@ -40,3 +40,10 @@ def test_odd_markup_and_empty_pages(spark):
     rows = {r.page_id: r for r in H.extract_pages(pages, model=MODEL).collect()}
     assert len(rows) == len(odd) and rows[0].text == rows[1].text == "" and all(r.n_chars == len(r.text) for r in rows.values())
     assert H.extract_pages(pages.limit(0), model=MODEL).collect() == []
+
+
+def test_share_of_siblings_with_the_same_tag_in_long_articles():
+    page = "<article>" + "<p>x</p>" * 299 + "<aside>y</aside></article>"
+    nodes, x = H.features(H.parse(page), len(page))
+    share = {n.tag: row[len(H.TAG_GROUPS) + 3] for n, row in zip(nodes, x, strict=True)}
+    assert abs(share["aside"] - 1 / 300) < 1e-6 and abs(share["p"] - 299 / 300) < 1e-6
