@@ -1,12 +1,16 @@
 """Operator 5: fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line's set is made of character shingles: the ``width`` characters from every character on that has as many
-after it, in lower case, without white space at the line's ends; a shorter line is its own only shingle. Thirty minima, each under a hash of its own (the halves of fifteen
-seeded 64-bit hashes), are banded ten by three, which misses a pair of similarity 0.8 with a chance of 0.08 %. Lines in a band's bucket are
-compared with the bucket's centre; after two rounds with different centres, what still lies outside its bucket's
-largest component is compared with the bucket's lines in other components, which come in chunks of bounded size,
-so no candidate is dropped and no pairs are written out. Lines travel as texts, which are a fraction of their sets. Similarities are exact. Components come
-from distributed union-find over the components found so far.
+after it, in lower case, without white space at the line's ends; a shorter line is its own only shingle. Texts are
+encoded with four bytes a character for that, so a shingle is a slice of bytes. Fourteen minima, each under a hash of
+its own (the halves of seven seeded 64-bit hashes), are banded seven by two, which misses a pair of similarity 0.8 with
+a chance of 0.08 %.
+
+Pairs of a band's bucket are verified exactly. What is looked at first is a bitmap in which each shingle of a
+set flips a bit: the bits in which two bitmaps differ are at most as many as the shingles in which the sets differ, so
+a pair with too many can't be similar, and no similar pair is lost. First each line is compared with its bucket's first
+line; then the lines of a bucket that aren't linked with the same line are joined under that bound, and
+only pairs within it are compared by their texts. Components come from distributed union-find.
 
 Of each component of lines the first occurrence stays (smallest doc_id, then smallest line number).
 
@@ -18,135 +22,146 @@ source; empty tables give empty results; all other columns pass unchanged
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import sha_of_text, stored
 from .graph import components
 
-BANDS, ROWS = 10, 3
-#: Rounds with one centre for each bucket before the exact remainder.
-CENTRE_ROUNDS = 2
-#: Lines of a bucket that travel together.
-CHUNK = 64
-#: Slots of the id filter, 64 bits each: a fixed size of at most 2 MB.
-FILTER_SLOTS = 1 << 17
+BANDS, ROWS = 7, 2
+#: 64-bit words of a set's bitmap, a power of two.
+BITMAP = 16
+#: Slots of the id filter, 64 bits each, by the number of ids: at most 16 MB.
+MOST_SLOTS = 1 << 20
+
+
+def _codes(text: str) -> str:
+    return f"encode({text}, 'UTF-32')"
+
+
+def _last(codes: str, width: int) -> str:
+    """Where the last shingle begins, counted in characters from 0."""
+    return f"greatest(0, cast(octet_length({codes}) / 4 as int) - {width})"
 
 
-def _shingle_texts(width: int) -> Column:
-    """The ``width`` characters from every character on, or all of a shorter line."""
-    return F.regexp_extract_all("plain", F.lit(_pattern(width)), F.lit(1))
+def _hash(codes: str, at: str, width: int) -> str:
+    return f"xxhash64(substring({codes}, 4 * {at} + 1, {4 * width}))"
 
 
-def _pattern(width: int) -> str:
-    # The look-ahead takes the shingle, then one character is passed over.
-    return rf"(?s)(?=(.{{{width}}}|\A.{{1,{width}}}\z))."
+def _hashes(text: str, width: int) -> str:
+    """The hashes of a text's shingles, with repeats. The outer transform holds the encoded text, which is made once."""
+    return f"transform(array({_codes(text)}), c -> transform(sequence(0, {_last('c', width)}), i -> {_hash('c', 'i', width)}))[0]"
 
 
-def _set(text: str, width: int) -> str:
-    return f"array_distinct(transform(regexp_extract_all({text}, r'{_pattern(width)}', 1), s -> xxhash64(s)))"
+def _shingles(lines: DataFrame, width: int) -> DataFrame:
+    """(line, h0, h1): the hashes of all shingles, two in a row; the last may come twice."""
+    codes = lines.select("line", F.expr(_codes("plain")).alias("c")).withColumn("last", F.expr(_last("c", width)))
+    rows = codes.select("line", "c", "last", F.explode(F.expr("sequence(0, last, 2)")).alias("i"))
+    return rows.select("line", F.expr(_hash("c", "i", width)).alias("h0"), F.expr(_hash("c", "least(i + 1, last)", width)).alias("h1"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, plain, line) of all lines with a word of documents with an id."""
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "whole"))
-    plain = F.lower(F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM whole)"))
+    ends = "substring(cast(whole as binary), {}, 1) in (X'20', X'09', X'0A', X'0B', X'0C', X'0D')"
+    # Most lines have nothing to trim, which their first and last bytes tell.
+    plain = F.lower(F.expr(rf"if({ends.format(1)} or {ends.format(-1)}, trim(BOTH ' \t\n\u000b\u000c\r' FROM whole), whole)"))
     return lines.select("doc_id", "line_no", plain.alias("plain")).filter("plain != ''").withColumn("line", F.xxhash64("plain"))
 
 
-def _in_filter(ids: DataFrame, column: str) -> DataFrame:
-    """A fixed-size table of bits for the values of a column."""
-    h = F.xxhash64(column)
-    return ids.select(F.pmod(h, F.lit(FILTER_SLOTS)).alias("__slot"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({column}), 32), 64) as int))").alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__bits"))
-
-
 def _flag(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """rows with ``__maybe``: false only where the value is surely not among ids."""
-    bits = F.broadcast(_in_filter(ids, column))
-    joined = rows.withColumn("__slot", F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS))).join(bits, "__slot", "left")
-    return joined.withColumn("__maybe", F.expr(f"__bits is not null and (shiftright(__bits, cast(pmod(shiftright(xxhash64({column}), 32), 64) as int)) & 1L) = 1L")).drop("__slot", "__bits")
+    slots = 1 << 10
+    count = ids.count()
+    while slots < MOST_SLOTS and slots * 8 < count:
+        slots *= 2
+    bit = f"cast(pmod(shiftright(xxhash64({column}), 32), 64) as int)"
+    slot = F.expr(f"pmod(xxhash64({column}), {slots})").alias("__slot")
+    bits = ids.select(slot, F.expr(f"shiftleft(1L, {bit})").alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__bits"))
+    joined = rows.withColumn("__slot", slot).join(F.broadcast(bits), "__slot", "left")
+    return joined.withColumn("__maybe", F.expr(f"__bits is not null and (shiftright(__bits, {bit}) & 1L) = 1L")).drop("__slot", "__bits")
 
 
 def _buckets(lines: DataFrame, width: int) -> DataFrame:
     """(bucket, line): the bands of every distinct line."""
-    shingle = lines.select("line", F.explode(_shingle_texts(width)).alias("s")).select("line", F.xxhash64("s").alias("h"))
+    shingle = _shingles(lines, width)
     # Seeded by k and mixed again, so each half orders the shingles in its own way.
-    wide = [F.xxhash64(F.lit(k), "h").alias(f"x{k}") for k in range(-(-BANDS * ROWS // 2))]
+    wide = [F.xxhash64(F.lit(k), f"h{j}").alias(f"x{k}_{j}") for k in range(-(-BANDS * ROWS // 2)) for j in range(2)]
     shingle = shingle.select("line", *wide)
-    halves = [half for k in range(len(wide)) for half in (F.col(f"x{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"x{k}", 32))]
+    pairs = [(F.col(f"x{k}_0"), F.col(f"x{k}_1")) for k in range(len(wide) // 2)]
+    halves = [F.least(a, b) for x, y in pairs for a, b in ((x, y), (F.shiftleft(x, 32), F.shiftleft(y, 32)))]
     minima = [F.min(half).alias(f"m{k}") for k, half in enumerate(halves[: BANDS * ROWS])]
     signed = shingle.groupBy("line").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("line", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def _similar(a: str, b: str, percent: int) -> str:
-    return f"transform(array(size(array_intersect({a}, {b}))), i -> i * 100 >= (size({a}) + size({b}) - i) * {percent})[0]"
+def _bitmaps(texts: DataFrame, width: int) -> DataFrame:
+    """(line, bits): the size of each line's set and its bitmap."""
+    sets = texts.select("line", F.explode(F.expr(f"array_distinct({_hashes('plain', width)})")).alias("h"))
+    words = [F.expr(f"bit_xor(if((h & {BITMAP - 1}) = {k}, shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)), 0L))").alias(f"b{k}") for k in range(BITMAP)]
+    sized = sets.groupBy("line").agg(F.count(F.lit(1)).alias("n"), *words)
+    return sized.select("line", F.struct("n", *(f"b{k}" for k in range(BITMAP))).alias("bits"))
+
+
+def _near(a: str, b: str, percent: int) -> str:
+    """False only for sets that can't be similar: sizes too far apart, or bitmaps that differ in too many bits."""
+    differ = " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(BITMAP))
+    # Sets of s shared and d other shingles: 100 s >= percent (s + d), where 2 s + d is the sum of their sizes.
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
-def _relabelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets' rows with the roots after links (u, v) between roots."""
-    moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    joined = buckets.join(moved, "root", "left")
-    return stored(joined.select("bucket", "line", F.coalesce("to", "root").alias("root")), "labelled")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The similar ones of pairs (u, v) of lines, by their whole sets."""
+    both = pairs.join(texts.select(F.col("line").alias("u"), F.col("plain").alias("mine")), "u")
+    both = both.join(texts.select(F.col("line").alias("v"), F.col("plain").alias("theirs")), "v")
+    sets = both.select("u", "v", F.expr(_hashes("mine", width)).alias("a"), F.expr(_hashes("theirs", width)).alias("b"))
+    return stored(sets.filter(f"100 * size(array_intersect(a, b)) >= {percent} * size(array_union(a, b))").select("u", "v"), "links")
 
 
-def line_components(docs: DataFrame, places: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
-    """(node, root) for the distinct lines that aren't their component's root; places: lines_of without texts."""
+def line_components(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
+    """(node, root) for the distinct lines that aren't their component's root."""
     buckets = _buckets(lines_of(docs), width)
     # Buckets of one line are done; a line's neighbours in its bucket are seen while rows stream by in order.
     several = F.expr("lead(line) over (partition by bucket order by line) is not null or lag(line) over (partition by bucket order by line) is not null")
     buckets = stored(buckets.withColumn("several", several).filter("several").select("bucket", "line"), "buckets")
-    wanted = buckets.select("line").distinct()
-    chosen = places.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("line", "at.*")
-    near = _flag(lines_of(docs), wanted, "line").filter("__maybe").drop("__maybe").join(chosen, ["line", "doc_id", "line_no"])
-    texts = near.dropDuplicates(["line"]).select("line", "plain")
-    texts = stored(texts, "texts")
-    labelled = buckets.withColumn("root", F.col("line"))
-    for turn in range(CENTRE_ROUNDS):
-        # The order differs by round, so a bucket has another centre each time.
-        centre = f"first_value(struct(line, root)) over (partition by bucket order by xxhash64(line, {turn}) rows between unbounded preceding and current row)"
-        pairs = labelled.withColumn("c", F.expr(centre)).filter("root != c.root").select("line", "root", F.col("c.line").alias("other"), F.col("c.root").alias("other_root")).distinct()
-        both = pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("plain").alias("theirs")), "other")
-        # Each set is made once for a pair.
-        alike = f"transform(array(struct({_set('plain', width)} as a, {_set('theirs', width)} as b)), p -> {_similar('p.a', 'p.b', percent)})[0]"
-        labelled = _relabelled(labelled, both.filter(alike).select(F.col("root").alias("u"), F.col("other_root").alias("v")))
-    # The exact rest: lines outside the largest component of their bucket, against all lines of other components.
-    sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("most < n").select("bucket", "main")
-    rest = stored(labelled.join(split, "bucket").join(texts, "line"), "rest")
-    number = F.expr(f"(row_number() over (partition by bucket order by line) - 1) div {CHUNK}")
-    chunks = rest.withColumn("chunk", number).groupBy("bucket", "chunk").agg(F.collect_list(F.struct("root", "plain")).alias("members"))
-    chunks = chunks.withColumn("members", F.expr(f"transform(members, m -> struct(m.root as root, {_set('m.plain', width)} as shingles))"))
-    asking = rest.filter("root != main").select("bucket", "root", "plain")
-    linked = F.expr(f"transform(array({_set('plain', width)}), mine -> array_distinct(transform(filter(members, m -> m.root != root and {_similar('mine', 'm.shingles', percent)}), m -> m.root)))[0]")
-    links = asking.join(chunks, "bucket").withColumn("to", linked).filter("size(to) > 0").select(F.col("root").alias("u"), F.explode("to").alias("v"))
-    labelled = _relabelled(labelled, links)
-    return labelled.filter("line != root").select(F.col("line").alias("node"), "root").distinct()
+    wanted = stored(buckets.select("line").distinct(), "wanted")
+    texts = _flag(lines_of(docs), wanted, "line").filter("__maybe").groupBy("line").agg(F.first("plain").alias("plain"))
+    texts = stored(texts.join(wanted, "line", "left_semi"), "texts")
+    labelled = stored(buckets.join(_bitmaps(texts, width), "line"), "labelled")
+    # A running first value: nothing is held for a bucket.
+    first = "first_value(struct(line, bits)) over (partition by bucket order by line rows between unbounded preceding and current row)"
+    starred = labelled.withColumn("c", F.expr(first)).filter("line != c.line").filter(_near("bits", "c.bits", percent))
+    found = _verified(starred.select(F.col("line").alias("u"), F.col("c.line").alias("v")).distinct(), texts, width, percent)
+    # Lines linked with the same first line are in one component, and need no further links to each other.
+    label = found.groupBy("u").agg(F.min("v").alias("root"))
+    placed = labelled.join(label.withColumnRenamed("u", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    # The exact rest: pairs of a bucket that aren't known to be in one component.
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    rest = stored(placed.join(mixed, "bucket", "left_semi"), "rest")
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.bucket = b.bucket and a.line < b.line and a.root != b.root and {_near('a.bits', 'b.bits', percent)}"))
+    more = _verified(pairs.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")).distinct(), texts, width, percent)
+    return components(found.unionAll(more))
 
 
 def dedup_lines(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
     """The documents with only the first line of each component; columns n_lines and n_dropped are added."""
-    places = stored(lines_of(docs).select("doc_id", "line_no", "line"), "places")
-    roots = line_components(docs.select("doc_id", "text"), places, width, percent)
-    placed = places.join(roots.withColumnRenamed("node", "line"), "line", "left")
-    placed = placed.select("doc_id", "line_no", F.coalesce("root", "line").alias("root"))
-    inside = placed.groupBy("root", "doc_id").agg(F.min("line_no").alias("first"), F.count(F.lit(1)).alias("n"))
-    inside = stored(inside, "inside")
-    first = inside.groupBy("root").agg(F.min("doc_id").alias("source"), F.sum("n").alias("n")).filter("n > 1")
-    # For each document and repeated line: where it is kept, -1 if in another document.
-    repeated = inside.select("root", "doc_id", "first").join(first.select("root", "source"), "root")
-    repeated = repeated.select("doc_id", "root", F.when(F.col("doc_id") == F.col("source"), F.col("first")).otherwise(-1).alias("kept_at"))
-    lines = placed.join(first.select("root"), "root", "left_semi").join(repeated, ["doc_id", "root"]).filter("line_no != kept_at")
-    gone = stored(lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
+    roots = line_components(docs.select("doc_id", "text"), width, percent)
+    placed = lines_of(docs).select("doc_id", "line_no", "line").join(roots.withColumnRenamed("node", "line"), "line", "left")
+    placed = stored(placed.select("doc_id", "line_no", F.coalesce("root", "line").alias("root")), "places")
+    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written first, so that the join has two plain shuffles and a hot line's rows can be split.
+    first = stored(first.select("root", F.col("at.doc_id").alias("source"), F.col("at.line_no").alias("kept_at")), "first")
+    gone = placed.join(first, "root").filter("doc_id != source or line_no != kept_at")
+    gone = stored(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
     flagged = _flag(docs, gone.select("doc_id"), "doc_id")
     parts = F.split("text", "\n", -1)
     clean = flagged.filter("not __maybe").withColumn("__gone", F.expr("cast(null as array<int>)"))
     dirty = flagged.filter("__maybe").join(gone, "doc_id", "left").select(*clean.columns)
     out = clean.unionAll(dirty).withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    rest = F.expr("array_join(filter(split(text, '\\n', -1), (line, k) -> not array_contains(__gone, k)), '\\n')")
-    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)).drop("__gone", "__maybe")
+    left = r"transform(array(split(text, '\n', -1)), p -> array_join(transform(array_except(sequence(0, size(p) - 1), __gone), k -> p[k]), '\n'))[0]"
+    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr(left))).drop("__gone", "__maybe")
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
