@@ -82,6 +82,13 @@ class FMIndex:
         self.size = n
         self.parent_of, self.parent_start = self._classes(threshold - 1)
         self.match_of, self.match_start = self._classes(threshold)
+        del self.ranks
+
+    def smallest(self, values: np.ndarray) -> np.ndarray:
+        """For each class of equal windows, the smallest of its places' values; the suffixes aren't needed after that."""
+        out = np.minimum.reduceat(values[self.suffixes], self.match_start[:-1])
+        del self.suffixes
+        return out
 
     def _classes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Runs of sorted suffixes that share their first ``depth`` symbols: the run of each, and the runs' starts."""

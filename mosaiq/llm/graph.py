@@ -10,20 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import Steps
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """(node, root) for every node of the edges (u, v) that isn't its component's smallest; ids are longs.
 
+    The result is one of the steps; those of earlier rounds are dropped.
     Loops, nulls and repeated edges are ignored; an edge table without rows gives no rows.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    edges = stored(edges, "edges")
+    edges = steps.stored(edges, "edges")
     state = _state(edges)
     while state[0]:
         # Large star: larger neighbours of a node move to its smallest neighbour.
@@ -34,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = large.join(least, "u")
         small = pair.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
+        before, edges = edges, steps.stored(small.distinct(), "edges")
+        steps.drop(before)
         now = _state(edges)
         if now == state:
             break

@@ -4,7 +4,7 @@ Sets fall into bands of sizes. Within a band, a Jaccard similarity of ``percent`
 differing shingles by k; the domain of shingles is dealt into ``k // 2 + 1`` parts of three cells each, and
 for each part the three choices of two cells are signed. Of two sets that differ in at most k shingles, some
 part holds at most one difference, so one choice of two cells is equal in both: every link shares a
-signature. A set also signs in the next band if a linked set could be there.
+signature. A set also signs in the further bands where a linked set could be.
 
 Documents with equal sets are one node. Nodes that share signatures form candidate groups (a group is found
 from the edges between a signature's smallest node and the others, never from all its pairs), and inside a
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import Steps, flagged, stored
 from .graph import components
 from .words import SEQ_B, Words, grams, inside_document, lower_ascii, mix, slices, space_words, spread, text_buffers, words_of
 
@@ -83,7 +83,7 @@ def signatures(run: np.ndarray, cut: np.ndarray, percent: int) -> tuple[np.ndarr
     own = np.searchsorted(first, size, side="right") - 1
     partner = np.searchsorted(first, size * 100 // percent, side="right") - 1
     out, owner = [], []
-    for step in (0, 1):
+    for step in range(int((partner - own).max(initial=0)) + 1):
         band = own + step
         last = first[np.minimum(band + 1, len(first) - 1)] - 1
         k = 2 * last * (100 - percent) // (100 + percent)
@@ -117,20 +117,31 @@ def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndar
         yield lo, hi, *shingle_sets(words_of(data, offsets, lo, hi, space_words(), lower_ascii()), shingle)
 
 
-def _sign(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, content, n_shingles, set_a, set_b) of rows (doc_id, content, text): the size and the name of each set."""
     id_col, id_type = docs.dtypes[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for lo, hi, values, cut in _sets_of(batch.column(2), shingle):
+                names = (pa.array(_sums(mix(values ^ s), cut).view(np.int64)) for s in (_SALTS[6], _SALTS[7]))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array(np.diff(cut), pa.int64()), *names], ["doc_id", "content", "n_shingles", "set_a", "set_b"])
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, content long, n_shingles long, set_a long, set_b long")
+
+
+def _signed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, signature) of rows (doc_id, text) with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
             for lo, hi, values, cut in _sets_of(batch.column(1), shingle):
                 signed, owner = signatures(values, cut, percent)
                 order = np.argsort(owner, kind="stable")
-                start = np.searchsorted(owner[order], np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(signed[order].view(np.int64)))
-                keys = (pa.array(_sums(mix(values ^ s), cut).view(np.int64)) for s in (_SALTS[6], _SALTS[7]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut), pa.int64()), *keys, lists], ["doc_id", "n_shingles", "set_a", "set_b", "signatures"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][owner[order]]), pa.array(signed[order].view(np.int64))], ["node", "signature"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, set_a long, set_b long, signatures array<long>")
+    return docs.mapInArrow(run, "node long, signature long")
 
 
 def cluster(values: np.ndarray, cut: np.ndarray, percent: int) -> np.ndarray:
@@ -211,14 +222,14 @@ def _packed_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "group long, doc_id long, packed binary")
 
 
-def _large_groups(docs: DataFrame, shingle: int, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
+def _large_groups(docs: DataFrame, steps: Steps, shingle: int, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
     """(doc_id, root) for groups too large for one task, by blocks of queries against all their rows."""
     spark = docs.sparkSession
-    rows = stored(_packed_sets(docs.repartition("doc_id"), shingle).withColumn("shuffled", F.xxhash64("doc_id", F.lit(7))), "large")
-    links = stored(spark.createDataFrame([], "u long, v long"), "links")
+    rows = steps.stored(_packed_sets(docs.repartition("doc_id"), shingle).withColumn("shuffled", F.xxhash64("doc_id", F.lit(7))), "large")
+    links = steps.stored(spark.createDataFrame([], "u long, v long"), "links")
     asked = spark.createDataFrame([], "doc_id long")
     while True:
-        root = components(links)
+        root = components(links, steps)
         labelled = rows.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         count = labelled.groupBy("group", "root").count()
         largest = count.groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
@@ -232,7 +243,7 @@ def _large_groups(docs: DataFrame, shingle: int, percent: int, block_rows: int,
             held += len(r.packed) // 8
         if not block:
             return labelled.select("doc_id", "root")
-        asked = stored(asked.unionAll(spark.createDataFrame([(r.doc_id,) for r in block], "doc_id long")), "asked")
+        asked = steps.stored(asked.unionAll(spark.createDataFrame([(r.doc_id,) for r in block], "doc_id long")), "asked")
         sent = spark.sparkContext.broadcast([(r.group, r.doc_id, r.root, bytes(r.packed)) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -255,44 +266,64 @@ def _large_groups(docs: DataFrame, shingle: int, percent: int, block_rows: int,
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         found = rows.select("group", "doc_id", "packed").mapInArrow(run, "u long, v long")
-        links = stored(links.unionAll(found), "links")
+        links = steps.stored(links.unionAll(found), "links")
 
 
-def jaccard_components(
-    docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(_sign(texts, shingle, percent), "signed")
-    node = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("signatures").alias("signatures"), F.first("n_shingles").alias("n"))
-    node = stored(node, "nodes")
-    rows = node.filter("node is not null").select("node", F.explode("signatures").alias("signature"))
+def _placed(texts: DataFrame, steps: Steps, shingle: int, percent: int, group_shingles: int, block_rows: int) -> DataFrame:
+    """(doc_id, content, n_shingles, component_id) of rows (doc_id, content, text)."""
+    keys = steps.stored(_keys(texts, shingle), "keys")
+    node = keys.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
+    node = steps.stored(node, "nodes")
+    rows = _signed(texts.filter("doc_id is not null").select("doc_id", "text"), shingle, percent)
     # A running minimum in a signature's order is its first node; nothing is buffered for a group.
     first = F.expr("first_value(node) over (partition by signature order by node rows between unbounded preceding and current row)")
-    edges = rows.select("node", first.alias("first")).filter("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    edges = rows.select("node", first.alias("first")).filter("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    grouped = components(edges, steps)
+    grouped = grouped.unionAll(grouped.select(F.col("root").alias("node"), "root").distinct())
+    # Of equal sets only one is compared.
+    grouped = steps.stored(grouped.join(node.select("node", "n"), "node"), "groups")
+    weight = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("root", F.col("n").alias("weight"))
+    member = steps.stored(grouped.join(weight, "root").select(F.col("root").alias("group"), F.col("node").alias("doc_id"), (F.col("weight") > group_shingles).alias("large")).distinct(), "member")
+    near = flagged(texts.filter("doc_id is not null").select("doc_id", "text"), member, "doc_id").filter("__maybe").drop("__maybe")
+    found = steps.stored(member.join(near, "doc_id").select("group", "doc_id", "text", "large"), "texts")
+    roots = _groups(found.filter("not large").select("group", "doc_id", "text"), shingle, percent)
+    if not member.filter("large").isEmpty():
+        roots = roots.unionAll(_large_groups(found.filter("large").select("group", "doc_id", "text"), steps, shingle, percent, block_rows, group_shingles))
+    placed = keys.join(node.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left")
     # A document id that stands for several sets joins them, as rows with one id are one document.
-    grouped = components(edges)
-    grouped = stored(grouped.unionAll(grouped.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    weight = node.join(grouped, "node").groupBy("root").agg(F.sum("n").alias("n"))
-    member = grouped.join(weight, "root").select(F.col("root").alias("group"), F.col("node").alias("doc_id"), (F.col("n") > group_shingles).alias("large"))
-    found = stored(member.join(texts, "doc_id").select("group", "doc_id", "text", "large"), "members")
-    small = _groups(found.filter("not large").select("group", "doc_id", "text"), shingle, percent)
-    roots = small
-    if not found.filter("large").isEmpty():
-        roots = roots.unionAll(_large_groups(found.filter("large").select("group", "doc_id", "text"), shingle, percent, block_rows, group_shingles))
-    placed = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(node.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left")
-    several = signed.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z")).filter("a < z").select("doc_id")
+    several = keys.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z")).filter("a < z").select("doc_id")
     same = placed.filter("node != doc_id").join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = components(roots.select(F.col("doc_id").alias("u"), F.col("root").alias("v")).unionAll(same))
+    roots = components(roots.select(F.col("doc_id").alias("u"), F.col("root").alias("v")).unionAll(same), steps)
     placed = placed.join(roots, "node", "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node"))
-    return placed.select("doc_id", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id"))
+    return stored(placed.select("doc_id", "content", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id")), "placed")
+
+
+def jaccard_components(
+    docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
+    with Steps(docs.sparkSession) as steps:
+        placed = _placed(texts, steps, shingle, percent, group_shingles, block_rows)
+    return placed.select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Documents that are the smallest of their component (one row of them); all columns stay.
+    """Documents that are the smallest of their component; all columns stay.
 
-    Documents without words are linked with nothing, and rows without an id can't be named: all of them stay.
+    Documents without words are linked with nothing, and rows without an id can't be named: all of them stay. Of rows
+    that share an id the one with the smallest text stays (then by the other columns, as JSON); null texts come first.
     """
-    kept = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    with Steps(docs.sparkSession) as steps:
+        placed = _placed(texts, steps, shingle, percent, GROUP_SHINGLES, BLOCK_ROWS)
+    gone = placed.filter("doc_id != component_id").select("doc_id").distinct()
+    repeated = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    # Few ids are either, so that most texts aren't shuffled.
+    mine = flagged(docs, gone.unionAll(repeated), "doc_id")
+    open_rows = mine.filter("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti")
+    order = [F.col("text"), F.to_json(F.struct(*docs.columns))]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    one = open_rows.withColumn("__row", first).filter("__row = 1").select(*docs.columns)
+    return mine.filter("not __maybe").select(*docs.columns).unionAll(one)

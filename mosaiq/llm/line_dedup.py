@@ -9,8 +9,8 @@ a chance of 0.08 %.
 Pairs of a band's bucket are verified exactly. What is looked at first is a bitmap in which each shingle of a
 set flips a bit: the bits in which two bitmaps differ are at most as many as the shingles in which the sets differ, so
 a pair with too many can't be similar, and no similar pair is lost. First each line is compared with its bucket's first
-line; then the lines of a bucket that aren't linked with the same line are joined under that bound, and
-only pairs within it are compared by their texts. Components come from distributed union-find.
+line and the links are united; then the lines of a bucket that lie in different components are joined under that
+bound, and only pairs within it are compared by their texts. Components come from distributed union-find.
 
 Of each component of lines the first occurrence stays (smallest doc_id, then smallest line number).
 
@@ -22,17 +22,19 @@ source; empty tables give empty results; all other columns pass unchanged
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import sha_of_text, stored
+from .frames import Steps, flagged, sha_of_text, stored
 from .graph import components
 
 BANDS, ROWS = 7, 2
+#: One for each two minima.
+SEEDS = random.Random(5).sample(range(1 << 62), -(-BANDS * ROWS // 2))
 #: 64-bit words of a set's bitmap, a power of two.
 BITMAP = 16
-#: Slots of the id filter, 64 bits each, by the number of ids: at most 16 MB.
-MOST_SLOTS = 1 << 20
 
 
 def _codes(text: str) -> str:
@@ -69,24 +71,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", plain.alias("plain")).filter("plain != ''").withColumn("line", F.xxhash64("plain"))
 
 
-def _flag(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """rows with ``__maybe``: false only where the value is surely not among ids."""
-    slots = 1 << 10
-    count = ids.count()
-    while slots < MOST_SLOTS and slots * 8 < count:
-        slots *= 2
-    bit = f"cast(pmod(shiftright(xxhash64({column}), 32), 64) as int)"
-    slot = F.expr(f"pmod(xxhash64({column}), {slots})").alias("__slot")
-    bits = ids.select(slot, F.expr(f"shiftleft(1L, {bit})").alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__bits"))
-    joined = rows.withColumn("__slot", slot).join(F.broadcast(bits), "__slot", "left")
-    return joined.withColumn("__maybe", F.expr(f"__bits is not null and (shiftright(__bits, {bit}) & 1L) = 1L")).drop("__slot", "__bits")
-
-
 def _buckets(lines: DataFrame, width: int) -> DataFrame:
     """(bucket, line): the bands of every distinct line."""
     shingle = _shingles(lines, width)
-    # Seeded by k and mixed again, so each half orders the shingles in its own way.
-    wide = [F.xxhash64(F.lit(k), f"h{j}").alias(f"x{k}_{j}") for k in range(-(-BANDS * ROWS // 2)) for j in range(2)]
+    # Turned by a seed of their own and mixed again, so each half orders the shingles in its own way.
+    wide = [F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(SEEDS[k]))).alias(f"x{k}_{j}") for k in range(-(-BANDS * ROWS // 2)) for j in range(2)]
     shingle = shingle.select("line", *wide)
     pairs = [(F.col(f"x{k}_0"), F.col(f"x{k}_1")) for k in range(len(wide) // 2)]
     halves = [F.least(a, b) for x, y in pairs for a, b in ((x, y), (F.shiftleft(x, 32), F.shiftleft(y, 32)))]
@@ -111,53 +100,58 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, steps: Steps, width: int, percent: int) -> DataFrame:
     """The similar ones of pairs (u, v) of lines, by their whole sets."""
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("plain").alias("mine")), "u")
     both = both.join(texts.select(F.col("line").alias("v"), F.col("plain").alias("theirs")), "v")
     sets = both.select("u", "v", F.expr(_hashes("mine", width)).alias("a"), F.expr(_hashes("theirs", width)).alias("b"))
-    return stored(sets.filter(f"100 * size(array_intersect(a, b)) >= {percent} * size(array_union(a, b))").select("u", "v"), "links")
+    return steps.stored(sets.filter(f"100 * size(array_intersect(a, b)) >= {percent} * size(array_union(a, b))").select("u", "v"), "links")
 
 
-def line_components(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
+def line_components(docs: DataFrame, steps: Steps, width: int = 12, percent: int = 80) -> DataFrame:
     """(node, root) for the distinct lines that aren't their component's root."""
     buckets = _buckets(lines_of(docs), width)
     # Buckets of one line are done; a line's neighbours in its bucket are seen while rows stream by in order.
     several = F.expr("lead(line) over (partition by bucket order by line) is not null or lag(line) over (partition by bucket order by line) is not null")
-    buckets = stored(buckets.withColumn("several", several).filter("several").select("bucket", "line"), "buckets")
-    wanted = stored(buckets.select("line").distinct(), "wanted")
-    texts = _flag(lines_of(docs), wanted, "line").filter("__maybe").groupBy("line").agg(F.first("plain").alias("plain"))
-    texts = stored(texts.join(wanted, "line", "left_semi"), "texts")
-    labelled = stored(buckets.join(_bitmaps(texts, width), "line"), "labelled")
+    buckets = steps.stored(buckets.withColumn("several", several).filter("several").select("bucket", "line"), "buckets")
+    wanted = steps.stored(buckets.select("line").distinct(), "wanted")
+    texts = flagged(lines_of(docs), wanted, "line").filter("__maybe").groupBy("line").agg(F.first("plain").alias("plain"))
+    texts = steps.stored(texts.join(wanted, "line", "left_semi"), "texts")
+    labelled = steps.stored(buckets.join(_bitmaps(texts, width), "line"), "labelled")
     # A running first value: nothing is held for a bucket.
     first = "first_value(struct(line, bits)) over (partition by bucket order by line rows between unbounded preceding and current row)"
     starred = labelled.withColumn("c", F.expr(first)).filter("line != c.line").filter(_near("bits", "c.bits", percent))
-    found = _verified(starred.select(F.col("line").alias("u"), F.col("c.line").alias("v")).distinct(), texts, width, percent)
-    # Lines linked with the same first line are in one component, and need no further links to each other.
-    label = found.groupBy("u").agg(F.min("v").alias("root"))
-    placed = labelled.join(label.withColumnRenamed("u", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    # The exact rest: pairs of a bucket that aren't known to be in one component.
+    found = _verified(starred.select(F.col("line").alias("u"), F.col("c.line").alias("v")).distinct(), texts, steps, width, percent)
+    roots = components(found, steps)
+    placed = labelled.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    # The exact rest: pairs of a bucket in different components.
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    rest = stored(placed.join(mixed, "bucket", "left_semi"), "rest")
+    rest = steps.stored(placed.join(mixed, "bucket", "left_semi"), "rest")
     pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.bucket = b.bucket and a.line < b.line and a.root != b.root and {_near('a.bits', 'b.bits', percent)}"))
-    more = _verified(pairs.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")).distinct(), texts, width, percent)
-    return components(found.unionAll(more))
+    more = _verified(pairs.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")).distinct(), texts, steps, width, percent)
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more), steps)
 
 
-def dedup_lines(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
-    """The documents with only the first line of each component; columns n_lines and n_dropped are added."""
-    roots = line_components(docs.select("doc_id", "text"), width, percent)
+def _dropped(docs: DataFrame, steps: Steps, width: int, percent: int) -> DataFrame:
+    """(doc_id, __gone): the numbers of the lines that go."""
+    roots = line_components(docs, steps, width, percent)
     placed = lines_of(docs).select("doc_id", "line_no", "line").join(roots.withColumnRenamed("node", "line"), "line", "left")
-    placed = stored(placed.select("doc_id", "line_no", F.coalesce("root", "line").alias("root")), "places")
+    placed = steps.stored(placed.select("doc_id", "line_no", F.coalesce("root", "line").alias("root")), "places")
     first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Written first, so that the join has two plain shuffles and a hot line's rows can be split.
-    first = stored(first.select("root", F.col("at.doc_id").alias("source"), F.col("at.line_no").alias("kept_at")), "first")
+    first = steps.stored(first.select("root", F.col("at.doc_id").alias("source"), F.col("at.line_no").alias("kept_at")), "first")
     gone = placed.join(first, "root").filter("doc_id != source or line_no != kept_at")
-    gone = stored(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
-    flagged = _flag(docs, gone.select("doc_id"), "doc_id")
+    return stored(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
+
+
+def dedup_lines(docs: DataFrame, width: int = 12, percent: int = 80) -> DataFrame:
+    """The documents with only the first line of each component; columns n_lines and n_dropped are added."""
+    with Steps(docs.sparkSession) as steps:
+        gone = _dropped(docs.select("doc_id", "text"), steps, width, percent)
+    mine = flagged(docs, gone.select("doc_id"), "doc_id")
     parts = F.split("text", "\n", -1)
-    clean = flagged.filter("not __maybe").withColumn("__gone", F.expr("cast(null as array<int>)"))
-    dirty = flagged.filter("__maybe").join(gone, "doc_id", "left").select(*clean.columns)
+    clean = mine.filter("not __maybe").withColumn("__gone", F.expr("cast(null as array<int>)"))
+    dirty = mine.filter("__maybe").join(gone, "doc_id", "left").select(*clean.columns)
     out = clean.unionAll(dirty).withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     left = r"transform(array(split(text, '\n', -1)), p -> array_join(transform(array_except(sequence(0, size(p) - 1), __gone), k -> p[k]), '\n'))[0]"

@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .frames import stored
+from .frames import Steps, flagged, stored
 from .words import Words, grams, inside_document, merged_by_document, run_hashes, slices, sliding_last_argmin, space_words, spread, text_buffers, words_of
 
 #: Words of an index block, about; a block holds whole anchors.
 BLOCK_WORDS = 1 << 18
 SEGMENTS_OF_ANCHOR = 20_000
-#: Bits of the filter that spares documents without repeats a shuffle; a fixed size, at most 2 MB.
-FILTER_LONGS = 1 << 17
 
 
 def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -117,7 +115,7 @@ def smallest_documents(texts: list[np.ndarray], docs: np.ndarray, window: int) -
     owner = np.repeat(docs, size + 1)
     index = FMIndex(joined, window)
     # A class of equal windows lies together among the sorted suffixes.
-    least = np.minimum.reduceat(owner[index.suffixes], index.match_start[:-1])
+    least = index.smallest(owner)
     text, offset, match = (np.concatenate(c) for c in zip(*index.matches(joined, begin, end), strict=True))
     order = np.lexsort((offset, text))
     text, offset, found = text[order], offset[order], least[match[order]]
@@ -183,46 +181,38 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, removed array<struct<begin:int,end:int>>, kept string")
 
 
-def _filter(ids: DataFrame) -> DataFrame:
-    """A table of at most FILTER_LONGS rows: bits of hashes of ids."""
-    h = F.xxhash64("doc_id")
-    return ids.select(F.pmod(h, F.lit(FILTER_LONGS)).alias("slot"), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id), 32), 64) as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-
-
-def _flagged(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """texts with ``maybe``: false only where the id is surely not among ids."""
-    bits = F.broadcast(_filter(ids))
-    joined = texts.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_LONGS))).join(bits, "slot", "left")
-    maybe = F.expr("bits is not null and (shiftright(bits, cast(pmod(shiftright(xxhash64(doc_id), 32), 64) as int)) & 1L) = 1L")
-    return joined.withColumn("maybe", maybe).drop("slot", "bits")
-
-
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, segments_of_anchor: int = SEGMENTS_OF_ANCHOR) -> DataFrame:
-    """Per document row: doc_id, n_words, n_removed, the ranges of words removed, and the kept words joined by a blank."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named = texts.filter("doc_id is not null")
-    seen = stored(_occurrences(named, window, gram), "occurrences")
+def _gone(named: DataFrame, steps: Steps, window: int, gram: int, block_words: int, segments_of_anchor: int) -> DataFrame:
+    """(doc_id, row, starts, stops): the runs of windows that go, of each text that has any."""
+    seen = steps.stored(_occurrences(named, window, gram), "occurrences")
     # Written first, so that the join below has two plain shuffles and a hot anchor's rows can be split.
-    shared = stored(seen.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("anchor"), "anchors")
-    seen = stored(seen.join(shared, "anchor"), "shared")
+    shared = steps.stored(seen.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("anchor"), "anchors")
+    every, seen = seen, steps.stored(seen.join(shared, "anchor"), "shared")
+    steps.drop(every)
     distinct = seen.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id"))
     crowd = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > segments_of_anchor).select("anchor", F.lit(True).alias("cut_up"))
     wanted = distinct.join(crowd, "anchor", "left").groupBy("doc_id").agg(F.collect_set("content").alias("wanted"), F.collect_set(F.when(F.col("cut_up"), F.col("content"))).alias("cut_up"))
-    wanted = stored(wanted, "wanted")
-    maybe = _flagged(named, wanted).filter("maybe").drop("maybe")
+    wanted = steps.stored(wanted, "wanted")
+    maybe = flagged(named, wanted, "doc_id").filter("__maybe").drop("__maybe")
     sent = _emitted(maybe.join(wanted, "doc_id").select("doc_id", "text", "wanted", "cut_up"), window, gram)
-    found = stored(_searched(sent, window, block_words), "found")
+    found = steps.stored(_searched(sent, window, block_words), "found")
     hit = seen.join(found, ["anchor", "content"]).filter("least < doc_id")
     # What lies in a document: its own segments' intervals, as many as it has words at most.
-    gone = hit.select("doc_id", "row", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")).groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    gone = stored(gone, "gone")
-    flagged = _flagged(texts, gone.select("doc_id"))
+    runs = hit.select("doc_id", "row", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
+    return stored(runs.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "gone")
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, segments_of_anchor: int = SEGMENTS_OF_ANCHOR) -> DataFrame:
+    """Per document row: doc_id, n_words, n_removed, the ranges of words removed, and the kept words joined by a blank."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with Steps(docs.sparkSession) as steps:
+        gone = _gone(texts.filter("doc_id is not null"), steps, window, gram, block_words, segments_of_anchor)
+    mine = flagged(texts, gone.select("doc_id"), "doc_id")
     several = gone.groupBy("doc_id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias("rows"))
     lists = "cast(null as array<bigint>)"
-    clean = flagged.filter("not maybe").select("doc_id", "text", F.expr(lists).alias("starts"), F.expr(lists).alias("stops"))
-    keyed = _keyed(flagged.filter("maybe").select("doc_id", "text")).join(several, "doc_id", "left")
-    mine = F.expr("get(filter(rows, r -> r.row = row), 0)")
-    rest = keyed.withColumn("mine", mine).select("doc_id", "text", "mine.starts", "mine.stops")
+    clean = mine.filter("not __maybe").select("doc_id", "text", F.expr(lists).alias("starts"), F.expr(lists).alias("stops"))
+    keyed = _keyed(mine.filter("__maybe").select("doc_id", "text")).join(several, "doc_id", "left")
+    own = F.expr("get(filter(rows, r -> r.row = row), 0)")
+    rest = keyed.withColumn("mine", own).select("doc_id", "text", "mine.starts", "mine.stops")
     return _kept(clean.unionAll(rest), window)
 
 
