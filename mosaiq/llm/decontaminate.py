@@ -8,23 +8,27 @@ covers all windows that hold the fingerprint. Items shorter than ``n`` words are
 found by the hashes of all runs of their own length (winnowing with a window of one).
 
 The benchmark's index is sent to all executors only while its texts have at most ``MAX_BLOCK_BYTES``; a
-larger benchmark is dealt into blocks of that size by hash, the documents are matched against each block,
-and the matches of a document are united afterwards.
+larger benchmark is dealt into blocks of that size by hash, the documents are matched against one block after
+another (an index is freed before the next is sent), and the matches of a document are united afterwards.
 
-Defined results: a null text or item has no words; an item without words occurs nowhere; a document row
+Defined results: a null text or item has no words; an item without words occurs nowhere; an item without an id
+hits words but can't be listed; a document row
 gives one result row, also when it is repeated; other columns are ignored; without items nothing is hit.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import stored
 from .words import Words, alnum_words, grams, inside_document, lower_ascii, merged_by_document, slices, sliding_last_argmin, spread, text_buffers, words_of
 
 #: Bytes of benchmark text whose index is broadcast at once (the index takes about four times as much).
@@ -146,15 +150,18 @@ def _match(batch: pa.RecordBatch, index: Index, id_col: str) -> Iterator[pa.Reco
                 pa.array(words.counts, pa.int64()),
                 pa.array(np.bincount(doc, end - begin, hi - lo).astype(np.int64), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), hits),
-                pa.array([sorted(set(x)) for x in named], pa.list_(pa.string())),
+                pa.array([sorted({i for i in x if i is not None}) for x in named], pa.list_(pa.string())),
             ],
             [id_col, *batch.schema.names[2:], "n_words", "n_hit", "hits", "items"],
         )
 
 
-def _pass(docs: DataFrame, index: Index, extra: str = "") -> DataFrame:
+def _sent(docs: DataFrame, items: DataFrame, n: int, k: int) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], n, k))
+
+
+def _pass(docs: DataFrame, sent: Broadcast, extra: str = "") -> DataFrame:
     id_col, id_type = docs.dtypes[0]
-    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,40 +170,66 @@ def _pass(docs: DataFrame, index: Index, extra: str = "") -> DataFrame:
     return docs.mapInArrow(run, f"`{id_col}` {id_type}, {extra}{RESULT}")
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, max_block_bytes: int) -> list[DataFrame]:
+    """The items, dealt into blocks by hash so that each has about ``max_block_bytes`` of text at most."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // max_block_bytes))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    return [items.filter(part == b) for b in range(blocks)] if blocks > 1 else [items]
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES
 ) -> DataFrame:
     """Per document row: its words, those hit, the ranges of words hit, and the items that occur (sorted)."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // max_block_bytes))
     texts = docs.select(id_col, text_col)
-    if blocks == 1:
-        return _pass(texts, Index([tuple(r) for r in items.collect()], n, k))
+    blocks = _blocks(benchmark, item_id, item_text, max_block_bytes)
+    if len(blocks) == 1:
+        return _pass(texts, _sent(docs, blocks[0], n, k))
+    # One block after another: only one index is held at a time, and only rows with hits are kept.
     key = F.struct(F.xxhash64(text_col), F.sha2(F.col(text_col), 256)).cast("string")
     texts = texts.withColumn("key_of_text", F.coalesce(key, F.lit("")))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-    passes = [_pass(texts, Index([tuple(r) for r in items.filter(part == b).collect()], n, k), "key_of_text string, ") for b in range(blocks)]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionAll(more)
-    found = found.groupBy(id_col, "key_of_text").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("all_hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
-    )
+    parts = []
+    for items in blocks:
+        sent = _sent(docs, items, n, k)
+        parts.append(stored(_pass(texts, sent, "key_of_text string, ").filter("n_hit > 0").select(F.col(id_col).alias("id"), "key_of_text", "hits", "items").distinct(), "hits"))
+        sent.destroy()
+    found = functools.reduce(DataFrame.unionAll, parts)
+    found = found.groupBy("id", "key_of_text").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("all_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     united = F.expr(
         """aggregate(all_hits, cast(array() as array<struct<begin:int,end:int>>), (s, h) ->
         if(size(s) > 0 and h.begin <= element_at(s, -1).end,
            concat(slice(s, 1, size(s) - 1), array(named_struct('begin', element_at(s, -1).begin, 'end', greatest(element_at(s, -1).end, h.end)))),
            concat(s, array(h))))"""
     )
-    found = found.withColumn("hits", united).withColumn("n_hit", F.expr("aggregate(hits, 0L, (s, h) -> s + h.end - h.begin)"))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(id_col, "n_words", "n_hit", "hits", "items")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5) -> DataFrame:
-    """Documents without any benchmark window; all columns stay. A row without an id can't be named, and stays."""
-    hit = find_contamination(docs, benchmark, n, k).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    found = found.select(F.col("id").alias("found_id"), F.col("key_of_text").alias("found_key"), united.alias("found_hits"), F.col("items").alias("found_items"))
+    # Each row's own number of words: a pass without items.
+    rows = _pass(texts, _sent(docs, blocks[0].limit(0), n, k), "key_of_text string, ")
+    rows = rows.join(found, F.col(id_col).eqNullSafe(F.col("found_id")) & (F.col("key_of_text") == F.col("found_key")), "left")
+    rows = rows.withColumn("hits", F.coalesce("found_hits", "hits")).withColumn("items", F.coalesce("found_items", "items"))
+    return rows.withColumn("n_hit", F.expr("aggregate(hits, 0L, (s, h) -> s + h.end - h.begin)")).select(id_col, "n_words", "n_hit", "hits", "items")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """Rows whose text has no benchmark window; all columns stay. A row is judged by its own text, whatever its id."""
+    at, schema = docs.columns.index("text"), docs.schema
+    blocks = _blocks(benchmark, "item_id", "text", max_block_bytes)
+    for number, items in enumerate(blocks):
+        sent = _sent(docs, items, n, k)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = text_buffers(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                for lo, hi in slices(offsets):
+                    words = words_of(data, offsets, lo, hi, alnum_words(), lower_ascii())
+                    for begin, _, _ in sent.value.hits(words) if len(words.doc) else ():
+                        clean[lo + words.doc[begin]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+        if number + 1 < len(blocks):
+            docs = stored(docs, "clean")
+            sent.destroy()
+    return docs
