@@ -19,8 +19,10 @@ SLICE_BYTES = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Runs of words are polynomials modulo this prime; modulo a power of two, some texts would meet by construction.
+_PRIME = (1 << 61) - 1
+_BASE = 0x1851F42D4C957F2D
+_BASE_INV = pow(_BASE, -1, _PRIME)
 SEQ_A = np.uint64(0xD6E8FEB86659FD93)
 SEQ_B = np.uint64(0xA0761D6478BD642F)
 
@@ -53,10 +55,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime 2^61 - 1, by halves of 31 and 30 bits."""
+    low, half, prime = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(_PRIME)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1  # below 2^62
+    # 2^62 is 2 and 2^61 is 1 modulo the prime.
+    out = a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0
+    out = (out & prime) + (out >> np.uint64(61))
+    return np.where(out >= prime, out - prime, out)
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    np.multiply.accumulate(out, out=out)
+    out = np.ones(n + 1, np.uint64)
+    done = 1
+    while done <= n:
+        more = min(done, n + 1 - done)
+        out[done : done + more] = _times(out[:more], np.full(more, pow(base, done, _PRIME), np.uint64))
+        done += more
     return out
 
 
@@ -66,12 +82,48 @@ _POW: dict[int, np.ndarray] = {}
 def _cached_powers(n: int, base: int) -> np.ndarray:
     have = _POW.get(base)
     if have is None or len(have) < n + 1:
-        have = _powers(max(n, 2 * SLICE_BYTES), base)
+        have = _powers(max(n, SLICE_BYTES // 2), base)
         if n <= 4 * SLICE_BYTES:
             _POW[base] = have
     return have
 
 
+def _running_sums(values: np.ndarray) -> np.ndarray:
+    """Sums modulo the prime of the values before each place; values below the prime."""
+    prime, half = np.uint64(_PRIME), np.uint64(31)
+    low, high = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values & np.uint64((1 << 31) - 1), out=low[1:])
+    np.cumsum(values >> half, out=high[1:])
+    high %= prime
+    return (_times(high, np.full(len(high), 1 << 31, np.uint64)) + low % prime) % prime
+
+
+#: Values of the bytes of words' first places; later places are made when needed.
+_NEAR = 32
+
+
+def _valued(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random-looking value for each byte at its place in a word."""
+    return mix((place.astype(np.uint64) << np.uint64(8) | byte) * _MUL + SEQ_A)
+
+
+_VALUES = _valued(np.tile(np.arange(256, dtype=np.uint64), _NEAR), np.repeat(np.arange(_NEAR), 256))
+
+
+def _word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the values of each word's bytes at their places, with the length mixed in."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    byte = text[spread(starts, size)].astype(np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(len(byte)) - np.repeat(first, size)
+    value = _VALUES[np.minimum(place, _NEAR - 1) << 8 | byte]
+    far = np.flatnonzero(place >= _NEAR)
+    value[far] = _valued(byte[far].astype(np.uint64), place[far])
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _MUL)
+
+
 @dataclass
 class Words:
     """Words of a slice of documents: byte ranges in ``data``, document of each, 64-bit hashes."""
@@ -133,10 +185,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, is_word: n
     starts, ends = np.flatnonzero(first[:n]), np.flatnonzero(last[: n + 1])
     bounds = np.searchsorted(starts, cut, side="left")
     doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
-    pw, inv = _cached_powers(n, _BASE), _cached_powers(n, _BASE_INV)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * pw[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _MUL)
+    hashes = _word_hashes(text, starts, ends)
     return Words(text, starts, ends, doc, hashes, bounds)
 
 
@@ -204,6 +253,6 @@ def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     """Hashes of the runs of words [begin, end), of any lengths."""
     n = len(hashes)
     pw, inv = _cached_powers(n, _BASE), _cached_powers(n, _BASE_INV)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(hashes ^ SEQ_B) * pw[:n], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * inv[begin] + (end - begin).astype(np.uint64) * _MUL)
+    prime = np.uint64(_PRIME)
+    sums = _running_sums(_times(mix(hashes ^ SEQ_B) >> np.uint64(3), pw[:n]))
+    return mix(_times((sums[end] + prime - sums[begin]) % prime, inv[begin]) + (end - begin).astype(np.uint64) * _MUL)
