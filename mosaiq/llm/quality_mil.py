@@ -5,12 +5,13 @@ character-class shares, repetition figures and hashed words), gated attention we
 weighted passage representation is scored. Only the document's label is known in training; the attention learns
 which passages decide.
 
-The fit uses at most ``MAX_DOCUMENTS`` labelled documents (those with the smallest hash of their id) and at most
-``MAX_PASSAGES`` passages of each, evenly spaced; both are parameters. Scoring reads every passage of every
+The fit uses at most ``MAX_DOCUMENTS`` labelled documents (those with the smallest hash of their id), each with all its
+passages, and fewer documents where these would have more than ``MAX_PASSAGES`` passages together; both are parameters. Scoring reads every passage of every
 document. Labels, language, source and id are no inputs of a score.
 
 Defined results: a null or empty text is a bag of one passage without words and gets a score; without labelled
-rows every score is 0.5; documents with several labels count with the smallest; a null id is not held out.
+rows every score is 0.5; documents with several labels count with the smallest, labelled rows that share an id with
+the text of fewest passages; a null id is not held out.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import Steps
 from .words import Words, mix, slices, space_words, text_buffers, words_of
 
 PASSAGE_WORDS = 64
 MAX_DOCUMENTS = 4000
-MAX_PASSAGES = 32
+MAX_PASSAGES = 200_000
 HASHED, HIDDEN, GATE = 64, 32, 16
 THRESHOLD = 0.3
 
@@ -154,15 +156,23 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS
         for batch in batches:
             for lo, hi, x, number in _of_batch(batch.column(2)):
                 cut = np.cumsum(number)
-                packed = []
-                for a, z in zip(cut - number, cut, strict=True):
-                    keep = np.linspace(a, z - 1, min(z - a, max_passages)).astype(np.int64)
-                    packed.append(x[keep].tobytes())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array(packed, pa.binary())], ["doc_id", "label", "packed"])
+                packed = [x[a:z].tobytes() for a, z in zip(cut - number, cut, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array(number, pa.int64()), pa.array(packed, pa.large_binary()).cast(pa.binary())], ["doc_id", "label", "number", "packed"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     id_type = dict(rows.dtypes)["doc_id"]
-    rows = sorted(rows.mapInArrow(run, f"doc_id {id_type}, label double, packed binary").dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    with Steps(docs.sparkSession) as steps:
+        bags = rows.mapInArrow(run, f"doc_id {id_type}, label double, number long, packed binary")
+        bags = steps.stored(bags.groupBy("doc_id").agg(F.min(F.struct("number", "packed", "label")).alias("bag")).select("doc_id", "bag.*"), "bags")
+        # Whole documents, in the order of their ids' hashes, while their passages are within the bound.
+        sizes = bags.select(F.xxhash64("doc_id").alias("h"), "doc_id", "number").collect()
+        taken, total = [], 0
+        for r in sorted(sizes):
+            if total + r.number <= max_passages:
+                taken.append(r.doc_id)
+                total += r.number
+        some = bags.filter(F.col("doc_id").isin(taken)) if len(taken) < len(sizes) else bags
+        rows = sorted(some.collect(), key=lambda r: r.doc_id)
     if not rows:
         return None
     return GatedAttention(WIDTH).fit([np.frombuffer(r.packed, np.float32).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows], np.float32))
