@@ -3,9 +3,9 @@
 A change is one document's count before and after under one tokenizer version: an insert has no count before, a
 delete none after, a revision both. Each change becomes signed rows, -1 document and its tokens for what was and
 +1 for what is, and these add up by source, language and tokenizer version. A batch's sums are written under
-its own name, so totals are the sums over all batches: a batch that is committed again (a retry, a lost
-executor, a replay) replaces itself by the same rows and changes nothing. A third of all rows in one source is
-no matter: sums are combined before the shuffle.
+its own name, as a whole or not at all, and totals are the sums over all batches: a batch that is committed again (a
+retry, a lost executor, a replay) changes nothing, and one with the name of another but other sums is refused. A third
+of all rows in one source is no matter: sums are combined before the shuffle.
 
 Defined results: null sources and languages are groups of their own; null texts count no tokens; a change
 without a count before and after is nothing; groups whose documents have all gone have zeros; batches are named
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,11 +39,25 @@ class Rollup:
             raise ValueError(f"not a batch name: {batch!r}")
         signed = changes.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(sign).cast("long").alias("sign"), F.col(c).cast("long").alias("tokens")) for sign, c in ((-1, "tokens_before"), (1, "tokens_after"))))))
         signed = signed.filter("tokens is not null").groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"))
-        signed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        # Written under a passing name and renamed, so a batch is there as a whole or not at all.
+        fs, path = self._files()
+        fresh, place = path(f"{self.folder}/_{batch}-{uuid.uuid4().hex}"), path(f"{self.folder}/batch={batch}")
+        signed.repartition(1).write.parquet(fresh.toString())
+        if not fs.exists(place) and fs.rename(fresh, place):
+            return
+        here, there = (self.spark.read.schema(TOTALS).parquet(p.toString()) for p in (fresh, place))
+        same = there.exceptAll(here).isEmpty() and here.exceptAll(there).isEmpty()
+        fs.delete(fresh, True)
+        if not same:
+            raise ValueError(f"batch {batch!r} was committed with other rows")
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def totals(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        fs, path = self._files()
+        if not fs.exists(path(self.folder)):
             return self.spark.createDataFrame([], TOTALS)
         rows = self.spark.read.schema(f"{TOTALS}, batch string").parquet(self.folder)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

@@ -15,16 +15,16 @@ def matches(key, url):
     host = host.lower()
     if "/" in key:
         parts = [p for p in path.split("?")[0].split("#")[0].split("/") if p]
-        return key in {f"{host}/" + "/".join(parts[:k]) for k in range(1, 5)}
+        return key in {f"{host}/" + "/".join(parts[:k]) for k in range(1, len(parts) + 1)}
     return (host == key or host.endswith("." + key)) and ("." in key or host == key)
 
 
 def test_verdicts_equal_brute_force(spark):
     rnd = random.Random(6)
-    keys = ["a.com", "x.a.com", "y.x.a.com", "b.org", "b.org/p", "b.org/p/q", "x.a.com/p"]
+    keys = ["a.com", "x.a.com", "y.x.a.com", "b.org", "b.org/p", "b.org/p/q", "x.a.com/p", "b.org/1/2/3/4/5"]
     events = [(k, rnd.choice(["block", "allow", "remove"]), rnd.choice(DAY)) for k in keys for _ in range(4)]
     events += [("b.org", a, DAY[3]) for a in ("allow", "block", "remove")] + [(None, "block", DAY[0]), ("a.com", "block", None)]
-    urls = ["http://a.com/", "https://X.a.com/p?q#f", "http://y.x.a.com", "http://z.b.org/p/q", "https://b.org/p/q/r", "http://b.org/pq", "ftp://u@b.org:80/p", "nothing", "", None]
+    urls = ["http://a.com/", "https://X.a.com/p?q#f", "http://y.x.a.com", "http://z.b.org/p/q", "https://b.org/p/q/r", "http://b.org/pq", "ftp://u@b.org:80/p", "http://b.org/1/2/3/4/5/6", "http://b.org/1/2/3/4", "nothing", "", None]
     rows = [(k, rnd.choice(urls), rnd.choice([*DAY, None]), "v") for k in range(300)]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, entry string")
     got = judge_captures(captures, spark.createDataFrame(events, "key string, action string, at timestamp")).collect()
@@ -76,6 +76,11 @@ def test_totals_follow_changes_and_replays_change_nothing(spark, tmp_path):
     assert after[None, None, "ranks"] == (0, 0) and after["s", "en", "pieces"] == (2, 1) and after["t", "de", "ranks"] == before["t", "de", "ranks"]
     with pytest.raises(ValueError):
         rollup.commit("../x", changes)
+    with pytest.raises(ValueError):  # another batch's name
+        rollup.commit("b", inserted(counts))
+    assert after == {tuple(r[:3]): tuple(r[3:]) for r in rollup.totals().collect()}
+    rollup.commit("none", inserted(counts.limit(0)))
+    assert after == {tuple(r[:3]): tuple(r[3:]) for r in rollup.totals().collect()}
 
 
 def test_prefixes_of_any_depth_are_met(spark):
