@@ -65,12 +65,23 @@ class Node:
         self.chars = self.link = self.own = self.tags = self.stops = self.paragraphs = 0
 
 
+def _open_leaf(at: Node) -> bool:
+    """Whether text goes on in a leaf element: a block inside ends its own text, what isn't shown doesn't."""
+    return at.tag in LEAVES and all(n.tag in RAW for n in at.children)
+
+
+def _open_run(at: Node) -> Node | None:
+    """The run of inline content at the end of an element, if it ends with one."""
+    last = next((n for n in reversed(at.children) if n.tag not in RAW), None)
+    return last if last is not None and last.tag == "#run" else None
+
+
 def _run_node(at: Node, place: int) -> Node:
-    """Where inline content goes: into a leaf element, else into a run of its own beside the blocks."""
-    if at.tag in LEAVES:
+    """Where inline content goes: into a leaf element without blocks in it, else into a run of its own beside the blocks."""
+    if _open_leaf(at):
         return at
-    if at.children and at.children[-1].tag == "#run":
-        return at.children[-1]
+    if (run := _open_run(at)) is not None:
+        return run
     run = Node("#run", [], at, place)
     at.children.append(run)
     return run
@@ -83,7 +94,7 @@ def parse(page: str) -> Node:
 
     def put(raw: str, place: int) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        if text.strip() or at.tag in LEAVES or (at.children and at.children[-1].tag == "#run"):
+        if text.strip() or _open_leaf(at) or _open_run(at) is not None:
             node = _run_node(at, place)
             node.text.append(text)
             size = len(text.strip())
@@ -237,7 +248,8 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[str]:
 
 def _generated(rnd: random.Random) -> tuple[str, set[str]]:
     """A page and the texts of its main part."""
-    word = lambda: "".join(rnd.choice(["ta", "re", "on", "is", "le", "mo", "ku", "é", "na", "ver", "sch"]) for _ in range(rnd.randint(1, 4)))
+    letters = rnd.choice([["ta", "re", "on", "is", "le", "mo", "ku", "é", "na", "ver", "sch"]] * 4 + [["да", "не", "ко", "ри", "щу"], ["天", "地", "玄", "黄"], ["با", "لا", "من"]])
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4)))
     ends = rnd.choice([".", ".", ".", "!!", " ###", ""])
 
     def words(a: int, z: int) -> str:
@@ -277,8 +289,21 @@ def _generated(rnd: random.Random) -> tuple[str, set[str]]:
             body.append("<ul>" + "".join(f"<li>{kept(words(2, 15))}</li>" for _ in range(rnd.randint(1, 5))) + "</ul>")
         elif kind < 0.9:
             body.append(f"<{rnd.choice(['h2', 'h3'])}>{kept(words(1, 6))}</h2>")
-        else:
+        elif kind < 0.94:
             body.append(f"<blockquote>{kept(words(3, 25))}</blockquote>")
+        else:
+            a, b, c = (kept(words(1, 15)) for _ in range(3))
+            body.append(
+                rnd.choice(
+                    [
+                        f"<ol><li>{a}<ul><li>{b}</li></ul>{c}</li></ol>",
+                        f"<table><tr><th>{a}</th><td>{b}</td></tr><tr><td colspan=2>{c}</td></tr></table>",
+                        f"<dl><dt>{a}<dd>{b}<dd>{c}</dl>",
+                        f"<figure><img src=i.png alt=x><figcaption>{a}</figcaption></figure><pre>{b}</pre><div>{c}</div>",
+                        f"<div>{a}<div><div>{b}</div></div>{c}</div>",
+                    ]
+                )
+            )
         if rnd.random() < 0.06:
             body.append(some(0.3))
     open_, close = rnd.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post-body">', "</div>"), ("<main><article>", "</article></main>"), ('<section class="entry">', "</section>")])

@@ -47,3 +47,21 @@ def test_share_of_siblings_with_the_same_tag_in_long_articles():
     nodes, x = H.features(H.parse(page), len(page))
     share = {n.tag: row[len(H.TAG_GROUPS) + 3] for n, row in zip(nodes, x, strict=True)}
     assert abs(share["aside"] - 1 / 300) < 1e-6 and abs(share["p"] - 299 / 300) < 1e-6
+
+
+def test_text_around_blocks_stays_in_page_order():
+    page = "<article><ul><li>alpha one, two.<p>beta inner text here.</p>gamma after, the end.</li></ul><table><tr><td>left<div>mid of it, here.</div>right<script>x()</script> side</td></tr></table></article>"
+    root = H.parse(page)
+    kept = H.decode(H.features(root, len(page))[0], H.np.full(len(H._walk(root)), 9.0))
+    assert kept == ["alpha one, two.", "beta inner text here.", "gamma after, the end.", "left", "mid of it, here.", "right side"]
+
+
+def test_hand_written_layouts():
+    table = """<html><body bgcolor=white><table width=100%><tr><td colspan=2><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr>
+    <tr><td class=menu><a href=/1>One</a><br><a href=/2>Two</a><br><a href=/3>Three</a></td>
+    <td class=content><h1>The old bridge</h1><p>The bridge was built in 1872, and it has carried carts, cars and trains since then.
+    <p>Its arches are of local stone; the masons came from three valleys around.</td></tr></table></body></html>"""
+    assert text_of(table) == ["The old bridge", "The bridge was built in 1872, and it has carried carts, cars and trains since then.", "Its arches are of local stone; the masons came from three valleys around."]
+    divs = """<body><div id="navbar"><a href=a>A</a> <a href=b>B</a> <a href=c>C</a></div><div id="main" class="post-content"><div class="title"><h2>Soup</h2></div>
+    <div>Put the leeks into the pot, with water and a little salt.</div><div>Let it simmer for an hour, then serve.</div></div><div id="footer">Legal notice, imprint</div></body>"""
+    assert text_of(divs) == ["Soup", "Put the leeks into the pot, with water and a little salt.", "Let it simmer for an hour, then serve."]
