@@ -84,7 +84,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     spaces, symbols = (CLASSES.index(c) for c in (SPACE, SYMBOLS))
     rows = rows.withColumn("word_chars", F.col("n_chars") - F.col("named_chars")[spaces]).withColumn("n_symbols", F.col("named_chars")[symbols])
-    rows = rows.withColumn("named_words", F.slice("counted", 2, 1000)).withColumn("n_bare", F.col("counted")[0])
+    rows = rows.withColumn("named_words", F.expr("slice(counted, 2, size(counted) - 1)")).withColumn("n_bare", F.col("counted")[0])
     other = lambda total, named: F.concat(named, F.array(F.expr(f"{total} - aggregate({named}, 0L, (s, x) -> s + x)")))
     rows = rows.withColumn("chars", other("n_chars", "named_chars")).withColumn("common", other("n_bare", "named_words"))
     return rows.drop("named_chars", "named_words", "n_chars", "n_bare", "counted")
