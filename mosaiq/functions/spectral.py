@@ -36,28 +36,51 @@ def apply_panels(panels: list[tuple[int, np.ndarray, np.ndarray]], c: np.ndarray
 Reflector = tuple[int, np.ndarray, complex]
 
 
+def band_storage(n: int, band: int, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The band's elements row by row, each row shifted so that its diagonal element is in the middle.
+
+    There is room for the fill-in of the bulge chasing: n x (4 band + 1) numbers.
+    """
+    out = np.zeros((n, 4 * band + 1), values.dtype)
+    near = np.abs(i - j) <= band
+    out[i[near], (j - i)[near] + 2 * band] = values[near]
+    return out
+
+
 def band_to_tridiagonal(a: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, list[Reflector]]:
+    """Bulge chasing of a matrix in full storage."""
+    i, j = np.indices(a.shape)
+    return chase(band_storage(len(a), band, i.ravel(), j.ravel(), a.ravel()), band)
+
+
+def chase(stored: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, list[Reflector]]:
     """Bulge chasing: diagonal, off-diagonal and the reflectors in the order of their use.
 
     Each sweep clears one column below its first subdiagonal and drives the fill-in off the matrix; complex
     matrices need a last reflector of one element, which makes the last off-diagonal element real.
     """
-    a, n, done = a.copy(), len(a), []
-    last = n - 1 if np.iscomplexobj(a) else n - 2
+    n, middle, done = len(stored), 2 * band, []
+    flat, size = stored.ravel(), stored.itemsize
+
+    def block(top: int, end: int, lo: int, hi: int) -> np.ndarray:
+        # A row further down, an element lies one place further left.
+        return np.lib.stride_tricks.as_strided(flat[top * 2 * middle + lo + middle :], (end - top, hi - lo), (2 * middle * size, size))
+
+    last = n - 1 if np.iscomplexobj(stored) else n - 2
     for sweep in range(max(0, last)):
         column, row = sweep, sweep + 1
         while row < n:
             end = min(row + band, n)
-            v, tau, _ = larfg(a[row:end, column])
+            v, tau, _ = larfg(block(row, end, column, column + 1)[:, 0])
             if tau != 0:
                 lo, hi = column, min(end + band, n)
-                a[row:end, lo:hi] -= np.conj(tau) * np.outer(v, v.conj() @ a[row:end, lo:hi])
-                a[lo:hi, row:end] -= tau * np.outer(a[lo:hi, row:end] @ v, v.conj())
+                rows, columns = block(row, end, lo, hi), block(lo, hi, row, end)
+                rows -= np.conj(tau) * np.outer(v, v.conj() @ rows)
+                columns -= tau * np.outer(columns @ v, v.conj())
                 done.append((row, v, tau))
             column, row = row, row + band
-            if row >= n:
-                break
-    return np.diag(a).real.copy(), np.diag(a, -1).real.copy(), done
+    below = stored[1:, middle - 1] if band else stored[1:, 0] * 0
+    return stored[:, middle].real.copy(), below.real.copy(), done
 
 
 def apply_reflectors(reflectors: list[Reflector], e: np.ndarray) -> np.ndarray:

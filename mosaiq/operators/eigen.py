@@ -9,12 +9,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import spectral as S
 from ..layout import band_size, require
-from ..matrix import TILE, TiledMatrix, in_one_task, packed, unpack
-from ..plans.strategy import fits_broadcast, single_task
+from ..matrix import TILE, TiledMatrix, in_one_task, packed, summed, unpack
+from ..plans.strategy import BROADCAST_BYTES, fits_broadcast, single_task
 from .factor import potrf
 from .solve import hegst, trsm
 
@@ -64,7 +65,8 @@ def reduction_to_band(a: TiledMatrix, band: int | None = None) -> Band:
         w_sent, nb = spark.sparkContext.broadcast(w), a.nb
         strip = a.map_tiles(lambda ti, tj, x, w_sent=w_sent, nb=nb: x @ w_sent.value[tj * nb : tj * nb + x.shape[1]], keep=f"(ti + 1) * {nb} > {first} and (tj + 1) * {nb} > {first}")
         x = np.zeros_like(w)
-        for batch in strip.tiles.toArrow().to_batches():
+        # One sum for each row of tiles comes to the driver: n x band numbers.
+        for batch in summed(strip.tiles.withColumn("tj", F.lit(0).cast("long")), np.iscomplexobj(w) or a.complex).toArrow().to_batches():
             for ti, _, part in unpack(batch):
                 x[ti * nb : ti * nb + part.shape[0]] += part
         x[:first] = 0
@@ -98,9 +100,10 @@ def band_to_tridiagonal(band: Band | TiledMatrix, width: int) -> Tridiagonal:
     matrix = band.matrix if isinstance(band, Band) else band
     n, nb = matrix.n, matrix.nb
     near = replace(matrix, tiles=matrix.tiles.filter(f"abs(ti - tj) * {nb} < {width + nb}"))
-    if n <= 4096:
-        return Tridiagonal(*S.band_to_tridiagonal(near.to_numpy(), width))
-    raise ValueError("bulge chasing takes an order of at most 4096 here; take a larger tile's single-task solver")
+    rows = near.to_coo(False).filter(f"abs(i - j) <= {width}").toArrow()
+    i, j, re, im = (rows[c].to_numpy() for c in ("i", "j", "re", "im"))
+    values = re + 1j * np.nan_to_num(im.astype(float)) if matrix.complex else re
+    return Tridiagonal(*S.chase(S.band_storage(n, width, i, j, values), width))
 
 
 def tridiagonal_eigensolver(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int = 64, dtype: str = "d") -> Eigen:
@@ -144,20 +147,37 @@ def _by_column_blocks(e: TiledMatrix, f) -> TiledMatrix:
     return replace(e, tiles=e.tiles.repartition("tj").sortWithinPartitions("tj").mapInArrow(run, TILE))
 
 
+def _parts(steps: list[tuple[int, np.ndarray, object]]) -> list[list]:
+    """Reflectors or panels in runs that may be broadcast, each of BROADCAST_BYTES at most (or of one step)."""
+    parts: list[list] = []
+    held = 0
+    for step in steps:
+        if not parts or held + step[1].nbytes > BROADCAST_BYTES:
+            parts.append([])
+            held = 0
+        parts[-1].append(step)
+        held += step[1].nbytes
+    return parts
+
+
 def bt_band_to_tridiagonal(e: TiledMatrix, reflectors: list[S.Reflector]) -> TiledMatrix:
     """Q E for the reflectors of the bulge chasing; columns of E are independent."""
     if reflectors and np.iscomplexobj(reflectors[0][1]) and not e.complex:
         e = e.cast_to_complex()
-    sent = e.spark.sparkContext.broadcast(reflectors)
-    return _by_column_blocks(e, lambda x: S.apply_reflectors(sent.value, x))
+    for part in reversed(_parts(reflectors)):
+        sent = e.spark.sparkContext.broadcast(part)
+        e = _by_column_blocks(e, lambda x, sent=sent: S.apply_reflectors(sent.value, x)).stored("back")
+    return e
 
 
 def bt_reduction_to_band(c: TiledMatrix, panels: list[tuple[int, np.ndarray, np.ndarray]]) -> TiledMatrix:
     """Q C for the panels of the band reduction."""
     if panels and np.iscomplexobj(panels[0][1]) and not c.complex:
         c = c.cast_to_complex()
-    sent = c.spark.sparkContext.broadcast(panels)
-    return _by_column_blocks(c, lambda x: S.apply_panels(sent.value, x))
+    for part in reversed(_parts(panels)):
+        sent = c.spark.sparkContext.broadcast(part)
+        c = _by_column_blocks(c, lambda x, sent=sent: S.apply_panels(sent.value, x)).stored("back")
+    return c
 
 
 def heevd(uplo: str, a: TiledMatrix, end: int | None = None, strategy: str | None = None, band: int | None = None) -> Eigen:

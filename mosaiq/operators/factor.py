@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -40,30 +42,39 @@ def potrf(uplo: str, a: TiledMatrix, strategy: str | None = None) -> TiledMatrix
         panel = rest.map_tiles(column, keep=f"tj = {k}").stored("panel")
         done.append(panel)
         rest = _updated(rest, panel, k).stored("trailing")
-    tiles = done[0].tiles
-    for panel in done[1:]:
-        tiles = tiles.unionAll(panel.tiles)
-    return replace(a, tiles=tiles)
+    return replace(a, tiles=functools.reduce(DataFrame.unionAll, (panel.tiles for panel in done)))
 
 
 def _updated(rest: TiledMatrix, panel: TiledMatrix, k: int) -> TiledMatrix:
-    """Trailing tiles (i, j) less L_ik L_jkᴴ; a missing tile is zero, so places come from the panel."""
+    """Trailing tiles (i, j) less L_ik L_jkᴴ: each meets its two panel tiles in equi-joins on i, then on j.
+
+    A missing tile is zero. Places where the panel makes a tile that isn't there yet come from tile indices alone.
+    """
     below = panel.tiles.filter(f"ti > {k}")
-    rows = below.select("ti", *(F.col(c).alias(f"a_{c}") for c in ("nr", "nc", "re", "im")))
-    columns = below.select(F.col("ti").alias("tj"), *(F.col(c).alias(f"b_{c}") for c in ("nr", "nc", "re", "im")), F.col("tj").alias("k"))
-    rows = rows.withColumn("k", F.lit(k).cast("long"))
-    pairs = rows.join(columns, "k").filter("ti >= tj").join(rest.tiles.filter(f"tj > {k}"), ["ti", "tj"], "left")
-    pairs = pairs.selectExpr("ti", "k", "a_nr", "a_nc", "a_re", "a_im", "tj", "k k2", "b_nr", "b_nc", "b_re", "b_im", "ti t1", "tj t2", "a_nr n1", "b_nr n2", "coalesce(re, transform(sequence(1, a_nr * b_nr), x -> 0D)) re", "if(a_im is null, null, coalesce(im, transform(sequence(1, a_nr * b_nr), x -> 0D))) im")
-    untouched = rest.tiles.filter(f"tj > {k}").join(below.select("ti").withColumn("one", F.lit(1)), "ti", "left").filter("one is null").drop("one").select(*rest.tiles.columns)
-    other = rest.tiles.filter(f"tj > {k}").join(below.select("ti"), "ti", "left_semi").join(below.select(F.col("ti").alias("tj")), "tj", "left_anti").select(*rest.tiles.columns)
-    complex_ = rest.complex
+    trailing = rest.tiles.filter(f"tj > {k}")
+    index = below.select("ti", "nr")
+    places = index.select("ti", "nr", F.explode(F.sequence(F.lit(k + 1).cast("long"), "ti")).alias("tj")).join(index.select(F.col("ti").alias("tj"), F.col("nr").alias("nc")), "tj")
+    fresh = places.join(trailing.select("ti", "tj"), ["ti", "tj"], "left_anti").selectExpr("ti", "tj", "nr", "nc", "cast(null as array<double>) re", "cast(null as array<double>) im")
+    trailing = trailing.unionAll(fresh)
+    rows = below.select("ti", *(F.col(c).alias(f"a_{c}") for c in ("re", "im")))
+    columns = below.select(F.col("ti").alias("tj"), *(F.col(c).alias(f"b_{c}") for c in ("re", "im")))
+    pairs = trailing.join(rows, "ti", "left").join(columns, "tj", "left")
+    width, complex_ = min(panel.mb, panel.n - k * panel.nb), rest.complex
+
+    named = pairs.withColumnsRenamed({"re": "c_re", "im": "c_im"}).selectExpr("*", f"{width} w")
+    tile = []
+    for v, r, c, i, j in (("a", "nr", "w", "ti", "0L"), ("b", "nc", "w", "tj", "0L"), ("c", "nr", "nc", "ti", "tj")):
+        zeros = f"transform(sequence(1, {r} * {c}), x -> 0D)"
+        imaginary = f"coalesce({v}_im, {zeros})" if complex_ else "cast(null as array<double>)"
+        tile += [f"{i} {v}_i", f"{j} {v}_j", f"{r} {v}_r", f"{c} {v}_c", f"coalesce({v}_re, {zeros}) {v}_re", f"{imaginary} {v}_im"]
+    both = named.selectExpr(*tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tiles() -> Iterator[Tile]:
             for batch in batches:
-                for (i, _, x), (j, _, y), (_, _, c) in zip(unpack(batch), unpack(batch, 6), unpack(batch, 12), strict=True):
+                for (_, _, x), (_, _, y), (i, j, c) in zip(unpack(batch), unpack(batch, 6), unpack(batch, 12), strict=True):
                     yield i, j, c - x @ y.conj().T
 
         yield from packed(tiles(), complex_)
 
-    return replace(rest, tiles=pairs.mapInArrow(run, TILE).unionAll(untouched).unionAll(other))
+    return replace(rest, tiles=both.mapInArrow(run, TILE))

@@ -25,11 +25,11 @@ def _common(*matrices: TiledMatrix | None) -> str:
     return ("z" if wide else "c") if complex_ else ("d" if wide else "s")
 
 
-def _products(a: TiledMatrix, b: TiledMatrix, alpha: complex, complex_: bool) -> DataFrame:
-    """Products of the tiles that meet, with equal places already added up inside a task."""
+def _products(a: TiledMatrix, b: TiledMatrix, alpha: complex, complex_: bool, where: str = "true") -> DataFrame:
+    """Products of the tiles that meet at the wanted places, with equal places already added up inside a task."""
     left = a.tiles.select(F.col("ti").alias("i"), F.col("tj").alias("k"), *(F.col(c).alias(f"a_{c}") for c in ("nr", "nc", "re", "im")))
     right = b.tiles.select(F.col("ti").alias("k"), F.col("tj").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("nr", "nc", "re", "im")))
-    pairs = left.join(right, "k").selectExpr("i", "k", "a_nr", "a_nc", "a_re", "a_im", "k kk", "j", "b_nr", "b_nc", "b_re", "b_im")
+    pairs = left.join(right, "k").filter(where).selectExpr("i", "k", "a_nr", "a_nc", "a_re", "a_im", "k kk", "j", "b_nr", "b_nc", "b_re", "b_im")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tiles() -> Iterator[Tile]:
@@ -52,8 +52,8 @@ def _products(a: TiledMatrix, b: TiledMatrix, alpha: complex, complex_: bool) ->
     return pairs.mapInArrow(run, TILE)
 
 
-def gemm(a: TiledMatrix, b: TiledMatrix, alpha: complex = 1, beta: complex = 0, c: TiledMatrix | None = None, opa: str = "N", opb: str = "N") -> TiledMatrix:
-    """alpha op(A) op(B) + beta C; with an inner size of 0 only beta C."""
+def gemm(a: TiledMatrix, b: TiledMatrix, alpha: complex = 1, beta: complex = 0, c: TiledMatrix | None = None, opa: str = "N", opb: str = "N", where: str = "true") -> TiledMatrix:
+    """alpha op(A) op(B) + beta C; with an inner size of 0 only beta C. where: the places (i, j) of tiles that are wanted."""
     a, b = a.op(opa), b.op(opb)
     require(a.n == b.m and a.nb == b.mb, "A's columns and B's rows differ in size or tiles")
     require(c is None or (c.m, c.n, c.mb, c.nb) == (a.m, b.n, a.mb, b.nb), "C has another shape or other tiles")
@@ -64,7 +64,7 @@ def gemm(a: TiledMatrix, b: TiledMatrix, alpha: complex = 1, beta: complex = 0,
     keep = c.scale(beta) if c is not None and beta != 0 else None
     if a.n == 0 or alpha == 0:
         return keep or replace(out, tiles=a.tiles.limit(0))
-    products = _products(a, b, alpha, out.complex)
+    products = _products(a, b, alpha, out.complex, where)
     return replace(out, tiles=summed(products if keep is None else products.unionAll(keep.tiles), out.complex))
 
 
@@ -99,23 +99,27 @@ def _with_diagonal(t: TiledMatrix) -> TiledMatrix:
     return replace(t, tiles=t.tiles.unionAll(missing))
 
 
+#: Places of a triangle's tiles: only these are multiplied.
+_INSIDE = {"L": "i >= j", "U": "i <= j"}
+
+
 def herk(uplo: str, a: TiledMatrix, alpha: float = 1, beta: float = 0, c: TiledMatrix | None = None, op: str = "N") -> TiledMatrix:
     """The triangle of alpha A Aᴴ + beta C, or of alpha Aᴴ A + beta C."""
     x = a if op == "N" else a.transpose(conjugate=True)
-    return gemm(x, x.transpose(conjugate=True), alpha, beta, c).triangle(uplo)
+    return gemm(x, x.transpose(conjugate=True), alpha, beta, c, where=_INSIDE[uplo]).triangle(uplo)
 
 
 def her2k(uplo: str, a: TiledMatrix, b: TiledMatrix, alpha: complex = 1, beta: float = 0, c: TiledMatrix | None = None) -> TiledMatrix:
     """The triangle of alpha A Bᴴ + conj(alpha) B Aᴴ + beta C."""
-    first = gemm(a, b.transpose(conjugate=True), alpha, beta, c)
-    return gemm(b, a.transpose(conjugate=True), np.conj(alpha), 1, first).triangle(uplo)
+    first = gemm(a, b.transpose(conjugate=True), alpha, beta, c, where=_INSIDE[uplo])
+    return gemm(b, a.transpose(conjugate=True), np.conj(alpha), 1, first, where=_INSIDE[uplo]).triangle(uplo)
 
 
 def lauum(uplo: str, a: TiledMatrix) -> TiledMatrix:
     """The triangle of Lᴴ L (lower) or U Uᴴ (upper)."""
     t = a.triangle(uplo)
     h = t.transpose(conjugate=True)
-    return (gemm(h, t) if uplo == "L" else gemm(t, h)).triangle(uplo)
+    return (gemm(h, t, where=_INSIDE[uplo]) if uplo == "L" else gemm(t, h, where=_INSIDE[uplo])).triangle(uplo)
 
 
 def add(a: TiledMatrix, b: TiledMatrix, alpha: complex = 1) -> TiledMatrix:

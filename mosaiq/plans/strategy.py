@@ -25,8 +25,10 @@ def fits_broadcast(rows: int, columns: int, dtype: str) -> bool:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a fresh one only where none is set."""
+    """The folder all executors share, as the session names it; on one machine, a fresh one where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "mosaiq-checkpoints")
 
 

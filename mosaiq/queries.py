@@ -7,9 +7,10 @@ of integers and dyadic numbers are exact in any order; other results are rounded
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,24 @@ def g_matrix(spark: SparkSession, sf_dir: str) -> TiledMatrix:
 
 
 def gram_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quantised(spark, sf_dir)
-    left, right = q.select("i", F.col("j").alias("r"), F.col("v").alias("x")), q.select("i", F.col("j").alias("c"), F.col("v").alias("y"))
-    return left.join(right, "i").groupBy(F.col("r").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("re"))
+    """Qᵀ Q: each task multiplies its rows by themselves, and one small shuffle adds the products of all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((0, 0))
+        for batch in batches:
+            values = [v for v in batch.column(0).to_numpy(zero_copy_only=False) if v is not None]
+            rows = np.zeros((len(values), max([len(total), *map(len, values)])))
+            for row, v in zip(rows, values, strict=True):
+                row[: len(v)] = np.floor(v.astype(np.float64) * 64 + 0.5)
+            product = rows.T @ rows
+            product[: len(total), : len(total)] += total
+            total = product
+        n = len(total)
+        i, j = np.divmod(np.arange(n * n), max(n, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "re"])
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding")
+    return rows.mapInArrow(run, "i long, j long, re double").groupBy("i", "j").agg(F.sum("re").alias("re"))
 
 
 _Q = """q AS (SELECT vec_id AS i, (k - 1)::BIGINT AS j, floor(embedding[k]::DOUBLE * 64 + 0.5) AS v
