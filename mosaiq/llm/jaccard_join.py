@@ -4,14 +4,15 @@ Sets fall into bands of sizes. Within a band, a Jaccard similarity of ``percent`
 differing shingles by k; the domain of shingles is dealt into ``k // 2 + 1`` parts of three cells each, and
 for each part the three choices of two cells are signed. Of two sets that differ in at most k shingles, some
 part holds at most one difference, so one choice of two cells is equal in both: every link shares a
-signature. A set also signs in the further bands where a linked set could be.
+signature. Two cells without shingles would be equal in unrelated sets; then the part's third cell is signed, as it is
+and without each of its shingles. A set also signs in the further bands where a linked set could be.
 
-Documents with equal sets are one node. Nodes that share signatures form candidate groups (a group is found
-from the edges between a signature's smallest node and the others, never from all its pairs), and inside a
-group the links are decided exactly, by the true intersection sizes. A group of up to ``group_shingles`` is
-clustered in one task; a larger one is searched in blocks: all its rows are compared with blocks of query
-rows until every row outside the largest component has been a query, which decides every link that could
-still join two components.
+Documents with equal sets are one node. Pairs that share a signature are verified exactly, by the intersections of
+their whole sets. Before that, their bitmaps are compared, in which each shingle of a set flips a bit: the bits in which two
+bitmaps differ are at most as many as the shingles in which the sets differ, so no link is lost. First each node is
+compared with the first of its signature and the links found are united; then the nodes of a signature that lie in
+different components are joined under that bound, so that neither a large group of copies nor a frequent signature is
+gathered anywhere, and nothing goes through the driver.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; rows with the same id are one document of the graph; a null id links nothing
@@ -34,10 +35,10 @@ from .words import SEQ_B, Words, grams, inside_document, lower_ascii, mix, slice
 #: Sizes of a band grow by this ratio at most.
 BAND_RATIO = 1.5
 CELLS, CHOICES = 3, ((0, 1), (0, 2), (1, 2))
-#: Shingles of a candidate group that one task clusters, and of a block of queries.
-GROUP_SHINGLES = 4_000_000
-#: Query rows of a block.
-BLOCK_ROWS = 512
+#: A signature's last bits are its band's number.
+BAND_BITS = 5
+#: A bitmap has twice as many bits as a set of its band at most has shingles, and no more than this.
+MOST_BITS = 1 << 16
 
 _SALTS = mix(np.arange(1, 9, dtype=np.uint64) * SEQ_B)
 
@@ -76,12 +77,16 @@ def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return total[cut[1:]] - total[cut[:-1]]
 
 
+def _bands_of(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sizes of bands, and the bands of each set and of the largest set that could be linked with it."""
+    first = bands(int(size.max() * 100 // percent) if len(size) else 1)
+    return first, np.searchsorted(first, size, side="right") - 1, np.searchsorted(first, size * 100 // percent, side="right") - 1
+
+
 def signatures(run: np.ndarray, cut: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of the sets run[cut[d]:cut[d + 1]], and the set of each."""
     size = np.diff(cut)
-    first = bands(int(size.max() * 100 // percent) if len(size) else 1)
-    own = np.searchsorted(first, size, side="right") - 1
-    partner = np.searchsorted(first, size * 100 // percent, side="right") - 1
+    first, own, partner = _bands_of(size, percent)
     out, owner = [], []
     for step in range(int((partner - own).max(initial=0)) + 1):
         band = own + step
@@ -98,14 +103,30 @@ def signatures(run: np.ndarray, cut: np.ndarray, percent: int) -> tuple[np.ndarr
         cell = (value >> np.uint64(1)) % np.uint64(CELLS)
         place = (np.repeat(base, size[some]) + part.astype(np.int64)) * CELLS + cell.astype(np.int64)
         cells = np.zeros(int(parts.sum()) * CELLS, np.uint64)
-        np.add.at(cells, place, mix(run[at] ^ _SALTS[1]))
+        each = mix(run[at] ^ _SALTS[1])
+        np.add.at(cells, place, each)
         cells = cells.reshape(-1, CELLS)
+        full = np.bincount(place, minlength=cells.size).reshape(-1, CELLS) > 0
         who = np.repeat(some, parts)
         number = (np.arange(len(who)) - np.repeat(base, parts)).astype(np.uint64)
-        head = mix(number * _SALTS[2] + band[who].astype(np.uint64))
+        low = np.uint64((1 << BAND_BITS) - 1)
+        numbered = lambda signed, sets, band=band, low=low: signed & ~low | band[sets].astype(np.uint64) & low
+        head = mix(number * _SALTS[2] + band[who].astype(np.uint64)) * _SALTS[6]
         for c, (a, b) in enumerate(CHOICES):
-            out.append(mix(mix(cells[:, a] ^ _SALTS[3 + a]) + mix(cells[:, b] ^ _SALTS[3 + b]) + head * _SALTS[6] + np.uint64(c)))
-            owner.append(who)
+            chosen = full[:, a] | full[:, b]
+            signed = mix(mix(cells[:, a] ^ _SALTS[3 + a]) + mix(cells[:, b] ^ _SALTS[3 + b]) + head + np.uint64(c))
+            out.append(numbered(signed[chosen], who[chosen]))
+            owner.append(who[chosen])
+            # Two cells without shingles say nothing. Then the third differs by one shingle at most: it is signed as it
+            # is, and without each of its shingles.
+            third, mark = 3 - a - b, np.uint64(CELLS + c)
+            bare = np.flatnonzero(~chosen)
+            out.append(numbered(mix(cells[bare, third] + head[bare] + mark), who[bare]))
+            owner.append(who[bare])
+            its = np.flatnonzero((place % CELLS == third) & ~chosen[place // CELLS])
+            row = place[its] // CELLS
+            out.append(numbered(mix(cells[row, third] - each[its] + head[row] + mark), who[row]))
+            owner.append(who[row])
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(owner)
@@ -144,168 +165,107 @@ def _signed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, signature long")
 
 
-def cluster(values: np.ndarray, cut: np.ndarray, percent: int) -> np.ndarray:
-    """Exact components of sets: for each, the number of its component's first member.
+def bitmap(values: np.ndarray, last: int) -> np.ndarray:
+    """The bits of a set in a band whose largest sets have ``last`` shingles, as 64-bit words."""
+    bits = 64
+    while bits < MOST_BITS and bits < 2 * last:
+        bits *= 2
+    flips = np.bincount((mix(values ^ _SALTS[7]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
-    Members are visited breadth-first; a visited one is compared with all not yet visited through the lists of
-    sets that hold a shingle, so each link that could join two components is decided by its true intersection.
-    """
-    n, size = len(cut) - 1, np.diff(cut)
-    owner = np.repeat(np.arange(n), size)
-    _, token = np.unique(values, return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    holders, start = owner[order], np.concatenate(([0], np.cumsum(np.bincount(token))))
-    label, waiting, left = np.full(n, -1), [], n
-    live = n
-    for seed in range(n):
-        if label[seed] >= 0:
-            continue
-        label[seed] = seed
-        left -= 1
-        waiting.append(seed)
-        while waiting and left:
-            v = waiting.pop()
-            mine = token[cut[v] : cut[v + 1]]
-            others = holders[spread(start[mine], start[mine + 1] - start[mine])]
-            shared = np.bincount(others, minlength=n)
-            link = np.flatnonzero((label < 0) & (shared > 0) & (100 * shared >= percent * (size + size[v] - shared)))
-            label[link] = seed
-            waiting += link.tolist()
-            left -= len(link)
-            if left < live // 2:  # only those not yet visited matter
-                keep = label[holders] < 0
-                counts = np.concatenate(([0], np.cumsum(keep)))
-                holders, start, live = holders[keep], counts[start], left
-        waiting.clear()
-    return label
-
-
-def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, root) from rows (group, doc_id, text), exact, a group at a time; rows come sorted by group."""
-
-    def solved(ids: np.ndarray, values: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-        label = cluster(values, cut, percent)
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least[label])], ["doc_id", "root"])
+
+def _bitmaps(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, band, n, bits) of rows (doc_id, text): a row for each band in which a set signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, hi, values, cut in _sets_of(batch.column(1), shingle):
+                size = np.diff(cut)
+                first, own, partner = _bands_of(size, percent)
+                rows = [(ids[lo + j], b, size[j], bitmap(values[cut[j] : cut[j + 1]], int(first[b + 1]) - 1)) for j in range(hi - lo) if size[j] for b in range(own[j], partner[j] + 1)]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(list(columns[3]), pa.list_(pa.int64()))], ["node", "band", "n", "bits"])
 
-        def finish() -> pa.RecordBatch:
-            ids, values, sizes = (np.concatenate([h[j] for h in held]) for j in range(3))
-            return solved(ids, values, np.concatenate(([0], np.cumsum(sizes))))
+    return texts.mapInArrow(run, "node long, band long, n long, bits array<long>")
 
-        for batch in batches:
-            groups, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, values, cut in _sets_of(batch.column(2), shingle):
-                edge = np.flatnonzero(np.diff(groups[lo:hi])) + 1
-                for a, b in zip(np.r_[0, edge], np.r_[edge, hi - lo], strict=True):
-                    if held and groups[lo + a] != group:
-                        yield finish()
-                        held = []
-                    group = groups[lo + a]
-                    held.append((ids[lo + a : lo + b], values[cut[a] : cut[b]], np.diff(cut[a : b + 1])))
-        if held:
-            yield finish()
 
-    return docs.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "doc_id long, root long")
+def _near(a: str, b: str, percent: int) -> str:
+    """False only for sets that can't be linked: sizes too far apart, or bitmaps that differ in too many bits."""
+    differ = f"aggregate(zip_with({a}.bits, {b}.bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    # Sets of s shared and d other shingles: 100 s >= percent (s + d), where 2 s + d is the sum of their sizes.
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * {differ} <= {100 - percent} * ({a}.n + {b}.n)"
 
 
-def _packed_sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, steps: Steps, shingle: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (u, v), by their whole sets; texts: (doc_id, text)."""
+    pairs = steps.stored(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct()
+    near = flagged(texts, ids, "doc_id").filter("__maybe").drop("__maybe")
+    both = pairs.join(near.select(F.col("doc_id").alias("u"), F.col("text").alias("mine")), "u").join(near.select(F.col("doc_id").alias("v"), F.col("text").alias("theirs")), "v")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, values, cut in _sets_of(batch.column(2), shingle):
-                packed = [values[cut[j] : cut[j + 1]].tobytes() for j in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array(packed, pa.binary())], ["group", "doc_id", "packed"])
-
-    return docs.mapInArrow(run, "group long, doc_id long, packed binary")
-
-
-def _large_groups(docs: DataFrame, steps: Steps, shingle: int, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
-    """(doc_id, root) for groups too large for one task, by blocks of queries against all their rows."""
-    spark = docs.sparkSession
-    rows = steps.stored(_packed_sets(docs.repartition("doc_id"), shingle).withColumn("shuffled", F.xxhash64("doc_id", F.lit(7))), "large")
-    links = steps.stored(spark.createDataFrame([], "u long, v long"), "links")
-    asked = spark.createDataFrame([], "doc_id long")
-    while True:
-        root = components(links, steps)
-        labelled = rows.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        count = labelled.groupBy("group", "root").count()
-        largest = count.groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        first_round = asked.isEmpty()
-        open_rows = labelled.join(largest, "group").filter(F.lit(first_round) | (F.col("root") != F.col("main"))).join(asked, "doc_id", "left_anti")
-        block, held = [], 0
-        for r in open_rows.select("group", "doc_id", "root", "packed", "shuffled").orderBy("shuffled").limit(block_rows).toLocalIterator():
-            if block and held + len(r.packed) // 8 > block_shingles:
-                break
-            block.append(r)
-            held += len(r.packed) // 8
-        if not block:
-            return labelled.select("doc_id", "root")
-        asked = steps.stored(asked.unionAll(spark.createDataFrame([(r.doc_id,) for r in block], "doc_id long")), "asked")
-        sent = spark.sparkContext.broadcast([(r.group, r.doc_id, r.root, bytes(r.packed)) for r in block])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            queries = [(g, i, c, np.frombuffer(p, np.uint64)) for g, i, c, p in sent.value]
-            token = np.concatenate([q[3] for q in queries])
-            owner = np.repeat(np.arange(len(queries)), [len(q[3]) for q in queries])
-            order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
-            sizes, group, ids, part = (np.array(x) for x in ([len(q[3]) for q in queries], *([q[j] for q in queries] for j in range(3))))
-            for batch in batches:
-                u, v = [], []
-                for g, i, p in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                    mine = np.frombuffer(p, np.uint64)
-                    lo, hi = np.searchsorted(token, mine, "left"), np.searchsorted(token, mine, "right")
-                    shared = np.bincount(owner[spread(lo, hi - lo)], minlength=len(queries))
-                    link = np.flatnonzero((group == g) & (ids != i) & (shared > 0) & (100 * shared >= percent * (sizes + len(mine) - shared)))
-                    link = link[np.unique(part[link], return_index=True)[1]]  # one link to each component is enough
-                    u += [i] * len(link)
-                    v += ids[link].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        found = rows.select("group", "doc_id", "packed").mapInArrow(run, "u long, v long")
-        links = steps.stored(links.unionAll(found), "links")
-
-
-def _placed(texts: DataFrame, steps: Steps, shingle: int, percent: int, group_shingles: int, block_rows: int) -> DataFrame:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                mine, theirs = ([values[a:z] for _, _, values, cut in _sets_of(part.column(c), shingle) for a, z in zip(cut[:-1], cut[1:], strict=True)] for c in (2, 3))
+                shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(mine, theirs, strict=True)])
+                total = np.array([len(x) + len(y) for x, y in zip(mine, theirs, strict=True)])
+                yield part.select(["u", "v"]).filter(pa.array((shared > 0) & (100 * shared >= percent * (total - shared))))
+
+    return steps.stored(both.select("u", "v", "mine", "theirs").mapInArrow(run, "u long, v long"), "links")
+
+
+def _links(texts: DataFrame, steps: Steps, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) that join all linked texts of rows (doc_id, text)."""
+    rows = _signed(texts, shingle, percent)
+    # Signatures of one node are done; neighbours are seen while rows stream by in order.
+    several = F.expr("lead(node) over (partition by signature order by node) != node or lag(node) over (partition by signature order by node) != node")
+    lists = steps.stored(rows.withColumn("several", several).filter("several").select("signature", "node"), "lists")
+    bits = steps.stored(_bitmaps(flagged(texts, lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id").filter("__maybe").drop("__maybe"), shingle, percent), "bits")
+    lists = lists.withColumn("band", F.col("signature").bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
+    # A running first value: nothing is held for a signature.
+    first = F.expr("first_value(node) over (partition by signature order by node rows between unbounded preceding and current row)")
+    starred = lists.withColumn("first", first).filter("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"), "band").distinct()
+    side = lambda name: bits.select(F.col("node").alias(name), "band", F.struct("n", "bits").alias(f"{name}_set"))
+    starred = starred.join(side("u"), ["u", "band"]).join(side("v"), ["v", "band"]).filter(_near("u_set", "v_set", percent))
+    found = _verified(starred.select("u", "v"), texts, steps, shingle, percent)
+    roots = components(found, steps)
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # The exact rest: pairs of a signature in different components.
+    mixed = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("signature")
+    rest = placed.join(mixed, "signature", "left_semi").join(bits, ["node", "band"])
+    rest = steps.stored(rest, "rest")
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.signature = b.signature and a.node < b.node and a.root != b.root and {_near('a', 'b', percent)}"))
+    more = _verified(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts, steps, shingle, percent)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more)
+
+
+def _placed(texts: DataFrame, steps: Steps, shingle: int, percent: int) -> DataFrame:
     """(doc_id, content, n_shingles, component_id) of rows (doc_id, content, text)."""
     keys = steps.stored(_keys(texts, shingle), "keys")
-    node = keys.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
+    node = keys.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     node = steps.stored(node, "nodes")
-    rows = _signed(texts.filter("doc_id is not null").select("doc_id", "text"), shingle, percent)
-    # A running minimum in a signature's order is its first node; nothing is buffered for a group.
-    first = F.expr("first_value(node) over (partition by signature order by node rows between unbounded preceding and current row)")
-    edges = rows.select("node", first.alias("first")).filter("node > first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
-    grouped = components(edges, steps)
-    grouped = grouped.unionAll(grouped.select(F.col("root").alias("node"), "root").distinct())
-    # Of equal sets only one is compared.
-    grouped = steps.stored(grouped.join(node.select("node", "n"), "node"), "groups")
-    weight = grouped.groupBy("root").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("root", F.col("n").alias("weight"))
-    member = steps.stored(grouped.join(weight, "root").select(F.col("root").alias("group"), F.col("node").alias("doc_id"), (F.col("weight") > group_shingles).alias("large")).distinct(), "member")
-    near = flagged(texts.filter("doc_id is not null").select("doc_id", "text"), member, "doc_id").filter("__maybe").drop("__maybe")
-    found = steps.stored(member.join(near, "doc_id").select("group", "doc_id", "text", "large"), "texts")
-    roots = _groups(found.filter("not large").select("group", "doc_id", "text"), shingle, percent)
-    if not member.filter("large").isEmpty():
-        roots = roots.unionAll(_large_groups(found.filter("large").select("group", "doc_id", "text"), steps, shingle, percent, block_rows, group_shingles))
+    # Of equal sets only one signs.
+    copies = steps.stored(keys.filter("doc_id is not null and n_shingles > 0").select("doc_id").distinct().join(node.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    mine = flagged(texts.filter("doc_id is not null").select("doc_id", "text"), copies, "doc_id")
+    own = mine.filter("not __maybe").unionAll(mine.filter("__maybe").join(copies, "doc_id", "left_anti").select(*mine.columns)).drop("__maybe")
+    links = _links(own, steps, shingle, percent)
     placed = keys.join(node.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left")
     # A document id that stands for several sets joins them, as rows with one id are one document.
     several = keys.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z")).filter("a < z").select("doc_id")
     same = placed.filter("node != doc_id").join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = components(roots.select(F.col("doc_id").alias("u"), F.col("root").alias("v")).unionAll(same), steps)
+    roots = components(links.unionAll(same), steps)
     placed = placed.join(roots, "node", "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node"))
     return stored(placed.select("doc_id", "content", "n_shingles", F.coalesce(alone, "doc_id").alias("component_id")), "placed")
 
 
-def jaccard_components(
-    docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     with Steps(docs.sparkSession) as steps:
-        placed = _placed(texts, steps, shingle, percent, group_shingles, block_rows)
+        placed = _placed(texts, steps, shingle, percent)
     return placed.select("doc_id", "n_shingles", "component_id")
 
 
@@ -317,7 +277,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     with Steps(docs.sparkSession) as steps:
-        placed = _placed(texts, steps, shingle, percent, GROUP_SHINGLES, BLOCK_ROWS)
+        placed = _placed(texts, steps, shingle, percent)
     gone = placed.filter("doc_id != component_id").select("doc_id").distinct()
     repeated = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     # Few ids are either, so that most texts aren't shuffled.
