@@ -76,7 +76,7 @@ def flagged(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """
     slots = 1 << 10
     count = ids.count()
-    while slots < MOST_SLOTS and slots * 8 < count:
+    while slots < MOST_SLOTS and slots * 4 < count:
         slots *= 2
     bit = f"cast(pmod(shiftright(xxhash64({column}), 32), 64) as int)"
     slot = F.expr(f"pmod(xxhash64({column}), {slots})").alias("__slot")

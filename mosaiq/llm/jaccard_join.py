@@ -283,7 +283,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     # Few ids are either, so that most texts aren't shuffled.
     mine = flagged(docs, gone.unionAll(repeated), "doc_id")
     open_rows = mine.filter("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti")
-    order = [F.col("text"), F.to_json(F.struct(*docs.columns))]
+    order = [F.col("text"), F.to_json(F.struct(*(c for c in docs.columns if c != "text")))]
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     one = open_rows.withColumn("__row", first).filter("__row = 1").select(*docs.columns)
     return mine.filter("not __maybe").select(*docs.columns).unionAll(one)
