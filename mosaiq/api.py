@@ -79,6 +79,8 @@ def _entry_points(letter: str) -> dict[str, Callable]:
         f"p{letter}{kind}evd_partial_spectrum": lambda uplo, a, first, last: solver(uplo, a, first - 1, last),
         f"{'hermitian' if kind == 'he' else 'symmetric'}_generalized_eigensolver_{letter}": generalized,
         f"{'hermitian' if kind == 'he' else 'symmetric'}_generalized_eigensolver_factorized_{letter}": lambda uplo, a, b, *range_: generalized(uplo, a, b, *range_, factorized=True),
+        f"{'hermitian' if kind == 'he' else 'symmetric'}_generalized_eigensolver_partial_spectrum_{letter}": generalized,
+        f"{'hermitian' if kind == 'he' else 'symmetric'}_generalized_eigensolver_partial_spectrum_factorized_{letter}": lambda uplo, a, b, *range_: generalized(uplo, a, b, *range_, factorized=True),
         f"p{letter}{kind}gvd": lambda uplo, a, b: generalized(uplo, a, b),
         f"p{letter}{kind}gvd_partial_spectrum": lambda uplo, a, b, first, last: generalized(uplo, a, b, first - 1, last),
         f"p{letter}{kind}gvd_factorized": lambda uplo, a, b: generalized(uplo, a, b, factorized=True),

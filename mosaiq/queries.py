@@ -6,6 +6,7 @@ of integers and dyadic numbers are exact in any order; other results are rounded
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -329,6 +330,102 @@ def _index_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("index_operations", _index_operations, "SELECT idx, idx::DOUBLE AS sorted, ((idx * 7) % 25)::DOUBLE AS restored, (idx * 18) % 25 + 100 AS src FROM range(25) t(idx)")
 
 
+# -- complex matrices, sizes and residuals ---------------------------------------------
+
+
+def _both_parts(a: TiledMatrix, digits: int = 7) -> DataFrame:
+    return a.to_coo().select("i", "j", *((F.round(c, digits) + F.lit(0.0)).alias(c) for c in ("re", "im")))
+
+
+def _turned(size: Callable, angle: Callable) -> Callable:
+    return lambda i, j: size(i, j) * np.exp(1j * angle(i, j))
+
+
+def _complex_gemm(spark: SparkSession, m: int, n: int, k: int, mb: int, nb: int, kb: int, opa: str = "N") -> TiledMatrix:
+    """2 op(A) B + C / 2 for the closed form of elements (i + 1) / (k + 1/2) and (k + 1/2) / (j + 2), turned by angles."""
+    left = _turned(lambda i, l: 0.9 * (i + 1) / (l + 0.5), lambda i, l: 2 * i - l)
+    stored = {"N": (m, k, mb, kb, left), "C": (k, m, kb, mb, lambda l, i: np.conj(left(i, l))), "T": (k, m, kb, mb, lambda l, i: left(i, l))}[opa]
+    a = generators.from_function(spark, *stored, dtype="z")
+    b = generators.from_function(spark, k, n, kb, nb, _turned(lambda l, j: 0.8 * (l + 0.5) / (j + 2), lambda l, j: l + j), dtype="z")
+    c = generators.from_function(spark, m, n, mb, nb, _turned(lambda i, j: 1.2 * i / (j + 1), lambda i, j: j - i), dtype="z")
+    return multiply.gemm(a, b, 2, 0.5, c, opa=opa)
+
+
+def _complex_gemm_sql(m: str, n: str, k: str, digits: int = 7) -> str:
+    part = "round(0.6 * i / (j + 1) * {0}(j - i) + 1.44 * {1} * (i + 1) / (j + 2) * {0}(2 * i + j), {2}) + 0.0"
+    return f"i, j, {part.format('cos', k, digits)} AS re, {part.format('sin', k, digits)} AS im FROM range({m}) a(i), range({n}) b(j)"
+
+
+for _op in "NTC":
+    _register(f"gemm_complex_{_op.lower()}", lambda s, d, o=_op: _both_parts(_complex_gemm(s, 19, 13, 11, 6, 4, 5, o)), f"SELECT {_complex_gemm_sql('19', '13', '11')}")
+
+# Sizes (m, n, k) and tiles (mb, nb, kb).
+_GEMM_SIZES = [(26, 13, 0, 3, 6, 2), (3, 3, 3, 3, 3, 3), (8, 8, 11, 10, 9, 13), (3, 2, 4, 1, 1, 1), (6, 9, 8, 2, 3, 4), (21, 21, 21, 3, 4, 5), (12, 20, 11, 3, 4, 5), (8, 8, 11, 3, 3, 5), (0, 13, 7, 3, 6, 2), (26, 0, 7, 3, 6, 2)]
+
+
+def _gemm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [_both_parts(_complex_gemm(spark, *size)).select(F.lit(k).cast("long").alias("size"), "i", "j", "re", "im") for k, size in enumerate(_GEMM_SIZES)]
+    return functools.reduce(DataFrame.unionAll, cases)
+
+
+_register("gemm_sizes", _gemm_sizes, " UNION ALL ".join(f"SELECT {k}::BIGINT AS size, {_complex_gemm_sql(*map(str, size[:3]))}" for k, size in enumerate(_GEMM_SIZES)))
+
+
+def _complex_spd(spark: SparkSession, n: int, nb: int) -> TiledMatrix:
+    return generators.from_function(spark, n, n, nb, nb, _turned(lambda i, j: (4.0 ** (np.minimum(i, j) + 1) - 1) / (3 * 2.0 ** (i + j)), lambda i, j: j - i), dtype="z")
+
+
+# Orders and tiles.
+_SQUARE_SIZES = [(5, 8), (4, 3), (16, 10), (34, 13), (32, 5)]
+
+
+def _potrf_sizes(spark: SparkSession, sf_dir: str, uplo: str) -> DataFrame:
+    inside = "i >= j" if uplo == "L" else "i <= j"
+    cases = [_both_parts(factor.potrf(uplo, _poisoned(_complex_spd(spark, n, nb), uplo), "tiles")).filter(inside).select(F.lit(n).cast("long").alias("n"), "i", "j", "re", "im") for n, nb in _SQUARE_SIZES]
+    return functools.reduce(DataFrame.unionAll, cases)
+
+
+for _uplo, _word, _inside in (("L", "lower", "i >= j"), ("U", "upper", "i <= j")):
+    _register(
+        f"potrf_complex_{_word}",
+        lambda s, d, u=_uplo: _potrf_sizes(s, d, u),
+        " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, i, j, round({_T.format('i', 'j')} * cos(j - i), 7) + 0.0 AS re, round({_T.format('i', 'j')} * sin(j - i), 7) + 0.0 AS im FROM range({n}) a(i), range({n}) b(j) WHERE {_inside}" for n, _ in _SQUARE_SIZES),
+    )
+
+
+def _complex_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X from Aᴴ X = Aᴴ X for a lower triangle A, solved by tiles."""
+    a = _poisoned(generators.from_function(spark, N, N, NB, NB, _turned(lambda i, j: 3.0 * 2.0 ** -abs(i - j), lambda i, j: i - 2 * j), dtype="z"), "L")
+    x = generators.from_function(spark, N, 9, NB, 4, _turned(lambda i, j: (i + 2.0 * j) % 5 - 1, lambda i, j: i + j), dtype="z")
+    return _both_parts(solve.trsm("L", "L", "C", "N", a, multiply.trmm("L", "L", "C", "N", a, x), 1, "tiles"))
+
+
+_register("trsm_complex_llc", _complex_solved, f"SELECT i, j, round(((i + 2 * j) % 5 - 1) * cos(i + j), 7) + 0.0 AS re, round(((i + 2 * j) % 5 - 1) * sin(i + j), 7) + 0.0 AS im FROM range({N}) a(i), range(9) b(j)")
+
+
+def _residual(factorized: bool, strategy: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, b = _laplace(spark), _spd(spark).retile(10, 10)
+        e = eigen.hegvd("L", a, factor.potrf("L", b) if factorized else b, factorized=factorized, strategy=strategy)
+        return _coo(multiply.add(multiply.gemm(a, e.vectors), multiply.scale_columns(multiply.gemm(b, e.vectors), e.values), -1), 7)
+
+    return run
+
+
+_ZERO = f"SELECT i, j, 0::DOUBLE AS re FROM range({N}) a(i), range({N}) b(j)"
+_register("sygvd_residual", _residual(False, None), _ZERO)
+_register("sygvd_residual_factorized", _residual(True, None), _ZERO)
+_register("sygvd_residual_staged", _residual(False, "tiles"), _ZERO)
+for _n in (93, 100):
+    _values = f"SELECT k AS idx, round(2 * (1 - cos(pi() * (k + 1) / {_n + 1})), 8) AS value FROM range({_n}) t(k)"
+    _register(f"stedc_laplace_{_n}", lambda s, d, n=_n: _rounded(eigen.tridiagonal_eigensolver(s, np.full(n, 2.0), np.full(n - 1, -1.0)).values), _values)
+    _register(
+        f"syevd_staged_{_n}",
+        lambda s, d, n=_n: _rounded(eigen.heevd("L", generators.from_function(s, n, n, 20, 20, lambda i, j: np.where(i == j, 2.0, np.where(abs(i - j) == 1, -1.0, 0.0))), strategy="tiles", band=10).values),
+        _values,
+    )
+
+
 def _kernel_checks() -> list[tuple[str, bool]]:
     rng = np.random.default_rng(1)
     a, b, c = (rng.standard_normal((9, 9)) + 1j * rng.standard_normal((9, 9)) for _ in range(3))
