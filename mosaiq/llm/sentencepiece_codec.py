@@ -6,9 +6,9 @@ byte span of the original text that it covers.
 
 Where the model's map is the identity, extra blanks are kept and no piece has a blank after another
 character (checked on the model when it is loaded), a merge can't cross from a word to the blank that
-follows it. A text without that blank sign is then the exact concatenation of units "blanks + word", so a unit is segmented once
-and remembered; memory is bounded by ``MEMO_UNITS`` and a text of any length is never held as a lattice.
-Any other model goes through the general path, a whole text at a time.
+follows it. A text without that blank sign is then the exact concatenation of units "blanks + word", so a unit is
+normalised and segmented once and remembered with its alignment; memory is bounded by ``MEMO_UNITS`` and a text of any
+length is never held as a lattice. Any other model goes through the general path, a whole text at a time.
 
 Defined results: a null text is an empty one; an empty text has only the begin and end ids; repeated rows
 give repeated results; other columns of the input are ignored.
@@ -226,6 +226,7 @@ class Codec:
         self.sizes = np.array([1 if t == 6 else len(p.encode()) for p, t in zip(self.model.pieces, self.model.types, strict=True)], np.int64)
         self.bos, self.eos = self.processor.bos_id(), self.processor.eos_id()
         self.by_words = self.model.splits_at_words
+        self.unknown = self.processor.unk_id()
         self.blank = self.model.pieces.index(BLANK) if BLANK in self.model.pieces else -1
         self.forget()
 
@@ -235,38 +236,39 @@ class Codec:
         self.flat = Grown(3)  # id, begin, end
 
     def _learn(self, units: list[str]) -> None:
-        """Segment new units. A unit's own blank stands where the dummy prefix is put."""
-        plain = [u for u in units if u and " " not in u]
-        for unit in units:
-            if not unit:  # a single blank at the end of a text
-                self._add([unit], [[self.blank]], [np.array([0, 0, 0, 1])])
-            elif " " in unit:
-                source = np.frombuffer((" " + unit).encode(), np.uint8)
-                origin = np.concatenate((np.repeat(np.arange(len(source)), np.where(source == 0x20, 3, 1)), [len(source)]))
-                self._add([unit], [self.processor.encode(unit)], [origin])
-        if plain:
-            self._add(plain, self.processor.encode(plain, num_threads=1), None)
-
-    def _add(self, units: list[str], ids: list[list[int]], origins: list[np.ndarray] | None) -> None:
+        """Normalise and segment new units. A unit's own blank stands where the dummy prefix is put."""
+        some = [u for u in units if u]
+        ids = self.processor.encode(some, num_threads=1) if some else []
+        sizes: list = [None] * len(some)
+        for k, found in enumerate(ids):
+            if self.unknown in found:  # an unknown piece is as long as its text
+                proto = self.processor.encode(some[k], return_type="proto")
+                ids[k], sizes[k] = self._pieces(proto)
+        # The prefix comes from the blank before the unit, all else lies one byte further on.
+        origins = [np.concatenate((np.zeros(3, np.int64), self.model.normalize(u)[1][3:] + 1)) for u in some]
+        if len(some) < len(units):  # a single blank at the end of a text
+            some, ids, sizes, origins = [*some, ""], [*ids, [self.blank]], [*sizes, None], [*origins, np.array([0, 0, 0, 1])]
+        self._add(some, ids, sizes, origins)
+
+    def _pieces(self, proto: object) -> tuple[list[int], np.ndarray]:
+        return [p.id for p in proto.pieces], np.array([1 if self.model.types[p.id] == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
+
+    def _add(self, units: list[str], ids: list[list[int]], sizes: list[np.ndarray | None], origins: list[np.ndarray]) -> None:
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(count.sum()))
-        size = np.cumsum(self.sizes[flat])
-        last = np.cumsum(count)
-        base = np.where(last > count, size[np.maximum(last - count - 1, 0)], 0)
-        end = size - np.repeat(base, count)
-        begin = end - self.sizes[flat]
-        width = size[last - 1] - base - 2  # the first blank has three bytes when normalised, and one in the text
-        if origins is None:
-            if int(width.sum()) != len("".join(units).encode()) + len(units):
-                raise ValueError("pieces do not spell the normalised text")
-            begin, end = np.maximum(begin - 2, 0), end - 2
-        else:
-            if int(end[-1]) != len(origins[0]) - 1:
-                raise ValueError("pieces do not spell the normalised text")
-            begin, end, width = origins[0][begin], origins[0][end], origins[0][-1:]
+        last, each = np.cumsum(count), self.sizes[flat]
+        for k in (k for k, own in enumerate(sizes) if own is not None):
+            each[last[k] - count[k] : last[k]] = sizes[k]
+        size = np.concatenate(([0], np.cumsum(each)))
+        base, length = size[last - count], np.fromiter(map(len, origins), np.int64, len(origins))
+        if (size[last] - base != length - 1).any():
+            raise ValueError("pieces do not spell the normalised text")
+        every, start = np.concatenate(origins), np.cumsum(length) - length
+        shift = np.repeat(start - base, count)
+        begin, end = every[size[:-1] + shift], every[size[1:] + shift]
         at = self.units.size
         self.memo.update(zip(units, range(at, at + len(units)), strict=True))
-        self.units.extend([self.flat.size + last - count, count, width])
+        self.units.extend([self.flat.size + last - count, count, every[start + length - 1]])
         self.flat.extend([flat, begin, end])
 
     def encode(self, text: str) -> Encoded:
@@ -311,8 +313,8 @@ class Codec:
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         normal, origin = self.model.normalize(text)
         proto = self.processor.encode(text, return_type="proto")
-        ids = np.array([p.id for p in proto.pieces], np.int64)
-        sizes = np.array([1 if self.model.types[p.id] == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        ids, sizes = self._pieces(proto)
+        ids = np.array(ids, np.int64)
         at = np.r_[0, np.cumsum(sizes)].astype(np.int64)
         if int(at[-1]) != len(normal):
             raise ValueError("pieces do not spell the normalised text")

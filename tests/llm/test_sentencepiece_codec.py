@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 
 from mosaiq.llm.queries import tokenizer
-from mosaiq.llm.sentencepiece_codec import CharsMap, Codec, Model, encode_documents
+from mosaiq.llm.sentencepiece_codec import CharsMap, Codec, Model, _fields, encode_documents
 
 PATH = tokenizer("piece_bpe_32k.model")
 ODD = [None, "", " ", "  ", "a ", "a  ", " a", "   a  b   ", "\n \n", "▁a ▁ b", "x\0y 😀 漢字 �", "é é", "a\tb  c\r\n", "</s> <unk> <0x41>", "▁", "word " * 4000]
@@ -100,3 +100,43 @@ def test_forgotten_units_are_learned_again(monkeypatch, size):
     codec = Codec(PATH)
     for text in ["a b c d e", "f g h a", "a b"]:
         assert codec.encode(text)[0].tolist() == codec.processor.encode(text, add_bos=True, add_eos=True)
+
+
+def with_map(path, blob):
+    """The model's file with another character map, and blanks kept as they are."""
+
+    def field(number, data):
+        size, out = len(data), bytes([number << 3 | 2])
+        while size > 127:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return out + bytes([size]) + data
+
+    model = b"".join(field(1, v) for n, v in _fields(open(path, "rb").read()) if n == 1)
+    others = {n: v for n, v in _fields(open(path, "rb").read()) if n != 1}
+    return model + field(2, others[2]) + field(3, field(1, b"own") + field(2, blob) + bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1]))
+
+
+def test_model_with_a_map_equals_the_library(tmp_path):
+    blob = trie([(b"A", b"a"), (b"B", b"b"), (b"ffi", b"f f i"), ("é".encode(), b"e"), ("ﬁ".encode(), b"fi"), (b"\t", b" "), ("\u200b".encode(), b"")])
+    path = tmp_path / "mapped.model"
+    path.write_bytes(with_map(PATH, blob))
+    codec, library = Codec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert not codec.by_words and not codec.model.charsmap.identity
+    for text in ["A Bad office", "caf\té ﬁne", "x\u200by Bé", "ABAB", "the ﬁsh  Été", *(t for t in texts(80) if t.strip(" \u200b"))]:
+        ids, begin, end = codec.encode(text)
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True)
+        normal, _ = codec.model.normalize(text)
+        assert normal.decode() == library.normalize(text).replace(" ", "▁")
+        source = text.encode()
+        assert begin[1] == 0 and end[-2] == len(source) and (begin[2:-1] == end[1:-2]).all() and (end >= begin).all()
+        for a, z, piece in zip(begin[1:-1], end[1:-1], library.encode(text, return_type="proto").pieces, strict=True):
+            if piece.surface and "�" not in piece.surface and source[a:z].decode(errors="replace").isascii() and piece.surface.isascii() and piece.piece[-1] != "▁":
+                assert source[a:z].decode() == piece.surface
+
+
+def test_unknown_pieces_have_their_texts_length():
+    codec = Codec(PATH)
+    kept = codec.encode("plain words")
+    codec.unknown = int(kept[0][1])  # as if the first piece were unknown
+    codec.forget()
+    assert all((x == y).all() for x, y in zip(codec.encode("plain words"), kept, strict=True))
