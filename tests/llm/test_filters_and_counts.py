@@ -100,3 +100,20 @@ def test_registered_totals_are_those_of_the_whole_table(spark):
     direct = count_tokens(spark.read.parquet(f"{place}/documents.parquet"), versions).groupBy("source", "lang", "tokenizer").agg(F.count("*"), F.sum("n_tokens"))
     got = QUERIES["op3_token_counts"](spark, place)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, direct.collect())))
+
+
+def test_counts_equal_the_libraries(spark):
+    import base64
+
+    import sentencepiece
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    texts = ["one two three", None, "", "  two  blanks ", "fünf 漢字 \n\t", "long " * 30000]
+    docs = spark.createDataFrame([(k, "s", None, t, 7) for k, t in enumerate(texts)], "doc_id long, source string, lang string, text string, n_tokens int")
+    got = {(r.doc_id, r.tokenizer): r.n_tokens for r in count_tokens(docs, VERSIONS).collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=VERSIONS["pieces"][1])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VERSIONS["ranks"][1], "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert got == {(k, "pieces"): len(pieces.encode(t or "")) for k, t in enumerate(texts)} | {(k, "ranks"): len(coder.encode_ordinary(t or "")) for k, t in enumerate(texts)}
+    assert count_tokens(docs.limit(0), VERSIONS).collect() == []
