@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each over all that the one before it kept."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+Defined results: a null text is an empty one, and goes only if the classifier rejects it; rows without an id are judged
+by their own texts and stay where a stage works by ids (lines, near duplicates); rows that share an id are one document
+for these two, and the one with the smallest text stays; ties go to the smallest id. Other columns pass, whatever their
+names, up to the last stage. An empty table passes as one.
+"""
 
 from __future__ import annotations
 
