@@ -8,9 +8,9 @@ a chance of 0.08 %.
 
 Pairs of a band's bucket are verified exactly. What is looked at first is a bitmap in which each shingle of a
 set flips a bit: the bits in which two bitmaps differ are at most as many as the shingles in which the sets differ, so
-a pair with too many can't be similar, and no similar pair is lost. First each line is compared with its bucket's first
-line and the links are united; then the lines of a bucket that lie in different components are joined under that
-bound, and only pairs within it are compared by their texts. Components come from distributed union-find.
+a pair with too many can't be similar, and no similar pair is lost. First each line is compared with a centre of each
+of its buckets, in four rounds with different centres, and the links are united; then the lines of a bucket that lie in
+different components are joined under that bound, and only pairs within it are compared by their texts. Components come from distributed union-find.
 
 Of each component of lines the first occurrence stays (smallest doc_id, then smallest line number).
 
@@ -33,6 +33,8 @@ from .graph import components
 BANDS, ROWS = 7, 2
 #: One for each two minima.
 SEEDS = random.Random(5).sample(range(1 << 62), -(-BANDS * ROWS // 2))
+#: Rounds in which lines are compared with a centre of each of their buckets.
+CENTRE_ROUNDS = 4
 #: 64-bit words of a set's bitmap, a power of two.
 BITMAP = 16
 
@@ -118,18 +120,21 @@ def line_components(docs: DataFrame, steps: Steps, width: int = 12, percent: int
     texts = flagged(lines_of(docs), wanted, "line").filter("__maybe").groupBy("line").agg(F.first("plain").alias("plain"))
     texts = steps.stored(texts.join(wanted, "line", "left_semi"), "texts")
     labelled = steps.stored(buckets.join(_bitmaps(texts, width), "line"), "labelled")
-    # A running first value: nothing is held for a bucket.
-    first = "first_value(struct(line, bits)) over (partition by bucket order by line rows between unbounded preceding and current row)"
-    starred = labelled.withColumn("c", F.expr(first)).filter("line != c.line").filter(_near("bits", "c.bits", percent))
-    found = _verified(starred.select(F.col("line").alias("u"), F.col("c.line").alias("v")).distinct(), texts, steps, width, percent)
-    roots = components(found, steps)
-    placed = labelled.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    # The exact rest: pairs of a bucket in different components.
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    rest = steps.stored(placed.join(mixed, "bucket", "left_semi"), "rest")
+    rest, links = labelled.withColumn("root", F.col("line")), None
+    for turn in range(CENTRE_ROUNDS):
+        # The order differs by bucket and round, so a line meets many centres. A running first value: nothing is held.
+        centre = f"first_value(struct(line, root, bits)) over (partition by bucket order by xxhash64(line, bucket, {turn}), line rows between unbounded preceding and current row)"
+        starred = rest.withColumn("c", F.expr(centre)).filter("root != c.root").filter(_near("bits", "c.bits", percent))
+        found = _verified(starred.select(F.greatest("line", "c.line").alias("u"), F.least("line", "c.line").alias("v")).distinct(), texts, steps, width, percent)
+        roots = components(found if links is None else links.unionAll(found), steps)
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        placed = labelled.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+        # What is left: buckets whose lines lie in different components.
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+        rest = steps.stored(placed.join(mixed, "bucket", "left_semi"), "rest")
     pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.bucket = b.bucket and a.line < b.line and a.root != b.root and {_near('a.bits', 'b.bits', percent)}"))
     more = _verified(pairs.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")).distinct(), texts, steps, width, percent)
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more), steps)
+    return components(links.unionAll(more), steps)
 
 
 def _dropped(docs: DataFrame, steps: Steps, width: int, percent: int) -> DataFrame:
