@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import documents, sha_of_text
-from .oracles import URL_FILTERS_SQL, quality_rules_sql
+from .oracles import HARD_NEGATIVES_SQL, URL_FILTERS_SQL, quality_rules_sql
 
 #: Where the public tokenizers' files are; a parameter of the operators that need one.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -121,5 +121,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_url_filters": op2_url_filters, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_html_extraction": op8_html_extraction}
-ORACLES: dict[str, str] = {"op2_url_filters": URL_FILTERS_SQL, "op10_quality_rules": quality_rules_sql()}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import SCORE, THRESHOLD, held_out, score_documents, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_url_filters": op2_url_filters, "op3_token_counts": op3_token_counts, "op4_decontamination": op4_decontamination, "op9_jaccard_join": op9_jaccard_join, "op7_substring_dedup": op7_substring_dedup, "op5_line_dedup": op5_line_dedup, "op10_quality_rules": op10_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_html_extraction": op8_html_extraction, "op11_toxicity": op11_toxicity, "op12_embedding_whitening": op12_embedding_whitening, "op13_hard_negatives": op13_hard_negatives}
+ORACLES: dict[str, str] = {"op2_url_filters": URL_FILTERS_SQL, "op10_quality_rules": quality_rules_sql(), "op13_hard_negatives": HARD_NEGATIVES_SQL}

@@ -124,6 +124,11 @@ def _word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _MUL)
 
 
+def prefix_hashes(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of words that are longer; no word has the hash of its own prefix."""
+    return mix(_word_hashes(text, starts, starts + size) + SEQ_B)
+
+
 @dataclass
 class Words:
     """Words of a slice of documents: byte ranges in ``data``, document of each, 64-bit hashes."""
