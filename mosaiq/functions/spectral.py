@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 from .kernels import full, householder_panel, larfg, larft
@@ -106,63 +108,129 @@ def merge_order(leaves: int) -> list[tuple[int, int, int]]:
     return below(0, leaves)
 
 
-def secular_roots(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
-    """Roots of 1 + rho Σ z²/(d - x) = 0 for ascending d and rho > 0, all at once.
+def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Roots lo..hi of 1 + rho Σ z²/(d - x) = 0 for ascending d and rho > 0: the nearer pole's index and the distance from it.
 
-    A root is kept as its distance to the nearer pole, so the differences d_i - x keep their relative
-    precision; bisection on that distance, in all intervals side by side. Gives the origins' differences
-    matrix (d_i - x_j) and the roots.
+    Root j lies between poles j and j + 1. Each step fits one pole on either side to the value and the slope of the sums left
+    and right of the root, and solves that for the next point; one outside of the bracket gives way to the bracket's middle.
+    The distance to the pole keeps its relative precision, so the differences d_i - x do too.
     """
-    k = len(d)
-    upper = np.append(d[1:], d[-1] + rho * (z @ z))
-    half = (upper - d) / 2
-    middle = 1 + rho * ((z**2)[:, None] / (d[:, None] - (d + half)[None, :])).sum(axis=0)
-    left = middle >= 0  # the root lies in the left half
-    left[-1] = True
-    origin = np.where(left, d, upper)
-    lo, hi = np.where(left, 0.0, -half), np.where(left, np.where(np.arange(k) == k - 1, upper - d, half), 0.0)
-    gap = d[:, None] - origin[None, :]
-    for _ in range(110):
-        # Geometric steps near the pole, so the relative precision of tiny distances is kept.
-        same, small = lo * hi > 0, np.maximum(abs(lo), abs(hi)) * 1e-18
-        a, z_ = np.where(same, abs(lo), np.where(left, small, abs(lo))), np.where(same, abs(hi), np.where(left, abs(hi), small))
-        mid = np.where(left, 1.0, -1.0) * np.sqrt(np.maximum(a, 1e-300) * np.maximum(z_, 1e-300))
-        with np.errstate(divide="ignore", over="ignore"):
-            f = 1 + rho * ((z**2)[:, None] / (gap - mid[None, :])).sum(axis=0)
-        lo, hi = np.where(f < 0, mid, lo), np.where(f < 0, hi, mid)
-    x = (lo + hi) / 2
-    return gap - x[None, :], origin + x
+    j, k, squares = np.arange(lo, hi), len(d), rho * z**2
+    top = d[-1] + squares.sum()
+    right = np.minimum(j + 1, k - 1)
+    upper = np.where(j + 1 < k, d[right], top)
+    left_side = np.arange(k)[None, :] <= j[:, None]
+
+    def parts(origin: np.ndarray, x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sums and slopes of the poles left and right of the roots."""
+        gap = (d[None, :] - origin[:, None]) - x[:, None]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            value = squares / gap
+            slope = value / gap
+        near = left_side[rows]
+        return (*(np.where(near, v, 0).sum(axis=1) for v in (value, slope)), *(np.where(near, 0, v).sum(axis=1) for v in (value, slope)))
+
+    half = (upper - d[j]) / 2
+    below, _, above, _ = parts(d[j], half, j - lo)
+    to_left = (1 + below + above >= 0) | (j == k - 1)
+    pole = np.where(to_left, j, right)
+    origin = d[pole]
+    low = np.where(to_left, 0.0, -half)
+    high = np.where(to_left, np.where(j == k - 1, upper - d[j], half), 0.0)
+    x = (low + high) / 2
+    live, eps = np.arange(len(j)), np.finfo(float).eps
+    for step in range(200):
+        below, below_slope, above, above_slope = parts(origin[live], x[live], live)
+        f, here = 1 + below + above, x[live]
+        low[live], high[live] = np.where(f < 0, here, low[live]), np.where(f < 0, high[live], here)
+        error = eps * (1 + 8 * (np.abs(below) + np.abs(above)) + np.abs(here) * (below_slope + above_slope))
+        width = high[live] - low[live]
+        open_ = (np.abs(f) > error) & (width > 2 * eps * np.abs(here))
+        live, f, here = live[open_], f[open_], here[open_]
+        if not len(live):
+            break
+        below_slope, above_slope = below_slope[open_], above_slope[open_]
+        near = (d[j[live]] - origin[live]) - here
+        far = (d[right[live]] - origin[live]) - here
+        last = j[live] == k - 1
+        c = f - near * below_slope - np.where(last, 0, far * above_slope)
+        a, b = (near + far) * f - near * far * (below_slope + above_slope), near * far * f
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
+            move = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
+            move = np.where(last, near + near * near * below_slope / c, move)
+        following = here + move
+        lo_, hi_ = low[live], high[live]
+        inside = np.isfinite(following) & (following > lo_) & (following < hi_)
+        # Where one end is the pole itself, the middle is a geometric one.
+        small, large = np.minimum(np.abs(lo_), np.abs(hi_)), np.maximum(np.abs(lo_), np.abs(hi_))
+        middle = np.where(small > 0, np.sqrt(small * large), large * (0.5 if step < 8 else 1e-3)) * np.where(to_left[live], 1.0, -1.0)
+        x[live] = np.where(inside & (step < 60), following, np.where((middle > lo_) & (middle < hi_), middle, (lo_ + hi_) / 2))
+    return pole, x
+
+
+def weight_logs(d: np.ndarray, rho: float, lo: int, pole: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pole i, the log of the roots' share in its weight: Π |root_j - d_i| / |d_j - d_i| (without the divisor at j = i)."""
+    roots = np.arange(lo, lo + len(pole))
+    gap = np.abs((d[:, None] - d[pole][None, :]) - x[None, :])
+    apart = np.abs(d[:, None] - d[roots][None, :])
+    apart[roots, roots - lo] = rho
+    return np.log(gap / apart).sum(axis=1)
 
 
-def merge(d: np.ndarray, q: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenpairs of Q (diag(d) + rho z zᵀ) Qᵀ; Cuppen's merge with deflation."""
-    if rho < 0:
-        values, vectors = merge(-d[::-1], q[:, ::-1], z[::-1], -rho)
-        return -values[::-1], vectors[:, ::-1]
+def secular_roots(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
+    """All roots: the differences' matrix (d_i - x_j), and the roots."""
+    pole, x = secular_range(d, z, rho, 0, len(d))
+    return (d[:, None] - d[pole][None, :]) - x[None, :], d[pole] + x
+
+
+class Deflated(NamedTuple):
+    """Poles and weights in ascending order after deflation; ``rotations`` are (p, i, c, s) on ascending places."""
+
+    order: np.ndarray
+    d: np.ndarray
+    z: np.ndarray
+    live: np.ndarray
+    rotations: list[tuple[int, int, float, float]]
+
+
+def deflate(d: np.ndarray, z: np.ndarray, rho: float) -> Deflated:
+    """Poles without weight, and all but the last of equal poles, keep their eigenpairs: rotations take their weight away."""
     order = np.argsort(d, kind="stable")
-    d, q, z = d[order].copy(), q[:, order].copy(), z[order].copy()
+    d, z = d[order].copy(), z[order].copy()
     tolerance = 8 * np.finfo(float).eps * max(np.abs(d).max(initial=0), np.abs(z).max(initial=0), rho * (z @ z))
-    live, previous = np.abs(rho * z) > tolerance, -1
+    live, previous, rotations = np.abs(rho * z) > tolerance, -1, []
     for i in np.flatnonzero(live):
         if previous >= 0 and d[i] - d[previous] <= tolerance:
             r = np.hypot(z[previous], z[i])
-            c, s = z[i] / r, z[previous] / r
-            q[:, previous], q[:, i] = c * q[:, previous] - s * q[:, i], s * q[:, previous] + c * q[:, i]
+            rotations.append((previous, int(i), z[i] / r, z[previous] / r))
             z[previous], z[i], live[previous] = 0, r, False
-        previous = i
+        previous = int(i)
+    return Deflated(order, d, z, live, rotations)
+
+
+def rotate(q: np.ndarray, p: int, i: int, c: float, s: float) -> None:
+    """A rotation of two columns, in place."""
+    q[:, p], q[:, i] = c * q[:, p] - s * q[:, i], s * q[:, p] + c * q[:, i]
+
+
+def merge(d: np.ndarray, q: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenpairs of Q (diag(d) + rho z zᵀ) Qᵀ; Cuppen's merge with deflation."""
+    if rho < 0:
+        values, vectors = merge(-d[::-1], q[:, ::-1], z[::-1], -rho)
+        return -values[::-1], vectors[:, ::-1]
+    order, d, z, live, rotations = deflate(d, z, rho)
+    q = q[:, order].copy()
+    for rotation in rotations:
+        rotate(q, *rotation)
     at = np.flatnonzero(live)
     values, vectors = d.copy(), q.copy()
     if len(at):
         dd = d[at]
-        gap, roots = secular_roots(dd, z[at], rho)
+        pole, x = secular_range(dd, z[at], rho, 0, len(at))
+        gap, roots = (dd[:, None] - dd[pole][None, :]) - x[None, :], dd[pole] + x
         # Weights that make the computed roots exact (Löwner), then unit eigenvectors.
-        k = len(at)
-        product = -gap / rho
-        for j in range(k):
-            other = np.arange(k) != j
-            product[other, j] /= dd[j] - dd[other]
-        diagonal = np.prod(product, axis=1)
-        weight = np.copysign(np.sqrt(np.abs(diagonal)), z[at])
+        weight = np.copysign(np.exp(weight_logs(dd, rho, 0, pole, x) / 2), z[at])
         u = weight[:, None] / gap
         u /= np.linalg.norm(u, axis=0)
         values[at], vectors[:, at] = roots, q[:, at] @ u

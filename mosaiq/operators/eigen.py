@@ -16,6 +16,7 @@ from ..functions import spectral as S
 from ..layout import band_size, require
 from ..matrix import TILE, TiledMatrix, in_one_task, packed, summed, unpack
 from ..plans.strategy import BROADCAST_BYTES, fits_broadcast, single_task
+from .divide import divide_and_conquer
 from .factor import potrf
 from .solve import hegst, trsm
 
@@ -106,9 +107,12 @@ def band_to_tridiagonal(band: Band | TiledMatrix, width: int) -> Tridiagonal:
     return Tridiagonal(*S.chase(S.band_storage(n, width, i, j, values), width))
 
 
-def tridiagonal_eigensolver(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int = 64, dtype: str = "d") -> Eigen:
-    """Divide and conquer on an executor: the tridiagonal is two vectors."""
+def tridiagonal_eigensolver(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int = 64, dtype: str = "d", strategy: str | None = None, leaf: int | None = None) -> Eigen:
+    """Divide and conquer: in one task for a small order, else merged level by level with the eigenvectors in tiles."""
     n = len(d)
+    if not single_task(n, force=strategy):
+        values, vectors = divide_and_conquer(spark, d, e, nb, leaf)
+        return Eigen(_values(spark, values), vectors.cast_to_complex() if dtype in "cz" else replace(vectors, dtype=dtype))
     w = TiledMatrix(spark.createDataFrame([], TILE), n, 1, nb, 1)
     z = TiledMatrix(w.tiles, n, n, nb, nb, dtype)
     sent = spark.sparkContext.broadcast((np.asarray(d, float), np.asarray(e, float)))
@@ -200,7 +204,7 @@ def heevd(uplo: str, a: TiledMatrix, end: int | None = None, strategy: str | Non
     width = band or band_size(a.nb)
     banded = reduction_to_band(a.hermitian(uplo), width)
     tri = band_to_tridiagonal(banded, width)
-    values, z = tridiagonal_eigensolver(a.spark, tri.d, tri.e, a.nb, a.dtype)
+    values, z = tridiagonal_eigensolver(a.spark, tri.d, tri.e, a.nb, a.dtype, "tiles")
     z = z.submatrix(0, 0, a.n, end) if end < a.n else z
     return Eigen(values, bt_reduction_to_band(bt_band_to_tridiagonal(z, tri.reflectors), banded.panels))
 

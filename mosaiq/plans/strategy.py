@@ -39,6 +39,36 @@ def stored(frame: DataFrame, name: str = "step") -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a loop writes on its way, dropped when the next step no longer reads them, or at the end of the block.
+
+    A lazy result may not read one: what outlives the block is stored outside of it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def stored(self, frame: DataFrame) -> DataFrame:
+        self.made += 1
+        frame.write.parquet(path := f"{self.folder}/{self.made:06d}")
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop_before(self, kept: int = 1) -> None:
+        """Drops all tables but the last ``kept``."""
+        for k in range(max(1, self.made - kept - 8), self.made - kept + 1):
+            self._delete(f"{self.folder}/{k:06d}")
+
+
 def chain_order(sizes: list[int]) -> tuple[float, list]:
     """The cheapest order of a product of matrices with these sizes: flops, and nested pairs of indices."""
     n = len(sizes) - 1

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .matrix import TiledMatrix
-from .operators import eigen, factor, multiply, shape, solve
+from .operators import divide, eigen, factor, multiply, shape, solve
 from .plans.strategy import shared_dir
 from .sources import generators, storage
 
@@ -465,3 +465,96 @@ _register(
     lambda s, d: s.createDataFrame([(n, bool(x)) for n, x in _kernel_checks()], "kernel string, right boolean"),
     "SELECT unnest(['gemm','hemm','herk','her2k','trmm','trsm','add','scal','lacpy','lange','lantr','laset','hegst','lauum','potrf','potrf_info','stedc','scale_columns','trtri','trtri_info','larft']) AS kernel, true AS right",
 )
+
+
+# -- divide and conquer in tiles, index operations over tables ---------------------------
+
+
+def _tridiagonal_of(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray]:
+    """A tridiagonal matrix with two rows for each vector: the first two components on the diagonal, the next two beside it."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *(F.floor(F.col("embedding")[k].cast("double") * 64 + 0.5).cast("double").alias(f"v{k}") for k in range(4)))
+    table = rows.orderBy("vec_id").toArrow()
+    v = [table.column(f"v{k}").to_numpy() for k in range(4)]
+    return np.column_stack(v[:2]).ravel(), np.column_stack(v[2:]).ravel()[:-1]
+
+
+def _stedc_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the eigenvalues' powers, and the largest residual and departure from orthonormal columns, of order 2 x vectors."""
+    d, e = _tridiagonal_of(spark, sf_dir)
+    n, nb = len(d), 125
+    values, z = eigen.tridiagonal_eigensolver(spark, d, e, nb, strategy="tiles")
+    t = TiledMatrix.from_coo(
+        spark.createDataFrame(pa.table({"i": np.arange(n), "d": d, "e": np.r_[e, 0.0]}))
+        .selectExpr("stack(3, i, i, d, i + 1, i, e, i, i + 1, e) as (i, j, re)")
+        .filter(f"i < {n} and j < {n}"),
+        n, n, nb, nb,
+    )
+    residual = multiply.add(multiply.gemm(t, z), multiply.scale_columns(z, values), -1)
+    apart = multiply.add(multiply.gemm(z, z, opa="T"), generators.identity(spark, n, nb), -1)
+    worst = [F.round(F.lit(shape.max_norm(x)), 9).alias(name) for x, name in ((residual, "residual"), (apart, "apart"))]
+    return values.agg(F.count("value").alias("n"), F.round(F.sum("value"), 6).alias("trace"), F.round(F.sum(F.col("value") * F.col("value")), 5).alias("squares"), *worst)
+
+
+_register(
+    "stedc_tiles",
+    _stedc_tiles,
+    """WITH v AS (SELECT vec_id, floor(embedding[1]::DOUBLE * 64 + 0.5) AS a, floor(embedding[2]::DOUBLE * 64 + 0.5) AS b, floor(embedding[3]::DOUBLE * 64 + 0.5) AS c, floor(embedding[4]::DOUBLE * 64 + 0.5) AS d, vec_id = max(vec_id) OVER () AS last FROM embeddings)
+SELECT 2 * count(*) AS n, sum(a + b) AS trace, sum(a * a + b * b + 2 * c * c + CASE WHEN last THEN 0 ELSE 2 * d * d END) AS squares, 0::DOUBLE AS residual, 0::DOUBLE AS apart FROM v""",
+)
+
+
+def _syevd_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G Z - Z W for the eigenpairs of G, merged in tiles of 8."""
+    g = TiledMatrix.from_coo(gram_gemm(spark, sf_dir), 64, 64, 8, 8).stored("gram")
+    e = eigen.heevd("L", _poisoned(g, "L"), strategy="tiles", band=4)
+    return _coo(multiply.add(multiply.gemm(g, e.vectors), multiply.scale_columns(e.vectors, e.values), -1), 6)
+
+
+_register("syevd_residual_tiles", _syevd_tiles, "SELECT i, j, 0::DOUBLE AS re FROM range(64) a(i), range(64) b(j)")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """Q with columns that are zero below a cut at a third of its rows (j % 3 = 0), above it (j % 3 = 2) or dense, times small integers."""
+    q = q_matrix(spark, sf_dir)
+    split = q.m // 3
+    kinds = np.array([divide.UPPER, divide.DENSE, divide.LOWER])[np.arange(64) % 3]
+
+    def masked(ti: int, tj: int, x: np.ndarray) -> np.ndarray:
+        i, kind = np.arange(ti * 512, ti * 512 + x.shape[0])[:, None], kinds[tj * GB : tj * GB + x.shape[1]][None, :]
+        return np.where((kind == divide.UPPER) & (i >= split) | (kind == divide.LOWER) & (i < split), 0, x)
+
+    return divide.typed_product(q.map_tiles(masked), split, kinds, lambda i, j: (i + 3.0 * j) % 7 - 2, 20)
+
+
+_register(
+    "zero_block_product",
+    lambda s, d: _coo(_typed(s, d)),
+    f"WITH {_Q}, s AS (SELECT (max(i) + 1) // 3 AS cut FROM q) SELECT i, c.j, sum(CASE WHEN q.j % 3 = 0 AND i >= cut OR q.j % 3 = 2 AND i < cut THEN 0 ELSE v END * ((q.j + 3 * c.j) % 7 - 2)) AS re FROM q, s, range(20) c(j) GROUP BY i, c.j",
+)
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of all vectors, numbered: (idx, value)."""
+    return quantised(spark, sf_dir).select((F.col("i") * 64 + F.col("j")).alias("idx"), F.col("v").alias("value"))
+
+
+_E = "e AS (SELECT i * 64 + j AS idx, v AS value FROM q)"
+_register("sort_index", lambda s, d: shape.sort_index(_elements(s, d)), f"WITH {_Q}, {_E} SELECT row_number() OVER (ORDER BY value, idx) - 1 AS pos, idx AS src FROM e")
+_register(
+    "stable_partition",
+    lambda s, d: shape.stable_partition(_elements(s, d).selectExpr("idx", "cast(pmod(value, 4) as int) type")),
+    f"WITH {_Q}, {_E}, t AS (SELECT idx, ((value % 4 + 4) % 4)::INT AS type FROM e) SELECT row_number() OVER (ORDER BY type, idx) - 1 AS pos, idx AS src, type FROM t",
+)
+
+
+def _merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted first and second components of all vectors, merged."""
+    runs = [shape.ranked(quantised(spark, sf_dir).filter(F.col("j") == k).selectExpr("v value", "i"), "value", "i").selectExpr("pos idx", "value") for k in (0, 1)]
+    return shape.merge_sorted(*runs)
+
+
+_register(
+    "merge_sorted",
+    _merged_runs,
+    f"WITH {_Q}, r AS (SELECT j::INT AS run, row_number() OVER (PARTITION BY j ORDER BY v, i) - 1 AS src, v FROM q WHERE j < 2) SELECT row_number() OVER (ORDER BY v, run, src) - 1 AS pos, run, src FROM r",
+)
