@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -56,22 +57,37 @@ def band_to_tridiagonal(a: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarra
 
 
 def chase(stored: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, list[Reflector]]:
-    """Bulge chasing: diagonal, off-diagonal and the reflectors in the order of their use.
+    """Bulge chasing: diagonal, off-diagonal and the reflectors in the order of their use."""
+    n = len(stored)
+    every = lambda sweep: (0, n)
+    done = [(row, v, tau) for _, _, row, v, tau in chase_part(stored, 0, n, band, range(sweeps(n, np.iscomplexobj(stored))), every)]
+    middle = 2 * band
+    below = stored[1:, middle - 1] if band else stored[1:, 0] * 0
+    return stored[:, middle].real.copy(), below.real.copy(), done
+
+
+def sweeps(n: int, complex_: bool) -> int:
+    """Complex matrices need a last reflector of one element, which makes the last off-diagonal element real."""
+    return max(0, n - 1 if complex_ else n - 2)
+
 
-    Each sweep clears one column below its first subdiagonal and drives the fill-in off the matrix; complex
-    matrices need a last reflector of one element, which makes the last off-diagonal element real.
+def chase_part(stored: np.ndarray, first: int, n: int, band: int, part: range, bounds: Callable[[int], tuple[int, int]]) -> Iterator[tuple[int, int, int, np.ndarray, complex]]:
+    """Steps of some sweeps whose reflectors begin in bounds(sweep), on rows of the band from ``first`` on, in place.
+
+    A sweep clears one column below its first subdiagonal and drives the fill-in off the matrix. Gives (sweep, step, row, v, tau).
     """
-    n, middle, done = len(stored), 2 * band, []
-    flat, size = stored.ravel(), stored.itemsize
+    middle, flat, size = 2 * band, stored.ravel(), stored.itemsize
 
     def block(top: int, end: int, lo: int, hi: int) -> np.ndarray:
         # A row further down, an element lies one place further left.
-        return np.lib.stride_tricks.as_strided(flat[top * 2 * middle + lo + middle :], (end - top, hi - lo), (2 * middle * size, size))
-
-    last = n - 1 if np.iscomplexobj(stored) else n - 2
-    for sweep in range(max(0, last)):
-        column, row = sweep, sweep + 1
-        while row < n:
+        return np.lib.stride_tricks.as_strided(flat[(top - first) * (2 * middle + 1) + lo - top + middle :], (end - top, hi - lo), (2 * middle * size, size))
+
+    for sweep in part:
+        least, most = bounds(sweep)
+        step = max(0, -(-(least - sweep - 1) // band)) if band else 0
+        row = sweep + 1 + step * band
+        while row < min(n, most):
+            column = row - band if step else sweep
             end = min(row + band, n)
             v, tau, _ = larfg(block(row, end, column, column + 1)[:, 0])
             if tau != 0:
@@ -79,10 +95,8 @@ def chase(stored: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, list[R
                 rows, columns = block(row, end, lo, hi), block(lo, hi, row, end)
                 rows -= np.conj(tau) * np.outer(v, v.conj() @ rows)
                 columns -= tau * np.outer(columns @ v, v.conj())
-                done.append((row, v, tau))
-            column, row = row, row + band
-    below = stored[1:, middle - 1] if band else stored[1:, 0] * 0
-    return stored[:, middle].real.copy(), below.real.copy(), done
+                yield sweep, step, row, v, tau
+            step, row = step + 1, row + band
 
 
 def apply_reflectors(reflectors: list[Reflector], e: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 from typing import NamedTuple
@@ -14,13 +15,19 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import spectral as S
 from ..layout import band_size, require
-from ..matrix import TILE, TiledMatrix, in_one_task, packed, summed, unpack
-from ..plans.strategy import BROADCAST_BYTES, fits_broadcast, single_task
+from ..matrix import TILE, Tile, TiledMatrix, in_one_task, pack, packed, summed, unpack
+from ..plans.strategy import BROADCAST_BYTES, Scratch, fits_broadcast, shared_dir, single_task
+from .chase import Reflectors, apply_steps, blocks_of, chase_bulges
 from .divide import divide_and_conquer
 from .factor import potrf
+from .panel import block_reflector
 from .solve import hegst, trsm
 
 
+#: Numbers of a panel that may go through the driver.
+PANEL_HELD = 1 << 20
+
+
 class Eigen(NamedTuple):
     values: DataFrame  # (idx, value), ascending
     vectors: TiledMatrix
@@ -28,13 +35,13 @@ class Eigen(NamedTuple):
 
 class Band(NamedTuple):
     matrix: TiledMatrix
-    panels: list[tuple[int, np.ndarray, np.ndarray]]
+    panels: list[tuple[int, np.ndarray, np.ndarray]] | DataFrame
 
 
 class Tridiagonal(NamedTuple):
     d: np.ndarray
     e: np.ndarray
-    reflectors: list[S.Reflector]
+    reflectors: Reflectors
 
 
 def _values(spark: SparkSession, w: np.ndarray) -> DataFrame:
@@ -45,66 +52,140 @@ def _column(vector: TiledMatrix) -> DataFrame:
     return vector.to_coo().selectExpr("i idx", "re value")
 
 
-def reduction_to_band(a: TiledMatrix, band: int | None = None) -> Band:
-    """Qᴴ A Q with a band; A is full. Panels (n x band) go through the driver, A stays in its tiles.
+def reduction_to_band(a: TiledMatrix, band: int | None = None, held: int | None = None) -> Band:
+    """Qᴴ A Q with a band; A is full and stays in its tiles.
 
-    Each step sends V and A V T (n x band each, checked against the broadcast bound) to the tasks.
+    A panel of up to ``held`` (``PANEL_HELD``) numbers goes through the driver. A larger one is factored by a tree of tasks, and only
+    band x band numbers come to the driver in each step; the panels of Q are a dataset then.
     """
     band = band or band_size(a.nb)
     require(a.m == a.n and a.mb == a.nb and band >= 2 and a.nb % band == 0, "square tiles that the band divides are needed")
-    require(fits_broadcast(a.m, band, a.dtype), "the panel is larger than what may be broadcast: choose a smaller band")
-    spark, n, panels = a.spark, a.n, []
-    a = a.stored("band")
-    for k in range(0, max(0, n - band - 1), band):
-        first = k + band
-        v, taus, r = K.householder_panel(a.submatrix(first, k, n - first, band).to_numpy())
-        t = K.larft(v, taus)
-        whole = np.zeros((n, v.shape[1]), v.dtype)
-        whole[first:] = v
-        sent = spark.sparkContext.broadcast(whole)
-        w = whole @ t
-        w_sent, nb = spark.sparkContext.broadcast(w), a.nb
-        strip = a.map_tiles(lambda ti, tj, x, w_sent=w_sent, nb=nb: x @ w_sent.value[tj * nb : tj * nb + x.shape[1]], keep=f"(ti + 1) * {nb} > {first} and (tj + 1) * {nb} > {first}")
-        x = np.zeros_like(w)
-        # One sum for each row of tiles comes to the driver: n x band numbers.
-        for batch in summed(strip.tiles.withColumn("tj", F.lit(0).cast("long")), np.iscomplexobj(w) or a.complex).toArrow().to_batches():
-            for ti, _, part in unpack(batch):
-                x[ti * nb : ti * nb + part.shape[0]] += part
-        x[:first] = 0
-        x = x - 0.5 * whole @ (w.conj().T @ x)
-        x_sent = spark.sparkContext.broadcast(x)
-        corner = np.zeros((n - first, band), v.dtype)
-        corner[: len(r)] = r[: len(corner)]
-        c_sent = spark.sparkContext.broadcast(corner)
-
-        def updated(ti, tj, y, sent=sent, x_sent=x_sent, c_sent=c_sent, k=k, first=first, nb=nb):
-            y = y.copy()
-            i, j = np.arange(ti * nb, ti * nb + y.shape[0]), np.arange(tj * nb, tj * nb + y.shape[1])
-            y -= x_sent.value[i] @ sent.value[j].conj().T + sent.value[i] @ x_sent.value[j].conj().T
-            for rows, columns, turn in ((i, j, False), (j, i, True)):  # the panel, and its mirror
-                inside, below = np.flatnonzero((columns >= k) & (columns < first)), np.flatnonzero(rows >= first)
-                if len(inside) and len(below):
-                    new = c_sent.value[np.ix_(rows[below] - first, columns[inside] - k)]
-                    if turn:
-                        y[np.ix_(inside, below)] = new.conj().T
-                    else:
-                        y[np.ix_(below, inside)] = new
-            return y
-
-        a = a.map_tiles(updated).stored("band")
-        panels.append((first, v, taus))
-    return Band(a, panels)
-
-
-def band_to_tridiagonal(band: Band | TiledMatrix, width: int) -> Tridiagonal:
-    """Bulge chasing on the band: only its diagonals (n x width) are gathered."""
+    n, panels, held = a.n, [], PANEL_HELD if held is None else held
+    require(fits_broadcast(1, held, a.dtype), "what goes through the driver is broadcast, too")
+    with Scratch(a.spark) as scratch:
+        folder = f"{shared_dir(a.spark)}/panels-{uuid.uuid4().hex}"
+        steps = range(0, max(0, n - band - 1), band)
+        in_tree = [k for k in steps if (n - k - band) * band > max(held, band * band)]
+        a = replace(a, tiles=scratch.stored(_filled(a).tiles if in_tree else a.tiles))
+        for k in steps:
+            if k in in_tree:
+                a = _tree_step(a, scratch, k, band, folder)
+                scratch.drop_before()
+                continue
+            a, panel = _driver_step(a, k, band)
+            a = replace(a, tiles=scratch.stored(a.tiles))
+            scratch.drop_before()
+            panels.append(panel)
+        a = a.stored("band")
+    if not in_tree:
+        return Band(a, panels)
+    for first, v, taus in panels:
+        _keep(a.spark.createDataFrame(pa.Table.from_batches([pack([(first, 0, v)], a.complex)]), TILE), K.larft(v, taus), first, folder, a.complex)
+    return Band(a, a.spark.read.schema(f"{TILE}, seq long").parquet(folder))
+
+
+def _filled(a: TiledMatrix) -> TiledMatrix:
+    """Tiles of zeros are there too."""
+    zeros = TiledMatrix.generate(a.spark, a.m, a.n, a.mb, a.nb, lambda i, j: np.zeros((i.size, j.size)), a.dtype)
+    return replace(a, tiles=a.tiles.unionAll(zeros.tiles.join(a.tiles.select("ti", "tj"), ["ti", "tj"], "left_anti").select(*a.tiles.columns)))
+
+
+def _keep(v: DataFrame, t: np.ndarray, first: int, folder: str, complex_: bool) -> None:
+    """A panel's pieces and its factor, as steps: the last panel comes first."""
+    factor = v.sparkSession.createDataFrame(pa.Table.from_batches([pack([(first, 1, t)], complex_)]), TILE)
+    v.select("ti", F.lit(0).cast("long").alias("tj"), "nr", "nc", "re", "im").unionAll(factor).withColumn("seq", F.lit(-first).cast("long") + (1 << 40)).write.mode("append").parquet(folder)
+
+
+def _with_corner(y: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, first: int, corner: np.ndarray) -> np.ndarray:
+    """The panel and its mirror: the corner, and zeros below it."""
+    for rows, columns, turn in ((i, j, False), (j, i, True)):
+        inside, below = np.flatnonzero((columns >= k) & (columns < first)), np.flatnonzero(rows >= first)
+        if len(inside) and len(below):
+            at = rows[below] - first
+            new = np.where((at < len(corner))[:, None], corner[np.minimum(at, len(corner) - 1)][:, columns[inside] - k], 0)
+            if turn:
+                y[np.ix_(inside, below)] = new.conj().T
+            else:
+                y[np.ix_(below, inside)] = new
+    return y
+
+
+def _tree_step(a: TiledMatrix, scratch: Scratch, k: int, band: int, folder: str) -> TiledMatrix:
+    """One step of the band reduction, with the panel's vectors in strips."""
+    n, nb, first, complex_ = a.n, a.nb, k + band, a.complex
+    top, left = first // nb, k % nb
+    cut = lambda ti: max(0, first - ti * nb)
+    strips = a.map_tiles(lambda ti, tj, x: x[cut(ti) :, left : left + band], keep=f"tj = {k // nb} and ti >= {top}", move=lambda ti, tj: (ti - top, 0))
+    v, t, corner = block_reflector(scratch, strips.tiles, a.rows.tiles - top, band, complex_)
+    inner = a.tiles.filter(f"ti >= {top} and tj >= {top}")
+    named = lambda frame, key, p: frame.select((F.col("ti") + top).alias(key), *(F.col(c).alias(f"{p}_{c}") for c in ("nr", "nc", "re", "im")))
+    tile = lambda p, i, j: [f"{i} {p}_i", f"{j} {p}_j", *(f"{p}_{c}" for c in ("nr", "nc", "re", "im"))]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(((ti - top, 0, x[cut(ti) :, cut(tj) :] @ (y @ t)) for batch in batches for (ti, tj, x), (_, _, y) in zip(unpack(batch), unpack(batch, 6), strict=True)), complex_)
+
+    x = scratch.stored(summed(inner.join(named(v, "tj", "v"), "tj").selectExpr(*a.tiles.columns, *tile("v", "tj", "0L")).mapInArrow(products, TILE), complex_))
+    both = v.select("ti", F.lit(0).cast("long").alias("tj"), "nr", "nc", "re", "im").join(x.select("ti", *(F.col(c).alias(f"x_{c}") for c in ("nr", "nc", "re", "im"))), "ti").selectExpr(*v.columns, *tile("x", "ti", "0L"))
+
+    def inner_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(((0, 0, (y @ t).conj().T @ z) for batch in batches for (_, _, y), (_, _, z) in zip(unpack(batch), unpack(batch, 6), strict=True)), complex_)
+
+    g = sum(z for batch in summed(both.mapInArrow(inner_products, TILE), complex_).toArrow().to_batches() for _, _, z in unpack(batch))
+
+    def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(((ti, 0, np.hstack((y, z - 0.5 * y @ g))) for batch in batches for (ti, _, y), (_, _, z) in zip(unpack(batch), unpack(batch, 6), strict=True)), complex_)
+
+    pair = scratch.stored(both.mapInArrow(side_by_side, TILE))
+    meeting = inner.join(named(pair, "ti", "l"), "ti").join(named(pair, "tj", "r"), "tj").selectExpr(*a.tiles.columns, *tile("l", "ti", "0L"), *tile("r", "tj", "0L"))
+
+    def updated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[Tile]:
+            for batch in batches:
+                for (ti, tj, y), (_, _, p), (_, _, q) in zip(unpack(batch), unpack(batch, 6), unpack(batch, 12), strict=True):
+                    y = y.copy()
+                    y[cut(ti) :, cut(tj) :] -= p @ np.hstack((q[:, band:], q[:, :band])).conj().T
+                    yield ti, tj, with_corner(ti, tj, y)
+
+        yield from packed(out(), complex_)
+
+    def with_corner(ti: int, tj: int, y: np.ndarray) -> np.ndarray:
+        return _with_corner(y, np.arange(ti * nb, ti * nb + y.shape[0]), np.arange(tj * nb, tj * nb + y.shape[1]), k, first, corner)
+
+    rest = replace(a, tiles=a.tiles.filter(f"ti < {top} or tj < {top}")).map_tiles(lambda ti, tj, y: with_corner(ti, tj, y.copy()))
+    _keep(v.withColumn("ti", F.greatest(F.lit(first), (F.col("ti") + top) * nb).cast("long")), t, first, folder, complex_)
+    return replace(a, tiles=scratch.stored(meeting.mapInArrow(updated, TILE).unionAll(rest.tiles)))
+
+
+def _driver_step(a: TiledMatrix, k: int, band: int) -> tuple[TiledMatrix, tuple[int, np.ndarray, np.ndarray]]:
+    """One step of the band reduction, with the panel (n x band) on the driver; V and A V T are sent to the tasks."""
+    spark, n, nb, first = a.spark, a.n, a.nb, k + band
+    v, taus, r = K.householder_panel(a.submatrix(first, k, n - first, band).to_numpy())
+    whole = np.zeros((n, v.shape[1]), v.dtype)
+    whole[first:] = v
+    w = whole @ K.larft(v, taus)
+    sent, w_sent = spark.sparkContext.broadcast(whole), spark.sparkContext.broadcast(w)
+    strip = a.map_tiles(lambda ti, tj, x: x @ w_sent.value[tj * nb : tj * nb + x.shape[1]], keep=f"(ti + 1) * {nb} > {first} and (tj + 1) * {nb} > {first}")
+    x = np.zeros_like(w)
+    # One sum for each row of tiles comes to the driver: n x band numbers.
+    for batch in summed(strip.tiles.withColumn("tj", F.lit(0).cast("long")), np.iscomplexobj(w) or a.complex).toArrow().to_batches():
+        for ti, _, part in unpack(batch):
+            x[ti * nb : ti * nb + part.shape[0]] += part
+    x[:first] = 0
+    x = x - 0.5 * whole @ (w.conj().T @ x)
+    x_sent, corner = spark.sparkContext.broadcast(x), r[: min(band, len(r))]
+
+    def updated(ti: int, tj: int, y: np.ndarray) -> np.ndarray:
+        i, j = np.arange(ti * nb, ti * nb + y.shape[0]), np.arange(tj * nb, tj * nb + y.shape[1])
+        y = y - x_sent.value[i] @ sent.value[j].conj().T - sent.value[i] @ x_sent.value[j].conj().T
+        return _with_corner(y, i, j, k, first, corner)
+
+    return a.map_tiles(updated), (first, v, taus)
+
+
+def band_to_tridiagonal(band: Band | TiledMatrix, width: int, group: int | None = None) -> Tridiagonal:
+    """Bulge chasing by groups of sweeps; the diagonals come to the driver, reflectors are a dataset."""
     matrix = band.matrix if isinstance(band, Band) else band
-    n, nb = matrix.n, matrix.nb
-    near = replace(matrix, tiles=matrix.tiles.filter(f"abs(ti - tj) * {nb} < {width + nb}"))
-    rows = near.to_coo(False).filter(f"abs(i - j) <= {width}").toArrow()
-    i, j, re, im = (rows[c].to_numpy() for c in ("i", "j", "re", "im"))
-    values = re + 1j * np.nan_to_num(im.astype(float)) if matrix.complex else re
-    return Tridiagonal(*S.chase(S.band_storage(n, width, i, j, values), width))
+    return Tridiagonal(*chase_bulges(matrix, width, group))
 
 
 def tridiagonal_eigensolver(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int = 64, dtype: str = "d", strategy: str | None = None, leaf: int | None = None) -> Eigen:
@@ -164,18 +245,15 @@ def _parts(steps: list[tuple[int, np.ndarray, object]]) -> list[list]:
     return parts
 
 
-def bt_band_to_tridiagonal(e: TiledMatrix, reflectors: list[S.Reflector]) -> TiledMatrix:
-    """Q E for the reflectors of the bulge chasing; columns of E are independent."""
-    if reflectors and np.iscomplexobj(reflectors[0][1]) and not e.complex:
-        e = e.cast_to_complex()
-    for part in reversed(_parts(reflectors)):
-        sent = e.spark.sparkContext.broadcast(part)
-        e = _by_column_blocks(e, lambda x, sent=sent: S.apply_reflectors(sent.value, x)).stored("back")
-    return e
+def bt_band_to_tridiagonal(e: TiledMatrix, reflectors: Reflectors, group: int | None = None) -> TiledMatrix:
+    """Q E for the reflectors of the bulge chasing, in blocks of ``group`` sweeps; columns of E are independent."""
+    return apply_steps(e, blocks_of(reflectors, group), reflectors.complex).stored("back")
 
 
-def bt_reduction_to_band(c: TiledMatrix, panels: list[tuple[int, np.ndarray, np.ndarray]]) -> TiledMatrix:
-    """Q C for the panels of the band reduction."""
+def bt_reduction_to_band(c: TiledMatrix, panels: list[tuple[int, np.ndarray, np.ndarray]] | DataFrame) -> TiledMatrix:
+    """Q C for the panels of the band reduction: a list, or a dataset of steps."""
+    if isinstance(panels, DataFrame):
+        return apply_steps(c, panels, c.complex or panels.filter("im is not null").limit(1).count() > 0).stored("back")
     if panels and np.iscomplexobj(panels[0][1]) and not c.complex:
         c = c.cast_to_complex()
     for part in reversed(_parts(panels)):

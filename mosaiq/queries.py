@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .matrix import TiledMatrix
-from .operators import divide, eigen, factor, multiply, shape, solve
+from .operators import divide, eigen, factor, multiply, panel, shape, solve
 from .plans.strategy import shared_dir
 from .sources import generators, storage
 
@@ -558,3 +558,44 @@ _register(
     _merged_runs,
     f"WITH {_Q}, r AS (SELECT j::INT AS run, row_number() OVER (PARTITION BY j ORDER BY v, i) - 1 AS src, v FROM q WHERE j < 2) SELECT row_number() OVER (ORDER BY v, run, src) - 1 AS pos, run, src FROM r",
 )
+
+
+# -- stages of the eigensolver whose vectors stay in tables -------------------------------
+
+
+def _turned_back(middle: TiledMatrix, q: TiledMatrix) -> DataFrame:
+    """Q M Qᴴ in whole numbers."""
+    return _coo(multiply.gemm(multiply.gemm(q, middle), q, opb="C"), 0)
+
+
+def _chased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five diagonals of G, made tridiagonal by a wavefront of groups of four sweeps, and back."""
+    g = TiledMatrix.from_coo(gram_gemm(spark, sf_dir).filter("abs(i - j) <= 2"), 64, 64, 16, 16)
+    t = eigen.band_to_tridiagonal(g, 2, group=4)
+    q = eigen.bt_band_to_tridiagonal(generators.identity(spark, 64, 16), t.reflectors, group=2)
+    return _turned_back(TiledMatrix.from_numpy(spark, np.diag(t.d) + np.diag(t.e, 1) + np.diag(t.e, -1), 16, 16), q)
+
+
+_register("band_chase_wavefront", _chased, f"WITH {_Q} SELECT i, j, CASE WHEN abs(i - j) <= 2 THEN re ELSE 0 END AS re FROM g")
+
+
+def _reduced_by_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G by way of its band form, the panels being factored by trees of tasks."""
+    band = eigen.reduction_to_band(TiledMatrix.from_coo(gram_gemm(spark, sf_dir), 64, 64, 8, 8), 8, held=64)
+    return _turned_back(band.matrix, eigen.bt_reduction_to_band(generators.identity(spark, 64, 8), band.panels))
+
+
+_register("red2band_tree", _reduced_by_trees, f"WITH {_Q} SELECT i, j, re FROM g")
+
+
+def _tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q again, from its reflectors: R above zeros less V T V1ᴴ R."""
+    q = q_matrix(spark, sf_dir).retile(128, 64)
+    v, t, r = panel.tall_skinny_qr(q)
+    top = v.submatrix(0, 0, 64, 64).to_numpy()
+    turned = TiledMatrix.from_numpy(spark, t @ (top.conj().T @ r), 64, 64)
+    above = TiledMatrix.from_numpy(spark, r, 64, 64).window((0, 0), (64, 64), (0, 0), (q.m, 64), (128, 64))
+    return _coo(multiply.add(above, multiply.gemm(v, turned), -1), 6)
+
+
+_register("tall_skinny_qr", _tall_qr, f"WITH {_Q} SELECT i, j, v AS re FROM q")
