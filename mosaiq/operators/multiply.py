@@ -1,4 +1,4 @@
-"""General, Hermitian and triangular multiplication: an equi-join on the inner tile index, then sums by place."""
+"""General, Hermitian and triangular multiplication: operands meet by blocks of rows, columns and inner tiles."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from ..layout import require
 from ..matrix import TILE, Tile, TiledMatrix, packed, summed, unpack
 from ..plans.strategy import chain_order
 
-#: Partial sums that a task holds before the shuffle, in elements.
+#: Numbers of a block of A, and of a block of the result, that a task holds.
 HELD = 4 << 20
 
 
@@ -25,35 +25,79 @@ def _common(*matrices: TiledMatrix | None) -> str:
     return ("z" if wide else "c") if complex_ else ("d" if wide else "s")
 
 
-def _products(a: TiledMatrix, b: TiledMatrix, alpha: complex, complex_: bool, where: str = "true") -> DataFrame:
-    """Products of the tiles that meet at the wanted places, with equal places already added up inside a task."""
-    left = a.tiles.select(F.col("ti").alias("i"), F.col("tj").alias("k"), *(F.col(c).alias(f"a_{c}") for c in ("nr", "nc", "re", "im")))
-    right = b.tiles.select(F.col("ti").alias("k"), F.col("tj").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("nr", "nc", "re", "im")))
-    pairs = left.join(right, "k").filter(where).selectExpr("i", "k", "a_nr", "a_nc", "a_re", "a_im", "k kk", "j", "b_nr", "b_nc", "b_re", "b_im")
+#: Places of tiles that are wanted, for whole blocks of tiles: (first i, last i, first j, last j).
+_BLOCKS = {"true": lambda i0, i1, j0, j1: True, "i >= j": lambda i0, i1, j0, j1: i1 >= j0, "i <= j": lambda i0, i1, j0, j1: i0 <= j1}
+
+
+def grid(tiles: tuple[int, int, int], sizes: tuple[int, int, int], tasks: int) -> tuple[int, int, int]:
+    """Blocks of rows, columns and inner tiles: at least ``tasks`` if there are so many products, with as little as can be moved.
+
+    A's block and the result's block stay below ``HELD`` numbers, unless they are single tiles. A moves to each block of
+    columns, B to each block of rows, and sums move if the inner size is cut.
+    """
+    (mt, nt, kt), (mb, nb, kb) = tiles, sizes
+    options = lambda t: sorted({*(2**x for x in range(t.bit_length()) if 2**x <= t), t})
+    best = None
+    for i in options(mt):
+        for j in options(nt):
+            if -(-mt // i) * -(-nt // j) * mb * nb > HELD and (i, j) != (mt, nt):
+                continue
+            for k in options(kt):
+                if -(-mt // i) * -(-kt // k) * mb * kb > HELD and (i, k) != (mt, kt):
+                    continue
+                few = max(0, min(tasks, mt * nt * kt) - i * j * k)
+                moved = mt * kt * mb * kb * j + nt * kt * nb * kb * i + (mt * nt * mb * nb * k if k > 1 else 0)
+                if best is None or (few, moved, i * j * k) < best[0]:
+                    best = (few, moved, i * j * k), (i, j, k)
+    return best[1]
+
+
+def _products(a: TiledMatrix, b: TiledMatrix, alpha: complex, complex_: bool, where: str = "true") -> tuple[DataFrame, bool]:
+    """Products by place, and whether each place is there once: operands meet by blocks of rows, columns and inner tiles.
+
+    A tile of A goes to every wanted block of columns, one of B to every block of rows; in a task B's tiles
+    pass by A's block, and sums leave it once for each place.
+    """
+    spark = a.spark
+    tiles = (max(1, a.rows.tiles), max(1, b.columns.tiles), max(1, a.columns.tiles))
+    blocks = grid(tiles, (min(a.mb, a.m), min(b.nb, b.n), min(a.nb, a.n)), 2 * spark.sparkContext.defaultParallelism)
+    bi, bj, bk = (-(-t // n) for t, n in zip(tiles, blocks, strict=True))
+    wanted = [(i, j) for i in range(-(-tiles[0] // bi)) for j in range(-(-tiles[1] // bj)) if _BLOCKS[where](i * bi, min(tiles[0], i * bi + bi) - 1, j * bj, min(tiles[1], j * bj + bj) - 1)]
+    inner = -(-tiles[2] // bk)
+    # One row for each block of the result.
+    pairs = F.broadcast(spark.createDataFrame(wanted, "gi long, gj long"))
+    key = ["gi", "gj", "gk"]
+    left = a.tiles.withColumns({"gi": F.expr(f"ti div {bi}"), "gk": F.expr(f"tj div {bk}"), "side": F.lit(0)}).join(pairs, "gi")
+    right = b.tiles.withColumns({"gj": F.expr(f"tj div {bj}"), "gk": F.expr(f"ti div {bk}"), "side": F.lit(1)}).join(pairs, "gj")
+    both = left.unionByName(right).select(*a.tiles.columns, "side", *key)
+    wants = _BLOCKS[where]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tiles() -> Iterator[Tile]:
-            held, size = {}, 0
+        def out() -> Iterator[Tile]:
+            now, held, sums = None, {}, {}
             for batch in batches:
-                for (i, _, x), (_, j, y) in zip(unpack(batch), unpack(batch, 6), strict=True):
-                    product = x @ y
-                    if (i, j) in held:
-                        held[i, j] += product
-                    else:
-                        held[i, j] = product
-                        size += product.size
-                if size > HELD:
-                    yield from ((*key, alpha * c) for key, c in held.items())
-                    held, size = {}, 0
-            yield from ((*key, alpha * c) for key, c in held.items())
-
-        yield from packed(tiles(), complex_)
-
-    return pairs.mapInArrow(run, TILE)
+                keys = zip(*(batch.column(c).to_pylist() for c in (6, 7, 8, 9)), strict=True)
+                for (ti, tj, x), (side, *block) in zip(unpack(batch), keys, strict=True):
+                    if block != now:
+                        yield from ((*place, alpha * c) for place, c in sums.items())
+                        now, held, sums = block, {}, {}
+                    if side == 0:
+                        held.setdefault(tj, []).append((ti, x))
+                        continue
+                    for i, y in held.get(ti, ()):
+                        if wants(i, i, tj, tj):
+                            product = y @ x
+                            sums[i, tj] = sums[i, tj] + product if (i, tj) in sums else product
+            yield from ((*place, alpha * c) for place, c in sums.items())
+
+        yield from packed(out(), complex_)
+
+    parts = max(1, min(len(wanted) * inner, 16 * spark.sparkContext.defaultParallelism))
+    return both.repartition(parts, *key).sortWithinPartitions(*key, "side").mapInArrow(run, TILE), inner == 1
 
 
 def gemm(a: TiledMatrix, b: TiledMatrix, alpha: complex = 1, beta: complex = 0, c: TiledMatrix | None = None, opa: str = "N", opb: str = "N", where: str = "true") -> TiledMatrix:
-    """alpha op(A) op(B) + beta C; with an inner size of 0 only beta C. where: the places (i, j) of tiles that are wanted."""
+    """alpha op(A) op(B) + beta C; with an inner size of 0 only beta C. where: the places of tiles that are wanted, a key of ``_BLOCKS``."""
     a, b = a.op(opa), b.op(opb)
     require(a.n == b.m and a.nb == b.mb, "A's columns and B's rows differ in size or tiles")
     require(c is None or (c.m, c.n, c.mb, c.nb) == (a.m, b.n, a.mb, b.nb), "C has another shape or other tiles")
@@ -62,9 +106,11 @@ def gemm(a: TiledMatrix, b: TiledMatrix, alpha: complex = 1, beta: complex = 0,
         a, b, c = (x if x is None or x.complex else x.cast_to_complex() for x in (a, b, c))
     out = replace(a, n=b.n, nb=b.nb, dtype=dtype)
     keep = c.scale(beta) if c is not None and beta != 0 else None
-    if a.n == 0 or alpha == 0:
+    if 0 in (a.m, a.n, b.n) or alpha == 0:
         return keep or replace(out, tiles=a.tiles.limit(0))
-    products = _products(a, b, alpha, out.complex, where)
+    products, once = _products(a, b, alpha, out.complex, where)
+    if once and keep is None:
+        return replace(out, tiles=products)
     return replace(out, tiles=summed(products if keep is None else products.unionAll(keep.tiles), out.complex))
 
 
