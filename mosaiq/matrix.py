@@ -109,6 +109,13 @@ class TiledMatrix:
             return out
         return replace(out, tiles=spark.createDataFrame(pa.Table.from_batches([pack(tiles, out.complex)]), TILE))
 
+    @classmethod
+    def from_column_major(cls, spark: SparkSession, flat: np.ndarray, m: int, n: int, mb: int, nb: int, ld: int | None = None) -> TiledMatrix:
+        """From the elements of a column-major array on the driver whose columns begin ``ld`` elements apart."""
+        ld = max(m, 1) if ld is None else ld
+        require(ld >= max(m, 1) and flat.ndim == 1 and (n == 0 or len(flat) >= (n - 1) * ld + m), "the array is shorter than its extents say, or its columns overlap")
+        return cls.from_numpy(spark, np.lib.stride_tricks.as_strided(flat, (m, n), (flat.itemsize, ld * flat.itemsize)), mb, nb)
+
     def split(self, a: np.ndarray) -> Iterator[Tile]:
         """A dense array as tiles of this matrix's layout."""
         for i in range(0, self.m, self.mb):
@@ -211,6 +218,11 @@ class TiledMatrix:
     def cast_to_complex(self) -> TiledMatrix:
         return replace(self, tiles=self.tiles.withColumn("im", F.transform("re", lambda _: F.lit(0.0))), dtype={"s": "c", "d": "z"}.get(self.dtype, self.dtype))
 
+    def cleared(self, begin: tuple[int, int] = (0, 0), end: tuple[int, int] | None = None) -> TiledMatrix:
+        """Zeros in the tiles from ``begin`` to before ``end`` (all by default): these are dropped."""
+        to_i, to_j = end or (self.rows.tiles, self.columns.tiles)
+        return replace(self, tiles=self.tiles.filter(f"not (ti >= {begin[0]} and ti < {to_i} and tj >= {begin[1]} and tj < {to_j})"))
+
     def triangle(self, uplo: str, diag: str = "N") -> TiledMatrix:
         """Only the triangle; other tiles are dropped before they move anywhere."""
         from .functions.kernels import triangle

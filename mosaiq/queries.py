@@ -19,7 +19,7 @@ from .functions import kernels as K
 from .matrix import TiledMatrix
 from .operators import divide, eigen, factor, multiply, panel, shape, solve
 from .plans.strategy import shared_dir
-from .sources import generators, storage
+from .sources import columnmajor, generators, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -599,3 +599,30 @@ def _tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("tall_skinny_qr", _tall_qr, f"WITH {_Q} SELECT i, j, v AS re FROM q")
+
+
+# -- raw and text files, ranges of zeros --------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _column_major_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q through raw column-major files whose columns stand three elements further apart than they are long."""
+    q, path = q_matrix(spark, sf_dir), _folder(spark, "raw")
+    columnmajor.write(q, path, q.m + 3)
+    return _coo(columnmajor.read(spark, path, q.m, q.n, 100, GB, q.m + 3))
+
+
+def _csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q through text files."""
+    path = _folder(spark, "text")
+    storage.write_csv(q_matrix(spark, sf_dir), path)
+    return _coo(storage.read_csv(spark, path, 128, 16))
+
+
+_register("column_major_files", _column_major_files, f"WITH {_Q} SELECT i, j, v AS re FROM q")
+_register("csv_files", _csv_files, f"WITH {_Q} SELECT i, j, v AS re FROM q")
+_register("csv_rows", lambda s, d: storage.csv_lines(q_matrix(s, d)), f"WITH {_Q} SELECT i, string_agg(v::INT::VARCHAR || ',', '' ORDER BY j) AS line FROM q GROUP BY i")
+_register("set_zero_range", lambda s, d: _coo(g_matrix(s, d).cleared((0, 1), (2, 3)), None, False), f"WITH {_Q} SELECT i, j, re FROM g WHERE re <> 0 AND NOT (i < 48 AND j >= 24)")
