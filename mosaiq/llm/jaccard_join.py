@@ -35,8 +35,8 @@ from .words import SEQ_B, Words, grams, inside_document, lower_ascii, mix, slice
 #: Sizes of a band grow by this ratio at most.
 BAND_RATIO = 1.5
 CELLS, CHOICES = 3, ((0, 1), (0, 2), (1, 2))
-#: A signature's last bits are its band's number.
-BAND_BITS = 5
+#: A signature's last bits are its band's number; the 64th band begins at 10^11 shingles, more than a string can hold.
+BAND_BITS = 6
 #: A bitmap has twice as many bits as a set of its band at most has shingles, and no more than this.
 MOST_BITS = 1 << 16
 

@@ -83,3 +83,16 @@ def test_linked_sets_always_share_a_signature():
                 continue
             signed, owner = J.signatures(np.r_[base, other], np.array([0, len(base), len(base) + len(other)]), percent)
             assert set(signed[owner == 0]) & set(signed[owner == 1])
+
+
+@pytest.mark.parametrize("shingle,percent", [(3, 90), (5, 80)])
+def test_very_long_texts_are_linked(spark, shingle, percent):
+    """More than 1,049,867 shingles: the 33rd band of sizes and those after it."""
+    words = [f"w{i * 7919 % 1_299_709}" for i in range(1_060_000)]
+    near = list(words)
+    for k in range(10):
+        near[k * 100_003] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[: 530_000])), (4, "a b c d e f")]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle, percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert int(J.bands(1_060_000).size) - 2 >= 32 and J.bands(1 << 31).size < 1 << J.BAND_BITS
