@@ -1,6 +1,6 @@
 """Registered queries of the linear-algebra engine and their SQL for DuckDB.
 
-Inputs are the quantised embeddings Q (integers), G = Qᵀ Q, and closed forms whose results are known. Sums
+Inputs are the quantised embeddings Q (integers), G = Qᵀ Q, and matrices with a row for each vector. Sums
 of integers and dyadic numbers are exact in any order; other results are rounded far above their error.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kernels as K
-from .matrix import TiledMatrix
+from .matrix import TiledMatrix, unpack
 from .operators import divide, eigen, factor, multiply, panel, shape, solve
 from .plans.strategy import shared_dir
 from .sources import columnmajor, generators, storage
@@ -26,8 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Order and tile of the closed forms, and tile of G.
-N, NB, GB = 20, 6, 24
+#: Tile of G.
+GB = 24
 
 
 def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +73,6 @@ FROM embeddings, range(1, 65) t(k) WHERE k <= len(embedding)),
 g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS re FROM q a JOIN q b USING (i) GROUP BY a.j, b.j)"""
 
 
-def _square(n: int) -> str:
-    return f"SELECT i, j FROM range({n}) a(i), range({n}) b(j)"
-
-
 def _coo(a: TiledMatrix, digits: int | None = None, zeros: bool = True) -> DataFrame:
     value = F.col("re") if digits is None else F.round("re", digits)
     return a.to_coo(zeros).select("i", "j", (value + F.lit(0.0)).alias("re"))
@@ -130,69 +126,76 @@ for _side in "LR":
             else f"WITH {_Q}, {_h} SELECT b.i, h.j, 2 * sum({_B.format('b.i', 'h.i')} * h.re) AS re FROM h, range(10) b(i) GROUP BY b.i, h.j",
         )
 
-_T = "pow(2, -abs({0} - {1}))"
-
+#: Triangles of G times a power of two: their solves are well conditioned, and products stay exact.
+_SCALE = 2.0**-17
 
-def _t(spark: SparkSession, scale: float = 1.0) -> TiledMatrix:
-    return generators.from_function(spark, N, N, NB, NB, lambda i, j: scale * 2.0 ** -abs(i - j))
 
+def _small_g(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    return g_matrix(spark, sf_dir).scale(_SCALE)
 
-def _x(spark: SparkSession, side: str) -> TiledMatrix:
-    f = lambda i, j: (i + 2 * j) % 5.0 - 1
-    return generators.from_function(spark, N, 9, NB, 4, f) if side == "L" else generators.from_function(spark, 9, N, 4, NB, f)
 
-
-def _trmm(side: str, uplo: str, op: str, diag: str, spark: SparkSession) -> TiledMatrix:
-    return multiply.trmm(side, uplo, op, diag, _poisoned(_t(spark, 3.0), uplo), _x(spark, side), 2)
+def _trmm(side: str, uplo: str, op: str, diag: str, spark: SparkSession, sf_dir: str, alpha: float = 2) -> TiledMatrix:
+    return multiply.trmm(side, uplo, op, diag, _poisoned(_small_g(spark, sf_dir), uplo), g_matrix(spark, sf_dir), alpha)
 
 
+_G = f"WITH {_Q} SELECT i, j, re FROM g"
 for _side in "LR":
     for _uplo in "LU":
         for _op in "NT":
             for _diag in "NU":
                 _name = f"{_side}{_uplo}{_op}".lower() + ("_nonunit" if _diag == "N" else "_unit")
-                _element = f"(CASE WHEN r = c THEN {'3' if _diag == 'N' else '1'} WHEN r {'>' if _uplo == 'L' else '<'} c THEN 3 * {_T.format('r', 'c')} ELSE 0 END)"
-                _a = f"a AS (SELECT {'r AS i, c AS j' if _op == 'N' else 'c AS i, r AS j'}, {_element} AS v FROM range({N}) x(r), range({N}) y(c))"
+                _element = f"CASE WHEN i = j THEN {'re * pow(2, -17)' if _diag == 'N' else '1'} WHEN i {'>' if _uplo == 'L' else '<'} j THEN re * pow(2, -17) ELSE 0 END"
+                _a = f"a AS (SELECT {'i, j' if _op == 'N' else 'j AS i, i AS j'}, {_element} AS v FROM g)"
                 _register(
                     f"trmm_{_name}",
-                    lambda s, d, v=(_side, _uplo, _op, _diag): _coo(_trmm(*v, s)),
-                    f"WITH {_a} SELECT a.i, b.j, 2 * sum(a.v * ((a.j + 2 * b.j) % 5 - 1)) AS re FROM a, range(9) b(j) GROUP BY a.i, b.j"
+                    lambda s, d, v=(_side, _uplo, _op, _diag): _coo(_trmm(*v, s, d)),
+                    f"WITH {_Q}, {_a} SELECT a.i, b.j, 2 * sum(a.v * b.re) AS re FROM a JOIN g b ON a.j = b.i GROUP BY a.i, b.j"
                     if _side == "L"
-                    else f"WITH {_a} SELECT b.i, a.j, 2 * sum(((b.i + 2 * a.i) % 5 - 1) * a.v) AS re FROM a, range(9) b(i) GROUP BY b.i, a.j",
-                )
-                _register(
-                    f"trsm_{_name}",
-                    lambda s, d, v=(_side, _uplo, _op, _diag): _coo(solve.trsm(*v, _poisoned(_t(s, 3.0), v[1]), _trmm(*v, s), 0.5, "tiles"), 7),
-                    f"SELECT i, j, ((i + 2 * j) % 5 - 1)::DOUBLE AS re FROM range({N if _side == 'L' else 9}) a(i), range({9 if _side == 'L' else N}) b(j)",
+                    else f"WITH {_Q}, {_a} SELECT b.i, a.j, 2 * sum(b.re * a.v) AS re FROM g b JOIN a ON b.j = a.i GROUP BY b.i, a.j",
                 )
+                _register(f"trsm_{_name}", lambda s, d, v=(_side, _uplo, _op, _diag): _coo(solve.trsm(*v, _poisoned(_small_g(s, d), v[1]), _trmm(*v, s, d), 0.5, "tiles"), 3), _G)
+
+
+def _squared(uplo: str, f: TiledMatrix) -> TiledMatrix:
+    """L Lᴴ or Uᴴ U."""
+    return multiply.gemm(f, f, opb="C") if uplo == "L" else multiply.gemm(f, f, opa="C")
+
+
+def _inverted_back(uplo: str, diag: str, spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """T⁻¹ (T G)."""
+    inverse = solve.trtri(uplo, diag, _poisoned(_small_g(spark, sf_dir), uplo), "tiles")
+    return multiply.trmm("L", uplo, "N", diag, inverse, _trmm("L", uplo, "N", diag, spark, sf_dir, 1))
+
 
-_LOWER, _UPPER = f"{_square(N)} WHERE i >= j", f"{_square(N)} WHERE i <= j"
+def _solved_by_inverse(uplo: str, spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """(L Lᴴ)⁻¹ (G G), where L Lᴴ is G."""
+    g = g_matrix(spark, sf_dir).stored("gram")
+    inverse = solve.potri(uplo, _poisoned(factor.potrf(uplo, g), uplo))
+    return multiply.gemm(inverse.hermitian(uplo), multiply.gemm(g, g))
 
 
-def _spd(spark: SparkSession) -> TiledMatrix:
-    return generators.from_function(spark, N, N, NB, NB, lambda i, j: (4.0 ** (np.minimum(i, j) + 1) - 1) / (3 * 2.0 ** (i + j)))
+def _standard_and_back(uplo: str, spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """L (L⁻¹ G L⁻ᴴ) Lᴴ, or the same with U."""
+    t = _small_g(spark, sf_dir).triangle(uplo).stored("triangle")
+    standard = solve.hegst(uplo, _poisoned(g_matrix(spark, sf_dir), uplo), _poisoned(t, uplo)).hermitian(uplo)
+    return multiply.gemm(multiply.gemm(t, standard), t, opb="C") if uplo == "L" else multiply.gemm(multiply.gemm(t, standard, opa="C"), t)
 
 
-for _uplo, _half in (("L", _LOWER), ("U", _UPPER)):
+for _uplo in "LU":
     _word = "lower" if _uplo == "L" else "upper"
     for _way in ("task", "tiles"):
-        _register(f"potrf_{_word}_{_way}", lambda s, d, u=_uplo, w=_way: _coo(factor.potrf(u, _poisoned(_spd(s), u), w), 9, False), f"SELECT i, j, round({_T.format('i', 'j')}, 9) AS re FROM ({_half}) WHERE round({_T.format('i', 'j')}, 9) <> 0")
+        _register(f"potrf_{_word}_{_way}", lambda s, d, u=_uplo, w=_way: _coo(_squared(u, factor.potrf(u, _poisoned(g_matrix(s, d), u), w).stored("factor")), 3), _G)
     for _diag in "NU":
-        _scale = 4.0 if _diag == "N" else 1.0
-        _register(
-            f"trtri_{_word}_{'nonunit' if _diag == 'N' else 'unit'}",
-            lambda s, d, u=_uplo, g=_diag, k=_scale: _coo(solve.trtri(u, g, _poisoned(_t(s, k), u), "tiles"), 9, False).filter("i != j or re != 1").filter("re != 0"),
-            f"SELECT i, j, CASE WHEN i = j THEN 0.25 ELSE {-0.125 if _diag == 'N' else -0.5} END::DOUBLE AS re FROM ({_half}) WHERE abs(i - j) <= {1 if _diag == 'N' else 1} AND (i <> j OR {'true' if _diag == 'N' else 'false'})",
-        )
-    _mirror = f"(pow(4, least(p, q) + 1) - 1) / (3 * pow(2, p + q))"
-    _inverse = f"SELECT i, j, round({_mirror}, 8) AS re FROM (SELECT i, j, {N - 1} - i AS p, {N - 1} - j AS q FROM ({_half})) WHERE round({_mirror}, 8) <> 0"
-    _register(f"lauum_{_word}", lambda s, d, u=_uplo: _coo(multiply.lauum(u, _poisoned(_t(s), u)), 8, False).filter("re != 0"), _inverse)
-    _register(f"potri_{_word}", lambda s, d, u=_uplo: _coo(solve.potri(u, _poisoned(generators.from_function(s, N, N, NB, NB, lambda i, j: np.where(i == j, 1.0, np.where(abs(i - j) == 1, -0.5, 0.0))), u)), 8, False).filter("re != 0"), _inverse)
+        _register(f"trtri_{_word}_{'nonunit' if _diag == 'N' else 'unit'}", lambda s, d, u=_uplo, g=_diag: _coo(_inverted_back(u, g, s, d), 3), _G)
+    _meets = "a.i = b.i AND a.i >= a.j AND b.i >= b.j AND a.j >= b.j" if _uplo == "L" else "a.j = b.j AND a.i <= a.j AND b.i <= b.j AND a.i <= b.i"
+    _i, _j = ("a.j", "b.j") if _uplo == "L" else ("a.i", "b.i")
     _register(
-        f"gen_to_std_{_word}",
-        lambda s, d, u=_uplo: _coo(solve.hegst(u, _poisoned(generators.from_function(s, N, N, NB, NB, lambda i, j: 64.0 * (i + 1) * (j + 1) / 2.0 ** (i + j)), u), _poisoned(_t(s, 2.0), u)), 6, False).filter("re != 0"),
-        f"SELECT i, j, round(16 * pow(2, -(i + j)), 6) AS re FROM ({_half}) WHERE round(16 * pow(2, -(i + j)), 6) <> 0",
+        f"lauum_{_word}",
+        lambda s, d, u=_uplo: _coo(multiply.lauum(u, _poisoned(g_matrix(s, d), u)), None, False),
+        f"WITH {_Q} SELECT {_i} AS i, {_j} AS j, sum(a.re * b.re) AS re FROM g a JOIN g b ON {_meets} GROUP BY {_i}, {_j} HAVING sum(a.re * b.re) <> 0",
     )
+    _register(f"potri_{_word}", lambda s, d, u=_uplo: _coo(_solved_by_inverse(u, s, d), 1), _G)
+    _register(f"gen_to_std_{_word}", lambda s, d, u=_uplo: _coo(_standard_and_back(u, s, d), 3), _G)
 _register("potrf_gram", lambda s, d: _coo(multiply.gemm(f := factor.potrf("L", g_matrix(s, d), "tiles").stored("factor"), f, opb="C"), 0), f"WITH {_Q} SELECT i, j, re FROM g")
 _register("herk_lower", lambda s, d: _coo(multiply.herk("L", q_matrix(s, d), op="C"), None, False).filter("i >= j"), f"WITH {_Q} SELECT i, j, re FROM g WHERE i >= j AND re <> 0")
 _register("her2k_lower", lambda s, d: _coo(multiply.her2k("L", g_matrix(s, d), g_matrix(s, d)), None, False).filter("i >= j"), f"WITH {_Q} SELECT a.i, b.j, 2 * sum(a.re * b.re) AS re FROM g a JOIN g b ON a.j = b.i WHERE a.i >= b.j GROUP BY a.i, b.j HAVING sum(a.re * b.re) <> 0")
@@ -225,22 +228,37 @@ _register("add", lambda s, d: _coo(multiply.add(g_matrix(s, d), g_matrix(s, d).t
 _register("scale", lambda s, d: _coo(g_matrix(s, d).scale(0.5)), f"WITH {_Q} SELECT i, j, re / 2 AS re FROM g")
 _register("scale_columns", lambda s, d: _coo(multiply.scale_columns(g_matrix(s, d), s.range(64).selectExpr("id idx", "id + 0.5D value"))), f"WITH {_Q} SELECT i, j, re * (j + 0.5) AS re FROM g")
 _register("cast_to_complex", lambda s, d: g_matrix(s, d).cast_to_complex().to_coo(), f"WITH {_Q} SELECT i, j, re, 0::DOUBLE AS im FROM g")
-_register("set_identity", lambda s, d: _coo(generators.identity(s, 37, 8), None, False), "SELECT i, i AS j, 1::DOUBLE AS re FROM range(37) t(i)")
-_register("set_function", lambda s, d: _coo(_b(s, 30, 22, 7, 5)), f"SELECT i, j, {_B.format('i', 'j')}::DOUBLE AS re FROM range(30) a(i), range(22) b(j)")
-_register("set_function_transposed", lambda s, d: _coo(generators.from_function(s, 30, 22, 7, 5, lambda i, j: i - 2.0 * j, "T")), "SELECT i, j, (j - 2 * i)::DOUBLE AS re FROM range(30) a(i), range(22) b(j)")
-_register("set_zero", lambda s, d: _coo(generators.zeros(s, 9, 9, 4, 4)), "SELECT i, i AS j, 0::DOUBLE AS re FROM range(0) t(i)")
-_register("column_major", lambda s, d: _coo(TiledMatrix.from_numpy(s, np.arange(42.0).reshape(6, 7, order="F"), 4, 3)), "SELECT i, j, (i + 6 * j)::DOUBLE AS re FROM range(6) a(i), range(7) b(j)")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> int:
+    """Number of vectors; their ids go from 0 on."""
+    return (spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+def _from_driver(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """G (64 x 64) from a column-major array whose columns stand 70 elements apart."""
+    flat = np.full(64 * 70, np.nan)
+    flat.reshape(64, 70)[:, :64] = g_matrix(spark, sf_dir).to_numpy().T
+    return TiledMatrix.from_column_major(spark, flat, 64, 64, 10, 7, 70)
+
+
+_register("set_identity", lambda s, d: _coo(generators.identity(s, _vectors(s, d), 128), None, False), "SELECT vec_id AS i, vec_id AS j, 1::DOUBLE AS re FROM embeddings")
+_register("set_function", lambda s, d: _coo(_b(s, _vectors(s, d), 22, 70, 5)), f"SELECT i, j, {_B.format('i', 'j')}::DOUBLE AS re FROM (SELECT vec_id AS i FROM embeddings) a, range(22) b(j)")
+_register("set_function_transposed", lambda s, d: _coo(generators.from_function(s, _vectors(s, d), 22, 70, 5, lambda i, j: i - 2.0 * j, "T")), "SELECT i, j, (j - 2 * i)::DOUBLE AS re FROM (SELECT vec_id AS i FROM embeddings) a, range(22) b(j)")
+_register("set_zero", lambda s, d: _coo(q_matrix(s, d).cleared()), "SELECT vec_id AS i, vec_id AS j, 0::DOUBLE AS re FROM embeddings WHERE false")
+_register("column_major", lambda s, d: _coo(_from_driver(s, d)), f"WITH {_Q} SELECT i, j, re FROM g")
 
 
 def _checked(a: TiledMatrix, low: float, high: float) -> DataFrame:
     return a.to_coo().agg(F.count(F.lit(1)).alias("n"), F.min((F.col("re") * F.col("re") + F.col("im") * F.col("im")).between(low * low, high * high)).alias("inside"), F.max((F.col("i") == F.col("j")) & (F.abs("im") > 0)).alias("odd_diagonal"))
 
 
-_register("set_random", lambda s, d: _checked(generators.random(s, 40, 30, 7, 9), 0, 1), "SELECT 1200::BIGINT AS n, true AS inside, false AS odd_diagonal")
-_register("set_random_hermitian", lambda s, d: _checked(generators.random_hermitian(s, 40, 7, 0, "z"), 0, 1.0), "SELECT 1600::BIGINT AS n, true AS inside, false AS odd_diagonal")
-_register("set_random_positive_definite", lambda s, d: _checked(generators.random_positive_definite(s, 40, 7), 0, 81), "SELECT 1600::BIGINT AS n, true AS inside, false AS odd_diagonal")
-_register("set_random_banded", lambda s, d: _coo(generators.random_hermitian(s, 40, 7, band=3), None, False).selectExpr("max(abs(i - j)) width", "count(*) n"), "SELECT 3::BIGINT AS width, count(*) AS n FROM range(40) a(i), range(40) b(j) WHERE abs(i - j) <= 3")
-_register("set_random_non_zero_diagonal", lambda s, d: _coo(generators.random_non_zero_diagonal(s, 40, 7)).filter("i = j").selectExpr("count(*) n", "min(abs(re)) >= 0.1 and max(abs(re)) <= 1 inside"), "SELECT 40::BIGINT AS n, true AS inside")
+_COUNT = "(SELECT count(*) AS m FROM embeddings)"
+_register("set_random", lambda s, d: _checked(generators.random(s, _vectors(s, d), 30, 70, 9), 0, 1), f"SELECT 30 * m AS n, true AS inside, false AS odd_diagonal FROM {_COUNT}")
+_register("set_random_hermitian", lambda s, d: _checked(generators.random_hermitian(s, _vectors(s, d), 128, 0, "z"), 0, 1.0), f"SELECT m * m AS n, true AS inside, false AS odd_diagonal FROM {_COUNT}")
+_register("set_random_positive_definite", lambda s, d: _checked(generators.random_positive_definite(s, m := _vectors(s, d), 128), 0, 2 * m + 1), f"SELECT m * m AS n, true AS inside, false AS odd_diagonal FROM {_COUNT}")
+_register("set_random_banded", lambda s, d: _coo(generators.random_hermitian(s, _vectors(s, d), 128, band=3), None, False).selectExpr("max(abs(i - j)) width", "count(*) n"), f"SELECT 3::BIGINT AS width, 7 * m - 12 AS n FROM {_COUNT}")
+_register("set_random_non_zero_diagonal", lambda s, d: _coo(generators.random_non_zero_diagonal(s, _vectors(s, d), 128)).filter("i = j").selectExpr("count(*) n", "min(abs(re)) >= 0.1 and max(abs(re)) <= 1 inside"), f"SELECT m AS n, true AS inside FROM {_COUNT}")
 
 
 def _stored_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,27 +268,33 @@ def _stored_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("write_and_read", _stored_and_read, f"WITH {_Q} SELECT i, j, v AS re FROM q")
-_register("text_forms", lambda s, d: s.createDataFrame([(storage.to_csv(_b(s, 2, 3, 2, 2)), storage.to_numpy_code(_b(s, 2, 2, 2, 2)))], "csv string, code string"), r"SELECT '-5,-2,1,' || chr(10) || '2,5,-3,' || chr(10) AS csv, 'mat = np.array([-5.0, 2.0, -2.0, 5.0], dtype=np.float64).reshape(2, 2).T' || chr(10) AS code")
+_register(
+    "text_forms",
+    lambda s, d: s.createDataFrame([(storage.to_csv(g := q_matrix(s, d).submatrix(0, 0, 2, 3)), storage.to_numpy_code(g))], "csv string, code string"),
+    f"""WITH {_Q}, s AS (SELECT * FROM q WHERE i < 2 AND j < 3), r AS (SELECT i, string_agg(v::INT::VARCHAR || ',', '' ORDER BY j) || chr(10) AS line FROM s GROUP BY i)
+SELECT (SELECT string_agg(line, '' ORDER BY i) FROM r) AS csv, 'mat = np.array([' || string_agg(v::VARCHAR, ', ' ORDER BY j, i) || '], dtype=np.float64).reshape(3, 2).T' || chr(10) AS code FROM s""",
+)
 
 # -- eigensolvers ----------------------------------------------------------------------
 
 
-def _laplace(spark: SparkSession) -> TiledMatrix:
-    return generators.from_function(spark, N, N, 10, 10, lambda i, j: np.where(i == j, 2.0, np.where(abs(i - j) == 1, -1.0, 0.0)))
+def _laplace(spark: SparkSession, n: int, nb: int) -> TiledMatrix:
+    return generators.from_function(spark, n, n, nb, nb, lambda i, j: np.where(i == j, 2.0, np.where(abs(i - j) == 1, -1.0, 0.0)))
 
 
 def _rounded(values: DataFrame) -> DataFrame:
     return values.select("idx", F.round("value", 8).alias("value"))
 
 
-_LAPLACE = f"SELECT k AS idx, round(2 * (1 - cos(pi() * (k + 1) / {N + 1})), 8) AS value FROM range({N}) t(k)"
-_register("syevd_laplace", lambda s, d: _rounded(eigen.heevd("L", _poisoned(_laplace(s), "L")).values), _LAPLACE)
-_register("syevd_staged", lambda s, d: _rounded(eigen.heevd("U", _poisoned(_laplace(s), "U"), strategy="tiles", band=5).values), _LAPLACE)
-_register("stedc_laplace", lambda s, d: _rounded(eigen.tridiagonal_eigensolver(s, np.full(N, 2.0), np.full(N - 1, -1.0)).values), _LAPLACE)
+#: Eigenvalues of the second difference along all vectors' ids.
+_LAPLACE = "SELECT vec_id AS idx, round(2 * (1 - cos(pi() * (vec_id + 1) / (1 + count(*) OVER ()))), 8) AS value FROM embeddings"
+_register("syevd_laplace", lambda s, d: _rounded(eigen.heevd("L", _poisoned(_laplace(s, _vectors(s, d), 125), "L"), strategy="task").values), _LAPLACE)
+_register("syevd_staged", lambda s, d: _rounded(eigen.heevd("U", _poisoned(_laplace(s, _vectors(s, d), 125), "U"), strategy="tiles", band=125).values), _LAPLACE)
+_register("stedc_laplace", lambda s, d: _rounded(eigen.tridiagonal_eigensolver(s, np.full(n := _vectors(s, d), 2.0), np.full(n - 1, -1.0)).values), _LAPLACE)
 _register(
     "syevd_partial",
-    lambda s, d: _coo(eigen.heevd("L", _laplace(s), end=4).vectors).selectExpr("j", "re * re v").groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 9).alias("norm")),
-    f"SELECT j, {N}::BIGINT AS n, 1::DOUBLE AS norm FROM range(4) t(j)",
+    lambda s, d: _coo(multiply.gemm(g := g_matrix(s, d), (e := eigen.heevd("L", _poisoned(g, "L"), end=4)).vectors), 4).selectExpr("j", "re * re v").groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("square")).join(e.values.withColumnRenamed("idx", "j"), "j").select("j", "n", F.round(F.sqrt("square") - F.abs("value"), 2).alias("apart")),
+    "SELECT j, 64::BIGINT AS n, 0::DOUBLE AS apart FROM range(4) t(j)",
 )
 
 
@@ -286,9 +310,22 @@ def _orthogonal(b: TiledMatrix, z: TiledMatrix) -> DataFrame:
     return _coo(multiply.gemm(z, multiply.gemm(b, z), opa="C"), 7)
 
 
-_IDENTITY = f"SELECT i, j, (i = j)::INT::DOUBLE AS re FROM range({N}) a(i), range({N}) b(j)"
-_register("sygvd_orthogonality", lambda s, d: _orthogonal(b := _spd(s).retile(10, 10), eigen.hegvd("L", _laplace(s), b).vectors), _IDENTITY)
-_register("sygvd_factorized", lambda s, d: _orthogonal(b := _spd(s).retile(10, 10), eigen.hegvd("U", _laplace(s), factor.potrf("U", b), factorized=True).vectors), _IDENTITY)
+_IDENTITY = "SELECT i, j, (i = j)::INT::DOUBLE AS re FROM range(64) a(i), range(64) b(j)"
+
+
+def _pencil(spark: SparkSession, sf_dir: str) -> tuple[TiledMatrix, TiledMatrix]:
+    """A small multiple of G, and the identity with a smaller one."""
+    g = _small_g(spark, sf_dir).stored("gram")
+    return g, multiply.add(generators.identity(spark, 64, GB), g, 0.5).stored("metric")
+
+
+def _metric(uplo: str, factorized: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _pencil(spark, sf_dir)
+    return _orthogonal(b, eigen.hegvd(uplo, _poisoned(a, uplo), factor.potrf(uplo, b) if factorized else b, factorized=factorized).vectors)
+
+
+_register("sygvd_orthogonality", lambda s, d: _metric("L", False, s, d), _IDENTITY)
+_register("sygvd_factorized", lambda s, d: _metric("U", True, s, d), _IDENTITY)
 
 
 def _invariants(a: TiledMatrix, band: int) -> DataFrame:
@@ -320,14 +357,14 @@ _register("back_transforms", _back_transformed, f"WITH {_Q} SELECT i, j, re FROM
 
 
 def _index_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = spark.range(25).selectExpr("id idx", "cast((id * 7) % 25 as double) value")
+    values = quantised(spark, sf_dir).filter("j = 0").select(F.col("i").alias("idx"), F.col("v").alias("value"))
     perm = shape.sort_index(values)
     back = shape.apply_index(shape.apply_index(values, perm), shape.invert_index(perm))
     shifted = shape.add_index(perm, 100).select("pos", "src")
     return shape.apply_index(values, perm).withColumnRenamed("value", "sorted").join(back.withColumnRenamed("value", "restored"), "idx").join(shifted.withColumnRenamed("pos", "idx"), "idx")
 
 
-_register("index_operations", _index_operations, "SELECT idx, idx::DOUBLE AS sorted, ((idx * 7) % 25)::DOUBLE AS restored, (idx * 18) % 25 + 100 AS src FROM range(25) t(idx)")
+_register("index_operations", _index_operations, f"WITH {_Q}, r AS (SELECT i, v, row_number() OVER (ORDER BY v, i) - 1 AS pos FROM q WHERE j = 0) SELECT a.pos AS idx, a.v AS sorted, b.v AS restored, a.i + 100 AS src FROM r a JOIN r b ON b.i = a.pos")
 
 
 # -- complex matrices, sizes and residuals ---------------------------------------------
@@ -337,134 +374,210 @@ def _both_parts(a: TiledMatrix, digits: int = 7) -> DataFrame:
     return a.to_coo().select("i", "j", *((F.round(c, digits) + F.lit(0.0)).alias(c) for c in ("re", "im")))
 
 
-def _turned(size: Callable, angle: Callable) -> Callable:
-    return lambda i, j: size(i, j) * np.exp(1j * angle(i, j))
+def _complex_q(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    """Q with its columns in reverse order as the imaginary part."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    part = lambda x: F.floor(x.cast("double") * 64 + 0.5).cast("double")
+    both = rows.select(F.col("vec_id").alias("i"), F.posexplode(F.arrays_zip(F.col("embedding").alias("a"), F.reverse("embedding").alias("b"))).alias("j", "x"))
+    return TiledMatrix.from_coo(both.select("i", "j", part(F.col("x.a")).alias("re"), part(F.col("x.b")).alias("im")), _vectors(spark, sf_dir), 64, 512, GB, "z")
+
 
+_QC = f"{_Q}, c AS (SELECT a.i, a.j, a.v AS re, b.v AS im FROM q a JOIN q b ON a.i = b.i AND b.j = 63 - a.j)"
+#: The complex Gram matrix Qᴴ Q; its elements are whole.
+_H = f"{_QC}, h AS (SELECT a.j AS i, b.j, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im FROM c a JOIN c b USING (i) GROUP BY a.j, b.j)"
+_BI = "(({0} + 2 * {1}) % 5 - 1)"
 
-def _complex_gemm(spark: SparkSession, m: int, n: int, k: int, mb: int, nb: int, kb: int, opa: str = "N") -> TiledMatrix:
-    """2 op(A) B + C / 2 for the closed form of elements (i + 1) / (k + 1/2) and (k + 1/2) / (j + 2), turned by angles."""
-    left = _turned(lambda i, l: 0.9 * (i + 1) / (l + 0.5), lambda i, l: 2 * i - l)
-    stored = {"N": (m, k, mb, kb, left), "C": (k, m, kb, mb, lambda l, i: np.conj(left(i, l))), "T": (k, m, kb, mb, lambda l, i: left(i, l))}[opa]
-    a = generators.from_function(spark, *stored, dtype="z")
-    b = generators.from_function(spark, k, n, kb, nb, _turned(lambda l, j: 0.8 * (l + 0.5) / (j + 2), lambda l, j: l + j), dtype="z")
-    c = generators.from_function(spark, m, n, mb, nb, _turned(lambda i, j: 1.2 * i / (j + 1), lambda i, j: j - i), dtype="z")
-    return multiply.gemm(a, b, 2, 0.5, c, opa=opa)
 
+def _complex_b(spark: SparkSession, m: int, mb: int) -> TiledMatrix:
+    return generators.from_function(spark, m, 13, mb, 4, lambda i, j: (7 * i + 3 * j) % 11 - 5.0 + 1j * ((i + 2 * j) % 5 - 1.0), dtype="z")
 
-def _complex_gemm_sql(m: str, n: str, k: str, digits: int = 7) -> str:
-    part = "round(0.6 * i / (j + 1) * {0}(j - i) + 1.44 * {1} * (i + 1) / (j + 2) * {0}(2 * i + j), {2}) + 0.0"
-    return f"i, j, {part.format('cos', k, digits)} AS re, {part.format('sin', k, digits)} AS im FROM range({m}) a(i), range({n}) b(j)"
+
+def _complex_gemm(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2 op(Q) B - 3 C for complex Q, B and a C of i - j."""
+    q = _complex_q(spark, sf_dir)
+    m, mb, k, kb = (q.m, q.mb, 64, GB) if op == "N" else (64, GB, q.m, q.mb)
+    c = generators.from_function(spark, m, 13, mb, 4, lambda i, j: i - j + 0j, dtype="z")
+    return _both_parts(multiply.gemm(q, _complex_b(spark, k, kb), 2, -3, c, opa=op))
 
 
 for _op in "NTC":
-    _register(f"gemm_complex_{_op.lower()}", lambda s, d, o=_op: _both_parts(_complex_gemm(s, 19, 13, 11, 6, 4, 5, o)), f"SELECT {_complex_gemm_sql('19', '13', '11')}")
+    _rows, _inner, _sign = ("i", "j", "") if _op == "N" else ("j", "i", "-" if _op == "C" else "")
+    _br, _bi, _ai = _B.format(f"c.{_inner}", "b.j"), _BI.format(f"c.{_inner}", "b.j"), f"({_sign}c.im)"
+    _register(
+        f"gemm_complex_{_op.lower()}",
+        lambda s, d, o=_op: _complex_gemm(o, s, d),
+        f"WITH {_QC} SELECT c.{_rows} AS i, b.j, 2 * sum(c.re * {_br} - {_ai} * {_bi}) - 3 * (c.{_rows} - b.j) AS re, 2 * sum(c.re * {_bi} + {_ai} * {_br}) AS im FROM c, range(13) b(j) GROUP BY c.{_rows}, b.j",
+    )
 
 # Sizes (m, n, k) and tiles (mb, nb, kb).
 _GEMM_SIZES = [(26, 13, 0, 3, 6, 2), (3, 3, 3, 3, 3, 3), (8, 8, 11, 10, 9, 13), (3, 2, 4, 1, 1, 1), (6, 9, 8, 2, 3, 4), (21, 21, 21, 3, 4, 5), (12, 20, 11, 3, 4, 5), (8, 8, 11, 3, 3, 5), (0, 13, 7, 3, 6, 2), (26, 0, 7, 3, 6, 2)]
 
 
 def _gemm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = [_both_parts(_complex_gemm(spark, *size)).select(F.lit(k).cast("long").alias("size"), "i", "j", "re", "im") for k, size in enumerate(_GEMM_SIZES)]
-    return functools.reduce(DataFrame.unionAll, cases)
+    """2 A B + C / 2 for corners of G that begin at (5, 7), (9, 3) and (1, 2)."""
+    g = g_matrix(spark, sf_dir).stored("gram")
+    cut = lambda at, m, n, mb, nb: g.window(at, (m, n), tile=(mb, nb))
+    cases = [multiply.gemm(cut((5, 7), m, k, mb, kb), cut((9, 3), k, n, kb, nb), 2, 0.5, cut((1, 2), m, n, mb, nb)) for m, n, k, mb, nb, kb in _GEMM_SIZES]
+    return functools.reduce(DataFrame.unionAll, (_coo(x).select(F.lit(at).cast("long").alias("size"), "i", "j", "re") for at, x in enumerate(cases)))
 
 
-_register("gemm_sizes", _gemm_sizes, " UNION ALL ".join(f"SELECT {k}::BIGINT AS size, {_complex_gemm_sql(*map(str, size[:3]))}" for k, size in enumerate(_GEMM_SIZES)))
-
+_register(
+    "gemm_sizes",
+    _gemm_sizes,
+    f"WITH {_Q}, "
+    + "s AS ("
+    + " UNION ALL ".join(f"SELECT {at}::BIGINT AS size, {m} AS m, {n} AS n, {k} AS k" for at, (m, n, k, *_) in enumerate(_GEMM_SIZES))
+    + ") SELECT size, c.i - 1 AS i, c.j - 2 AS j, coalesce((SELECT 2 * sum(a.re * b.re) FROM g a JOIN g b ON a.j - 7 = b.i - 9 WHERE a.i - 5 = c.i - 1 AND b.j - 3 = c.j - 2 AND a.j >= 7 AND a.j - 7 < k), 0) + c.re / 2 AS re FROM s, g c WHERE c.i >= 1 AND c.j >= 2 AND c.i - 1 < m AND c.j - 2 < n",
+)
 
-def _complex_spd(spark: SparkSession, n: int, nb: int) -> TiledMatrix:
-    return generators.from_function(spark, n, n, nb, nb, _turned(lambda i, j: (4.0 ** (np.minimum(i, j) + 1) - 1) / (3 * 2.0 ** (i + j)), lambda i, j: j - i), dtype="z")
+# Orders and tiles.
+_SQUARE_SIZES = [(0, 2), (5, 8), (34, 34), (4, 3), (16, 10), (34, 13), (32, 5)]
 
 
-# Orders and tiles.
-_SQUARE_SIZES = [(5, 8), (4, 3), (16, 10), (34, 13), (32, 5)]
+def _complex_gram(spark: SparkSession, sf_dir: str) -> TiledMatrix:
+    q = _complex_q(spark, sf_dir)
+    return multiply.gemm(q, q, opa="C").stored("gram")
 
 
 def _potrf_sizes(spark: SparkSession, sf_dir: str, uplo: str) -> DataFrame:
-    inside = "i >= j" if uplo == "L" else "i <= j"
-    cases = [_both_parts(factor.potrf(uplo, _poisoned(_complex_spd(spark, n, nb), uplo), "tiles")).filter(inside).select(F.lit(n).cast("long").alias("n"), "i", "j", "re", "im") for n, nb in _SQUARE_SIZES]
-    return functools.reduce(DataFrame.unionAll, cases)
+    """Corners of the complex Gram matrix from their factors."""
+    h = _complex_gram(spark, sf_dir)
+    corners = [(at, factor.potrf(uplo, _poisoned(h.window((0, 0), (n, n), tile=(nb, nb)), uplo), "tiles")) for at, (n, nb) in enumerate(_SQUARE_SIZES)]
+    return functools.reduce(DataFrame.unionAll, (_both_parts(_squared(uplo, f.stored("factor")), 3).select(F.lit(at).cast("long").alias("size"), "i", "j", "re", "im") for at, f in corners))
 
 
-for _uplo, _word, _inside in (("L", "lower", "i >= j"), ("U", "upper", "i <= j")):
+for _uplo, _word in (("L", "lower"), ("U", "upper")):
     _register(
         f"potrf_complex_{_word}",
         lambda s, d, u=_uplo: _potrf_sizes(s, d, u),
-        " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, i, j, round({_T.format('i', 'j')} * cos(j - i), 7) + 0.0 AS re, round({_T.format('i', 'j')} * sin(j - i), 7) + 0.0 AS im FROM range({n}) a(i), range({n}) b(j) WHERE {_inside}" for n, _ in _SQUARE_SIZES),
+        f"WITH {_H}, s AS (" + " UNION ALL ".join(f"SELECT {at}::BIGINT AS size, {n} AS n" for at, (n, _) in enumerate(_SQUARE_SIZES)) + ") SELECT size, i, j, re, im FROM s, h WHERE i < n AND j < n",
     )
 
 
 def _complex_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X from Aᴴ X = Aᴴ X for a lower triangle A, solved by tiles."""
-    a = _poisoned(generators.from_function(spark, N, N, NB, NB, _turned(lambda i, j: 3.0 * 2.0 ** -abs(i - j), lambda i, j: i - 2 * j), dtype="z"), "L")
-    x = generators.from_function(spark, N, 9, NB, 4, _turned(lambda i, j: (i + 2.0 * j) % 5 - 1, lambda i, j: i + j), dtype="z")
-    return _both_parts(solve.trsm("L", "L", "C", "N", a, multiply.trmm("L", "L", "C", "N", a, x), 1, "tiles"))
+    """The complex Gram matrix X from Aᴴ X = Aᴴ X, A being its own lower triangle made small."""
+    h = _complex_gram(spark, sf_dir)
+    a = _poisoned(h.scale(_SCALE), "L")
+    return _both_parts(solve.trsm("L", "L", "C", "N", a, multiply.trmm("L", "L", "C", "N", a, h), 1, "tiles"), 3)
 
 
-_register("trsm_complex_llc", _complex_solved, f"SELECT i, j, round(((i + 2 * j) % 5 - 1) * cos(i + j), 7) + 0.0 AS re, round(((i + 2 * j) % 5 - 1) * sin(i + j), 7) + 0.0 AS im FROM range({N}) a(i), range(9) b(j)")
+_register("trsm_complex_llc", _complex_solved, f"WITH {_H} SELECT i, j, re, im FROM h")
 
 
 def _residual(factorized: bool, strategy: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = _laplace(spark), _spd(spark).retile(10, 10)
+        a, b = _pencil(spark, sf_dir)
         e = eigen.hegvd("L", a, factor.potrf("L", b) if factorized else b, factorized=factorized, strategy=strategy)
         return _coo(multiply.add(multiply.gemm(a, e.vectors), multiply.scale_columns(multiply.gemm(b, e.vectors), e.values), -1), 7)
 
     return run
 
 
-_ZERO = f"SELECT i, j, 0::DOUBLE AS re FROM range({N}) a(i), range({N}) b(j)"
+_ZERO = "SELECT i, j, 0::DOUBLE AS re FROM range(64) a(i), range(64) b(j)"
 _register("sygvd_residual", _residual(False, None), _ZERO)
 _register("sygvd_residual_factorized", _residual(True, None), _ZERO)
 _register("sygvd_residual_staged", _residual(False, "tiles"), _ZERO)
-for _n in (93, 100):
-    _values = f"SELECT k AS idx, round(2 * (1 - cos(pi() * (k + 1) / {_n + 1})), 8) AS value FROM range({_n}) t(k)"
-    _register(f"stedc_laplace_{_n}", lambda s, d, n=_n: _rounded(eigen.tridiagonal_eigensolver(s, np.full(n, 2.0), np.full(n - 1, -1.0)).values), _values)
-    _register(
-        f"syevd_staged_{_n}",
-        lambda s, d, n=_n: _rounded(eigen.heevd("L", generators.from_function(s, n, n, 20, 20, lambda i, j: np.where(i == j, 2.0, np.where(abs(i - j) == 1, -1.0, 0.0))), strategy="tiles", band=10).values),
-        _values,
-    )
+for _n in (93, 100):  # tiles that the cuts of the tree don't halve evenly
+    _register(f"stedc_laplace_{_n}", lambda s, d, nb=_n: _rounded(eigen.tridiagonal_eigensolver(s, np.full(n := _vectors(s, d), 2.0), np.full(n - 1, -1.0), nb, strategy="tiles").values), _LAPLACE)
+    _register(f"syevd_staged_{_n}", lambda s, d, nb=_n: _rounded(eigen.heevd("L", _laplace(s, _vectors(s, d), nb), strategy="tiles", band=nb).values), _LAPLACE)
 
 
-def _kernel_checks() -> list[tuple[str, bool]]:
-    rng = np.random.default_rng(1)
-    a, b, c = (rng.standard_normal((9, 9)) + 1j * rng.standard_normal((9, 9)) for _ in range(3))
-    h, p = a + a.conj().T, a @ a.conj().T + 9 * np.eye(9)
-    low = np.tril(p)
-    near = lambda x, y: bool(np.allclose(x, y))
-    d, e = rng.standard_normal(9), rng.standard_normal(8)
+def _kernel_results(a: np.ndarray) -> Iterator[tuple[str, np.ndarray | float]]:
+    """Results of all kernels for a symmetric, positive definite tile."""
+    low, up, spoiled, singular = np.tril(a), np.triu(a), a.copy(), np.tril(a)
+    spoiled[2, 2], singular[1, 1] = -1, 0
+    d, e = np.diag(a).copy(), np.diag(a, -1).copy()
     w, z = K.stedc(d, e)
     v, taus, r = K.householder_panel(a[:, :4])
-    return [
-        ("gemm", near(K.gemm(a, b, c, 2, 3, "C", "T"), 2 * a.conj().T @ b.T + 3 * c)),
-        ("hemm", near(K.hemm("R", "U", np.triu(h), b), b @ h)),
-        ("herk", near(np.tril(K.herk("L", a, c, 1, 1)), np.tril(a @ a.conj().T + c))),
-        ("her2k", near(np.triu(K.her2k("U", a, b, c)), np.triu(a @ b.conj().T + b @ a.conj().T + c))),
-        ("trmm", near(K.trmm("L", "L", "C", "N", p, b), low.conj().T @ b)),
-        ("trsm", near(K.trmm("R", "U", "T", "U", p, K.trsm("R", "U", "T", "U", p, b)), b)),
-        ("add", near(K.add(2, b, a), a + 2 * b)),
-        ("scal", near(K.scal(3, a), 3 * a)),
-        ("lacpy", near(K.lacpy("L", a, b), np.tril(a) + np.triu(b, 1))),
-        ("lange", near([K.lange(k, a) for k in "M1IF"], [abs(a).max(), abs(a).sum(0).max(), abs(a).sum(1).max(), np.linalg.norm(a)])),
-        ("lantr", near(K.lantr("F", "L", "U", a), np.linalg.norm(np.tril(a, -1) + np.eye(9)))),
-        ("laset", near(K.laset("G", 2, 5, a), np.full((9, 9), 2) + 3 * np.eye(9))),
-        ("hegst", near(K.full(K.hegst(2, "L", h, p), "L"), low.conj().T @ h @ low)),
-        ("lauum", near(np.tril(K.lauum("L", p)), np.tril(low.conj().T @ low))),
-        ("potrf", near(np.tril(K.potrf("L", p)), np.linalg.cholesky(p))),
-        ("potrf_info", K.potrf_info("L", np.diag([1.0, 2, -1, 4]))[1] == 3),
-        ("stedc", near((np.diag(d) + np.diag(e, 1) + np.diag(e, -1)) @ z, z * w)),
-        ("scale_columns", near(K.scale_columns(z, w), z * w)),
-        ("trtri", near(np.tril(K.trtri("L", "N", p)) @ low, np.eye(9))),
-        ("trtri_info", K.trtri_info("L", "N", np.diag([1.0, 0, 2]))[1] == 2),
-        ("larft", near((np.eye(9) - v @ K.larft(v, taus) @ v.conj().T) @ r, a[:, :4])),
+    yield "gemm", K.gemm(a, low, a, 2, 3, "C", "T")
+    yield "hemm", K.hemm("R", "U", up, low)
+    yield "herk", np.tril(K.herk("L", low, a, 1, 1))
+    yield "her2k", np.triu(K.her2k("U", low, a, a))
+    yield "trmm", K.trmm("L", "L", "C", "N", a, a)
+    yield "trsm", K.trmm("R", "U", "T", "U", a, K.trsm("R", "U", "T", "U", a, a))
+    yield "add", K.add(2, low, a)
+    yield "scal", K.scal(3, a)
+    yield "lacpy", K.lacpy("L", a, 2 * a)
+    yield from ((f"lange_{kind}", K.lange(kind, a)) for kind in "M1IF")
+    yield "lantr", K.lantr("F", "L", "U", a)
+    yield "laset", K.laset("G", 2, 5, a)
+    yield "hegst", np.tril(K.hegst(2, "L", a, a))
+    yield "lauum", np.tril(K.lauum("L", a))
+    factored = np.tril(K.potrf("L", a))
+    yield "potrf", factored @ factored.T
+    yield "potrf_info", K.potrf_info("L", spoiled)[1]
+    yield "stedc", K.scale_columns(z, w) @ z.T
+    yield "scale_columns", K.scale_columns(a, d)
+    yield "trtri", np.tril(K.trtri("L", "N", a)) @ low
+    yield "trtri_info", K.trtri_info("L", "N", singular)[1]
+    yield "larft", (np.eye(len(a)) - v @ K.larft(v, taus) @ v.conj().T) @ r
+
+
+def _kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kernel on the four diagonal tiles of G times 2^-15: numbers, or sums of the elements times 1 + i + 2 j."""
+    tiles = TiledMatrix.from_coo(gram_gemm(spark, sf_dir).filter("i div 16 = j div 16"), 64, 64, 16, 16).scale(2.0**-15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ti, _, a in unpack(batch):
+                rows = []
+                for name, x in _kernel_results(a):
+                    if isinstance(x, np.ndarray):
+                        i, j = np.indices(x.shape)
+                        x = (x * (1 + i + 2 * j)).sum()
+                    rows.append((name, ti, float(x)))
+                kernels, at, values = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kernels), pa.array(at, pa.int64()), pa.array(values)], ["kernel", "tile", "value"])
+
+    return tiles.tiles.mapInArrow(run, "kernel string, tile long, value double").withColumn("value", F.round("value", 5))
+
+
+def _kernels_sql() -> str:
+    weighted = lambda name, table, v="v", where="true": f"SELECT '{name}' AS kernel, t AS tile, sum(({v}) * (1 + i + 2 * j)) AS value FROM {table} WHERE {where} GROUP BY t"
+    product = lambda name, left, right, i, j, on: f"{name} AS (SELECT a.t, a.{i} AS i, b.{j} AS j, sum(a.v * b.v) AS v FROM {left} a JOIN {right} b ON a.t = b.t AND {on} GROUP BY a.t, a.{i}, b.{j})"
+    plus = lambda table, times, plus_: f"(SELECT t, i, j, {times} * coalesce(p.v, 0) + {plus_} * d.v AS v FROM d LEFT JOIN {table} p USING (t, i, j))"
+    number = lambda name, v: f"SELECT '{name}', t, {v} FROM d GROUP BY t"
+    tables = [
+        "d AS (SELECT i // 16 AS t, i % 16 AS i, j % 16 AS j, re * pow(2, -15) AS v FROM g WHERE i // 16 = j // 16)",
+        "l AS (SELECT * FROM d WHERE i >= j)",
+        product("dl", "d", "l", "i", "i", "a.j = b.j"),  # D Lᵀ
+        product("ld", "l", "d", "i", "j", "a.j = b.i"),  # L D
+        product("ll", "l", "l", "i", "i", "a.j = b.j"),  # L Lᵀ
+        product("td", "l", "d", "j", "j", "a.i = b.i"),  # Lᵀ D
+        product("tl", "l", "l", "j", "j", "a.i = b.i"),  # Lᵀ L
+        product("tdl", "td", "l", "i", "j", "a.j = b.i"),  # Lᵀ D L
+        "sums AS (SELECT t, j, sum(abs(v)) AS s FROM d GROUP BY t, j)",
+    ]
+    rows = [
+        weighted("gemm", plus("dl", 2, 3)),
+        weighted("hemm", "ld"),
+        weighted("herk", plus("ll", 1, 1), where="i >= j"),
+        weighted("her2k", "(SELECT t, i, j, x.v + y.v + d.v AS v FROM d JOIN ld x USING (t, i, j) JOIN dl y USING (t, i, j))", where="i <= j"),
+        weighted("trmm", "td"),
+        weighted("trsm", "d"),
+        weighted("add", "d", "v * CASE WHEN i >= j THEN 3 ELSE 1 END"),
+        weighted("scal", "d", "3 * v"),
+        weighted("lacpy", "d", "v * CASE WHEN i >= j THEN 1 ELSE 2 END"),
+        number("lange_M", "max(abs(v))"),
+        "SELECT 'lange_1', t, max(s) FROM sums GROUP BY t",
+        "SELECT 'lange_I', t, max(s) FROM sums GROUP BY t",
+        number("lange_F", "sqrt(sum(v * v))"),
+        number("lantr", "sqrt(16 + sum(CASE WHEN i > j THEN v * v ELSE 0 END))"),
+        weighted("laset", "d", "CASE WHEN i = j THEN 5 ELSE 2 END"),
+        weighted("hegst", "tdl", where="i >= j"),
+        weighted("lauum", "tl", where="i >= j"),
+        weighted("potrf", "d"),
+        number("potrf_info", "3"),
+        weighted("stedc", "d", where="abs(i - j) <= 1"),
+        "SELECT 'scale_columns', d.t, sum(d.v * e.v * (1 + d.i + 2 * d.j)) FROM d JOIN d e ON d.t = e.t AND d.j = e.i AND e.i = e.j GROUP BY d.t",
+        weighted("trtri", "d", "CASE WHEN i = j THEN 1 ELSE 0 END"),
+        number("trtri_info", "2"),
+        weighted("larft", "d", where="j < 4"),
     ]
+    return f"WITH {_Q}, {', '.join(tables)} SELECT kernel, tile, round(value::DOUBLE, 5) AS value FROM ({' UNION ALL '.join(rows)})"
 
 
-_register(
-    "tile_kernels",
-    lambda s, d: s.createDataFrame([(n, bool(x)) for n, x in _kernel_checks()], "kernel string, right boolean"),
-    "SELECT unnest(['gemm','hemm','herk','her2k','trmm','trsm','add','scal','lacpy','lange','lantr','laset','hegst','lauum','potrf','potrf_info','stedc','scale_columns','trtri','trtri_info','larft']) AS kernel, true AS right",
-)
+_register("tile_kernels", _kernels, _kernels_sql())
 
 
 # -- divide and conquer in tiles, index operations over tables ---------------------------
