@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..layout import require
 from ..matrix import TILE, Tile, TiledMatrix, in_one_task, packed, unpack
-from ..plans.strategy import single_task
+from ..plans.strategy import Scratch, shared_dir, single_task
 
 NotPositiveDefinite = K.NotPositiveDefinite
 
@@ -31,18 +31,23 @@ def potrf(uplo: str, a: TiledMatrix, strategy: str | None = None) -> TiledMatrix
         return in_one_task(lambda x: [K.triangle(K.potrf(uplo, x), uplo)], [a], [a])[0]
     if uplo == "U":
         return potrf("L", a.transpose(conjugate=True), strategy).transpose(conjugate=True)
-    rest, done = replace(a, tiles=a.tiles.filter("ti >= tj")).stored("trailing"), []
-    for k in range(a.rows.tiles):
-        at, size = k * a.mb, min(a.mb, a.m - k * a.mb)
-        corner, info = K.potrf_info("L", rest.submatrix(at, at, size, size).to_numpy())
-        if info:
-            raise NotPositiveDefinite(at + info)
-        lower = K.triangle(corner, "L")
-        column = lambda ti, tj, x, lower=lower: lower if ti == tj else K.trsm("R", "L", "C", "N", lower, x)
-        panel = rest.map_tiles(column, keep=f"tj = {k}").stored("panel")
-        done.append(panel)
-        rest = _updated(rest, panel, k).stored("trailing")
-    return replace(a, tiles=functools.reduce(DataFrame.unionAll, (panel.tiles for panel in done)))
+    folder = f"{shared_dir(a.spark)}/factor-{uuid.uuid4().hex}"
+    place = lambda k: f"{folder}/{k:06d}"
+    with Scratch(a.spark) as scratch:
+        rest = replace(a, tiles=scratch.stored(a.tiles.filter("ti >= tj")))
+        for k in range(a.rows.tiles):
+            at, size = k * a.mb, min(a.mb, a.m - k * a.mb)
+            corner, info = K.potrf_info("L", rest.submatrix(at, at, size, size).to_numpy())
+            if info:
+                raise NotPositiveDefinite(at + info)
+            lower = K.triangle(corner, "L")
+            column = lambda ti, tj, x, lower=lower: lower if ti == tj else K.trsm("R", "L", "C", "N", lower, x)
+            rest.map_tiles(column, keep=f"tj = {k}").tiles.write.parquet(place(k))
+            panel = replace(a, tiles=a.spark.read.schema(TILE).parquet(place(k)))
+            if k + 1 < a.rows.tiles:
+                rest = replace(rest, tiles=scratch.stored(_updated(rest, panel, k).tiles))
+                scratch.drop_before()
+    return replace(a, tiles=a.spark.read.schema(TILE).parquet(*map(place, range(a.rows.tiles))))
 
 
 def _updated(rest: TiledMatrix, panel: TiledMatrix, k: int) -> TiledMatrix:
