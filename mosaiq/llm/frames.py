@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -85,5 +86,13 @@ def flagged(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return joined.withColumn("__maybe", F.expr(f"__bits is not null and (shiftright(__bits, {bit}) & 1L) = 1L")).drop("__slot", "__bits")
 
 
+def free_memory() -> None:
+    """Gives a Python worker's freed memory back to the system: workers outlive their tasks, and stages add up."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def sha_of_text(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)

@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .frames import free_memory
 from .words import spread
 
 BLANK = "▁"
 #: Remembered units; all are forgotten when there are more.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 150_000
 
 SCHEMA = "ids binary, begins binary, ends binary, decoded string"
 
@@ -330,6 +331,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         codec = Codec(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
