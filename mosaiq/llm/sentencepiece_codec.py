@@ -30,7 +30,7 @@ from .words import spread
 
 BLANK = "▁"
 #: Remembered units; all are forgotten when there are more.
-MEMO_UNITS = 150_000
+MEMO_UNITS = 250_000
 
 SCHEMA = "ids binary, begins binary, ends binary, decoded string"
 
@@ -194,6 +194,10 @@ def _units(text: str) -> list[str]:
     return joined
 
 
+#: The dummy prefix comes from the unit's own blank, each byte behind it from itself.
+_RAMP = np.concatenate((np.zeros(3, np.int64), np.arange(1, 4098)))
+
+
 class Grown:
     """Columns of 64-bit integers that grow by doubling."""
 
@@ -246,11 +250,22 @@ class Codec:
                 proto = self.processor.encode(some[k], return_type="proto")
                 ids[k], sizes[k] = self._pieces(proto)
         # The prefix comes from the blank before the unit, all else lies one byte further on.
-        origins = [np.concatenate((np.zeros(3, np.int64), self.model.normalize(u)[1][3:] + 1)) for u in some]
+        origins = [self._origins(u) for u in some]
         if len(some) < len(units):  # a single blank at the end of a text
             some, ids, sizes, origins = [*some, ""], [*ids, [self.blank]], [*sizes, None], [*origins, np.array([0, 0, 0, 1])]
         self._add(some, ids, sizes, origins)
 
+    def _origins(self, unit: str) -> np.ndarray:
+        """Places in the unit, its own blank included, of the normalised bytes and of the end.
+
+        Units are only used with a map without keys: its longest-prefix search finds nothing at any place, so without
+        blanks inside each byte comes from itself. Others are aligned byte by byte.
+        """
+        size = len(unit) if unit.isascii() else len(unit.encode())
+        if " " not in unit and size + 4 <= len(_RAMP):
+            return _RAMP[: size + 4]
+        return np.concatenate((np.zeros(3, np.int64), self.model.normalize(unit)[1][3:] + 1))
+
     def _pieces(self, proto: object) -> tuple[list[int], np.ndarray]:
         return [p.id for p in proto.pieces], np.array([1 if self.model.types[p.id] == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
 

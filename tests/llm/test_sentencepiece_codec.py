@@ -140,3 +140,11 @@ def test_unknown_pieces_have_their_texts_length():
     codec.unknown = int(kept[0][1])  # as if the first piece were unknown
     codec.forget()
     assert all((x == y).all() for x, y in zip(codec.encode("plain words"), kept, strict=True))
+
+
+def test_units_are_aligned_as_the_normaliser_says():
+    codec = Codec(PATH)
+    assert codec.by_words and codec.model.charsmap.identity
+    for unit in ["a", "word", "né", "漢字", "🙂x", "a\tb", "x\n", "...", " two", "y" * 5000, "é" * 3000]:
+        slow = np.concatenate((np.zeros(3, np.int64), codec.model.normalize(unit)[1][3:] + 1))
+        assert codec._origins(unit).tolist() == slow.tolist()
