@@ -55,12 +55,12 @@ class WaveletMatrix:
 class FMIndex:
     """Index of texts given as runs of symbols from 1 on, with a 0 behind each run.
 
-    ``threshold`` is the length of the matches that are looked for.
+    ``threshold`` is the length of the matches that are looked for: matching statistics are told up to it.
     """
 
     def __init__(self, text: np.ndarray, threshold: int):
         n = len(text)
-        self.threshold = threshold
+        self.threshold, self.size = threshold, n
         rank, ranks, depth = text.astype(np.int64), {}, 1
         while True:
             ranks[depth] = rank
@@ -74,32 +74,47 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = step
             depth *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        self.ranks = ranks
+        self.text = text.astype(np.int32)
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
         self.top = int(text.max())
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.top + 1))))
         self.bwt = WaveletMatrix(text[self.suffixes - 1], self.top)
-        self.size = n
-        self.parent_of, self.parent_start = self._classes(threshold - 1)
-        self.match_of, self.match_start = self._classes(threshold)
-        del self.ranks
+        common = self._common(ranks)
+        self.parent_of, self.parent_start = self._classes(common, threshold - 1)
+        self.match_of, self.match_start = self._classes(common, threshold)
+        # Smallest common lengths of 1, 2, 4, ... neighbours in a row, which lead to the ends of a range.
+        self.least_common = [common]
+        while (width := 1 << len(self.least_common)) <= n:
+            last = self.least_common[-1]
+            self.least_common.append(np.minimum(last[: n + 2 - width], last[width // 2 :]))
+
+    def _common(self, ranks: dict[int, np.ndarray]) -> np.ndarray:
+        """Symbols that each sorted suffix shares with the one before it, up to the threshold; 0 at both ends."""
+        left, right = self.suffixes[:-1].astype(np.int64), self.suffixes[1:].astype(np.int64)
+        shared = np.zeros(len(left), np.int64)
+        for depth in sorted(ranks, reverse=True):
+            rank = ranks[depth]
+            a, z = left + shared, right + shared
+            inside = (a < self.size) & (z < self.size)
+            shared += depth * (inside & (rank[np.minimum(a, self.size - 1)] == rank[np.minimum(z, self.size - 1)]))
+        return np.concatenate(([0], np.minimum(shared, self.threshold), [0])).astype(np.int32)
 
     def smallest(self, values: np.ndarray) -> np.ndarray:
-        """For each class of equal windows, the smallest of its places' values; the suffixes aren't needed after that."""
-        out = np.minimum.reduceat(values[self.suffixes], self.match_start[:-1])
-        del self.suffixes
-        return out
+        """For each class of equal windows, the smallest of its places' values."""
+        return np.minimum.reduceat(values[self.suffixes], self.match_start[:-1])
+
+    def classes_at(self, places: np.ndarray) -> np.ndarray:
+        """The classes of the indexed windows that start at these places of the text."""
+        class_of = np.empty(self.size, np.int64)
+        class_of[self.suffixes] = self.match_of
+        return class_of[places]
 
-    def _classes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    def _classes(self, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Runs of sorted suffixes that share their first ``depth`` symbols: the run of each, and the runs' starts."""
         if depth == 0:
             return np.zeros(self.size, np.int64), np.array([0, self.size])
-        half = 1 << (depth.bit_length() - 1)
-        rank, at = self.ranks[half], self.suffixes
-        later = np.minimum(at + depth - half, self.size - 1)
-        new = (np.diff(rank[at]) != 0) | (np.diff(rank[later]) != 0)
-        run = np.concatenate(([0], np.cumsum(new)))
-        return run, np.concatenate(([0], np.flatnonzero(new) + 1, [self.size]))
+        start = np.flatnonzero(common[:-1] < depth)
+        return np.repeat(np.arange(len(start)), np.diff(np.r_[start, self.size])), np.r_[start, self.size]
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the ranges of the patterns with a symbol put in front."""
@@ -112,13 +127,23 @@ class FMIndex:
         run = self.parent_of[lo]
         return self.parent_start[run], self.parent_start[run + 1]
 
+    def around(self, at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of sorted suffixes that share their first ``depth`` symbols with the one at each place."""
+        lo, hi = at.copy(), at + 1
+        for k in range(len(self.least_common) - 1, -1, -1):
+            least, width = self.least_common[k], 1 << k
+            start = lo - width + 1
+            lo = np.where((start >= 0) & (least[np.maximum(start, 0)] >= depth), lo - width, lo)
+            hi = np.where((hi < len(least)) & (least[np.minimum(hi, len(least) - 1)] >= depth), hi + width, hi)
+        return lo, hi
+
     def matches(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ranges of every window of the threshold's length in text[begin:end] of each pattern.
 
-        Goes through the patterns from their ends: a window's range is reached by one backward step from the
-        range of the window behind it, shortened by one symbol. Gives, for each step, (pattern, window's
-        offset in the pattern, class of equal windows, -1 if the window doesn't occur). A pattern's match that
-        breaks off starts anew with the symbols behind it.
+        Goes through the patterns from their ends: the longest match at a place is reached by one backward step
+        from that of the place behind it, shortened by one symbol if it has the threshold's length, or to the
+        longest one that goes on (``_longest``) if it breaks off. Gives, for each step, (pattern, window's offset
+        in the pattern, class of equal windows, -1 if the window doesn't occur).
         """
         w, out = self.threshold, []
         order = np.argsort(begin - end, kind="stable")  # longest first: those still going are a prefix
@@ -136,28 +161,35 @@ class FMIndex:
             symbol = text[at]
             known = (symbol > 0) & (symbol <= self.top)
             a, z = self.extend(np.where(known, symbol, 0), lo[:going], hi[:going])
-            a, z = np.where(known, a, 0), np.where(known, z, 0)
-            for k in np.flatnonzero(a >= z):  # matching statistics: the longest match that starts here
-                a[k], z[k], length[k] = self._longest(text, int(at[k]), int(length[k]))
-            lo[:going], hi[:going] = a, z
-            length[:going] = np.where(z > a, length[:going] + 1, 0)
+            size = length[:going] + 1
+            if (broken := known & (a >= z)).any():
+                a[broken], z[broken], size[broken] = self._longest(text, at[broken], a[broken], size[broken])
+            lo[:going], hi[:going] = np.where(known, a, 0), np.where(known, z, self.size)
+            length[:going] = np.where(known, size, 0)
             wide = end[:going] - at >= w
             if wide.any():
                 hit = length[:going] == w
-                out.append((order[:going][wide], (at - begin[:going])[wide], np.where(hit, self.match_of[np.minimum(a, self.size - 1)], -1)[wide]))
+                out.append((order[:going][wide], (at - begin[:going])[wide], np.where(hit, self.match_of[np.minimum(lo[:going], self.size - 1)], -1)[wide]))
         return out
 
-    def _longest(self, text: np.ndarray, at: int, most: int) -> tuple[int, int, int]:
-        """The range and the length less one of the longest prefix of text[at:] that occurs, of up to ``most`` symbols."""
-        for size in range(most, 0, -1):
-            lo, hi = np.array([0]), np.array([self.size])
-            for symbol in text[at : at + size][::-1]:
-                if not 0 < symbol <= self.top:
-                    lo = hi
-                    break
-                lo, hi = self.extend(np.array([symbol]), lo, hi)
-                if lo[0] >= hi[0]:
+    def _longest(self, text: np.ndarray, at: np.ndarray, place: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ranges and lengths of the longest prefixes of text[at:], of less than ``most`` symbols, that occur.
+
+        place: where text[at:at + most] would stand among the sorted suffixes. What shares most with it is there or
+        just before.
+        """
+        best, size = place, np.full(len(at), -1)
+        for beside in (place - 1, place):
+            inside = (beside >= 0) & (beside < self.size)
+            there = self.suffixes[np.clip(beside, 0, self.size - 1)].astype(np.int64)
+            same, shared = inside.copy(), np.zeros(len(at), np.int64)
+            for k in range(int(most.max())):
+                same &= k < most
+                same[same] = self.text[np.minimum(there[same] + k, self.size - 1)] == text[at[same] + k]
+                if not same.any():
                     break
-            if lo[0] < hi[0]:
-                return int(lo[0]), int(hi[0]), size - 1
-        return 0, self.size, -1
+                shared += same
+            best, size = np.where(shared > size, beside, best), np.maximum(shared, size)
+        lo, hi = self.around(best, size)
+        nothing = size == 0
+        return np.where(nothing, 0, lo), np.where(nothing, self.size, hi), size

@@ -4,10 +4,11 @@ A passage is a window of ``window`` successive words. The smallest hash of the `
 window is its anchor; the windows of a document that share an anchor form a segment. Equal windows have equal
 anchors, so only segments whose anchor occurs in two documents or more can hold a repeated window, and equal
 windows always meet in the shard of their anchor. Each distinct segment goes there once, with the smallest
-document that has it. A shard indexes its segments block by block (all segments of an anchor in one block)
-and streams them through backward search over the wavelet matrix; the matching statistics at the window's
-length give, for each window, the smallest document with an equal one. These intervals go back to every
-document that has the segment.
+document that has it. A shard goes through its segments block by block, an anchor's in the order of their
+documents: those of the smallest document are indexed, and those of the others are streamed through backward
+search over the wavelet matrix. Where the matching statistic reaches the window's length, the window has its
+smallest document; what isn't found is indexed in turn for the documents that follow. These intervals go back
+to every document that has the segment.
 
 An anchor with more than ``segments_of_anchor`` distinct segments (thousands of near copies) is dealt
 further: its segments are cut into single windows, which are spread by the window's own hash.
@@ -103,48 +104,130 @@ def _emitted(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, anchor long, content long, doc_id long, offset long, words binary")
 
 
-def smallest_documents(texts: list[np.ndarray], docs: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Index the runs of words and stream them: for runs of windows, (text, from, to, smallest document)."""
-    size = np.array([len(t) for t in texts])
-    end = np.cumsum(size + 1) - 1
-    begin = end - size
-    every = np.concatenate(texts)
-    _, symbol = np.unique(every, return_inverse=True)
-    joined = np.zeros(int(end[-1]) + 1, np.int64)
-    joined[spread(begin, size)] = symbol + 1
-    owner = np.repeat(docs, size + 1)
-    index = FMIndex(joined, window)
-    # A class of equal windows lies together among the sorted suffixes.
-    least = index.smallest(owner)
-    text, offset, match = (np.concatenate(c) for c in zip(*index.matches(joined, begin, end), strict=True))
-    order = np.lexsort((offset, text))
-    text, offset, found = text[order], offset[order], least[match[order]]
-    new = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(found) != 0) | (np.diff(offset) != 1)])
-    return text[new], offset[new], offset[np.r_[new[1:] - 1, len(text) - 1]] + 1, found[new]
+class Passages:
+    """Passages of one shard: runs of words with their keys and documents; ``known`` ones were judged before."""
+
+    def __init__(self, words: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, known: np.ndarray):
+        self.words, self.key, self.doc, self.known = words, key, doc, known
+        self.end = np.cumsum(size)
+        self.begin = self.end - size
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run begins: the first column changes, or the last one doesn't go up by one, or one between changes."""
+    text, *between, offset = columns
+    new = (np.diff(text) != 0) | (np.diff(offset) != 1)
+    for c in between:
+        new |= np.diff(c) != 0
+    return np.flatnonzero(np.r_[True, new]) if len(text) else np.zeros(0, np.int64)
+
+
+def smallest_documents(all_of: Passages, window: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """For runs of windows, (passage, from, to, smallest document with them), and the spans of words that were indexed.
+
+    In rounds: the passages of a key's smallest documents are indexed (one in the first round, then two, four, ...)
+    and all others are streamed against them. A window that is found has its smallest document, as its key's
+    documents are taken in order; those that aren't found go on to the next round. So each content of a window is
+    indexed once or few times, however many passages hold it.
+    """
+    found_text, found_at, found_least = [], [], []
+    sources = []
+    text, begin, end, most = np.arange(len(all_of.begin)), all_of.begin, all_of.end, 1
+
+    def found(t: np.ndarray, at: np.ndarray, least: np.ndarray) -> None:
+        new = ~all_of.known[t]
+        for column, values in zip((found_text, found_at, found_least), (t, at - all_of.begin[t], least), strict=True):
+            column.append(values[new])
+
+    while len(text):
+        order = np.lexsort((begin, text, all_of.doc[text], all_of.key[text]))
+        text, begin, end = text[order], begin[order], end[order]
+        key = all_of.key[text]
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        nth = np.cumsum(np.r_[True, text[1:] != text[:-1]])
+        into = (nth - nth[new_key][np.cumsum(new_key) - 1] < most) | all_of.known[text]
+        t, a, z = text[into], begin[into], end[into]
+        sources.append((t, a, z))
+        size = z - a
+        after = np.cumsum(size + 1) - 1
+        alphabet, symbol = np.unique(all_of.words[spread(a, size)], return_inverse=True)
+        joined = np.zeros(int(after[-1]) + 1, np.int64)
+        joined[spread(after - size, size)] = symbol + 1
+        index = FMIndex(joined, window)
+        least = index.smallest(np.repeat(all_of.doc[t], size + 1))
+        windows = size - window + 1
+        found(np.repeat(t, windows), spread(a, windows), least[index.classes_at(spread(after - size, windows))])
+        text, begin, end = text[~into], begin[~into], end[~into]
+        most *= 2
+        if not len(text):
+            break
+        size = end - begin
+        streamed = all_of.words[spread(begin, size)]
+        place = np.minimum(np.searchsorted(alphabet, streamed), len(alphabet) - 1)
+        stop = np.cumsum(size)
+        steps = index.matches(np.where(alphabet[place] == streamed, place + 1, 0), stop - size, stop)
+        piece, at, match = (np.concatenate(c) for c in zip(*steps, strict=True))
+        order = np.lexsort((at, piece))
+        piece, at, match = piece[order], at[order] + begin[piece[order]], match[order]
+        hit = match >= 0
+        found(text[piece[hit]], at[hit], least[match[hit]])
+        piece, at = piece[~hit], at[~hit]
+        new = _runs(piece, at)
+        text, begin, end = text[piece[new]], at[new], at[np.r_[new[1:], len(at)][: len(new)] - 1] + window
+    text, at, least = (np.concatenate(c) for c in (found_text, found_at, found_least))
+    order = np.lexsort((at, text))
+    text, at, least = text[order], at[order], least[order]
+    new = _runs(text, least, at)
+    runs = text[new], at[new], at[np.r_[new[1:], len(at)][: len(new)] - 1] + 1, least[new]
+    return runs, tuple(np.concatenate(c) for c in zip(*sources, strict=True))
 
 
 def _searched(rows: DataFrame, window: int, block_words: int) -> DataFrame:
+    """Blocks of a shard end anywhere: what was indexed of a key that goes on is known to the next block."""
+    integers = ["key", "anchor", "content", "doc_id", "offset"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, key = [], 0, None
+        held: list[tuple[np.ndarray, ...]] = []
+        none = np.zeros(0, np.int64)
+        known = none.view(np.uint64), none, none, none  # words, sizes, keys, documents
 
         def finish() -> pa.RecordBatch:
-            anchor, content, docs, shift = (np.array([h[j] for h in held], np.int64) for j in range(4))
-            text, start, stop, least = smallest_documents([np.frombuffer(h[4], np.uint64) for h in held], docs, window)
-            columns = anchor[text], content[text], start + shift[text], stop + shift[text], least
+            nonlocal known
+            key, anchor, content, doc, offset, size, words = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            before = len(known[1])
+            every = Passages(*(np.concatenate(c) for c in zip(known, (words, size, key, doc), strict=True)), np.arange(before + len(key)) < before)
+            (text, start, stop, least), (source, a, z) = smallest_documents(every, window)
+            on = every.key[source] == key[-1]
+            source, a, z = source[on], a[on], z[on]
+            known = every.words[spread(a, z - a)], z - a, every.key[source], every.doc[source]
+            text = text - before
+            columns = anchor[text], content[text], start + offset[text], stop + offset[text], least
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "start", "stop", "least"])
 
+        words = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != key and words >= block_words:
+            sent = batch.column("words").cast(pa.large_binary())
+            offsets = np.frombuffer(sent.buffers()[1], np.int64)[sent.offset : sent.offset + len(sent) + 1]
+            data = np.frombuffer(sent.buffers()[2], np.uint8)
+            ends = (offsets[1:] - offsets[0]) // 8
+            numbers = [batch.column(c).to_numpy() for c in integers]
+            lo = 0
+            while lo < batch.num_rows:
+                base = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + block_words - words, side="right")))
+                size = np.diff(np.r_[base, ends[lo:hi]])
+                part = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), np.uint64)
+                held.append((*(c[lo:hi] for c in numbers), size, part))
+                words += len(part)
+                lo = hi
+                if words >= block_words or lo < batch.num_rows:
                     yield finish()
-                    held, words = [], 0
-                key = row[0]
-                held.append(row[1:])
-                words += len(row[5]) // 8
+                    words = 0
         if held:
             yield finish()
 
-    dealt = rows.repartition("key").sortWithinPartitions("key")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id")
     return dealt.mapInArrow(run, "anchor long, content long, start long, stop long, least long")
 
 
