@@ -117,3 +117,37 @@ def test_counts_equal_the_libraries(spark):
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert got == {(k, "pieces"): len(pieces.encode(t or "")) for k, t in enumerate(texts)} | {(k, "ranks"): len(coder.encode_ordinary(t or "")) for k, t in enumerate(texts)}
     assert count_tokens(docs.limit(0), VERSIONS).collect() == []
+
+
+def test_compaction_keeps_totals_and_knows_folded_batches(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", None, n), ("s", None, "t", n, n + 1)], "source string, lang string, tokenizer string, tokens_before long, tokens_after long")
+    rollup = Rollup(spark, str(tmp_path / "totals"))
+    rollup.compact()
+    want = {}
+    for k in range(7):
+        rollup.commit(f"b{k}", rows(k))
+        want = {("s", "en", "t"): (k + 1, k * (k + 1) // 2), ("s", None, "t"): (0, k + 1)}
+        if k % 2:
+            rollup.compact()
+            rollup.compact()
+        rollup.commit("b0", rows(0))
+        with pytest.raises(ValueError):
+            rollup.commit("b0", rows(9))
+        assert {tuple(r[:3]): tuple(r[3:]) for r in rollup.totals().collect()} == want
+    # Data that totals have folded goes with the next totals.
+    assert len(list((tmp_path / "totals" / "data").iterdir())) < 7
+
+
+def test_a_commit_without_its_end_counts_nothing_and_can_be_released(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "en", "t", None, 5)], "source string, lang string, tokenizer string, tokens_before long, tokens_after long")
+    rollup = Rollup(spark, str(tmp_path / "totals"))
+    rollup.commit("a", rows)
+    (tmp_path / "totals" / "batches" / "b").touch()  # the writer was lost after it had taken the name
+    with pytest.raises(RuntimeError):
+        rollup.commit("b", rows)
+    assert [r.n_tokens for r in rollup.totals().collect()] == [5]
+    rollup.release("a")
+    rollup.release("b")
+    rollup.commit("b", rows)
+    rollup.commit("a", rows)
+    assert [r.n_tokens for r in rollup.totals().collect()] == [10]
