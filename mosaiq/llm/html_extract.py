@@ -1,7 +1,7 @@
 """Operator 8: main text of web pages by boosted trees over DOM nodes.
 
-A page is read into a tree of block nodes (elements, and runs of inline content beside blocks). Each node has
-features of its subtree's density, links, attribute tokens, depth, siblings and ancestors; boosted trees give
+A page is read into a tree of block nodes (elements, and runs of inline content beside blocks); an inline element
+whose attributes name boilerplate is a node within its block's text. Each node has features of its subtree's density, links, attribute tokens, depth, siblings and ancestors; boosted trees give
 the odds that it holds main text. Decoding goes from the leaves up: a node is either dropped with all below it,
 or kept with the best choice below each child, whichever is likelier; so no kept node lies under a dropped one.
 Texts of kept nodes come in page order.
@@ -20,7 +20,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,8 +41,9 @@ SAME_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 SCOPE = frozenset("table ul ol dl select html body article aside nav section div form main header footer td th".split())
 NEVER = frozenset("script style textarea title noscript iframe xmp noembed noframes template head select button input form".split())
 BOILERPLATE = frozenset("ad ads advert advertisement banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar side widget notice cookie cookies consent popup modal newsletter subscribe signup login search share sharing social related recommended comment comments reply replies disqus pagination pager toolbar copyright legal tags meta".split())
+ADVERTS = frozenset("ad ads advert advertisement banner sponsor sponsored promo promotion newsletter subscribe share sharing social related recommended".split())
 CONTENT = frozenset("article content entry post main story body text page".split())
-TAG_GROUPS = ["article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "nav", "header", "footer", "aside", "form fieldset button select input textarea", "table tbody thead tfoot tr td th", "blockquote pre figure figcaption", "body html", "head title", "#run"]
+TAG_GROUPS = ["article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "nav", "header", "footer", "aside", "form fieldset button select input textarea", "table tbody thead tfoot tr td th", "blockquote pre figure figcaption", "body html", "head title", "#run", "#inline"]
 GROUP_OF = {tag: k for k, names in enumerate(TAG_GROUPS) for tag in names.split()}
 HASHED = 16
 
@@ -61,13 +62,13 @@ class Node:
     def __init__(self, tag: str, tokens: list[str], parent: Node | None, place: int):
         self.tag, self.tokens, self.parent, self.place = tag, tokens, parent, place
         self.children: list[Node] = []
-        self.text: list[str] = []
+        self.text: list[str | Node] = []
         self.chars = self.link = self.own = self.tags = self.stops = self.paragraphs = 0
 
 
 def _open_leaf(at: Node) -> bool:
     """Whether text goes on in a leaf element: a block inside ends its own text, what isn't shown doesn't."""
-    return at.tag in LEAVES and all(n.tag in RAW for n in at.children)
+    return at.tag in LEAVES and all(n.tag in RAW or n.tag == "#inline" for n in at.children)
 
 
 def _open_run(at: Node) -> Node | None:
@@ -87,15 +88,25 @@ def _run_node(at: Node, place: int) -> Node:
     return run
 
 
+def _tokens(rest: str) -> list[str]:
+    return [t for m in ATTRIBUTE.finditer(rest) for t in PIECES.findall((m[2] or m[3] or m[4] or "").lower())] if rest else []
+
+
+def own_text(node: Node, kept: Callable[[Node], bool]) -> str:
+    """A node's own text, with that of the inline nodes in it that are kept."""
+    return "".join(t if isinstance(t, str) else own_text(t, kept) if kept(t) else "" for t in node.text)
+
+
 def parse(page: str) -> Node:
     """The page's tree of block nodes, with own texts and link characters."""
     root = at = Node("html", [], None, 0)
     links, after, end = 0, 0, len(page)
+    inside: list[list] = []  # open inline nodes, each with its tag and how many of that tag are open in it
 
     def put(raw: str, place: int) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         if text.strip() or _open_leaf(at) or _open_run(at) is not None:
-            node = _run_node(at, place)
+            node = inside[-1][0] if inside else _run_node(at, place)
             node.text.append(text)
             size = len(text.strip())
             node.own += size
@@ -118,7 +129,22 @@ def parse(page: str) -> Node:
                 links = 0 if found["end"] else 1
             elif tag == "br":
                 put(" ", pos)
+            if found["end"]:
+                if inside and inside[-1][1] == tag:
+                    inside[-1][2] -= 1
+                    if not inside[-1][2]:
+                        inside.pop()
+            elif tag not in VOID and not BOILERPLATE.isdisjoint(tokens := _tokens(found["rest"])):
+                up = inside[-1][0] if inside else _run_node(at, pos)
+                node = Node("#inline", tokens, up, pos)
+                up.children.append(node)
+                up.text.append(node)
+                inside.append([node, tag, 1])
+            elif inside and inside[-1][1] == tag:
+                inside[-1][2] += 1
             continue
+        if tag not in RAW:
+            inside.clear()  # a block ends what inline elements are open
         if found["end"]:
             node = at
             while node is not None and node.tag != tag:
@@ -140,8 +166,7 @@ def parse(page: str) -> Node:
             node = node.parent
         if tag == "body":
             at = root
-        tokens = [t for m in ATTRIBUTE.finditer(found["rest"]) for t in PIECES.findall((m[2] or m[3] or m[4] or "").lower())] if found["rest"] else []
-        node = Node(tag, tokens, at, pos)
+        node = Node(tag, _tokens(found["rest"]), at, pos)
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
@@ -166,7 +191,7 @@ def _walk(root: Node) -> list[Node]:
 def features(root: Node, size: int) -> tuple[list[Node], np.ndarray]:
     nodes = _walk(root)
     for node in reversed(nodes):
-        text = "".join(node.text)
+        text = own_text(node, lambda _: False)
         node.chars += node.own
         node.stops += len(PUNCTUATION.findall(text)) if text else 0
         node.tags += 1
@@ -178,7 +203,7 @@ def features(root: Node, size: int) -> tuple[list[Node], np.ndarray]:
             up.stops += node.stops
             up.paragraphs += node.paragraphs
     width = len(TAG_GROUPS) + 1
-    x = np.zeros((len(nodes), width + 22 + HASHED), np.float32)
+    x = np.zeros((len(nodes), width + 23 + HASHED), np.float32)
     known: dict[int, tuple] = {}
     tags_below: dict[int, Counter] = {}
     for row, node in zip(x, nodes, strict=True):
@@ -192,7 +217,7 @@ def features(root: Node, size: int) -> tuple[list[Node], np.ndarray]:
         if (tags := tags_below.get(id(node.parent))) is None:
             tags = tags_below[id(node.parent)] = Counter(s.tag for s in siblings)
         same = tags[node.tag]
-        row[width : width + 22] = (
+        row[width : width + 23] = (
             depth,
             len(siblings),
             same / len(siblings),
@@ -214,10 +239,11 @@ def features(root: Node, size: int) -> tuple[list[Node], np.ndarray]:
             node.chars / (root.chars + 1),
             node.tag in NEVER,
             len(node.tokens),
+            sum(t in ADVERTS for t in node.tokens),
             node.chars / (node.parent.chars + 1) if node.parent is not None else 1,
         )
         for t in node.tokens:
-            row[width + 22 + sum(t.encode()) * 31 % HASHED] += 1
+            row[width + 23 + sum(t.encode()) * 31 % HASHED] += 1
         bad_here = node.tag in ("nav", "header", "footer", "aside") or node.tag in NEVER
         known[id(node)] = depth, in_bad + bad, in_good + good + (node.tag in ("article", "main")), bad_tags + bad_here
     return nodes, x
@@ -235,13 +261,12 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[str]:
             up = place[id(nodes[k].parent)]
             best[up] += max(best[k], dropped[k])
             dropped[up] += dropped[k]
+    kept[0] = True
+    for k, node in enumerate(nodes[1:], 1):
+        kept[k] &= kept[place[id(node.parent)]]
     texts = []
-    for k, node in enumerate(nodes):
-        if node.parent is not None:
-            kept[k] &= kept[place[id(node.parent)]]
-        else:
-            kept[k] = True
-        if kept[k] and node.text and (text := " ".join("".join(node.text).split())):
+    for node, stays in zip(nodes, kept, strict=True):
+        if stays and node.text and node.tag != "#inline" and (text := " ".join(own_text(node, lambda n: bool(kept[place[id(n)]])).split())):
             texts.append(text)
     return texts
 
@@ -250,7 +275,7 @@ def _generated(rnd: random.Random) -> tuple[str, set[str]]:
     """A page and the texts of its main part."""
     letters = rnd.choice([["ta", "re", "on", "is", "le", "mo", "ku", "é", "na", "ver", "sch"]] * 4 + [["да", "не", "ко", "ри", "щу"], ["天", "地", "玄", "黄"], ["با", "لا", "من"]])
     word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4)))
-    ends = rnd.choice([".", ".", ".", "!!", " ###", ""])
+    ends = rnd.choice([".", ".", ".", "?", "! ", " …", " *", ""])
 
     def words(a: int, z: int) -> str:
         return " ".join(word() + rnd.choice(["", "", "", ",", ends]) for _ in range(rnd.randint(a, z))) + rnd.choice([".", "", ends])
@@ -267,7 +292,7 @@ def _generated(rnd: random.Random) -> tuple[str, set[str]]:
 
     def named(kinds: str, inside: str, tags: str = "div div section aside") -> str:
         tag, name = rnd.choice(tags.split()), rnd.choice(kinds.split())
-        return f'<{tag} {rnd.choice(["class", "id"])}="{rnd.choice(["", "", "box ", "l-"])}{name}">{inside}</{tag}>'
+        return f'<{tag} {rnd.choice(["class", "id"])}="{rnd.choice(["", "", "", "box ", "l-", "main-", "post-", "text ", "article-", "page-"])}{name}{rnd.choice(["", "", "", "-inner", " wide", "-layout"])}">{inside}</{tag}>'
 
     paragraph = lambda: f"<p>{words(1, 40)}</p>"
     noise = [
@@ -276,7 +301,7 @@ def _generated(rnd: random.Random) -> tuple[str, set[str]]:
         lambda: named("cookie-notice consent notice popup", paragraph() + "<button>ok</button>"),
         lambda: f"<form>{words(1, 5)}<input name=q><button>go</button></form>",
         lambda: f"<aside>{paragraph()}{links(1, 4)}</aside>",
-        lambda: f"<script>var t=\"</p>\";{word()}()</script><style>p{{margin:0}}</style><!-- {word()} -->",
+        lambda: f"<script>{word()}('<div>')</script><style>.{word()}{{color:red}}</style><!-- <p>{word()}</p> -->",
     ]
     some = lambda chance: "".join(n() for n in noise if rnd.random() < chance)
     body = [f"<{rnd.choice(['h1', 'h1', 'h2'])}>{kept(words(1, 12))}</h1>" if rnd.random() < 0.85 else ""]
@@ -284,7 +309,19 @@ def _generated(rnd: random.Random) -> tuple[str, set[str]]:
         kind = rnd.random()
         if kind < 0.7:
             text = kept(words(1, rnd.choice([3, 20, 90])))
-            body.append(rnd.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p><b>{text}</b></p>"]))
+            put_in = rnd.random()
+            if put_in < 0.2:  # an inline element with a name of boilerplate: an advert, or a part of the text
+                tag, at = rnd.choice(["span", "span", "a href=/x", "em", "b"]), rnd.randint(0, len(text.split()))
+                before, after = " ".join(text.split()[:at]), " ".join(text.split()[at:])
+                if put_in < 0.12:
+                    name = rnd.choice("ad ads advert advertisement sponsored promo banner share newsletter subscribe related".split())
+                    name, part = rnd.choice([name, f"inline-{name}", f"{name} small"]), words(1, 8)
+                else:
+                    name, part = rnd.choice("side-note legal-term search-hit notice tags menu-item header-text meta page-header".split()), words(1, 5)
+                    main.discard(" ".join(text.split()))
+                    kept(f"{before} {part} {after}")
+                text = f'{before} <{tag} class="{name}">{part}</{tag.split()[0]}> {after}'
+            body.append(rnd.choice([f"<p>{text}</p>", f"<p>{text}", f"<p>{text}<br>", f"<p><em>{text}</em></p>", f"<p><strong>{text}</strong>"]))
         elif kind < 0.8:
             body.append("<ul>" + "".join(f"<li>{kept(words(2, 15))}</li>" for _ in range(rnd.randint(1, 5))) + "</ul>")
         elif kind < 0.9:
@@ -307,14 +344,17 @@ def _generated(rnd: random.Random) -> tuple[str, set[str]]:
         if rnd.random() < 0.06:
             body.append(some(0.3))
     open_, close = rnd.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post-body">', "</div>"), ("<main><article>", "</article></main>"), ('<section class="entry">', "</section>")])
+    if rnd.random() < 0.5:  # names that contradict what the element holds
+        name = rnd.choice("sidebar-layout has-sidebar with-header no-comments ad-free menu-open page-footer-fixed search-result social-post notice-page header-text header-fixed page-header tags-page".split())
+        open_ = re.sub(r'^<(\w+)( (?:class|id)="([^"]*)")?', lambda m: f'<{m[1]} class="{name}{" " + m[3] if m[3] else ""}"', open_)
     comments = "".join(f'<div class="comment"><p>{words(2, 30)}</p></div>' for _ in range(rnd.randint(1, 4)))
     comments = named("comments replies", f"<h3>{words(1, 2)}</h3>{comments}") if rnd.random() < 0.3 else ""
     inside = rnd.random() < 0.3
     article = open_ + "".join(body) + (comments if inside else "") + close + ("" if inside else comments)
     top = rnd.choice([f"<nav>{links(2, 8)}</nav>", f"<header><h1>{words(1, 3)}</h1><nav>{links(2, 6)}</nav></header>", named("menu navbar header", links(3, 8)), ""])
-    foot = rnd.choice([f"<footer>&copy; {word()}.example &middot; {words(1, 20)}</footer>"] * 3 + [named("footer copyright legal", words(3, 30)), ""])
+    foot = rnd.choice([f"<footer>{rnd.choice(['©', '&#169;', 'Copyright', ''])} {rnd.randint(1990, 2030)} {words(1, 20)}</footer>"] * 3 + [named("footer copyright legal", words(3, 30)), ""])
     side = named("sidebar widget", links(2, 8) + paragraph(), "div aside aside") if rnd.random() < 0.3 else ""
-    page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(1, 8)}</title><style>p{{}}</style><script>track(1);</script></head><body>'
+    page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(1, 8)}</title><style>.{word()}{{}}</style></head>{rnd.choice(["<body>"] * 4 + ["<body class=has-sidebar>", "<body class=page>", "<body class='no-comments header-fixed'>"])}'
     return page + top + some(0.3) + rnd.choice([article + side, side + article]) + some(0.1) + foot + rnd.choice(["</body></html>", "</body></html>", ""]), main
 
 
@@ -326,8 +366,10 @@ def train(pages: int = TRAINING_PAGES, seed: int = 20) -> BoostedTrees:
         nodes, x = features(parse(page), len(page))
         good: set[int] = {id(nodes[0])}
         for node in nodes:
-            in_main = " ".join("".join(node.text).split()) in main if node.text else False
-            at: Node | None = node if in_main else None
+            whole, bare = (" ".join(own_text(node, lambda _, x=x: x).split()) in main if node.text else False for x in (True, False))
+            at: Node | None = node if whole or bare else None
+            if whole:
+                good.update(id(t) for t in node.text if isinstance(t, Node))
             while at is not None and id(at) not in good:
                 good.add(id(at))
                 at = at.parent

@@ -65,3 +65,45 @@ def test_hand_written_layouts():
     divs = """<body><div id="navbar"><a href=a>A</a> <a href=b>B</a> <a href=c>C</a></div><div id="main" class="post-content"><div class="title"><h2>Soup</h2></div>
     <div>Put the leeks into the pot, with water and a little salt.</div><div>Let it simmer for an hour, then serve.</div></div><div id="footer">Legal notice, imprint</div></body>"""
     assert text_of(divs) == ["Soup", "Put the leeks into the pot, with water and a little salt.", "Let it simmer for an hour, then serve."]
+
+
+#: Pages written by hand: (html, blocks of its article).
+WRITTEN = [
+    ('<article class="sidebar-layout"><p>The first words of an article, which is short.</p></article>', ["The first words of an article, which is short."]),
+    ('<article><p>Some text here, as it was. <span class="ad">BUY NOW</span> More text.</p><p>And a second one, longer than the first.</p></article>', ["Some text here, as it was. More text.", "And a second one, longer than the first."]),
+    (
+        '<body class="has-sidebar"><div class="sidebar"><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></div><main class="page header-fixed"><h1>Rain</h1><p>It rained for three days, and the river rose.</p>'
+        '<p>See the <em class="legal-term">force majeure</em> clause, please.</p><section class="comments"><h3>Comments</h3><div class="comment"><p>First!</p></div></section></main></body>',
+        ["Rain", "It rained for three days, and the river rose.", "See the force majeure clause, please."],
+    ),
+    (
+        '<html><body><aside id="sidebar"><h3>Popular</h3><ul><li><a href=/1>Ten tips</a></li><li><a href=/2>Five facts</a></li></ul></aside><article><h1>Tea</h1><p>Tea is grown on hills, where nights are cool.</p><ul><li>Green tea is steamed.</li><li>Black tea is left to wither.</li></ul></article></body></html>',
+        ["Tea", "Tea is grown on hills, where nights are cool.", "Green tea is steamed.", "Black tea is left to wither."],
+    ),
+    (
+        '<article><h2>Clocks</h2><p>The tower clock has one hand only.</p><div class="advert"><p>Watches at half price!</p></div><p>It was made in 1593, by a smith of the town.</p><div class="comments"><div class="comment"><p>Lovely.</p></div><div class="comment"><p>I saw it, too.</p></div></div></article>',
+        ["Clocks", "The tower clock has one hand only.", "It was made in 1593, by a smith of the town."],
+    ),
+    (
+        '<header><h1>The Daily</h1><nav><a href=/>Home</a> <a href=/w>World</a></nav></header><main><h1>Ships</h1><blockquote>No ship is without a leak, sailors say.</blockquote><p>This one had two.</p></main><form action=/s>Search <input name=q><button>Go</button></form><footer>All rights reserved</footer>',
+        ["Ships", "No ship is without a leak, sailors say.", "This one had two."],
+    ),
+    ('<div class="cookie-notice"><p>We use cookies.</p><button>Accept</button></div><article><p>A &lt;b&gt; tag makes text bold; &amp; is written so.</p></article>', ["A <b> tag makes text bold; & is written so."]),
+    ('<article><h1>Über Äpfel</h1><p>Der Apfel fällt <a class="promo" href=/k>Jetzt kaufen</a> nicht weit vom Stamm.</p></article><footer>Impressum</footer>', ["Über Äpfel", "Der Apfel fällt nicht weit vom Stamm."]),
+    ('<nav class="menu"><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav><article><p>One <span class="share">Share <b>this</b> page</span><i>word</i> only.</p><p>Then <span lang="la">finis</span>, they wrote.</p></article>', ["One word only.", "Then finis, they wrote."]),
+    ('<article><h1>Maps</h1><table><tr><th>Year</th><td>1513</td></tr><tr><th>Place</th><td>Saint-Dié, in the Vosges</td></tr></table><p>The map was lost for long.</p></article><aside><p>Read this as well</p><a href=/x>More</a></aside>', ["Maps", "Year", "1513", "Place", "Saint-Dié, in the Vosges", "The map was lost for long."]),
+]
+
+
+def test_pages_written_by_hand():
+    model = H.train()
+    assert [H.extract_all(model, [page])[0] for page, _ in WRITTEN] == [blocks for _, blocks in WRITTEN]
+
+
+def test_inline_nodes_go_or_stay_in_their_place():
+    page = '<p>a <span class="ad">b <i>c</i> <span>d</span></span>e<b class="share">f<p>g</p>'
+    nodes, x = H.features(H.parse(page), len(page))
+    assert [n.tag for n in nodes] == ["html", "p", "#inline", "#inline", "p"] and x.shape[0] == 5
+    assert H.decode(nodes, H.np.full(5, 9.0)) == ["a b c def", "g"]
+    assert H.decode(nodes, H.np.array([9.0, 9, -9, 9, 9])) == ["a ef", "g"]
+    assert H.decode(nodes, H.np.array([9.0, 9, -9, -9, 9])) == ["a e", "g"]
