@@ -3,8 +3,8 @@
 A line's set is made of character shingles: the ``width`` characters from every character on that has as many
 after it, in lower case, without white space at the line's ends; a shorter line is its own only shingle. Texts are
 encoded with four bytes a character for that, so a shingle is a slice of bytes. Fourteen minima, each under a hash of
-its own (the halves of seven seeded 64-bit hashes), are banded seven by two, which misses a pair of similarity 0.8 with
-a chance of 0.08 %.
+its own (four seeded 64-bit hashes, each turned by 0, 16, 32 and 48 bits), are banded seven by two, which misses a pair of
+similarity 0.8 with a chance of 0.08 %.
 
 Pairs of a band's bucket are verified exactly. What is looked at first is a bitmap in which each shingle of a
 set flips a bit: the bits in which two bitmaps differ are at most as many as the shingles in which the sets differ, so
@@ -31,8 +31,8 @@ from .frames import Steps, flagged, sha_of_text, stored
 from .graph import components
 
 BANDS, ROWS = 7, 2
-#: One for each two minima.
-SEEDS = random.Random(5).sample(range(1 << 62), -(-BANDS * ROWS // 2))
+#: One for each four minima.
+SEEDS = random.Random(5).sample(range(1 << 62), -(-BANDS * ROWS // 4))
 #: Rounds in which lines are compared with a centre of each of their buckets.
 CENTRE_ROUNDS = 4
 #: 64-bit words of a set's bitmap, a power of two.
@@ -57,11 +57,11 @@ def _hashes(text: str, width: int) -> str:
     return f"transform(array({_codes(text)}), c -> transform(sequence(0, {_last('c', width)}), i -> {_hash('c', 'i', width)}))[0]"
 
 
-def _shingles(lines: DataFrame, width: int) -> DataFrame:
-    """(line, h0, h1): the hashes of all shingles, two in a row; the last may come twice."""
+def _shingles(lines: DataFrame, width: int, side_by_side: int) -> DataFrame:
+    """(line, h0, h1, ...): the hashes of all shingles, so many in a row; the last may come again."""
     codes = lines.select("line", F.expr(_codes("plain")).alias("c")).withColumn("last", F.expr(_last("c", width)))
-    rows = codes.select("line", "c", "last", F.explode(F.expr("sequence(0, last, 2)")).alias("i"))
-    return rows.select("line", F.expr(_hash("c", "i", width)).alias("h0"), F.expr(_hash("c", "least(i + 1, last)", width)).alias("h1"))
+    rows = codes.select("line", "c", "last", F.explode(F.expr(f"sequence(0, last, {side_by_side})")).alias("i"))
+    return rows.select("line", *(F.expr(_hash("c", f"least(i + {j}, last)", width)).alias(f"h{j}") for j in range(side_by_side)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -75,13 +75,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _buckets(lines: DataFrame, width: int) -> DataFrame:
     """(bucket, line): the bands of every distinct line."""
-    shingle = _shingles(lines, width)
-    # Turned by a seed of their own and mixed again, so each half orders the shingles in its own way.
-    wide = [F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(SEEDS[k]))).alias(f"x{k}_{j}") for k in range(-(-BANDS * ROWS // 2)) for j in range(2)]
+    shingle = _shingles(lines, width, 4)
+    # Turned by a seed of its own and mixed again, a hash orders the shingles in four ways: by its bits from any quarter on.
+    wide = [F.xxhash64(F.col(f"h{j}").bitwiseXOR(F.lit(seed))).alias(f"x{k}_{j}") for k, seed in enumerate(SEEDS) for j in range(4)]
     shingle = shingle.select("line", *wide)
-    pairs = [(F.col(f"x{k}_0"), F.col(f"x{k}_1")) for k in range(len(wide) // 2)]
-    halves = [F.least(a, b) for x, y in pairs for a, b in ((x, y), (F.shiftleft(x, 32), F.shiftleft(y, 32)))]
-    minima = [F.min(half).alias(f"m{k}") for k, half in enumerate(halves[: BANDS * ROWS])]
+    turned = lambda x, by: x if not by else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+    orders = [F.least(*(turned(F.col(f"x{k}_{j}"), by) for j in range(4))) for k in range(len(SEEDS)) for by in (0, 16, 32, 48)]
+    minima = [F.min(order).alias(f"m{k}") for k, order in enumerate(orders[: BANDS * ROWS])]
     signed = shingle.groupBy("line").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("line", F.explode(F.array(*bands)).alias("bucket"))
