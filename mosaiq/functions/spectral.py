@@ -122,6 +122,10 @@ def merge_order(leaves: int) -> list[tuple[int, int, int]]:
     return below(0, leaves)
 
 
+#: Numbers of a block of differences of poles and roots, so that its passes stay in a core's cache.
+IN_CACHE = 1 << 16
+
+
 def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Roots lo..hi of 1 + rho Σ z²/(d - x) = 0 for ascending d and rho > 0: the nearer pole's index and the distance from it.
 
@@ -133,16 +137,25 @@ def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) ->
     top = d[-1] + squares.sum()
     right = np.minimum(j + 1, k - 1)
     upper = np.where(j + 1 < k, d[right], top)
-    left_side = np.arange(k)[None, :] <= j[:, None]
+    # Poles before lo are left of all these roots, poles from hi on right of them.
+    left_side = np.arange(lo, hi)[None, :] <= j[:, None]
+    at_once = max(1, IN_CACHE // max(k, 1))
 
     def parts(origin: np.ndarray, x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Sums and slopes of the poles left and right of the roots."""
-        gap = (d[None, :] - origin[:, None]) - x[:, None]
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            value = squares / gap
-            slope = value / gap
-        near = left_side[rows]
-        return (*(np.where(near, v, 0).sum(axis=1) for v in (value, slope)), *(np.where(near, 0, v).sum(axis=1) for v in (value, slope)))
+        """Sums and slopes of the poles left and right of the roots, a few roots at a time."""
+        out = np.empty((4, len(rows)))
+        for b in range(0, len(rows), at_once):
+            some = slice(b, b + at_once)
+            gap = d[None, :] - origin[some, None]
+            gap -= x[some, None]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                value = squares / gap
+                slope = np.divide(value, gap, out=gap)
+            near = left_side[rows[some]]
+            for at, v in ((0, value), (1, slope)):
+                out[at, some] = v[:, :lo].sum(axis=1) + np.where(near, v[:, lo:hi], 0).sum(axis=1)
+                out[at + 2, some] = np.where(near, 0, v[:, lo:hi]).sum(axis=1) + v[:, hi:].sum(axis=1)
+        return tuple(out)
 
     half = (upper - d[j]) / 2
     below, _, above, _ = parts(d[j], half, j - lo)
@@ -185,11 +198,17 @@ def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) ->
 
 def weight_logs(d: np.ndarray, rho: float, lo: int, pole: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each pole i, the log of the roots' share in its weight: Π |root_j - d_i| / |d_j - d_i| (without the divisor at j = i)."""
-    roots = np.arange(lo, lo + len(pole))
-    gap = np.abs((d[:, None] - d[pole][None, :]) - x[None, :])
-    apart = np.abs(d[:, None] - d[roots][None, :])
-    apart[roots, roots - lo] = rho
-    return np.log(gap / apart).sum(axis=1)
+    total, at_once = np.zeros(len(d)), max(1, IN_CACHE // max(len(d), 1))
+    for b in range(0, len(pole), at_once):
+        some = slice(b, b + at_once)
+        roots = np.arange(lo, lo + len(pole))[some]
+        gap = d[None, :] - d[pole[some], None]
+        gap -= x[some, None]
+        apart = d[None, :] - d[roots, None]
+        apart[roots - roots[0], roots] = rho
+        gap /= apart
+        total += np.log(np.abs(gap, out=gap), out=gap).sum(axis=0)
+    return total
 
 
 def secular_roots(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:

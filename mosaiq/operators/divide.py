@@ -5,6 +5,9 @@ eigenvectors at the cuts are gathered (n numbers); roots of the secular equation
 ranges, each range also giving its share of the logs of the weights; and each strip of rows of the eigenvectors meets its
 merge's small tables in a task and becomes a strip of the merged eigenvectors. The driver holds poles, weights and roots
 (a few numbers for each row), a task a strip (tile rows x order) and a part of the inner eigenvectors.
+
+Where only eigenvalues are asked for, the same tree is merged with the first and the last row of each part's eigenvectors, which
+is all that a merge reads of them: n numbers each, and no table is written.
 """
 
 from __future__ import annotations
@@ -152,24 +155,31 @@ class Merge:
         u = weight[:, None] / ((poles[:, None] - self.poles[self.pole[roots]][None, :]) - self.shift[roots][None, :])
         return u / np.linalg.norm(u, axis=0)
 
-    def strip(self, q: np.ndarray, above: bool, nb: int) -> Iterator[np.ndarray]:
-        """Blocks of nb columns of the merged strip, from a strip of the eigenvectors above or below the cut."""
+    def rotate(self, q: np.ndarray) -> None:
+        """The deflation's rotations of the columns, in place."""
         for p, i, c, s in self.rotations:
             S.rotate(q, int(p), int(i), c, s)
+
+    def columns(self, q: np.ndarray, left: np.ndarray, used: slice, lo: int, hi: int) -> np.ndarray:
+        """Columns lo..hi of merged rows, from rotated rows q and their live columns that are ``used``."""
+        k, which = len(self.poles), self.out[lo:hi]
+        at_once = max(1, HELD // max(k, 1))
+        out = np.zeros((len(q), len(which)))
+        copied = np.flatnonzero(which >= k)
+        out[:, copied] = q[:, self.dead[which[copied] - k]]
+        roots = np.flatnonzero(which < k)
+        for part in range(0, len(roots), at_once):
+            some = roots[part : part + at_once]
+            out[:, some] = left @ self.inner(which[some])[used]
+        return out
+
+    def strip(self, q: np.ndarray, above: bool, nb: int) -> Iterator[np.ndarray]:
+        """Blocks of nb columns of the merged strip, from a strip of the eigenvectors above or below the cut."""
+        self.rotate(q)
         left = q[:, typed_columns(self.order, self.upper, self.dense, "above" if above else "below")]
         used = slice(0, self.upper + self.dense) if above else slice(self.upper, None)
-        k = len(self.poles)
-        at_once = max(1, HELD // max(k, 1))
         for lo in range(0, q.shape[1], nb):
-            out = np.zeros((len(q), min(nb, q.shape[1] - lo)))
-            which = self.out[lo : lo + nb]
-            copied = np.flatnonzero(which >= k)
-            out[:, copied] = q[:, self.dead[which[copied] - k]]
-            roots = np.flatnonzero(which < k)
-            for part in range(0, len(roots), at_once):
-                some = roots[part : part + at_once]
-                out[:, some] = left @ self.inner(which[some])[used]
-            yield out
+            yield self.columns(q, left, used, lo, min(lo + nb, q.shape[1]))
 
 
 def solve_secular(spark: SparkSession, merges: list[Merge], at_once: int = HELD) -> None:
@@ -261,12 +271,9 @@ def levels(leaves: int) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def divide_and_conquer(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int, leaf: int | None = None) -> tuple[np.ndarray, TiledMatrix]:
-    """Ascending eigenvalues of the tridiagonal matrix and its eigenvectors in square tiles of nb."""
-    n, d, e = len(d), np.array(d, float), np.asarray(e, float)
-    empty = TiledMatrix(spark.createDataFrame([], TILE), n, n, nb, nb)
-    if not n:
-        return d, empty
+def _cut(d: np.ndarray, e: np.ndarray, nb: int, leaf: int | None) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, int]]]]:
+    """The diagonal of the leaves, their edges, and the merges of the tree by level."""
+    n, d = len(d), np.array(d, float)
     if leaf is None:  # four leaves or more, if there are so many tiles
         leaf = nb * max(1, min(LEAF // nb, n // (4 * nb)))
     require(leaf % nb == 0, "a leaf consists of whole tiles")
@@ -275,6 +282,96 @@ def divide_and_conquer(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: in
     for split in (edges[s] for level in tree for _, s, _ in level):
         d[split - 1] -= abs(e[split - 1])
         d[split] -= abs(e[split - 1])
+    return d, edges, tree
+
+
+def _weights(coupling: float, last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A merge's z, from the last row above its cut and the first row below it."""
+    return np.concatenate((np.copysign(1.0, coupling) * last, first)) / np.sqrt(2)
+
+
+def _leaf_ends(spark: SparkSession, d: np.ndarray, e: np.ndarray, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves' eigenvalues, and the first and last rows of their eigenvectors."""
+    sent = spark.sparkContext.broadcast((d, e, edges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tiles() -> Iterator[Tile]:
+            d, e, edges = sent.value
+            for batch in batches:
+                for leaf in batch.column(0).to_pylist():
+                    lo, hi = edges[leaf], edges[leaf + 1]
+                    values, vectors = S.tridiagonal_eigensolver(d[lo:hi], e[lo : hi - 1])
+                    yield leaf, 0, np.stack((values, vectors[0], vectors[-1]))
+
+        yield from packed(tiles(), False)
+
+    count, values, ends = len(edges) - 1, d.copy(), np.zeros((2, len(d)))
+    # Three numbers for each row come to the driver.
+    for batch in spark.range(0, count, 1, _parts(spark, count)).mapInArrow(run, TILE).toArrow().to_batches():
+        for leaf, _, x in unpack(batch):
+            values[edges[leaf] : edges[leaf + 1]], ends[:, edges[leaf] : edges[leaf + 1]] = x[0], x[1:]
+    return values, ends
+
+
+def _merged_ends(spark: SparkSession, merges: list[Merge], ends: np.ndarray) -> None:
+    """First and last rows of the merged eigenvectors, in place: ranges of columns are dealt over tasks."""
+    rows, chunks = [], []
+    for at, m in enumerate(merges):
+        q = ends[:, m.begin : m.end].copy()
+        # A part's own zeros: its first row ends at the cut, its last row begins there.
+        q[0, m.split - m.begin :] = 0
+        q[1, : m.split - m.begin] = 0
+        m.rotate(q)
+        rows.append(q)
+        step = max(1, min(HELD // max(len(m.poles), 1), -(-q.shape[1] // spark.sparkContext.defaultParallelism)))
+        chunks += [(at, lo, min(lo + step, q.shape[1])) for lo in range(0, q.shape[1], step)]
+    sent = spark.sparkContext.broadcast((merges, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tiles() -> Iterator[Tile]:
+            merges, rows = sent.value
+            for batch in batches:
+                for at, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    m, q = merges[at], rows[at]
+                    yield m.begin + lo, 0, m.columns(q, q[:, m.order], slice(None), lo, hi)
+
+        yield from packed(tiles(), False)
+
+    dealt = spark.createDataFrame(chunks, "m int, lo long, hi long").repartition(_parts(spark, len(chunks)))
+    for batch in dealt.mapInArrow(run, TILE).toArrow().to_batches():
+        for begin, _, x in unpack(batch):
+            ends[:, begin : begin + x.shape[1]] = x
+
+
+def eigenvalues(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int, leaf: int | None = None) -> np.ndarray:
+    """Ascending eigenvalues of the tridiagonal matrix, by the tree of ``divide_and_conquer`` without its eigenvectors.
+
+    A part's eigenvectors take part in a merge by their rows at the cut only, so the first and the last row are carried.
+    """
+    if not len(d):
+        return np.array(d, float)
+    e = np.asarray(e, float)
+    d, edges, tree = _cut(d, e, nb, leaf)
+    values, ends = _leaf_ends(spark, d, e, edges)
+    for level in tree:
+        merges = [Merge(edges[b], edges[s], edges[x], 2 * abs(e[edges[s] - 1])) for b, s, x in level]
+        for m in merges:
+            m.prepare(values[m.begin : m.end], _weights(e[m.split - 1], ends[1, m.begin : m.split], ends[0, m.split : m.end]))
+        solve_secular(spark, merges)
+        for m in merges:
+            values[m.begin : m.end] = m.finish()
+        if level is not tree[-1]:
+            _merged_ends(spark, merges, ends)
+    return values
+
+
+def divide_and_conquer(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int, leaf: int | None = None) -> tuple[np.ndarray, TiledMatrix]:
+    """Ascending eigenvalues of the tridiagonal matrix and its eigenvectors in square tiles of nb."""
+    n, e = len(d), np.asarray(e, float)
+    empty = TiledMatrix(spark.createDataFrame([], TILE), n, n, nb, nb)
+    if not n:
+        return np.array(d, float), empty
+    d, edges, tree = _cut(d, e, nb, leaf)
     with Scratch(spark) as scratch:
         first = scratch.stored(_leaves(spark, d, e, edges, nb))
         values = d.copy()
@@ -286,8 +383,7 @@ def divide_and_conquer(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: in
             merges = [Merge(edges[b], edges[s], edges[x], 2 * abs(e[edges[s] - 1])) for b, s, x in level]
             cut = _rows_at_cuts(q, {r for m in merges for r in (m.split - 1, m.split)}, nb, n)
             for m in merges:
-                z = np.concatenate((np.copysign(1.0, e[m.split - 1]) * cut[m.split - 1][m.begin : m.split], cut[m.split][m.split : m.end])) / np.sqrt(2)
-                m.prepare(values[m.begin : m.end], z)
+                m.prepare(values[m.begin : m.end], _weights(e[m.split - 1], cut[m.split - 1][m.begin : m.split], cut[m.split][m.split : m.end]))
             solve_secular(spark, merges)
             for m in merges:
                 values[m.begin : m.end] = m.finish()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import NamedTuple
 
@@ -18,7 +18,7 @@ from ..layout import band_size, require
 from ..matrix import TILE, Tile, TiledMatrix, in_one_task, pack, packed, summed, unpack
 from ..plans.strategy import BROADCAST_BYTES, Scratch, fits_broadcast, shared_dir, single_task
 from .chase import Reflectors, apply_steps, blocks_of, chase_bulges
-from .divide import divide_and_conquer
+from .divide import divide_and_conquer, eigenvalues
 from .factor import potrf
 from .panel import block_reflector
 from .solve import hegst, trsm
@@ -28,9 +28,36 @@ from .solve import hegst, trsm
 PANEL_HELD = 1 << 20
 
 
-class Eigen(NamedTuple):
-    values: DataFrame  # (idx, value), ascending
-    vectors: TiledMatrix
+class Eigen:
+    """Eigenvalues (idx, value), ascending, and eigenvectors; what isn't asked for isn't computed.
+
+    Asked for first, the values come without vectors; with or after the vectors, both come from one run.
+    """
+
+    def __init__(self, both: Callable[[], tuple[DataFrame, TiledMatrix]], values: Callable[[], DataFrame] | None = None):
+        self._solve, self._solve_values = both, values
+        self._both: tuple[DataFrame, TiledMatrix] | None = None
+        self._alone: DataFrame | None = None
+
+    def _pair(self) -> tuple[DataFrame, TiledMatrix]:
+        if self._both is None:
+            self._both = self._solve()
+        return self._both
+
+    @property
+    def values(self) -> DataFrame:
+        if self._both is not None or self._solve_values is None:
+            return self._pair()[0]
+        if self._alone is None:
+            self._alone = self._solve_values()
+        return self._alone
+
+    @property
+    def vectors(self) -> TiledMatrix:
+        return self._pair()[1]
+
+    def __iter__(self) -> Iterator[DataFrame | TiledMatrix]:
+        return iter(self._pair())
 
 
 class Band(NamedTuple):
@@ -192,8 +219,12 @@ def tridiagonal_eigensolver(spark: SparkSession, d: np.ndarray, e: np.ndarray, n
     """Divide and conquer: in one task for a small order, else merged level by level with the eigenvectors in tiles."""
     n = len(d)
     if not single_task(n, force=strategy):
-        values, vectors = divide_and_conquer(spark, d, e, nb, leaf)
-        return Eigen(_values(spark, values), vectors.cast_to_complex() if dtype in "cz" else replace(vectors, dtype=dtype))
+
+        def both() -> tuple[DataFrame, TiledMatrix]:
+            values, vectors = divide_and_conquer(spark, d, e, nb, leaf)
+            return _values(spark, values), vectors.cast_to_complex() if dtype in "cz" else replace(vectors, dtype=dtype)
+
+        return Eigen(both, lambda: _values(spark, eigenvalues(spark, d, e, nb, leaf)))
     w = TiledMatrix(spark.createDataFrame([], TILE), n, 1, nb, 1)
     z = TiledMatrix(w.tiles, n, n, nb, nb, dtype)
     sent = spark.sparkContext.broadcast((np.asarray(d, float), np.asarray(e, float)))
@@ -203,7 +234,7 @@ def tridiagonal_eigensolver(spark: SparkSession, d: np.ndarray, e: np.ndarray, n
         return [values[:, None], vectors]
 
     values, vectors = in_one_task(solve, [], [w, z])
-    return Eigen(_column(values), vectors)
+    return Eigen(lambda: (_column(values), vectors))
 
 
 def _by_column_blocks(e: TiledMatrix, f) -> TiledMatrix:
@@ -268,7 +299,7 @@ def heevd(uplo: str, a: TiledMatrix, end: int | None = None, strategy: str | Non
     end = a.n if end is None else end
     require(0 <= end <= a.n, "the range of eigenvectors isn't inside the spectrum")
     if a.n == 0:
-        return Eigen(_values(a.spark, np.zeros(0)), a)
+        return Eigen(lambda: (_values(a.spark, np.zeros(0)), a))
     if single_task(a.m, force=strategy):
         value = replace(a, n=1, nb=1, dtype="d" if a.dtype in "dz" else "s")
         vector = replace(a, n=end)
@@ -278,20 +309,28 @@ def heevd(uplo: str, a: TiledMatrix, end: int | None = None, strategy: str | Non
             return [w[:, None], z[:, :end]]
 
         values, vectors = in_one_task(solve, [a], [value, vector])
-        return Eigen(_column(values), vectors)
+        return Eigen(lambda: (_column(values), vectors))
     width = band or band_size(a.nb)
     banded = reduction_to_band(a.hermitian(uplo), width)
     tri = band_to_tridiagonal(banded, width)
-    values, z = tridiagonal_eigensolver(a.spark, tri.d, tri.e, a.nb, a.dtype, "tiles")
-    z = z.submatrix(0, 0, a.n, end) if end < a.n else z
-    return Eigen(values, bt_reduction_to_band(bt_band_to_tridiagonal(z, tri.reflectors), banded.panels))
+    middle = tridiagonal_eigensolver(a.spark, tri.d, tri.e, a.nb, a.dtype, "tiles")
+
+    def both() -> tuple[DataFrame, TiledMatrix]:
+        values, z = middle
+        z = z.submatrix(0, 0, a.n, end) if end < a.n else z
+        return values, bt_reduction_to_band(bt_band_to_tridiagonal(z, tri.reflectors), banded.panels)
+
+    return Eigen(both, lambda: middle.values)
 
 
 def hegvd(uplo: str, a: TiledMatrix, b: TiledMatrix, factorized: bool = False, end: int | None = None, strategy: str | None = None) -> Eigen:
     """A x = lambda B x with Eᴴ B E = 1; B is positive definite, or its factor if ``factorized``."""
     factor = b.triangle(uplo) if factorized else potrf(uplo, b, strategy).stored("factor")
     standard = hegst(uplo, a, factor, strategy).stored("standard")
-    values, vectors = heevd(uplo, standard, end, strategy)
-    if vectors.n == 0:
-        return Eigen(values, vectors)
-    return Eigen(values, trsm("L", uplo, "C" if uplo == "L" else "N", "N", factor, vectors, 1, strategy))
+    inner = heevd(uplo, standard, end, strategy)
+
+    def both() -> tuple[DataFrame, TiledMatrix]:
+        values, vectors = inner
+        return values, vectors if vectors.n == 0 else trsm("L", uplo, "C" if uplo == "L" else "N", "N", factor, vectors, 1, strategy)
+
+    return Eigen(both, lambda: inner.values)
