@@ -45,6 +45,24 @@ class Reflectors:
     complex: bool
 
 
+def outside_band(matrix: TiledMatrix, band: int) -> int:
+    """The first column with an element that isn't zero more than ``band`` rows below the diagonal; the order, if there is none."""
+    mb, nb = matrix.mb, matrix.nb
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = matrix_n
+        for batch in batches:
+            for ti, tj, x in unpack(batch):
+                i, j = np.nonzero(x)
+                far = j[i + ti * mb - j - tj * nb > band]
+                least = min(least, tj * nb + int(far.min(initial=matrix_n)))
+        yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64())], ["j"])
+
+    matrix_n = matrix.n
+    found = matrix.tiles.filter(f"(ti + 1) * {mb} - tj * {nb} > {band + 1}").mapInArrow(run, "j long").agg(F.min("j")).first()[0]
+    return matrix_n if found is None else found
+
+
 def stored_band(matrix: TiledMatrix, band: int) -> TiledMatrix:
     """The diagonals of a band matrix by rows, each row shifted so that its diagonal element is in the middle; room for the fill-in."""
     near = replace(matrix, tiles=matrix.tiles.filter(f"abs(ti - tj) * {matrix.nb} < {band + matrix.nb}"))
@@ -106,9 +124,14 @@ def _wave(rows: TiledMatrix, work: list[tuple[int, int, int, int]], n: int, band
 
 
 def chase_bulges(matrix: TiledMatrix, band: int, group: int | None = None) -> tuple[np.ndarray, np.ndarray, Reflectors]:
-    """Diagonal, off-diagonal and reflectors of the tridiagonal matrix; ``group``: sweeps that one task makes in its window."""
+    """Diagonal, off-diagonal and reflectors of the tridiagonal matrix; ``group``: sweeps that one task makes in its window.
+
+    A real matrix that is tridiagonal already needs no sweep.
+    """
     n, spark, complex_ = matrix.n, matrix.spark, matrix.complex
     count = S.sweeps(n, complex_)
+    if not complex_ and outside_band(matrix, 1) == n:
+        return *_two_diagonals(matrix), Reflectors(spark.createDataFrame([], TILE), n, band, False)
     if group is None:
         group = max(1, count if n * (4 * band + 1) <= HELD else -(-2 * count // WAVES))
     require(group >= 1, "a group has a sweep or more")
@@ -145,6 +168,29 @@ def _diagonals(rows: TiledMatrix, band: int) -> tuple[np.ndarray, np.ndarray]:
     return d, e[1:]
 
 
+def _two_diagonals(matrix: TiledMatrix) -> tuple[np.ndarray, np.ndarray]:
+    """The diagonal and the one below it, of a real matrix: two numbers for each row."""
+    n, mb, nb = matrix.n, matrix.mb, matrix.nb
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tiles() -> Iterator[Tile]:
+            for batch in batches:
+                for ti, tj, x in unpack(batch):
+                    for below in (0, 1):
+                        k = tj * nb - ti * mb + below  # this far below the tile's own diagonal
+                        if -x.shape[1] < k < x.shape[0]:
+                            yield tj * nb + max(0, -k), below, np.diagonal(x, -k)[:, None]
+
+        yield from packed(tiles(), False)
+
+    out = np.zeros((2, n))
+    near = matrix.tiles.filter(f"abs(ti * {mb} - tj * {nb}) <= {max(mb, nb)}")
+    for batch in near.mapInArrow(run, TILE).toArrow().to_batches():
+        for at, below, x in unpack(batch):
+            out[below, at : at + len(x)] = x[:, 0]
+    return out[0], out[1, : n - 1]
+
+
 def blocks_of(reflectors: Reflectors, group: int | None = None) -> DataFrame:
     """Steps for ``apply_steps``: skewed blocks of the reflectors of ``group`` successive sweeps at one step, with their factors."""
     band, n, complex_ = reflectors.band, reflectors.n, reflectors.complex

@@ -17,7 +17,7 @@ from ..functions import spectral as S
 from ..layout import band_size, require
 from ..matrix import TILE, Tile, TiledMatrix, in_one_task, pack, packed, summed, unpack
 from ..plans.strategy import BROADCAST_BYTES, Scratch, fits_broadcast, shared_dir, single_task
-from .chase import Reflectors, apply_steps, blocks_of, chase_bulges
+from .chase import Reflectors, apply_steps, blocks_of, chase_bulges, outside_band
 from .divide import divide_and_conquer, eigenvalues
 from .factor import potrf
 from .panel import block_reflector
@@ -83,7 +83,8 @@ def reduction_to_band(a: TiledMatrix, band: int | None = None, held: int | None
     """Qᴴ A Q with a band; A is full and stays in its tiles.
 
     A panel of up to ``held`` (``PANEL_HELD``) numbers goes through the driver. A larger one is factored by a tree of tasks, and only
-    band x band numbers come to the driver in each step; the panels of Q are a dataset then.
+    band x band numbers come to the driver in each step; the panels of Q are a dataset then. Leading panels that lie within the band
+    already need no step.
     """
     band = band or band_size(a.nb)
     require(a.m == a.n and a.mb == a.nb and band >= 2 and a.nb % band == 0, "square tiles that the band divides are needed")
@@ -91,7 +92,7 @@ def reduction_to_band(a: TiledMatrix, band: int | None = None, held: int | None
     require(fits_broadcast(1, held, a.dtype), "what goes through the driver is broadcast, too")
     with Scratch(a.spark) as scratch:
         folder = f"{shared_dir(a.spark)}/panels-{uuid.uuid4().hex}"
-        steps = range(0, max(0, n - band - 1), band)
+        steps = range(outside_band(a, band) // band * band, max(0, n - band - 1), band)
         in_tree = [k for k in steps if (n - k - band) * band > max(held, band * band)]
         a = replace(a, tiles=scratch.stored(_filled(a).tiles if in_tree else a.tiles))
         for k in steps:

@@ -32,3 +32,33 @@ def test_values_and_vectors_of_one_run(spark):
     alone = [r.value for r in e.values.orderBy("idx").collect()]
     z, w = e.vectors.to_numpy(), [r.value for r in e.values.orderBy("idx").collect()]
     assert np.allclose(alone, np.linalg.eigvalsh(a)) and np.allclose(a @ z, z * w)
+
+
+@pytest.mark.parametrize("reach,steps", [(1, 0), (3, 0), (7, 8)])
+def test_panels_inside_the_band_need_no_step(spark, monkeypatch, reach, steps):
+    made, step = [], eigen._driver_step
+    monkeypatch.setattr(eigen, "_driver_step", lambda a, k, band: (made.append(k), step(a, k, band))[1])
+    i, j = np.indices((26, 26))
+    a = np.where(abs(i - j) <= reach, np.minimum(i, j) + 1.0, 0)
+    banded = eigen.reduction_to_band(TiledMatrix.from_numpy(spark, a, 6, 6), 3)
+    tri = eigen.band_to_tridiagonal(banded, 3)
+    assert len(made) == steps and (tri.reflectors.frame.count() == 0) == (reach == 1)
+    t = np.diag(tri.d) + np.diag(tri.e, 1) + np.diag(tri.e, -1)
+    q = eigen.bt_reduction_to_band(eigen.bt_band_to_tridiagonal(generators.identity(spark, 26, 6), tri.reflectors), banded.panels).to_numpy()
+    assert np.allclose(q @ t @ q.T, a)
+
+
+def test_leading_panels_inside_the_band(spark):
+    i, j = np.indices((26, 26))
+    a = np.where((abs(i - j) <= 2) | (np.minimum(i, j) >= 10), 1.0 + np.minimum(i, j) % 5 + 3 * (i == j), 0)
+    m = TiledMatrix.from_numpy(spark, a, 6, 6)
+    assert chase.outside_band(m, 3) == 10 and chase.outside_band(m, 30) == 26
+    banded = eigen.reduction_to_band(m, 3)
+    full, q = banded.matrix.to_numpy(), eigen.bt_reduction_to_band(generators.identity(spark, 26, 6), banded.panels).to_numpy()
+    assert np.allclose(np.where(abs(i - j) > 3, full, 0), 0) and np.allclose(q @ full @ q.T, a)
+
+
+def test_laplace_has_no_tiles_of_zeros(spark):
+    a = queries._laplace(spark, 50, 6)
+    want = 2 * np.eye(50) - np.eye(50, k=1) - np.eye(50, k=-1)
+    assert a.tiles.count() == 9 + 8 + 8 and np.array_equal(a.to_numpy(), want)
