@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A matrix of up to this order is handled by a single task where an operation has such a form.
 LOCAL_MAX = 2048
+#: A single task may be asked for up to this order: beyond it, a dense matrix and its workspace don't fit one.
+TASK_MAX = 4096
 #: An operand is sent to all tasks only up to this size; beyond it, operands meet in joins.
 BROADCAST_BYTES = 64 << 20
 
@@ -17,7 +19,7 @@ BROADCAST_BYTES = 64 << 20
 def single_task(*orders: int, force: str | None = None) -> bool:
     if force not in (None, "task", "tiles"):
         raise ValueError("strategy is 'task' or 'tiles'")
-    return max(orders, default=0) <= LOCAL_MAX if force is None else force == "task"
+    return force != "tiles" and max(orders, default=0) <= (TASK_MAX if force == "task" else LOCAL_MAX)
 
 
 def fits_broadcast(rows: int, columns: int, dtype: str) -> bool:

@@ -58,6 +58,13 @@ def test_leading_panels_inside_the_band(spark):
     assert np.allclose(np.where(abs(i - j) > 3, full, 0), 0) and np.allclose(q @ full @ q.T, a)
 
 
+def test_a_task_isnt_given_more_than_it_holds(monkeypatch):
+    assert strategy.single_task(strategy.TASK_MAX, force="task") and not strategy.single_task(strategy.TASK_MAX + 1, force="task")
+    assert strategy.single_task(2048) and not strategy.single_task(2049) and not strategy.single_task(1, force="tiles")
+    with pytest.raises(ValueError):
+        strategy.single_task(1, force="driver")
+
+
 def test_laplace_has_no_tiles_of_zeros(spark):
     a = queries._laplace(spark, 50, 6)
     want = 2 * np.eye(50) - np.eye(50, k=1) - np.eye(50, k=-1)
