@@ -64,6 +64,15 @@ def packed(tiles: Iterable[Tile], complex_: bool) -> Iterator[pa.RecordBatch]:
         yield pack(held, complex_)
 
 
+@dataclass(frozen=True)
+class Source:
+    """How a generated matrix's tiles are made: a table of places and the tile of a place."""
+
+    tiles: DataFrame
+    places: DataFrame
+    make: Callable[[int, int], np.ndarray]
+
+
 @dataclass(frozen=True)
 class TiledMatrix:
     tiles: DataFrame
@@ -72,6 +81,10 @@ class TiledMatrix:
     mb: int
     nb: int
     dtype: str = "d"
+    source: Source | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "source": None}
 
     def __post_init__(self) -> None:
         require(self.dtype in ("s", "d", "c", "z"), "dtype is one of s, d, c, z")
@@ -142,16 +155,16 @@ class TiledMatrix:
             return out
         grid = spark.range(total).select(F.expr(f"id div {across}").alias("ti"), F.expr(f"id % {across}").alias("tj")).filter(keep)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def tiles() -> Iterator[Tile]:
-                for batch in batches:
-                    for ti, tj in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        i, j = np.arange(ti * mb, min(m, ti * mb + mb))[:, None], np.arange(tj * nb, min(n, tj * nb + nb))[None, :]
-                        yield ti, tj, np.broadcast_to(np.asarray(f(i, j)), (i.size, j.size))
+        def make(ti: int, tj: int) -> np.ndarray:
+            i, j = np.arange(ti * mb, min(m, ti * mb + mb))[:, None], np.arange(tj * nb, min(n, tj * nb + nb))[None, :]
+            return np.broadcast_to(np.asarray(f(i, j)), (i.size, j.size))
 
-            yield from packed(tiles(), dtype in "cz")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = (p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield from packed(((ti, tj, make(ti, tj)) for ti, tj in places), dtype in "cz")
 
-        return replace(out, tiles=grid.mapInArrow(run, TILE))
+        tiles = grid.mapInArrow(run, TILE)
+        return replace(out, tiles=tiles, source=Source(tiles, grid, make))
 
     @classmethod
     def from_coo(cls, coo: DataFrame, m: int, n: int, mb: int, nb: int, dtype: str = "d") -> TiledMatrix:
@@ -201,6 +214,19 @@ class TiledMatrix:
 
         return replace(self, tiles=self.tiles.filter(keep).mapInArrow(run, TILE), dtype=dtype, **layout)
 
+    def fold_tiles(self, f: Callable[[Iterator[Tile]], Iterator[pa.RecordBatch]], schema: str, keep: str = "true") -> DataFrame:
+        """Rows that f gives for the kept tiles of a task. A generated matrix's tiles are made in that task and go nowhere else."""
+        source = self.source if self.source is not None and self.source.tiles is self.tiles else None
+        make = source.make if source else None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if make is None:
+                yield from f(tile for batch in batches for tile in unpack(batch))
+            else:
+                yield from f((ti, tj, make(ti, tj)) for batch in batches for ti, tj in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+
+        return (source.places if source else self.tiles).filter(keep).mapInArrow(run, schema)
+
     def transpose(self, conjugate: bool = False) -> TiledMatrix:
         turn = (lambda ti, tj, a: a.conj().T) if conjugate else (lambda ti, tj, a: a.T)
         return self.map_tiles(turn, move=lambda ti, tj: (tj, ti), m=self.n, n=self.m, mb=self.nb, nb=self.mb)

@@ -250,7 +250,20 @@ _register("column_major", lambda s, d: _coo(_from_driver(s, d)), f"WITH {_Q} SEL
 
 
 def _checked(a: TiledMatrix, low: float, high: float) -> DataFrame:
-    return a.to_coo().agg(F.count(F.lit(1)).alias("n"), F.min((F.col("re") * F.col("re") + F.col("im") * F.col("im")).between(low * low, high * high)).alias("inside"), F.max((F.col("i") == F.col("j")) & (F.abs("im") > 0)).alias("odd_diagonal"))
+    """Number of elements, whether all moduli are inside of the limits, and whether a diagonal element has an imaginary part."""
+    mb, nb = a.mb, a.nb
+
+    def run(tiles: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        n, inside, odd = 0, True, False
+        for ti, tj, x in tiles:
+            square = x.real * x.real + x.imag * x.imag if np.iscomplexobj(x) else x * x
+            n, inside = n + x.size, inside and bool(((square >= low * low) & (square <= high * high)).all())
+            k = tj * nb - ti * mb
+            odd = odd or -x.shape[1] < k < x.shape[0] and bool(np.diagonal(x, -k).imag.any())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([inside]), pa.array([odd])], ["n", "inside", "odd_diagonal"])
+
+    return a.fold_tiles(run, "n long, inside boolean, odd_diagonal boolean").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("inside").alias("inside"), F.max("odd_diagonal").alias("odd_diagonal"))
 
 
 _COUNT = "(SELECT count(*) AS m FROM embeddings)"

@@ -31,7 +31,10 @@ def _draw(i: np.ndarray, j: np.ndarray, columns: int, complex_: bool) -> np.ndar
     shape = (i.size, j.size)
     if not complex_:
         return rng.uniform(-1, 1, shape)
-    return np.sqrt(rng.uniform(0, 1, shape)) * np.exp(2j * np.pi * rng.uniform(0, 1, shape))
+    size, angle = np.sqrt(rng.uniform(0, 1, shape)), 2 * np.pi * rng.uniform(0, 1, shape)
+    out = np.empty(shape, complex)
+    out.real, out.imag = size * np.cos(angle), size * np.sin(angle)
+    return out
 
 
 def random(spark: SparkSession, m: int, n: int, mb: int, nb: int, dtype: str = "d") -> TiledMatrix:

@@ -69,3 +69,16 @@ def test_laplace_has_no_tiles_of_zeros(spark):
     a = queries._laplace(spark, 50, 6)
     want = 2 * np.eye(50) - np.eye(50, k=1) - np.eye(50, k=-1)
     assert a.tiles.count() == 9 + 8 + 8 and np.array_equal(a.to_numpy(), want)
+
+
+@pytest.mark.parametrize("kind", ["d", "z"])
+def test_generated_tiles_are_checked_where_they_are_made(spark, kind):
+    a = generators.random_hermitian(spark, 40, 6, 0, kind)
+    found = queries._checked(a, 0, 1.0)
+    assert "posexplode" not in (plan := found._jdf.queryExecution().toString()) and "array<double>" not in plan
+    assert tuple(found.first()) == (1600, True, False)
+    x = a.to_numpy()
+    assert np.allclose(x, x.conj().T) and (kind == "d" or abs(x.imag).max() > 0.1)
+    # Matrices that come from tables, and elements that don't fit, are seen too.
+    assert tuple(queries._checked(a.map_tiles(lambda ti, tj, t: 1j * t if kind == "z" else t), 0, 0.5).first()) == (1600, False, kind == "z")
+    assert tuple(queries._checked(generators.random(spark, 0, 3, 2, 2), 0, 1).first())[0] == 0
