@@ -227,6 +227,19 @@ class TiledMatrix:
 
         return (source.places if source else self.tiles).filter(keep).mapInArrow(run, schema)
 
+    def diagonal(self) -> DataFrame:
+        """(i, re, im) of the stored diagonal elements; only tiles that the diagonal crosses are looked at."""
+        mb, nb = self.mb, self.nb
+
+        def parts(tiles: Iterator[Tile]) -> Iterator[pa.RecordBatch]:
+            for ti, tj, x in tiles:
+                k = tj * nb - ti * mb
+                if -x.shape[1] < k < x.shape[0]:
+                    part, first = np.diagonal(x, -k), max(ti * mb, tj * nb)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(part))), pa.array(part.real.astype(float)), pa.array(part.imag.astype(float))], ["i", "re", "im"])
+
+        return self.fold_tiles(parts, "i long, re double, im double", f"ti * {mb} < (tj + 1) * {nb} and tj * {nb} < (ti + 1) * {mb}")
+
     def transpose(self, conjugate: bool = False) -> TiledMatrix:
         turn = (lambda ti, tj, a: a.conj().T) if conjugate else (lambda ti, tj, a: a.T)
         return self.map_tiles(turn, move=lambda ti, tj: (tj, ti), m=self.n, n=self.m, mb=self.nb, nb=self.mb)

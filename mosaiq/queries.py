@@ -271,7 +271,7 @@ _register("set_random", lambda s, d: _checked(generators.random(s, _vectors(s, d
 _register("set_random_hermitian", lambda s, d: _checked(generators.random_hermitian(s, _vectors(s, d), 128, 0, "z"), 0, 1.0), f"SELECT m * m AS n, true AS inside, false AS odd_diagonal FROM {_COUNT}")
 _register("set_random_positive_definite", lambda s, d: _checked(generators.random_positive_definite(s, m := _vectors(s, d), 128), 0, 2 * m + 1), f"SELECT m * m AS n, true AS inside, false AS odd_diagonal FROM {_COUNT}")
 _register("set_random_banded", lambda s, d: _coo(generators.random_hermitian(s, _vectors(s, d), 128, band=3), None, False).selectExpr("max(abs(i - j)) width", "count(*) n"), f"SELECT 3::BIGINT AS width, 7 * m - 12 AS n FROM {_COUNT}")
-_register("set_random_non_zero_diagonal", lambda s, d: _coo(generators.random_non_zero_diagonal(s, _vectors(s, d), 128)).filter("i = j").selectExpr("count(*) n", "min(abs(re)) >= 0.1 and max(abs(re)) <= 1 inside"), f"SELECT m AS n, true AS inside FROM {_COUNT}")
+_register("set_random_non_zero_diagonal", lambda s, d: generators.random_non_zero_diagonal(s, _vectors(s, d), 128).diagonal().selectExpr("count(*) n", "min(abs(re)) >= 0.1 and max(abs(re)) <= 1 inside"), f"SELECT m AS n, true AS inside FROM {_COUNT}")
 
 
 def _stored_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,14 @@ def test_generated_tiles_are_checked_where_they_are_made(spark, kind):
     # Matrices that come from tables, and elements that don't fit, are seen too.
     assert tuple(queries._checked(a.map_tiles(lambda ti, tj, t: 1j * t if kind == "z" else t), 0, 0.5).first()) == (1600, False, kind == "z")
     assert tuple(queries._checked(generators.random(spark, 0, 3, 2, 2), 0, 1).first())[0] == 0
+
+
+def test_banded_and_diagonal_tiles(spark):
+    band = generators.random_hermitian(spark, 50, 6, band=7)
+    whole = generators.random_hermitian(spark, 50, 6)
+    i, j = np.indices((50, 50))
+    assert np.array_equal(band.to_numpy(), np.where(abs(i - j) <= 7, whole.to_numpy(), 0)) and band.tiles.count() < 50
+    a = generators.random_non_zero_diagonal(spark, 50, 6)
+    assert [r.re for r in a.diagonal().orderBy("i").collect()] == np.diag(a.to_numpy()).tolist()
+    x = np.arange(35.0).reshape(7, 5)
+    assert [tuple(r) for r in TiledMatrix.from_numpy(spark, x, 2, 3).diagonal().orderBy("i").collect()] == [(k, 6.0 * k, 0.0) for k in range(5)]
