@@ -8,9 +8,10 @@ similarity 0.8 with a chance of 0.08 %.
 
 Pairs of a band's bucket are verified exactly. What is looked at first is a bitmap in which each shingle of a
 set flips a bit: the bits in which two bitmaps differ are at most as many as the shingles in which the sets differ, so
-a pair with too many can't be similar, and no similar pair is lost. First each line is compared with a centre of each
-of its buckets, in four rounds with different centres, and the links are united; then the lines of a bucket that lie in
-different components are joined under that bound, and only pairs within it are compared by their texts. Components come from distributed union-find.
+a pair with too many can't be similar, and no similar pair is lost. Where buckets have more pairs than a few for each of
+their lines, each line is first compared with a centre of each of its buckets, in up to four rounds with different centres,
+and the links are united; then the lines of a bucket that lie in different components are joined under that bound, and only
+pairs within it are compared by their texts. Components come from distributed union-find.
 
 Of each component of lines the first occurrence stays (smallest doc_id, then smallest line number).
 
@@ -33,8 +34,10 @@ from .graph import components
 BANDS, ROWS = 7, 2
 #: One for each four minima.
 SEEDS = random.Random(5).sample(range(1 << 62), -(-BANDS * ROWS // 4))
-#: Rounds in which lines are compared with a centre of each of their buckets.
+#: Rounds, at most, in which lines are compared with a centre of each of their buckets.
 CENTRE_ROUNDS = 4
+#: All pairs are looked at without a further round if they are so many for each line of a bucket, and no bucket has more lines.
+PAIRS_A_LINE, LINES_A_BUCKET = 4, 512
 #: 64-bit words of a set's bitmap, a power of two.
 BITMAP = 16
 
@@ -90,7 +93,8 @@ def _buckets(lines: DataFrame, width: int) -> DataFrame:
 def _bitmaps(texts: DataFrame, width: int) -> DataFrame:
     """(line, bits): the size of each line's set and its bitmap."""
     sets = texts.select("line", F.explode(F.expr(f"array_distinct({_hashes('plain', width)})")).alias("h"))
-    words = [F.expr(f"bit_xor(if((h & {BITMAP - 1}) = {k}, shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)), 0L))").alias(f"b{k}") for k in range(BITMAP)]
+    sets = sets.select("line", F.expr(f"cast(h & {BITMAP - 1} as int)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("b"))
+    words = [F.expr(f"bit_xor(if(w = {k}, b, 0L))").alias(f"b{k}") for k in range(BITMAP)]
     sized = sets.groupBy("line").agg(F.count(F.lit(1)).alias("n"), *words)
     return sized.select("line", F.struct("n", *(f"b{k}" for k in range(BITMAP))).alias("bits"))
 
@@ -103,29 +107,39 @@ def _near(a: str, b: str, percent: int) -> str:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, steps: Steps, width: int, percent: int) -> DataFrame:
-    """The similar ones of pairs (u, v) of lines, by their whole sets."""
-    both = pairs.join(texts.select(F.col("line").alias("u"), F.col("plain").alias("mine")), "u")
+    """The similar ones of pairs (u, v, n) of lines, by their whole sets; n is the sum of the sets' sizes."""
+    both = pairs.distinct().join(texts.select(F.col("line").alias("u"), F.col("plain").alias("mine")), "u")
     both = both.join(texts.select(F.col("line").alias("v"), F.col("plain").alias("theirs")), "v")
-    sets = both.select("u", "v", F.expr(_hashes("mine", width)).alias("a"), F.expr(_hashes("theirs", width)).alias("b"))
-    return steps.stored(sets.filter(f"100 * size(array_intersect(a, b)) >= {percent} * size(array_union(a, b))").select("u", "v"), "links")
+    # The union has n less the shared ones, so each set is made once.
+    shared = f"size(array_intersect({_hashes('mine', width)}, {_hashes('theirs', width)}))"
+    return steps.stored(both.filter(f"{100 + percent} * {shared} >= {percent} * n").select("u", "v"), "links")
+
+
+def _crowded(rows: DataFrame) -> bool:
+    """Whether buckets have more pairs than may be joined at once; a line's place in its bucket is the number of its pairs with those before, plus 1."""
+    lines, pairs, largest = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("place") - 1), F.lit(0)), F.coalesce(F.max("place"), F.lit(0))).first()
+    return pairs > PAIRS_A_LINE * lines or largest > LINES_A_BUCKET
 
 
 def line_components(docs: DataFrame, steps: Steps, width: int = 12, percent: int = 80) -> DataFrame:
     """(node, root) for the distinct lines that aren't their component's root."""
     buckets = _buckets(lines_of(docs), width)
     # Buckets of one line are done; a line's neighbours in its bucket are seen while rows stream by in order.
-    several = F.expr("lead(line) over (partition by bucket order by line) is not null or lag(line) over (partition by bucket order by line) is not null")
-    buckets = steps.stored(buckets.withColumn("several", several).filter("several").select("bucket", "line"), "buckets")
+    in_bucket = "over (partition by bucket order by line)"
+    buckets = buckets.withColumn("place", F.expr(f"row_number() {in_bucket}")).withColumn("several", F.expr(f"place > 1 or lead(line) {in_bucket} is not null"))
+    buckets = steps.stored(buckets.filter("several").select("bucket", "line", "place"), "buckets")
     wanted = steps.stored(buckets.select("line").distinct(), "wanted")
     texts = flagged(lines_of(docs), wanted, "line").filter("__maybe").groupBy("line").agg(F.first("plain").alias("plain"))
     texts = steps.stored(texts.join(wanted, "line", "left_semi"), "texts")
     labelled = steps.stored(buckets.join(_bitmaps(texts, width), "line"), "labelled")
     rest, links = labelled.withColumn("root", F.col("line")), None
     for turn in range(CENTRE_ROUNDS):
+        if not _crowded(rest):
+            break
         # The order differs by bucket and round, so a line meets many centres. A running first value: nothing is held.
         centre = f"first_value(struct(line, root, bits)) over (partition by bucket order by xxhash64(line, bucket, {turn}), line rows between unbounded preceding and current row)"
         starred = rest.withColumn("c", F.expr(centre)).filter("root != c.root").filter(_near("bits", "c.bits", percent))
-        found = _verified(starred.select(F.greatest("line", "c.line").alias("u"), F.least("line", "c.line").alias("v")).distinct(), texts, steps, width, percent)
+        found = _verified(starred.select(F.greatest("line", "c.line").alias("u"), F.least("line", "c.line").alias("v"), F.expr("bits.n + c.bits.n").alias("n")), texts, steps, width, percent)
         roots = components(found if links is None else links.unionAll(found), steps)
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         placed = labelled.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
@@ -133,8 +147,8 @@ def line_components(docs: DataFrame, steps: Steps, width: int = 12, percent: int
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
         rest = steps.stored(placed.join(mixed, "bucket", "left_semi"), "rest")
     pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.bucket = b.bucket and a.line < b.line and a.root != b.root and {_near('a.bits', 'b.bits', percent)}"))
-    more = _verified(pairs.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")).distinct(), texts, steps, width, percent)
-    return components(links.unionAll(more), steps)
+    more = _verified(pairs.select(F.col("a.line").alias("u"), F.col("b.line").alias("v"), F.expr("a.bits.n + b.bits.n").alias("n")), texts, steps, width, percent)
+    return components(more if links is None else links.unionAll(more), steps)
 
 
 def _dropped(docs: DataFrame, steps: Steps, width: int, percent: int) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from mosaiq.llm import line_dedup as L
 from mosaiq.llm.line_dedup import F, _buckets, dedup_lines, line_digest
 
 W = 12
@@ -111,3 +112,15 @@ def test_recall_at_the_limit_by_length(spark, union):
         found[r.line].add(r.bucket)
     # 0.08 % of 2,000 are expected.
     assert sum(not found[k] & found[n + k] for k in range(n)) <= 8
+
+
+@pytest.mark.parametrize("pairs,rounds", [(4, 0), (0, L.CENTRE_ROUNDS)])
+def test_rounds_only_where_buckets_are_crowded(spark, monkeypatch, pairs, rounds):
+    """Few pairs are joined at once; with rounds the result is the same."""
+    monkeypatch.setattr(L, "PAIRS_A_LINE", pairs)
+    names, stored = [], L.Steps.stored
+    monkeypatch.setattr(L.Steps, "stored", lambda self, frame, name="step": (names.append(name), stored(self, frame, name))[1])
+    rows = blankless(5)[:60]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in got) == brute(rows) and sum(r.n_dropped for r in got) > 10
+    assert names.count("rest") <= rounds and names.count("links") == names.count("rest") + 1 and (names.count("rest") > 0) == (rounds > 0)
