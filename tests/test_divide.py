@@ -1,6 +1,9 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
+from mosaiq import queries
 from mosaiq.functions import spectral as S
 from mosaiq.matrix import TiledMatrix
 from mosaiq.operators import divide as D
@@ -135,3 +138,31 @@ def test_permutation_moves_slices(spark, n, nb, begin, end, axis):
     want[lo:hi, lo:hi] = inner[order] if axis == "rows" else inner[:, order]
     assert np.allclose(out.to_numpy(), want)
     assert "Generate explode" not in out.tiles._jdf.queryExecution().toString() and "posexplode" not in out.tiles._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["d", "z"])
+@pytest.mark.parametrize("m,n,mb,nb", [(23, 23, 5, 5), (6, 4, 1, 2), (9, 9, 20, 20)])
+def test_residual_and_orthonormality_in_passes(spark, m, n, mb, nb, kind):
+    rng = np.random.default_rng(m)
+    d, e, w = rng.standard_normal(m), rng.standard_normal(m - 1), rng.standard_normal(n)
+    z = rng.standard_normal((m, n)) + (1j if kind == "z" else 0) * rng.standard_normal((m, n))
+    z[mb : 2 * mb, : 2 * nb] = 0
+    z[:, nb : 2 * nb] = 0
+    a = TiledMatrix.from_numpy(spark, z, mb, nb)
+    t = np.diag(d) + np.diag(e, 1) + np.diag(e, -1)
+    for q in (a, replace(a, tiles=a.tiles.filter("exists(re, x -> x != 0)"))):  # tiles of zeros needn't be there
+        assert np.isclose(D.largest_residual(d, e, w, q), abs(t @ z - z * w).max(), rtol=1e-13)
+        for held in (1, 4 * nb * nb, 1 << 20):
+            assert np.isclose(D.apart_from_orthonormal(q, held), abs(z.conj().T @ z - np.eye(n)).max(), rtol=1e-13)
+    z[m - 1, n - 1] = np.nan
+    a = TiledMatrix.from_numpy(spark, z, mb, nb)
+    assert np.isnan(D.largest_residual(d, e, w, a)) and np.isnan(D.apart_from_orthonormal(a))
+
+
+def test_stedc_tiles_moves_no_copies_of_the_vectors(spark, monkeypatch):
+    """The eigenvectors were sent to each block of rows of a matrix that is zero off three diagonals, and to all pairs of blocks."""
+    monkeypatch.setattr(queries.multiply, "gemm", lambda *a, **k: pytest.fail("the eigenvectors were multiplied as dense operands"))
+    d, e = next(m for k, m in enumerate(matrices(300, np.random.default_rng(1))) if k == 2)
+    monkeypatch.setattr(queries, "_tridiagonal_of", lambda s, f: (d, e))
+    n, trace, squares, residual, apart = queries.QUERIES["stedc_tiles"](spark, "").first()
+    assert (n, trace, squares, residual, apart) == (300, d.sum(), (d * d).sum() + 2 * (e * e).sum(), 0, 0)

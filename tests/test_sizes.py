@@ -1,11 +1,14 @@
+from dataclasses import replace
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from mosaiq import queries
 from mosaiq.matrix import TiledMatrix
 from mosaiq.operators import chase, divide, eigen
 from mosaiq.plans import strategy
-from mosaiq.sources import generators
+from mosaiq.sources import generators, storage
 from test_divide import matrices
 
 
@@ -93,3 +96,18 @@ def test_banded_and_diagonal_tiles(spark):
     assert [r.re for r in a.diagonal().orderBy("i").collect()] == np.diag(a.to_numpy()).tolist()
     x = np.arange(35.0).reshape(7, 5)
     assert [tuple(r) for r in TiledMatrix.from_numpy(spark, x, 2, 3).diagonal().orderBy("i").collect()] == [(k, 6.0 * k, 0.0) for k in range(5)]
+
+
+@pytest.mark.parametrize("f", [lambda i, j: np.sin(i + 100.0 * j), lambda i, j: 0.0 * (i + j)])
+def test_tables_of_tiles_have_small_row_groups(spark, tmp_path, f):
+    """A reader unpacks a row group at once: 300 tiles of 80 kB were one, and of zeros any number of tiles."""
+    a = TiledMatrix.generate(spark, 100, 30_000, 100, 100, f)
+    a = replace(a, tiles=a.tiles.coalesce(1))
+    with strategy.Scratch(spark) as scratch:
+        storage.write(a, str(tmp_path), "a")
+        for frame in (strategy.stored(a.tiles), scratch.stored(a.tiles), storage.read(spark, str(tmp_path), "a").tiles):
+            (file,) = (f.removeprefix("file:").removeprefix("//") for f in frame.inputFiles())
+            meta = pq.ParquetFile(file).metadata
+            groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+            assert meta.num_rows == 300 and max(g.num_rows for g in groups) <= strategy.ROW_GROUP_ROWS
+            assert max(g.total_byte_size for g in groups) < 1.2 * strategy.ROW_GROUP_BYTES
