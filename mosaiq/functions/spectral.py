@@ -124,6 +124,64 @@ def merge_order(leaves: int) -> list[tuple[int, int, int]]:
 
 #: Numbers of a block of differences of poles and roots, so that its passes stay in a core's cache.
 IN_CACHE = 1 << 16
+#: Points of an interpolation. Poles further from an interval than its length give sums that are smooth on it: the error falls by 5.8 for each point.
+POINTS = 24
+#: Roots of an interval of their own, and poles whose weights are made together.
+ROOTS, WEIGHTS = 512, 2048
+_ANGLES = (2 * np.arange(POINTS) + 1) * np.pi / (2 * POINTS)
+_NODES, _SIGNS = -np.cos(_ANGLES), np.sin(_ANGLES) * (-1.0) ** np.arange(POINTS)
+
+
+class Near(NamedTuple):
+    """Places lo..hi of ascending poles, and the poles first..end that aren't far from the interval that begins at d[lo]."""
+
+    lo: int
+    hi: int
+    first: int
+    end: int
+    length: float
+
+
+def intervals(d: np.ndarray, top: float, lo: int, hi: int, size: int) -> Iterator[Near]:
+    """Intervals of at most ``size`` places each, cut further while many poles are near one; ``top`` is above all poles and roots."""
+    k = len(d)
+    if k <= 4 * size:
+        yield from (Near(at, min(at + size, hi), 0, k, 0.0) for at in range(lo, hi, size))
+        return
+    waiting = [(lo, hi)]
+    while waiting:
+        lo, hi = waiting.pop()
+        if hi <= lo:
+            continue
+        if hi == k and hi - lo > 1:  # the last interval may be long
+            waiting += [(k - 1, k), (lo, k - 1)]
+            continue
+        end = d[hi] if hi < k else top
+        length = end - d[lo]
+        # A root lies between its pole and the next, so the pole before a near one is near, too.
+        first, last = max(0, int(np.searchsorted(d, d[lo] - length)) - 1), int(np.searchsorted(d, end + length, "right"))
+        if hi - lo > 1 and (hi - lo > size or last - first > 4 * (size + hi - lo)):
+            waiting += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+        else:
+            yield Near(lo, hi, first, last, length)
+
+
+def far_sums(d: np.ndarray, near: Near, part: slice, f: Callable[[np.ndarray, slice], np.ndarray]) -> np.ndarray:
+    """Sums over far poles at the interpolation's points: f(differences of some poles and the points, which poles) gives rows by point."""
+    at, total = (_NODES + 1) * (near.length / 2), None
+    for k in range(part.start, part.stop, IN_CACHE // POINTS):
+        some = slice(k, min(part.stop, k + IN_CACHE // POINTS))
+        now = f((d[some] - d[near.lo])[None, :] - at[:, None], some)
+        total = now if total is None else total + now
+    return total
+
+
+def interpolation(near: Near, x: np.ndarray) -> np.ndarray:
+    """Factors of the values at the points for the distances x from d[lo]."""
+    apart = (x * (2 / near.length) - 1)[:, None] - _NODES[None, :]
+    hit = apart == 0
+    factors = np.where(hit.any(axis=1, keepdims=True), hit, _SIGNS / np.where(hit, 1, apart))
+    return factors / factors.sum(axis=1, keepdims=True)
 
 
 def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,30 +189,54 @@ def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) ->
 
     Root j lies between poles j and j + 1. Each step fits one pole on either side to the value and the slope of the sums left
     and right of the root, and solves that for the next point; one outside of the bracket gives way to the bracket's middle.
-    The distance to the pole keeps its relative precision, so the differences d_i - x do too.
+    The distance to the pole keeps its relative precision, so the differences d_i - x do too. Of many poles, those far from an
+    interval of roots are summed at a few points of it, once.
     """
-    j, k, squares = np.arange(lo, hi), len(d), rho * z**2
+    squares = rho * z**2
+    found = [_roots(d, squares, near) for near in intervals(d, d[-1] + squares.sum(), lo, hi, ROOTS)] if hi > lo else []
+    pole, x = zip(*found, strict=True) if found else ([np.zeros(0, int)], [np.zeros(0)])
+    return np.concatenate(pole), np.concatenate(x)
+
+
+def _roots(d: np.ndarray, squares: np.ndarray, where: Near) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi, first, end, _ = where
+    j, k = np.arange(lo, hi), len(d)
     top = d[-1] + squares.sum()
     right = np.minimum(j + 1, k - 1)
     upper = np.where(j + 1 < k, d[right], top)
     # Poles before lo are left of all these roots, poles from hi on right of them.
     left_side = np.arange(lo, hi)[None, :] <= j[:, None]
-    at_once = max(1, IN_CACHE // max(k, 1))
+    at_once = max(1, IN_CACHE // max(end - first, 1))
+    close, weights = d[first:end], squares[first:end]
+    inner, outer = lo - first, hi - first
+
+    def sums(gap: np.ndarray, some: slice) -> np.ndarray:
+        np.reciprocal(gap, out=gap)
+        value = gap @ squares[some]
+        gap *= gap
+        return np.stack((value, gap @ squares[some]), axis=1)
+
+    distant = [None if part.start >= part.stop else far_sums(d, where, part, sums) for part in (slice(0, first), slice(end, k))]
 
     def parts(origin: np.ndarray, x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """Sums and slopes of the poles left and right of the roots, a few roots at a time."""
         out = np.empty((4, len(rows)))
-        for b in range(0, len(rows), at_once):
-            some = slice(b, b + at_once)
-            gap = d[None, :] - origin[some, None]
+        for begin in range(0, len(rows), at_once):
+            some = slice(begin, begin + at_once)
+            gap = close[None, :] - origin[some, None]
             gap -= x[some, None]
             with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                value = squares / gap
+                value = weights / gap
                 slope = np.divide(value, gap, out=gap)
-            near = left_side[rows[some]]
+            mine = left_side[rows[some]]
             for at, v in ((0, value), (1, slope)):
-                out[at, some] = v[:, :lo].sum(axis=1) + np.where(near, v[:, lo:hi], 0).sum(axis=1)
-                out[at + 2, some] = np.where(near, 0, v[:, lo:hi]).sum(axis=1) + v[:, hi:].sum(axis=1)
+                out[at, some] = v[:, :inner].sum(axis=1) + np.where(mine, v[:, inner:outer], 0).sum(axis=1)
+                out[at + 2, some] = np.where(mine, 0, v[:, inner:outer]).sum(axis=1) + v[:, outer:].sum(axis=1)
+        if any(f is not None for f in distant):
+            factors = interpolation(where, (origin - d[lo]) + x)
+            for at, f in zip((0, 2), distant, strict=True):
+                if f is not None:
+                    out[at : at + 2] += (factors @ f).T
         return tuple(out)
 
     half = (upper - d[j]) / 2
@@ -196,6 +278,56 @@ def secular_range(d: np.ndarray, z: np.ndarray, rho: float, lo: int, hi: int) ->
     return pole, x
 
 
+def range_of_weight_logs(d: np.ndarray, rho: float, pole: np.ndarray, x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The sums of ``weight_logs`` over all roots, for the poles lo..hi: far roots and their poles are summed at a few points."""
+    k, out = len(d), np.zeros(hi - lo)
+    moved = (d[pole] - d) + x  # from a root's left pole to the root
+    for near in intervals(d, d[-1] + moved[-1], lo, hi, WEIGHTS):
+        first, end, mine = near.first, near.end, slice(near.lo - lo, near.hi - lo)
+        places = np.arange(near.lo, near.hi)
+        at_once = max(1, IN_CACHE // (end - first))
+        for begin in range(0, len(places), at_once):
+            some = places[begin : begin + at_once]
+            gap = (d[pole[first:end]][None, :] - d[some, None]) + x[None, first:end]
+            apart = d[None, first:end] - d[some, None]
+            apart[some - some[0], some - first] = rho
+            gap /= apart
+            out[some - lo] = np.log(np.abs(gap, out=gap), out=gap).sum(axis=1)
+
+        def logs(gap: np.ndarray, some: slice) -> np.ndarray:
+            return np.log1p(np.divide(moved[some], gap, out=gap), out=gap).sum(axis=1, keepdims=True)
+
+        far = [far_sums(d, near, part, logs) for part in (slice(0, first), slice(end, k)) if part.start < part.stop]
+        if far:
+            out[mine] += (interpolation(near, d[places] - d[near.lo]) @ sum(far))[:, 0]
+    return out
+
+
+def range_of_rows(d: np.ndarray, weight: np.ndarray, rows: np.ndarray, pole: np.ndarray, x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Rows times the unit eigenvectors of the roots lo..hi, whose elements are in proportion to weight / (d - root)."""
+    k, out = len(d), np.zeros((len(rows), hi - lo))
+    weighted, squares = (rows * weight).T.copy(), weight * weight
+    for near in intervals(d, d[pole[-1]] + x[-1], lo, hi, WEIGHTS):
+        first, end, mine = near.first, near.end, slice(near.lo - lo, near.hi - lo)
+        total = np.zeros((near.hi - near.lo, len(rows) + 1))
+
+        def sums(gap: np.ndarray, some: slice) -> np.ndarray:
+            np.reciprocal(gap, out=gap)
+            value = gap @ weighted[some]
+            gap *= gap
+            return np.column_stack((value, gap @ squares[some]))
+
+        at_once = max(1, IN_CACHE // (end - first))
+        for begin in range(near.lo, near.hi, at_once):
+            some = slice(begin, min(near.hi, begin + at_once))
+            total[some.start - near.lo : some.stop - near.lo] = sums((d[None, first:end] - d[pole[some], None]) - x[some, None], slice(first, end))
+        far = [far_sums(d, near, part, sums) for part in (slice(0, first), slice(end, k)) if part.start < part.stop]
+        if far:
+            total += interpolation(near, (d[pole[near.lo : near.hi]] - d[near.lo]) + x[near.lo : near.hi]) @ sum(far)
+        out[:, mine] = (total[:, :-1] / np.sqrt(total[:, -1:])).T
+    return out
+
+
 def weight_logs(d: np.ndarray, rho: float, lo: int, pole: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each pole i, the log of the roots' share in its weight: Π |root_j - d_i| / |d_j - d_i| (without the divisor at j = i)."""
     total, at_once = np.zeros(len(d)), max(1, IN_CACHE // max(len(d), 1))
@@ -232,13 +364,13 @@ def deflate(d: np.ndarray, z: np.ndarray, rho: float) -> Deflated:
     order = np.argsort(d, kind="stable")
     d, z = d[order].copy(), z[order].copy()
     tolerance = 8 * np.finfo(float).eps * max(np.abs(d).max(initial=0), np.abs(z).max(initial=0), rho * (z @ z))
-    live, previous, rotations = np.abs(rho * z) > tolerance, -1, []
-    for i in np.flatnonzero(live):
-        if previous >= 0 and d[i] - d[previous] <= tolerance:
-            r = np.hypot(z[previous], z[i])
-            rotations.append((previous, int(i), z[i] / r, z[previous] / r))
-            z[previous], z[i], live[previous] = 0, r, False
-        previous = int(i)
+    live, rotations = np.abs(rho * z) > tolerance, []
+    at = np.flatnonzero(live)
+    for k in np.flatnonzero(np.diff(d[at]) <= tolerance):
+        previous, i = int(at[k]), int(at[k + 1])
+        r = np.hypot(z[previous], z[i])
+        rotations.append((previous, i, z[i] / r, z[previous] / r))
+        z[previous], z[i], live[previous] = 0, r, False
     return Deflated(order, d, z, live, rotations)
 
 

@@ -119,6 +119,7 @@ class Merge:
     rho: float
     rotations: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
     order: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # live columns by type
+    ascending: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # live columns by pole
     upper: int = 0
     dense: int = 0
     poles: np.ndarray = field(default_factory=lambda: np.zeros(0))  # live, ascending
@@ -139,7 +140,7 @@ class Merge:
         alive[order] = live
         types = column_types(self.split - self.begin, len(d), self.rotations, alive)
         at = np.flatnonzero(live)
-        self.poles, self.z = d[at], z[at]
+        self.poles, self.z, self.ascending = d[at], z[at], order[at]
         self.by_type = np.argsort(types[order[at]], kind="stable")
         self.order = order[at][self.by_type]
         self.upper, self.dense = int((types == UPPER).sum()), int((types == DENSE).sum())
@@ -315,40 +316,60 @@ def _leaf_ends(spark: SparkSession, d: np.ndarray, e: np.ndarray, edges: list[in
     return values, ends
 
 
+def _by_ranges(spark: SparkSession, counts: list[int], sent: list, f: Callable[[tuple, int, int], np.ndarray], rows: int) -> list[np.ndarray]:
+    """f(what is sent of a merge, lo, hi): ``rows`` numbers for each of a merge's live poles, in ranges dealt over tasks."""
+    # What goes to the tasks and comes back are a few numbers for each row.
+    require(sum(x.nbytes for part in sent for x in part if isinstance(x, np.ndarray)) <= BROADCAST_BYTES, "the order is too large for a broadcast of poles")
+    step = max(LEAF, -(-sum(counts) // (4 * spark.sparkContext.defaultParallelism)))
+    chunks = [(m, lo, min(lo + step, k)) for m, k in enumerate(counts) for lo in range(0, k, step)]
+    out = [np.zeros((rows, k)) for k in counts]
+    if not chunks:
+        return out
+    shared = spark.sparkContext.broadcast(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = (p for batch in batches for p in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from packed(((m, lo, f(shared.value[m], lo, hi)) for m, lo, hi in places), False)
+
+    dealt = spark.createDataFrame(chunks, "m int, lo long, hi long").repartition(_parts(spark, len(chunks)))
+    for batch in dealt.mapInArrow(run, TILE).toArrow().to_batches():
+        for m, lo, x in unpack(batch):
+            out[m][:, lo : lo + x.shape[1]] = x
+    shared.unpersist()
+    return out
+
+
+def _solve_roots(spark: SparkSession, merges: list[Merge]) -> None:
+    """Roots of all merges, without their weights."""
+    found = _by_ranges(spark, [len(m.poles) for m in merges], [(m.poles, m.z, m.rho) for m in merges], lambda x, lo, hi: np.stack(S.secular_range(*x, lo, hi)), 2)
+    for m, (pole, shift) in zip(merges, found, strict=True):
+        m.pole, m.shift = pole.astype(int), shift
+
+
 def _merged_ends(spark: SparkSession, merges: list[Merge], ends: np.ndarray) -> None:
-    """First and last rows of the merged eigenvectors, in place: ranges of columns are dealt over tasks."""
-    rows, chunks = [], []
-    for at, m in enumerate(merges):
+    """Weights, and the first and last rows of the merged eigenvectors in place: ranges of poles and of columns are dealt over tasks."""
+    counts = [len(m.poles) for m in merges]
+    logs = _by_ranges(spark, counts, [(m.poles, m.rho, m.pole, m.shift) for m in merges], lambda x, lo, hi: S.range_of_weight_logs(*x, lo, hi)[None, :], 1)
+    rows = []
+    for m, (part,) in zip(merges, logs, strict=True):
+        m.weight = np.copysign(np.exp(part / 2), m.z)
         q = ends[:, m.begin : m.end].copy()
         # A part's own zeros: its first row ends at the cut, its last row begins there.
         q[0, m.split - m.begin :] = 0
         q[1, : m.split - m.begin] = 0
         m.rotate(q)
         rows.append(q)
-        step = max(1, min(HELD // max(len(m.poles), 1), -(-q.shape[1] // spark.sparkContext.defaultParallelism)))
-        chunks += [(at, lo, min(lo + step, q.shape[1])) for lo in range(0, q.shape[1], step)]
-    sent = spark.sparkContext.broadcast((merges, rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tiles() -> Iterator[Tile]:
-            merges, rows = sent.value
-            for batch in batches:
-                for at, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    m, q = merges[at], rows[at]
-                    yield m.begin + lo, 0, m.columns(q, q[:, m.order], slice(None), lo, hi)
-
-        yield from packed(tiles(), False)
-
-    dealt = spark.createDataFrame(chunks, "m int, lo long, hi long").repartition(_parts(spark, len(chunks)))
-    for batch in dealt.mapInArrow(run, TILE).toArrow().to_batches():
-        for begin, _, x in unpack(batch):
-            ends[:, begin : begin + x.shape[1]] = x
+    sent = [(m.poles, m.weight, np.ascontiguousarray(q[:, m.ascending]), m.pole, m.shift) for m, q in zip(merges, rows, strict=True)]
+    merged = _by_ranges(spark, counts, sent, lambda x, lo, hi: S.range_of_rows(*x, lo, hi), 2)
+    for m, q, live in zip(merges, rows, merged, strict=True):
+        ends[:, m.begin : m.end] = np.hstack((live, q[:, m.dead]))[:, m.out]
 
 
 def eigenvalues(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int, leaf: int | None = None) -> np.ndarray:
     """Ascending eigenvalues of the tridiagonal matrix, by the tree of ``divide_and_conquer`` without its eigenvectors.
 
-    A part's eigenvectors take part in a merge by their rows at the cut only, so the first and the last row are carried.
+    A part's eigenvectors take part in a merge by their rows at the cut only, so the first and the last row are carried. A merge of k poles
+    takes about k^1.5 operations: what is far from a range of roots is summed at a few points.
     """
     if not len(d):
         return np.array(d, float)
@@ -359,7 +380,7 @@ def eigenvalues(spark: SparkSession, d: np.ndarray, e: np.ndarray, nb: int, leaf
         merges = [Merge(edges[b], edges[s], edges[x], 2 * abs(e[edges[s] - 1])) for b, s, x in level]
         for m in merges:
             m.prepare(values[m.begin : m.end], _weights(e[m.split - 1], ends[1, m.begin : m.split], ends[0, m.split : m.end]))
-        solve_secular(spark, merges)
+        _solve_roots(spark, merges)
         for m in merges:
             values[m.begin : m.end] = m.finish()
         if level is not tree[-1]:

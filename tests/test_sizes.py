@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from mosaiq import queries
+from mosaiq.functions import spectral as S
 from mosaiq.matrix import TiledMatrix
 from mosaiq.operators import chase, divide, eigen
 from mosaiq.plans import strategy
@@ -111,3 +112,48 @@ def test_tables_of_tiles_have_small_row_groups(spark, tmp_path, f):
             groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
             assert meta.num_rows == 300 and max(g.num_rows for g in groups) <= strategy.ROW_GROUP_ROWS
             assert max(g.total_byte_size for g in groups) < 1.2 * strategy.ROW_GROUP_BYTES
+
+
+def spectra(k, rng):
+    yield np.sort(rng.uniform(-2, 2, k)), rng.standard_normal(k)
+    yield 2 - 2 * np.cos(np.pi * np.arange(1, k + 1) / (k + 1)), np.ones(k)
+    yield np.cumsum(10.0 ** rng.uniform(-11, 0, k)), 10.0 ** rng.uniform(-6, 0, k)
+    yield np.sort(np.concatenate((rng.uniform(0, 1e-9, k // 2), 1 + rng.uniform(0, 50, k - k // 2)))), rng.standard_normal(k)
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_far_poles_are_summed_at_a_few_points(kind, monkeypatch):
+    k, rng = 1500, np.random.default_rng(kind)
+    d, z = list(spectra(k, rng))[kind]
+    rho, rows = 0.7, rng.standard_normal((2, k))
+    every = [(lo, min(lo + 400, k)) for lo in range(0, k, 400)]
+
+    def run():
+        pole, x = (np.concatenate(v) for v in zip(*(S.secular_range(d, z, rho, *r) for r in every), strict=True))
+        logs = np.concatenate([S.range_of_weight_logs(d, rho, pole, x, *r) for r in every])
+        weight = np.copysign(np.exp(logs / 2), z)
+        return pole, x, logs, weight, np.hstack([S.range_of_rows(d, weight, rows, pole, x, *r) for r in every])
+
+    direct = run()
+    assert np.allclose(direct[2], S.weight_logs(d, rho, 0, *direct[:2]), rtol=0, atol=1e-11) and np.allclose(direct[3], z, rtol=1e-6)
+    u = direct[3][:, None] / ((d[:, None] - d[direct[0]]) - direct[1])
+    assert np.allclose(rows @ (u / np.linalg.norm(u, axis=0)), direct[4], rtol=0, atol=1e-12)
+    monkeypatch.setattr(S, "ROOTS", 16)
+    monkeypatch.setattr(S, "WEIGHTS", 32)
+    near = list(S.intervals(d, d[-1] + rho * (z @ z), 0, k, 16))
+    assert [x for n in near for x in range(n.lo, n.hi)] == list(range(k))
+    # Few poles are near: a direct sum has k for each root.
+    assert sum((n.hi - n.lo) * (n.end - n.first) for n in near) < 0.2 * k * k
+    pole, x, logs, weight, values = run()
+    assert np.array_equal(pole, direct[0]) and np.allclose(x, direct[1], rtol=1e-10, atol=1e-15 * abs(d).max())
+    assert np.allclose(logs, direct[2], rtol=0, atol=1e-10) and np.allclose(values, direct[4], rtol=0, atol=1e-10)
+
+
+def test_eigenvalues_alone_take_no_table_of_all_differences(spark, monkeypatch):
+    """Each level made the differences of all poles and roots, n x n at the last."""
+    monkeypatch.setattr(divide, "solve_secular", lambda *a: pytest.fail("all differences were made"))
+    monkeypatch.setattr(S, "ROOTS", 16)
+    n, rng = 700, np.random.default_rng(5)
+    for d, e in ((np.full(n, 2.0), np.full(n - 1, -1.0)), (rng.standard_normal(n), rng.standard_normal(n - 1))):
+        values = divide.eigenvalues(spark, d, e, 35, 70)
+        assert np.allclose(values, np.linalg.eigvalsh(np.diag(d) + np.diag(e, 1) + np.diag(e, -1)), rtol=0, atol=1e-13)
