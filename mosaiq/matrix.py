@@ -66,11 +66,33 @@ def packed(tiles: Iterable[Tile], complex_: bool) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Source:
-    """How a generated matrix's tiles are made: a table of places and the tile of a place."""
+    """How a generated matrix's tiles are made: a table of places and the tile of a place, which may stand for its mirror, too."""
 
     tiles: DataFrame
     places: DataFrame
     make: Callable[[int, int], np.ndarray]
+    hermitian: bool = False
+
+
+def _mirrored(places: DataFrame, keep: str) -> DataFrame:
+    """Places of a triangle, with whether ``keep`` holds for a place (own) and for its mirror (other), and did before."""
+    if "own" not in places.columns:
+        places = places.selectExpr("ti", "tj", "true own", "ti != tj other")
+    turned = places.withColumn("own", F.col("own") & F.expr(keep)).selectExpr("tj ti", "ti tj", "own", "other")
+    return turned.withColumn("other", F.col("other") & F.expr(keep)).selectExpr("tj ti", "ti tj", "own", "other").filter("own or other")
+
+
+def _made(make: Callable[[int, int], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[Tile]]:
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
+        for batch in batches:
+            for ti, tj, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = make(ti, tj)
+                if not sides or sides[0]:
+                    yield ti, tj, x
+                if sides and sides[1]:
+                    yield tj, ti, x.conj().T
+
+    return tiles
 
 
 @dataclass(frozen=True)
@@ -147,24 +169,38 @@ class TiledMatrix:
         return out
 
     @classmethod
-    def generate(cls, spark: SparkSession, m: int, n: int, mb: int, nb: int, f: Callable, dtype: str = "d", keep: str = "true") -> TiledMatrix:
-        """Elements f(i, j) of index arrays, a tile at a time; ``keep`` is SQL on ti and tj that selects tiles."""
+    def generate(cls, spark: SparkSession, m: int, n: int, mb: int, nb: int, f: Callable, dtype: str = "d", keep: str = "true", hermitian: bool = False) -> TiledMatrix:
+        """Elements f(i, j) of index arrays, a tile at a time; ``keep`` is SQL on ti and tj that selects tiles.
+
+        Of a Hermitian matrix only the lower triangle's tiles are made, each gives its mirror.
+        """
         out = cls(spark.createDataFrame([], TILE), m, n, mb, nb, dtype)
         across, total = out.columns.tiles, out.rows.tiles * out.columns.tiles
         if not total:
             return out
-        grid = spark.range(total).select(F.expr(f"id div {across}").alias("ti"), F.expr(f"id % {across}").alias("tj")).filter(keep)
+        if hermitian:
+            require(m == n and mb == nb, "a Hermitian matrix is square, with square tiles")
+            # Each row of tiles with as many tiles left of its diagonal, around the edge: tasks get the same work.
+            half = across // 2 + 1
+            ids = spark.range(0, across * half, 1, max(1, min(4 * spark.sparkContext.defaultParallelism, across * half // 64)))
+            ids = ids.filter(f"id % {half} < {half - 1 + across % 2} or id div {half} < {across // 2}")
+            places = ids.select(F.expr(f"id div {half}").alias("a"), F.expr(f"(id div {half} - id % {half} + {across}) % {across}").alias("b"))
+            grid = places.select(F.greatest("a", "b").alias("ti"), F.least("a", "b").alias("tj"))
+        else:
+            grid = spark.range(total).select(F.expr(f"id div {across}").alias("ti"), F.expr(f"id % {across}").alias("tj"))
 
         def make(ti: int, tj: int) -> np.ndarray:
             i, j = np.arange(ti * mb, min(m, ti * mb + mb))[:, None], np.arange(tj * nb, min(n, tj * nb + nb))[None, :]
             return np.broadcast_to(np.asarray(f(i, j)), (i.size, j.size))
 
+        made = _made(make)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places = (p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            yield from packed(((ti, tj, make(ti, tj)) for ti, tj in places), dtype in "cz")
+            yield from packed(made(batches), dtype in "cz")
 
-        tiles = grid.mapInArrow(run, TILE)
-        return replace(out, tiles=tiles, source=Source(tiles, grid, make))
+        kept = _mirrored(grid, keep) if hermitian else grid.filter(keep)
+        tiles = kept.mapInArrow(run, TILE)
+        return replace(out, tiles=tiles, source=Source(tiles, kept, make, hermitian))
 
     @classmethod
     def from_coo(cls, coo: DataFrame, m: int, n: int, mb: int, nb: int, dtype: str = "d") -> TiledMatrix:
@@ -217,15 +253,18 @@ class TiledMatrix:
     def fold_tiles(self, f: Callable[[Iterator[Tile]], Iterator[pa.RecordBatch]], schema: str, keep: str = "true") -> DataFrame:
         """Rows that f gives for the kept tiles of a task. A generated matrix's tiles are made in that task and go nowhere else."""
         source = self.source if self.source is not None and self.source.tiles is self.tiles else None
-        make = source.make if source else None
+        tiles = _made(source.make) if source else lambda batches: (tile for batch in batches for tile in unpack(batch))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if make is None:
-                yield from f(tile for batch in batches for tile in unpack(batch))
-            else:
-                yield from f((ti, tj, make(ti, tj)) for batch in batches for ti, tj in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-
-        return (source.places if source else self.tiles).filter(keep).mapInArrow(run, schema)
+            yield from f(tiles(batches))
+
+        if not source:
+            rows = self.tiles.filter(keep)
+        elif source.hermitian:
+            rows = _mirrored(source.places, keep)
+        else:
+            rows = source.places.filter(keep)
+        return rows.mapInArrow(run, schema)
 
     def diagonal(self) -> DataFrame:
         """(i, re, im) of the stored diagonal elements; only tiles that the diagonal crosses are looked at."""

@@ -157,3 +157,35 @@ def test_eigenvalues_alone_take_no_table_of_all_differences(spark, monkeypatch):
     for d, e in ((np.full(n, 2.0), np.full(n - 1, -1.0)), (rng.standard_normal(n), rng.standard_normal(n - 1))):
         values = divide.eigenvalues(spark, d, e, 35, 70)
         assert np.allclose(values, np.linalg.eigvalsh(np.diag(d) + np.diag(e, 1) + np.diag(e, -1)), rtol=0, atol=1e-13)
+
+
+@pytest.mark.parametrize("n", [3, 10, 40, 48])
+def test_a_tile_and_its_mirror_are_drawn_once(spark, monkeypatch, n):
+    drawn, draw, t = spark.sparkContext.accumulator(0), generators._draw, -(-n // 6)
+    monkeypatch.setattr(generators, "_draw", lambda *a: (drawn.add(1), draw(*a))[1])
+    a = generators.random_hermitian(spark, n, 6, 3.0, "z")
+    assert tuple(queries._checked(a, 0, 4.0).first()) == (n * n, True, False)
+    assert drawn.value == t * (t + 1) // 2
+    x = a.to_numpy()
+    assert np.array_equal(x, x.conj().T) and (x != 0).all() and a.tiles.count() == t * t
+    assert [r.re for r in a.diagonal().orderBy("i").collect()] == np.diag(x).real.tolist()
+    for i, j in ((0, 0), (t - 1, 0)):  # a tile depends on its place only
+        place = np.arange(6 * i, min(n, 6 * i + 6))[:, None], np.arange(6 * j, min(n, 6 * j + 6))[None, :]
+        off = place[0] > place[1]
+        assert np.array_equal(np.where(off, draw(*place, n, True), 0), np.where(off, x[np.ix_(place[0][:, 0], place[1][0])], 0))
+
+
+def test_draws_in_the_unit_disc():
+    rng = np.random.default_rng(1)
+    squares, turns = rng.random(5000), np.concatenate((rng.random(4990), np.arange(10) / 8 % 1))
+    generators._in_disc(squares, turns, out := np.empty(5000, complex))
+    assert np.allclose(out, np.sqrt(squares) * np.exp(2j * np.pi * turns), rtol=0, atol=2e-15) and (abs(out) <= 1).all()
+
+
+def test_elements_outside_of_the_limits_are_seen(spark):
+    x = np.full((7, 7), 0.5)
+    for kind, bad in ((1, 1.5), (1j, 1.5), (1, np.nan), (1j, np.nan), (1, 0.1)):
+        y = x * kind
+        y[6, 2] = bad * kind
+        assert tuple(queries._checked(TiledMatrix.from_numpy(spark, y, 3, 3), 0.2, 1.0).first())[:2] == (49, False)
+        assert tuple(queries._checked(TiledMatrix.from_numpy(spark, x * kind, 3, 3), 0.2, 1.0).first())[:2] == (49, True)
